@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .common import cut, hash_sample, table
 
 TRAIN_ROWS = 8_000
-FEATURES = 2_048
+FEATURES = 1_024
 PENALTY = 4.0
 #: Families of group mentions; within a family each swaps for the next.
 IDENTITY = (
