@@ -175,7 +175,11 @@ def _soc(s, d):  # noqa: ANN001, ANN202
     return battery_percent(fx.points(s, d), soc_lut(s), fx.vehicle_types(s))
 
 
-_PLATE = F.concat(F.lit("PL-"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
+def _plate() -> Column:
+    """The fixture plate of a user."""
+    return F.concat(F.lit("PL-"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
+
+
 _WORDS = ("otter", "falcon", "maple", "comet", "willow", "badger", "canyon")
 QUERIES = {
     "read_feed_snapshot": lambda s, d: feed_rows(s, d),
@@ -184,10 +188,10 @@ QUERIES = {
     "drop_unusable_rows": lambda s, d: fx.points(s, d).withColumn("text_lat", F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("lat").cast("string"))).where(F.expr("try_cast(text_lat AS double) IS NOT NULL AND device_id IS NOT NULL")).select("event_id"),
     "use_type_derive": lambda s, d: _typed(s, d).select("event_id", F.coalesce("use_type", F.when(F.col("form_factor") == "bicycle", "sitting").when(F.col("form_factor") == "scooter", "standing")).alias("use")),
     "coerce_optional_fields": lambda s, d: fx.load(s, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') AS int)").alias("k"), F.expr("try_cast(event_type AS boolean)").alias("flag")),
-    "plate_extract": lambda s, d: fx.points(s, d).select("event_id", F.coalesce(F.nullif(F.regexp_extract(F.concat(F.lit("app://ride?plate="), _PLATE), r"plate=([A-Z0-9-]+)", 1), F.lit("")), F.lit(None)).alias("plate")),
-    "vehicle_pseudonym": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", _hmac_plate(_PLATE, b"salt").alias("pseudonym")),
-    "plate_display": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", F.translate(_PLATE, "0123456789", "ABCDEFGHJK").alias("shown"), F.expr("right(regexp_replace(concat('PL-', lpad(cast(user_id as string), 5, '0')), '[^A-Za-z0-9]', ''), 3)").alias("last3")),
-    "plate_normalise": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", F.regexp_replace(F.lower(F.trim(F.concat(F.lit("  "), _PLATE, F.lit(" ")))), "[^a-z0-9]", "").alias("plate")),
+    "plate_extract": lambda s, d: fx.points(s, d).select("event_id", F.coalesce(F.nullif(F.regexp_extract(F.concat(F.lit("app://ride?plate="), _plate()), r"plate=([A-Z0-9-]+)", 1), F.lit("")), F.lit(None)).alias("plate")),
+    "vehicle_pseudonym": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", _hmac_plate(_plate(), b"salt").alias("pseudonym")),
+    "plate_display": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", F.translate(_plate(), "0123456789", "ABCDEFGHJK").alias("shown"), F.expr("right(regexp_replace(concat('PL-', lpad(cast(user_id as string), 5, '0')), '[^A-Za-z0-9]', ''), 3)").alias("last3")),
+    "plate_normalise": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", F.regexp_replace(F.lower(F.trim(F.concat(F.lit("  "), _plate(), F.lit(" ")))), "[^a-z0-9]", "").alias("plate")),
     "public_name": lambda s, d: fx.points(s, d).select("vehicle").distinct().select("vehicle", F.element_at(F.array(*map(F.lit, _WORDS)), (F.conv(F.substring(F.sha2("vehicle", 256), 1, 8), 16, 10).cast("long") % len(_WORDS) + 1).cast("int")).alias("word"), (F.conv(F.substring(F.sha2("vehicle", 256), 9, 8), 16, 10).cast("long") % 12).alias("icon")),
     "region_name_derive": lambda s, d: fx.load(s, d, "nation").select("n_nationkey", F.coalesce(F.nullif(F.regexp_replace("n_name", "[^A-Za-z0-9]", ""), F.lit("")), F.concat(F.lit("region_"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"))).alias("region_name")),
     "layer_feature_filter": lambda s, d: fx.load(s, d, "nation").withColumn("prop", F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name"))).where("prop IS NOT NULL").select("n_nationkey", "prop"),

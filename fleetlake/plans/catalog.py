@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spatial", "fleet", "rollups", "rentals")
+MODULES = ("spatial", "fleet", "rollups", "rentals", "rides", "community")
 
 QUERIES: dict = {}
 SQL: dict = {}
