@@ -48,11 +48,22 @@ def chi2_cdf(x: np.ndarray, m: int) -> np.ndarray:
     return 1 - np.exp(-h) * sum(h**i / factorial(i) for i in range(m // 2))
 
 
-def ruled_out(gap2: np.ndarray, best2: np.ndarray, m: int, p: float) -> np.ndarray:
-    """Whether the stopping test holds for a projected distance and a k-th distance (both squared)."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(best2 > 0, gap2 / np.where(best2 > 0, best2, 1), np.where(gap2 > 0, np.inf, 0.0))
-    return np.where(np.isinf(best2), False, chi2_cdf(np.where(np.isinf(ratio), 1e6, ratio), m) >= p)
+def chi2_quantile(p: float, m: int) -> float:
+    """Where the distribution function reaches p, by bisection."""
+    low, high = 0.0, 1400.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (low, mid) if chi2_cdf(np.array(mid), m) >= p else (mid, high)
+    return high
+
+
+def ruled_out(gap2: np.ndarray, best2: np.ndarray | float, reach: float) -> np.ndarray:
+    """Whether the stopping test holds for a projected distance and a k-th distance (both squared).
+
+    ``reach`` is the quantile of p, so this is: distribution function of the ratio >= p. With
+    a k-th distance of 0 only points at a projected distance of 0 are still open.
+    """
+    return (gap2 >= reach * best2) & (gap2 > 0)
 
 
 class Leaves:
@@ -70,27 +81,40 @@ class Leaves:
             order = own[np.argpartition(points[own, d], half)]
             todo += [order[:half], order[half:]]
         self.order = np.concatenate(runs)
-        self.ends = np.cumsum([len(r) for r in runs])
-        self.starts = self.ends - np.array([len(r) for r in runs])
+        self.leaf_of = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
         self.low = np.array([points[r].min(axis=0) for r in runs])
         self.high = np.array([points[r].max(axis=0) for r in runs])
 
 
-def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np.ndarray, best2: np.ndarray, most2: float, k: int, m: int, p: float):
-    """For each query the k best (position, score) of x; ``best2`` is a k-th distance known before, or infinity."""
+def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np.ndarray, best2: np.ndarray, most2: float, k: int, reach: float):
+    """For each query the k best (position, score) of x; ``best2`` is a k-th distance known before, or infinity.
+
+    Leaves come in the order of their distance, 8 first, then twice as many at a time; those
+    that the test rules out by then, and all behind them, are never looked at.
+    """
     tree = Leaves(px)
     x, ids = x[tree.order], ids[tree.order]
     gaps = box_gap2(pq, pq, tree.low, tree.high)
+    orders = np.argsort(gaps, axis=1, kind="stable")
     for at in range(len(q)):
-        order = np.argsort(gaps[at], kind="stable")
+        order = orders[at]
         gap, own, limit = gaps[at][order], float(q[at] @ q[at]), float(best2[at])
-        found_i, found_s, n, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while n < len(order) and not ruled_out(gap[n], limit, m, p):
-            leaves = order[n : n + step]
-            if n + step < len(order):  # leaves of one step that the test already rules out wait
-                leaves = leaves[~ruled_out(gap[n : n + step], np.full(len(leaves), limit), m, p)]
-            i = np.concatenate([np.arange(tree.starts[j], tree.ends[j]) for j in leaves])
-            i, s = np.concatenate((found_i, i)), np.concatenate((found_s, x[i] @ q[at]))
+        found_i, found_s, n, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
+        while True:
+            stop = len(gap) if limit == np.inf else max(int(np.searchsorted(gap, reach * limit)), int(np.searchsorted(gap, 0.0, side="right")))
+            if n >= stop:
+                break
+            chosen = np.zeros(len(order), bool)
+            chosen[order[n : min(n + step, stop)]] = True
+            i = np.flatnonzero(chosen[tree.leaf_of])
+            s = x[i] @ q[at]
+            if len(found_s) == k:  # only what reaches the k-th score can enter
+                enter = s >= found_s[-1]
+                i, s = i[enter], s[enter]
+            elif len(s) > 4 * k:
+                enter = s >= np.partition(s, len(s) - k)[len(s) - k]
+                i, s = i[enter], s[enter]
+            i, s = np.concatenate((found_i, i)), np.concatenate((found_s, s))
             top = np.lexsort((ids[i], -s))[:k]
             found_i, found_s = i[top], s[top]
             if len(top) == k:
@@ -121,6 +145,7 @@ def nearest(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, m
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = sample_matrix(classes, n)
     d = sample.shape[1]
+    reach = chi2_quantile(p, m)
     stable = np.random.default_rng(SEED).standard_normal((d + 1, m))
 
     def project(x: np.ndarray, fill: bool) -> np.ndarray:
@@ -161,7 +186,7 @@ def nearest(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, m
                     best2 = np.full(len(x), np.inf)
                 else:
                     best2 = batch.column(2).to_numpy(zero_copy_only=False)
-                    to = ~ruled_out(gap, np.repeat(best2[:, None], gap.shape[1], axis=1), m, p)
+                    to = ~ruled_out(gap, best2[:, None], reach)
                     to[np.arange(len(x)), home] = False
                 i, c = np.nonzero(to)
                 for at in range(0, len(i), 4096):  # a query may go to many cells: small results
@@ -176,7 +201,7 @@ def nearest(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, m
             x, q = matrix(points_.column("v")), matrix(queries.column("v"))
             ids, asking = points_.column("id").to_numpy(), queries.column("id").to_numpy()
             best2 = queries.column("best2").to_numpy()
-            for at, (i, s) in enumerate(search(x, ids, project(x, True), q, project(q, False), best2, most2, most, m, p)):
+            for at, (i, s) in enumerate(search(x, ids, project(x, True), q, project(q, False), best2, most2, most, reach)):
                 out.append((np.full(len(i), asking[at]), ids[i], s))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c) for c in cols], names=["asking", "id", "score"])
