@@ -208,6 +208,7 @@ QUERIES = {
     "points_with_state": lambda s, d: fx.points(s, d).alias("p").join(fx.points(s, d).groupBy("vehicle").agg(F.max("ts").alias("last_ts")), "vehicle", "left").select("event_id", (F.col("ts") == F.col("last_ts")).alias("is_last")),
     "has_negative_report": lambda s, d: has_negative_report(fx.points(s, d), fx.device_reports(s, d)).select("event_id", "reported"),
     "dwell_peer_rings": lambda s, d: dwell_peers(_stays(s, d)).select("vehicle", "scope", "median_h", "share", "outlier"),
+    "cell_dwell_mean": lambda s, d: _stays(s, d).groupBy("q", "r").agg(F.count("*").alias("n"), F.round(F.avg("hours"), 6).alias("mean_h")),
     "dwell_peer_stats": lambda s, d: _stays(s, d).agg(F.count("*").alias("n"), F.round(F.expr("median(hours)"), 6).alias("median_h"), F.round(F.expr("percentile(hours, 0.9)"), 6).alias("p90")),
     "rank_tie_top": lambda s, d: range_ranks(fx.points(s, d)).select("event_id", "rank_x", "rank_y"),
     "rank_unique": lambda s, d: range_ranks(fx.points(s, d)).select("event_id", "unique_x", "unique_y"),
@@ -311,6 +312,7 @@ SQL = {
         count(*) FILTER (WHERE k <= 1 AND h <= hours) AS c1, count(*) FILTER (WHERE k <= 2 AND h <= hours) AS c2, count(*) FILTER (WHERE h <= hours) AS c0 FROM peers GROUP BY vehicle, hours),
       x AS (SELECT vehicle, hours, CAST(CASE WHEN n1 >= 5 THEN 1 WHEN n2 >= 5 THEN 2 WHEN n0 >= 5 THEN 0 END AS BIGINT) AS scope, round(CASE WHEN n1 >= 5 THEN m1 WHEN n2 >= 5 THEN m2 WHEN n0 >= 5 THEN m0 END, 6) AS median_h, round(CASE WHEN n1 >= 5 THEN c1 / n1 WHEN n2 >= 5 THEN c2 / n2 WHEN n0 >= 5 THEN c0 / n0 END, 6) AS share FROM g)
       SELECT vehicle, scope, median_h, share, coalesce(share >= 0.9 AND hours >= 3 * median_h AND hours >= 24, false) AS outlier FROM x"""),
+    "cell_dwell_mean": fx.sql(f"WITH {_STAYS} SELECT q, r, count(*) AS n, round(avg(hours), 6) AS mean_h FROM stays GROUP BY 1, 2"),
     "dwell_peer_stats": fx.sql(f"WITH {_STAYS} SELECT count(*) AS n, round(median(hours), 6) AS median_h, round(quantile_cont(hours, 0.9), 6) AS p90 FROM stays"),
     "rank_tie_top": fx.sql(f"SELECT event_id, rank_x, rank_y FROM {_RANKS}"),
     "rank_unique": fx.sql(f"SELECT event_id, unique_x, unique_y FROM {_UNIQ}"),

@@ -109,10 +109,18 @@ def train_burn_model(obs: DataFrame, features: list[str], label: str = "burn", c
 
     if obs.count() < 100:
         raise ValueError("fewer than 100 observations")
-    top = StringIndexer(inputCol=category, outputCol="_i", stringOrderType="frequencyAsc", handleInvalid="keep")
-    hot = OneHotEncoder(inputCols=["_i"], outputCols=["_d"], dropLast=True, handleInvalid="keep")
+    top = StringIndexer(inputCol=category, outputCol="_i", stringOrderType="frequencyAsc")
+    hot = OneHotEncoder(inputCols=["_i"], outputCols=["_d"], dropLast=True)  # the last index is the most common model
     vector = VectorAssembler(inputCols=[*features, "_d"], outputCol="_x")
-    return Pipeline(stages=[top, hot, vector, LinearRegression(featuresCol="_x", labelCol=label, solver="normal", regParam=1e-6)]).fit(obs)
+    return Pipeline(stages=[top, hot, vector, LinearRegression(featuresCol="_x", labelCol=label, solver="normal")]).fit(obs)
+
+
+def burn_offsets(s, d) -> DataFrame:  # noqa: ANN001
+    """Slope and each model's offset of the burn model over all pairs of readings."""
+    fitted = train_burn_model(pair_deltas(M(s, d)).select("type_id", F.col("metres").cast("double"), F.col("used").cast("double")).dropna(), ["metres"], "used")
+    line, names = fitted.stages[-1], fitted.stages[0].labels  # as many as there are vehicle models
+    rows = [(n, float(line.intercept + (line.coefficients[1 + k] if k + 1 < len(names) else 0.0)), float(line.coefficients[0])) for k, n in enumerate(names)]
+    return s.createDataFrame(rows, "type_id string, offset double, slope double").select("type_id", F.round("offset", 3).alias("offset"), F.round("slope", 6).alias("slope"))
 
 
 def burn_estimate(rides: DataFrame, model: DataFrame, band: Column) -> DataFrame:
@@ -159,6 +167,7 @@ QUERIES = {
     "stops_overlapping": lambda s, d: stops(M(s, d)).where("arrive <= 1704067200000000 + 7200000000 AND (depart IS NULL OR depart >= 1704067200000000 + 3600000000)").select("vehicle", "stop", "arrive", "depart"),
     "feed_start_asof": lambda s, d: feed_start(s, d),
     "mine_rentals": mine_rentals,
+    "fit_burn_model": burn_offsets,
     "fit_burn_line": lambda s, d: fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"),
     "burn_estimate": lambda s, d: burn_estimate(_judged(s, d).where("reason = 'ok'").select("vehicle", "episode", "metres"), fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"), F.lit(6.0)).select("vehicle", "episode", "burn", "low", "high"),
     "arrival_battery": lambda s, d: burn_estimate(_judged(s, d).where("reason = 'ok'").select("vehicle", "episode", "metres", "pre_range"), fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"), F.lit(6.0)).select("vehicle", "episode", F.round(F.col("pre_range") / 364.0 - F.col("high"), 4).alias("worst"), (F.col("pre_range") / 364.0 - F.col("high") >= 10).alias("enough")),
@@ -230,6 +239,8 @@ SQL = {
     "feed_start_asof": fx.sql(f"WITH {_EPI} SELECT e.vehicle, episode, arg_max(event_id, {{'a': us, 'b': event_id}}) AS event_id FROM epi e JOIN moving m ON m.vehicle = e.vehicle AND us < departed_us AND us >= departed_us - 1800000000 GROUP BY 1, 2"),
     "mine_rentals": fx.sql(f"""WITH {_JUDGED}, rb AS (SELECT * FROM ({_RB}) WHERE vehicles >= 3), tm AS ({_TEMP}) SELECT vehicle, episode, secs, metres, round(burn, 6) AS burn, temp FROM jd LEFT JOIN tm USING (vehicle, episode)
       WHERE reason = 'ok' AND metres <= secs * 20 AND NOT EXISTS (SELECT 1 FROM rb WHERE a = round_even(pre_lat, 2) AND b = round_even(pre_lon, 2) AND c = round_even(post_lat, 2) AND d = round_even(post_lon, 2) AND t = departed_us // 1200000000)"""),
+    "fit_burn_model": fx.sql(f"""WITH {_PAIRS}, mn AS (SELECT type_id, avg(metres) AS mx, avg(used) AS my FROM pd WHERE metres IS NOT NULL AND used IS NOT NULL GROUP BY 1), sl AS (SELECT sum((metres - mx) * (used - my)) / sum((metres - mx) * (metres - mx)) AS b FROM pd JOIN mn USING (type_id))
+      SELECT type_id, round(my - b * mx, 3) AS offset, round(b, 6) AS slope FROM mn, sl"""),
     "fit_burn_line": fx.sql(f"WITH {_JUDGED} {_LINE}"),
     "burn_estimate": fx.sql(f"WITH {_JUDGED} SELECT vehicle, episode, " + ", ".join(f"round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, {_P.format(k)})), 4) AS {a}" for k, a in (("", "burn"), (" - 6.0", "low"), (" + 6.0", "high"))) + f" FROM jd, ({_LINE}) WHERE reason = 'ok'"),
     "arrival_battery": fx.sql(f"WITH {_JUDGED} SELECT vehicle, episode, round(pre_range / 364.0::DOUBLE - high, 4) AS worst, pre_range / 364.0::DOUBLE - high >= 10 AS enough FROM (SELECT *, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, {_P.format(' + 6.0')})), 4) AS high FROM jd, ({_LINE}) WHERE reason = 'ok')"),

@@ -112,6 +112,41 @@ def vehicle_states(moving: DataFrame) -> DataFrame:
     return x.groupBy("vehicle").applyInPandas(fold, "event_id long, vehicle string, us long, kind string")
 
 
+WATCH_US = 3 * 3_600_000_000
+ABSENT_US = 600_000_000
+
+
+def ride_watch(watches: DataFrame, samples: DataFrame) -> DataFrame:
+    """Where each watch stands: watching, left_feed, resolved or expired, and when the vehicle left and came back.
+
+    ``watches(ride_id, vehicle, start)`` and ``samples(vehicle, us, reserved)`` in microseconds.
+    A vehicle has left when it is reserved or unseen for ``ABSENT_US``; it is back at its next
+    sample without reservation. Only what happens within ``WATCH_US`` counts. Watches meet
+    samples by vehicle and time bucket, so a busy vehicle does not pair its whole history.
+    """
+    now = F.broadcast(samples.agg(F.max("us").alias("now")))
+    bucket = lambda c: F.expr(f"{c} div {WATCH_US}")
+    seen = samples.withColumn("before", F.lag("us").over(Window.partitionBy("vehicle").orderBy("us"))).withColumn("bucket", bucket("us"))
+    asked = watches.withColumn("bucket", F.explode(F.array(bucket("start"), bucket("start") + 1)))
+    x = asked.join(seen, ["vehicle", "bucket"]).where((F.col("us") > F.col("start")) & (F.col("us") <= F.col("start") + WATCH_US))
+    since = F.greatest("start", "before")
+    out = F.when(F.col("us") - since > ABSENT_US, since + ABSENT_US).when(F.col("reserved"), F.col("us"))
+    g = x.groupBy("ride_id").agg(F.min(out).alias("left_us"), F.max("us").alias("last"), F.array_sort(F.collect_list(F.when(~F.col("reserved"), F.col("us")))).alias("free"))
+    x = watches.join(g, "ride_id", "left").join(now, F.lit(True))
+    silent = F.coalesce("last", "start") + ABSENT_US
+    end = F.col("start") + WATCH_US
+    left = F.coalesce("left_us", F.when(silent < F.least(end, F.col("now")), silent))
+    x = x.withColumn("left_us", left).withColumn("back_us", F.array_min(F.filter("free", lambda t: t > F.col("left_us"))))
+    state = F.when(F.col("back_us").isNotNull(), "resolved").when(F.col("now") > end, "expired").when(F.col("left_us").isNotNull(), "left_feed").otherwise("watching")
+    return x.select("ride_id", state.alias("state"), "left_us", "back_us")
+
+
+def watches(s, d) -> DataFrame:  # noqa: ANN001
+    """A watch per click."""
+    clicks = fx.load(s, d, "events").where("event_type = 'click'").select("event_id")
+    return fx.moving(s, d).join(clicks, "event_id").select(F.col("event_id").alias("ride_id"), "vehicle", F.col("us").alias("start"))
+
+
 P, E = fx.ride_points, fx.route_edges
 
 
@@ -157,6 +192,7 @@ QUERIES = {
     "trip_events": lambda s, d: vehicle_states(fx.moving(s, d)).where(F.col("kind").isin("trip_end", "moved")).select("event_id", "vehicle", "us"),
     "rental_outcomes": lambda s, d: vehicle_states(fx.moving(s, d)).groupBy("vehicle").agg(F.count_if(F.col("kind").isin("trip_end", "failed_start")).alias("rentals"), F.count_if(F.col("kind") == "failed_start").alias("failed")),
     "stop_intervals": lambda s, d: stop_intervals(vehicle_states(fx.moving(s, d))),
+    "ride_watch": lambda s, d: ride_watch(watches(s, d), fx.moving(s, d).select("vehicle", "us", F.coalesce("is_reserved", F.lit(False)).alias("reserved"))),
     "watch_vs_observed": lambda s, d: watch(s, d),
     "donated_observation": lambda s, d: close_out(fx.rides(s, d), P(s, d)).where("source = 'track' AND metres BETWEEN 500 AND 80000").select("ride_id", "metres"),
 }
@@ -253,6 +289,12 @@ SQL = {
     "trip_events": fx.sql(f"WITH {_VS} SELECT event_id, vehicle, us FROM vs WHERE kind IN ('trip_end', 'moved')"),
     "rental_outcomes": fx.sql(f"WITH {_VS} SELECT vehicle, count(*) FILTER (WHERE kind IN ('trip_end', 'failed_start')) AS rentals, count(*) FILTER (WHERE kind = 'failed_start') AS failed FROM vs GROUP BY 1"),
     "stop_intervals": fx.sql(f"WITH {_VS}, y AS (SELECT *, CAST(sum(CASE WHEN kind IN ('new', 'moved', 'trip_end') THEN 1 ELSE 0 END) OVER (PARTITION BY vehicle ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM vs), g AS (SELECT vehicle, stop, min(us) AS arrive, count(*) FILTER (WHERE kind = 'failed_start') AS failed FROM y GROUP BY 1, 2) SELECT *, lead(arrive) OVER (PARTITION BY vehicle ORDER BY stop) AS depart FROM g"),
+    "ride_watch": fx.sql("""WITH sm AS (SELECT vehicle, us, coalesce(is_reserved, false) AS reserved, lag(us) OVER (PARTITION BY vehicle ORDER BY us) AS before FROM moving),
+      wt AS (SELECT m.event_id AS ride_id, vehicle, us AS start FROM moving m JOIN events e ON e.event_id = m.event_id AND event_type = 'click'),
+      jn AS (SELECT ride_id, start, us, reserved, CASE WHEN us - greatest(start, before) > 600000000 THEN greatest(start, before) + 600000000 WHEN reserved THEN us END AS out_us FROM wt LEFT JOIN sm ON sm.vehicle = wt.vehicle AND us > start AND us <= start + 10800000000),
+      lf AS (SELECT ride_id, start, coalesce(min(out_us), CASE WHEN coalesce(max(us), start) + 600000000 < least(start + 10800000000, (SELECT max(us) FROM moving)) THEN coalesce(max(us), start) + 600000000 END) AS left_us FROM jn GROUP BY 1, 2),
+      bk AS (SELECT lf.ride_id, lf.start, left_us, min(us) FILTER (WHERE NOT reserved AND us > left_us) AS back_us FROM lf JOIN jn USING (ride_id) GROUP BY 1, 2, 3)
+      SELECT ride_id, CASE WHEN back_us IS NOT NULL THEN 'resolved' WHEN (SELECT max(us) FROM moving) > start + 10800000000 THEN 'expired' WHEN left_us IS NOT NULL THEN 'left_feed' ELSE 'watching' END AS state, left_us, back_us FROM bk"""),
     "watch_vs_observed": fx.sql("WITH l AS (SELECT vehicle, arg_max(coalesce(is_reserved, false), {'a': ts, 'b': event_id}) AS r FROM points WHERE day = (SELECT max(day) FROM points) GROUP BY 1) SELECT DISTINCT p.vehicle, CASE WHEN l.vehicle IS NULL OR r THEN 'checked_out' ELSE 'parked' END AS state FROM points p LEFT JOIN l USING (vehicle)"),
     "donated_observation": fx.sql(f"WITH {_CO} SELECT ride_id, least(80000.0::DOUBLE, raw) AS metres FROM co WHERE source = 'track' AND raw BETWEEN 500 AND 80000"),
 }

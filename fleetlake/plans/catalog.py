@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("spatial", "fleet", "rollups", "rentals", "rides", "community")
+MODULES = ("..operators.spatial", "..operators.fleet", "..operators.rollups", "..operators.rentals", "..operators.rides", "..operators.community", ".stored")
 
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
-    _module = import_module(f"..operators.{_name}", __package__)
+    _module = import_module(_name, __package__)
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

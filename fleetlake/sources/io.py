@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A feed file.
@@ -12,6 +15,21 @@ LAYER = "features array<struct<properties: map<string,string>, geometry: struct<
 _RINGS, _PARTS = "array<array<array<double>>>", "array<array<array<array<double>>>>"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a local session without that setting, as in tests, gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        root = sc.getCheckpointDir()
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def feed_rows(files: DataFrame) -> DataFrame:
     """One row per bike of feed files read with ``FEED``: unusable ones dropped, odd values null."""
     x = files.select("last_updated", F.explode("data.bikes").alias("b"))
@@ -63,6 +81,35 @@ def archive_new(points: DataFrame, path: str, day: str = "day") -> int:
     return n
 
 
+def archive_after(spark: SparkSession, path: str, cutover: str, day: str = "day") -> DataFrame:
+    """The archive's rows of folders dated after ``cutover``; folders whose name is no date are skipped.
+
+    The condition is on the partition column alone, so other folders are not read.
+    """
+    return spark.read.parquet(path).where(F.expr(f"try_cast(CAST({day} AS string) AS date)") > F.lit(cutover).cast("date"))
+
+
+def append_tables(frames: dict[str, DataFrame], root: str) -> None:
+    """Append each frame to its table under ``root``, as a cycle stores its results."""
+    for name, frame in frames.items():
+        frame.write.mode("append").parquet(f"{root}/{name}")
+
+
+def write_layer_files(polygons: DataFrame, path: str) -> None:
+    """GeoJSON text of each layer in a folder ``region_type=...``; rings are cut where an edge does not go on from the last."""
+    region = ["region_type", "region_name"]
+    e = polygons.select(*region, F.posexplode("edges").alias("pos", "e")).select(*region, "pos", "e.*")
+    w = Window.partitionBy(*region).orderBy("pos")
+    goes_on = (F.lag("x2").over(w) == F.col("x1")) & (F.lag("y2").over(w) == F.col("y1"))
+    e = e.withColumn("ring", F.sum(F.when(goes_on, 0).otherwise(1)).over(w))
+    rings = e.groupBy(*region, "ring").agg(F.array_sort(F.collect_list(F.struct("pos", F.array("x1", "y1").alias("at")))).alias("at"), F.max_by(F.array("x2", "y2"), "pos").alias("end"))
+    rings = rings.withColumn("line", F.concat(F.col("at.at"), F.array("end")))
+    shapes = rings.groupBy(*region).agg(F.array_sort(F.collect_list(F.struct("ring", "line"))).alias("rings"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("name"), F.col("region_name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.col("rings.line").alias("coordinates")).alias("geometry"))
+    layers = shapes.groupBy("region_type").agg(F.collect_list(feature).alias("features"))
+    layers.select("region_type", F.to_json(F.struct("features")).alias("value")).write.partitionBy("region_type").text(path)
+
+
 def replace_partitions(rows: DataFrame, path: str, *by: str) -> None:
     """Overwrite just the partitions that ``rows`` has, so a rerun replaces and never adds."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import spatial
-from ..operators.rides import vehicle_step
+from ..operators.rides import ABSENT_US, WATCH_US, vehicle_step
 from ..operators.rollups import local
 from ..sources import io
 
 
-def cycle_stream(spark: SparkSession, path: str, polygons: DataFrame, sinks: Callable[[str, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def cycle_stream(spark: SparkSession, path: str, polygons: DataFrame, sinks: Callable[[str, DataFrame, int], None], checkpoint: str, files_per_cycle: int = 1) -> StreamingQuery:
     """Each new feed file: tag, refine, count per region; ``sinks(name, frame, batch)`` stores the frames.
 
     One micro-batch is one cycle. The refined points are cached for the two outputs.
     """
-    files = spark.readStream.schema(io.FEED).option("multiLine", True).option("maxFilesPerTrigger", 1).json(path)
+    files = spark.readStream.schema(io.FEED).option("multiLine", True).option("maxFilesPerTrigger", files_per_cycle).json(path)
 
     def cycle(batch: DataFrame, number: int) -> None:
-        rows = io.feed_rows(batch).withColumn("event_id", F.xxhash64("device_id", "last_updated"))
+        # a feed may repeat a device at another place: rows of one key must share a position
+        rows = io.feed_rows(batch).withColumn("event_id", F.xxhash64("device_id", "last_updated", "lat", "lon"))
         city = polygons.where("region_type = 'neighborhood'")
         refined = spatial.refine_status(spatial.envelope_tag(rows), city).withColumn("form_factor", F.lit("unknown")).persist()
         sinks("points", refined, number)
@@ -48,6 +49,73 @@ def dedupe_reports(reports: DataFrame, delay: str = "30 minutes") -> DataFrame:
     return reports.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["reporter", "vehicle", "report_type"])
 
 
+def accepted_reports_stream(reports: DataFrame, gap_us: int) -> DataFrame:
+    """``accepted``: reports at least ``gap_us`` after the last accepted one of their key; that time is the state.
+
+    ``reports(event_id, key, us)``; within a micro-batch rows are taken in time order.
+    """
+    import pandas as pd
+
+    def fold(key, batches, state):  # noqa: ANN001, ANN202
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        accepted = []
+        for us in rows["us"]:
+            accepted.append(last is None or us - last >= gap_us)
+            last = int(us) if accepted[-1] else last
+        state.update((last,))
+        yield rows[["event_id"]].assign(accepted=accepted)
+
+    return reports.groupBy("key").applyInPandasWithState(fold, "event_id long, accepted boolean", "last long", "append", "NoTimeout")
+
+
+def ride_watch_stream(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Watches that end, as ``(ride_id, state, left_us, back_us)``: resolved by a sample or expired by the timer.
+
+    ``rows(vehicle, us, ts, ride_id, reserved)`` holds samples and, with ``ride_id`` set, starts of
+    watches; ``ts`` is the time of ``us``. State per vehicle: its last sample and its open watches.
+    """
+    import pandas as pd
+
+    def fold(key, batches, state):  # noqa: ANN001, ANN202
+        last, ids, starts, lefts = state.get if state.exists else (None, [], [], [])
+        watching, done = {i: [s, None if left < 0 else left] for i, s, left in zip(ids, starts, lefts)}, []
+
+        def expire(now: int) -> None:
+            for i in [i for i, (start, _) in watching.items() if start + WATCH_US < now]:
+                start, left = watching.pop(i)
+                silent = max(start, last or 0) + ABSENT_US
+                done.append((i, "expired", silent if left is None and silent < start + WATCH_US else left, None))
+
+        if not state.hasTimedOut:
+            events = pd.concat(list(batches)).sort_values("us", kind="stable")
+            for us, ride, reserved in sorted(zip(events["us"], events["ride_id"], events["reserved"]), key=lambda e: (e[0], not pd.isna(e[1]))):
+                us = int(us)
+                expire(us)
+                if not pd.isna(ride):
+                    watching[int(ride)] = [us, None]
+                    continue
+                for i, own in list(watching.items()):
+                    since = max(own[0], last or 0)
+                    if own[1] is None:
+                        own[1] = since + ABSENT_US if us - since > ABSENT_US else us if reserved else None
+                    if own[1] is not None and own[1] < us and not reserved:
+                        done.append((i, "resolved", own[1], us))
+                        del watching[i]
+                last = us
+        now = state.getCurrentWatermarkMs() * 1000
+        expire(now)
+        if watching or last is not None:
+            state.update((last, list(watching), [w[0] for w in watching.values()], [-1 if w[1] is None else w[1] for w in watching.values()]))
+        if watching:
+            state.setTimeoutTimestamp(max(min(w[0] for w in watching.values()) + WATCH_US, now) // 1000 + 1)
+        frame = pd.DataFrame(done, columns=["ride_id", "state", "left_us", "back_us"])
+        yield frame.astype({"ride_id": "int64", "left_us": "Int64", "back_us": "Int64"})
+
+    keyed = rows.withWatermark("ts", delay).groupBy("vehicle")
+    return keyed.applyInPandasWithState(fold, "ride_id long, state string, left_us long, back_us long", "last long, ids array<long>, starts array<long>, lefts array<long>", "append", "EventTimeTimeout")
+
+
 def vehicle_state_stream(points: DataFrame) -> DataFrame:
     """The vehicle state machine over a stream: state is the stop's position and whether a rental runs.
 

@@ -149,6 +149,18 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     want = sorted((r["event_id"], r["kind"]) for r in rides.vehicle_states(fx.moving(spark, sf_dir)).collect())
     assert sorted((r["event_id"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
+    starts = rides.watches(spark, sf_dir).selectExpr("vehicle", "start AS us", "ride_id", "false AS reserved")
+    both = moving.selectExpr("vehicle", "us", "CAST(NULL AS long) AS ride_id", "reserved").unionByName(starts).selectExpr("*", "timestamp_micros(us) AS ts")
+    for k, part in enumerate((both.where("us < 1704080000000000"), both.where("us >= 1704080000000000"))):
+        part.coalesce(1).write.parquet(str(tmp_path / f"watch/p{k}"))
+    for k in (0, 1):
+        source = spark.readStream.schema(both.schema).parquet(str(tmp_path / "watch/p[0]" if k == 0 else tmp_path / "watch/*"))
+        streams.ride_watch_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "ended")).option("checkpointLocation", str(tmp_path / "check3")).trigger(availableNow=True).start().awaitTermination()
+    ended = {r["ride_id"]: tuple(r) for r in spark.read.parquet(str(tmp_path / "ended")).select("ride_id", "state", "left_us", "back_us").collect()}
+    batch = {r["ride_id"]: tuple(r) for r in catalog.QUERIES["ride_watch"](spark, sf_dir).collect()}
+    assert {i for i, r in batch.items() if r[1] == "resolved"} == {i for i, r in ended.items() if r[1] == "resolved"}
+    assert all(batch[i] == r for i, r in ended.items())
+
     text = fleet.feed_rows(spark, sf_dir).selectExpr("last_updated", "struct(bike_id, lat, lon, vehicle_type_id) AS b").groupBy("last_updated").agg({"b": "collect_list"}).selectExpr("to_json(struct(last_updated, struct(`collect_list(b)` AS bikes) AS data)) AS value")
     text = text.where("get_json_object(value, '$.last_updated') < 1704326400")  # three days, a file each
     text.write.option("maxRecordsPerFile", 1).text(str(tmp_path / "feed"))
