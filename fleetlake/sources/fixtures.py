@@ -78,18 +78,11 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(region_type, region_name, edges)``: one polygon per row, edges of all its rings."""
     n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
 
-    def at(u: Column, v: Column) -> tuple[Column, Column]:
-        x = F.lit(-105.25) + (F.col("k") % 5 + u) * F.lit(0.14) + F.lit(0.00005)
-        y = F.lit(39.58) + (F.floor(F.col("k") / 5) + v) * F.lit(0.068) + F.lit(0.00005)
-        return x, y
-
-    edges = F.lit(None)
-    for s in SHAPES:
-        own = []
-        for _, x1, y1, x2, y2 in (e for e in shape_edges() if e[0] == s):
-            (a, b), (c, d) = at(F.lit(x1), F.lit(y1)), at(F.lit(x2), F.lit(y2))
-            own.append(F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2")))
-        edges = F.when(F.col("k") % 4 == s, F.array(*own).cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")).otherwise(edges)
+    edge = "named_struct('x1', {1}D, 'y1', {2}D, 'x2', {3}D, 'y2', {4}D)"
+    own = ", ".join(f"{s}, array({', '.join(edge.format(*e) for e in shape_edges() if e[0] == s)})" for s in SHAPES)
+    x, y = "-105.25D + (k % 5 + e.{0}) * 0.14D + 0.00005D", "39.58D + (floor(k / 5) + e.{0}) * 0.068D + 0.00005D"
+    placed = ", ".join(f"'{c}', {form.format(c)}" for c, form in (("x1", x), ("y1", y), ("x2", x), ("y2", y)))
+    edges = F.expr(f"transform(element_at(map({own}), k % 4), e -> named_struct({placed}))")
     kinds = F.array_compact(F.array(F.lit("neighborhood"), F.when(F.col("k") % 3 == 0, F.lit("v1")), F.when(F.col("k") % 4 == 0, F.lit("v2")), F.concat(F.lit("er"), (F.col("k") % 6 + 1).cast("string"))))
     return n.select(F.explode(kinds).alias("region_type"), F.concat(F.lit("r"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("region_name"), edges.alias("edges"))
 
