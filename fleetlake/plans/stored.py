@@ -81,7 +81,7 @@ def swap_if_complete(s, d) -> DataFrame:  # noqa: ANN001
 
 def temperatures(s, d) -> DataFrame:  # noqa: ANN001
     """Days of parallel arrays with missing values as rows."""
-    e = F.transform(F.array_sort(F.collect_list(F.struct("hour", F.when(F.col("hour") % 5 != 0, F.col("temp")).alias("temp")))), lambda z: z)
+    e = F.array_sort(F.collect_list(F.struct("hour", F.when(F.col("hour") % 5 != 0, F.col("temp")).alias("temp"))))
     x = fx.hourly_temperature(s, d).groupBy(F.expr("hour div 24").alias("day")).agg(e.alias("e"))
     return io.hourly_from_arrays(x.select(F.col("e.hour").alias("time"), F.col("e.temp").alias("temperature")))
 
