@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +131,25 @@ def reports_stream(s, d) -> DataFrame:  # noqa: ANN001
     return _drained(streams.accepted_reports_stream(_staged(x), 1_800_000_000))
 
 
+def jdbc_scan(s, d) -> DataFrame:  # noqa: ANN001
+    """Points kept in a database table, read back in parallel ranges of the key; the filter goes to the database.
+
+    The database is the one at ``spark.fleetlake.jdbc.url``; where that is unset, a local
+    session takes the in-memory one that comes with Spark, which no other process can reach.
+    """
+    url = s.conf.get("spark.fleetlake.jdbc.url", None)
+    if not url:
+        if not s.sparkContext.master.startswith("local[") and s.sparkContext.master != "local":
+            raise ValueError("set spark.fleetlake.jdbc.url to a database that all executors reach")
+        url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    points, name = fx.points(s, d).select("event_id", "lat", "lon", "range_m"), f"points_{uuid.uuid4().hex}"
+    low, high, parts = *points.agg(F.min("event_id"), F.max("event_id")).first(), s.sparkContext.defaultParallelism
+    points.coalesce(parts).write.format("jdbc").options(url=url, dbtable=name).save()
+    return io.jdbc_scan(s, url, name, "event_id", low or 0, max(high or 0, (low or 0) + 1), parts).where("range_m >= 10000")
+
+
 QUERIES = {
+    "jdbc_scan": jdbc_scan,
     "read_boundaries": read_boundaries,
     "scan_archive_by_name": scan_archive,
     "archive_files_after_cutover": lambda s, d: io.archive_after(s, _archive(s, d), "2024-01-15").groupBy("day").agg(F.count("*").alias("n")),
@@ -145,6 +165,7 @@ QUERIES = {
 }
 
 SQL = {
+    "jdbc_scan": fx.sql("SELECT event_id, lat, lon, range_m FROM points WHERE range_m >= 10000"),
     "read_boundaries": fx.sql("SELECT region_type, region_name, count(*) AS edges, min(x1) AS west, max(x2) AS east, min(y1) AS south, max(y2) AS north FROM edges GROUP BY 1, 2"),
     "scan_archive_by_name": fx.sql("SELECT event_id, lat, lon, CASE WHEN day >= DATE '2024-01-15' THEN range_m END AS range_m FROM points"),
     "archive_files_after_cutover": fx.sql("SELECT day, count(*) AS n FROM points WHERE day > DATE '2024-01-15' GROUP BY 1"),
