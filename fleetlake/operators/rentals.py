@@ -123,6 +123,22 @@ def burn_offsets(s, d) -> DataFrame:  # noqa: ANN001
     return s.createDataFrame(rows, "type_id string, offset double, slope double").select("type_id", F.round("offset", 3).alias("offset"), F.round("slope", 6).alias("slope"))
 
 
+def burn_holdout(rides: DataFrame, hours: int = 72, least: int = 100) -> DataFrame:
+    """Residual spread of the burn line on earlier rides and its mean error on those of the last ``hours``; one row.
+
+    With fewer than ``least`` rides to fit on, both are null.
+    """
+    start = rides.agg((F.max("departed_us") - hours * 3_600_000_000).alias("start"))  # one row
+    x = rides.crossJoin(F.broadcast(start)).withColumn("train", F.col("departed_us") < F.col("start"))
+    line = fit_line(x.where("train"), "burn", "metres")
+    enough = [F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("slope", "intercept")]
+    x = x.crossJoin(F.broadcast(line.select(*enough)))
+    off = F.col("burn") - (F.col("intercept") + F.col("slope") * F.col("metres"))
+    n = F.count_if("train")
+    sigma = F.sqrt(F.sum(F.when(F.col("train"), off * off)) / (n - 2))
+    return x.agg(n.alias("fitted"), F.count_if(~F.col("train")).alias("held_out"), F.round(sigma, 4).alias("sigma"), F.round(F.avg(F.when(~F.col("train"), F.abs(off))), 4).alias("held_out_error"))
+
+
 def burn_estimate(rides: DataFrame, model: DataFrame, band: Column) -> DataFrame:
     """Predicted burn with a band, clamped to 0..100; the model is one row of coefficients."""
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
@@ -168,6 +184,7 @@ QUERIES = {
     "feed_start_asof": lambda s, d: feed_start(s, d),
     "mine_rentals": mine_rentals,
     "fit_burn_model": burn_offsets,
+    "burn_holdout": lambda s, d: burn_holdout(_judged(s, d).where("reason = 'ok'").select("departed_us", "burn", "metres"), hours=1),  # the view's rides span six hours
     "fit_burn_line": lambda s, d: fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"),
     "burn_estimate": lambda s, d: burn_estimate(_judged(s, d).where("reason = 'ok'").select("vehicle", "episode", "metres"), fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"), F.lit(6.0)).select("vehicle", "episode", "burn", "low", "high"),
     "arrival_battery": lambda s, d: burn_estimate(_judged(s, d).where("reason = 'ok'").select("vehicle", "episode", "metres", "pre_range"), fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"), F.lit(6.0)).select("vehicle", "episode", F.round(F.col("pre_range") / 364.0 - F.col("high"), 4).alias("worst"), (F.col("pre_range") / 364.0 - F.col("high") >= 10).alias("enough")),
@@ -242,6 +259,10 @@ SQL = {
     "fit_burn_model": fx.sql(f"""WITH {_PAIRS}, mn AS (SELECT type_id, avg(metres) AS mx, avg(used) AS my FROM pd WHERE metres IS NOT NULL AND used IS NOT NULL GROUP BY 1), sl AS (SELECT sum((metres - mx) * (used - my)) / sum((metres - mx) * (metres - mx)) AS b FROM pd JOIN mn USING (type_id))
       SELECT type_id, round(my - b * mx, 3) AS offset, round(b, 6) AS slope FROM mn, sl"""),
     "fit_burn_line": fx.sql(f"WITH {_JUDGED} {_LINE}"),
+    "burn_holdout": fx.sql(f"""WITH {_JUDGED}, ok AS (SELECT burn, metres, departed_us < max(departed_us) OVER () - 3600000000 AS train FROM jd WHERE reason = 'ok'),
+      line AS (SELECT CASE WHEN count(*) >= 100 THEN round(regr_slope(burn, metres), 6) END AS slope, CASE WHEN count(*) >= 100 THEN round(regr_intercept(burn, metres), 4) END AS intercept FROM ok WHERE train),
+      res AS (SELECT train, burn - (intercept + slope * metres) AS gap FROM ok, line)
+      SELECT count(*) FILTER (WHERE train) AS fitted, count(*) FILTER (WHERE NOT train) AS held_out, round(sqrt(sum(gap * gap) FILTER (WHERE train) / (count(*) FILTER (WHERE train) - 2)), 4) AS sigma, round(avg(abs(gap)) FILTER (WHERE NOT train), 4) AS held_out_error FROM res"""),
     "burn_estimate": fx.sql(f"WITH {_JUDGED} SELECT vehicle, episode, " + ", ".join(f"round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, {_P.format(k)})), 4) AS {a}" for k, a in (("", "burn"), (" - 6.0", "low"), (" + 6.0", "high"))) + f" FROM jd, ({_LINE}) WHERE reason = 'ok'"),
     "arrival_battery": fx.sql(f"WITH {_JUDGED} SELECT vehicle, episode, round(pre_range / 364.0::DOUBLE - high, 4) AS worst, pre_range / 364.0::DOUBLE - high >= 10 AS enough FROM (SELECT *, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, {_P.format(' + 6.0')})), 4) AS high FROM jd, ({_LINE}) WHERE reason = 'ok')"),
 }
