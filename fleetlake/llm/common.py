@@ -52,16 +52,44 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hash_sample(df: DataFrame, id_col: str, bound: int, rows: int) -> DataFrame:
-    """About ``bound`` rows at most, chosen by a hash of ``id_col`` so that reruns agree.
+    """At most ``bound`` rows, chosen by a hash of ``id_col`` so that reruns agree.
 
-    ``rows`` is the row count of ``df``. The expected size is 0.9 * bound, so that the
-    bound holds but for an unlikely excess, which :meth:`limit` then cuts.
+    ``rows`` is the row count of ``df``. The expected size is 0.9 * bound; of an unlikely
+    excess the rows of the least hashes stay.
     """
     if rows <= bound:
         return df
     share = int(0.9 * bound / rows * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < share).limit(bound)
+    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30))
+    return df.where(h < share).orderBy(h, id_col).limit(bound)
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, bound: int) -> DataFrame:
+    """At most ``bound`` different labelled texts: ``(text, y, w)``, where w says how often a row occurs.
+
+    ``docs(doc_id, text)`` meets ``known(doc_id, y)``, of which a hash keeps about ``bound``
+    ids at most. Joined rows can still be many (an id may be repeated over different texts),
+    so equal ones become one weighted row and those of the least hashes stay: the bound holds
+    exactly, and reruns agree.
+    """
+    known = known.select("doc_id", "y").distinct()
+    n = known.count()
+    some = known if n <= bound else known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(0.9 * bound / n * (1 << 30)))
+    rows = cut(docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y", F.xxhash64("doc_id", "text", "y", F.lit(11)).alias("h")))  # about bound ids
+    kinds = rows.groupBy("h").agg(F.count("*").alias("w"))
+    if kinds.count() > bound:
+        kinds = kinds.orderBy("h").limit(bound)
+    first = rows.dropDuplicates(["h"])
+    return cut(first.join(kinds, "h").select("text", F.col("y").cast("int").alias("y"), "w"))
 
 
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -1,93 +1,97 @@
 """Quality by hierarchical empirical Bayes over hosts and paths.
 
-A logistic regression on measures of the whole text gives each document's own evidence (a
-log likelihood ratio). Hosts, and paths within hosts, have rates of good documents: grouped
-sums of known labels and, where there is none, of the classifier's probabilities. A host's
-rate is drawn to the global rate and a path's rate to its host's, each as a Beta posterior
-whose prior strength comes from how much rates differ between groups beyond what their
-sizes explain (method of moments), so sparse sites fall back on what is known above them.
-A document's posterior odds are its path's odds times its own likelihood ratio.
-
-Labels of held-out rows are never used. The classifier is fitted on a bounded hash sample
-of labelled rows (``TRAIN_ROWS``) and has about ten weights.
-
-Defined results: a null or empty text is measured as an empty one; null host and path are
-groups of their own; repeated rows count as often as they occur; without both classes among
-the labels the classifier has no evidence and rates decide; an empty table gives an empty
-result; extra columns are ignored.
+A logistic regression on hashed words, word shapes and repetition of the whole text gives
+each document's own evidence (a log likelihood ratio). Hosts, and paths within hosts, have
+rates of good documents: grouped sums of known labels and, where there is none, of the
+classifier's probabilities. A host's rate is drawn to the global rate and a path's rate to
+its host's, each as a Beta posterior whose prior strength comes from how much rates differ
+between groups beyond what their sizes explain (method of moments), so sparse sites fall
+back on what is known above them. A document's posterior odds are its path's odds times its
+own likelihood ratio; the rates that it meets leave the document itself out, so its evidence
+counts once.
+
+Labels of held-out rows are never used. The classifier is fitted on at most ``TRAIN_ROWS``
+different labelled rows and has ``BUCKETS`` weights; both bounds are fixed, so the model may
+be sent to every task.
+
+Defined results: a null or empty text has the features of an empty one; null host and path
+are groups of their own; repeated rows are rows of their own, each left out of its own rates
+alone; of several labels of one doc_id the largest holds; without both classes among the
+labels the classifier has no evidence and rates decide; a lone document of a host gets the
+global rate; an empty table gives an empty result; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from math import log
+from math import log, sqrt
+from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, table
+from .common import cut, labelled_sample, table
+from .linear import Sparse, fit
 from .toxicity import held_out
 
 TRAIN_ROWS = 8_000
-_TOKEN = re.compile(r"[^\s]+")
-_SYMBOL = re.compile(r"[^\w\s.,;:'\"!?()-]")
-_LOUD = re.compile(r"[!?*#$%&|]{2,}")
-
-
-def measures(text: str | None) -> list[float]:
-    """What the classifier sees of a text."""
-    t = text or ""
-    words, n_chars = _TOKEN.findall(t), max(1, len(t))
-    n = max(1, len(words))
-    letters = sum(map(str.isalpha, t)) if n_chars < 4096 else len(re.findall(r"[^\W\d_]", t))
-    upper = len(re.findall(r"[A-ZÀ-Þ]", t))
-    repeated = sum(a == b for a, b in zip(words, words[1:]))
-    lines = t.split("\n")
-    return [
-        log(1 + len(words)) / 10,
-        upper / max(1, letters),
-        letters / n_chars,
-        len(_SYMBOL.findall(t)) / n,
-        len(_LOUD.findall(t)) / n,
-        repeated / n,
-        1 - len(set(words)) / n,
-        t.count("|") / n,
-        len(set(lines)) / len(lines),
-        sum(w.endswith((".", ",")) for w in words) / n,
-    ]
-
-
-def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """``docs`` columns ``keep`` and ``x``, the measures of ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = [measures(t.as_py()) for t in part.column(len(keep))]
-                yield pa.record_batch([*part.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, x array<double>")
-
-
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 30) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weights and bias on standardised measures (Newton's method), with their means and scales."""
-    mean, scale = x.mean(axis=0), np.maximum(1e-6, x.std(axis=0))
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    w[-1] = log(max(1e-6, y.mean()) / max(1e-6, 1 - y.mean()))
-    ridge = np.diag([*([l2 * len(x)] * x.shape[1]), 1e-9])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (y - p) - ridge @ w)
-        w = w + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
-            break
-    return w[:-1], float(w[-1]), mean, scale
+BUCKETS = 1 << 16
+#: How far a text's evidence may go.
+MOST_EVIDENCE = 12.0
+_RUN = re.compile(r"(.)\1\1+")
+_LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-Þ]+"), re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"\d+")
+_MEMO = 300_000
+
+
+def bucket(feature: str) -> int:
+    """Place of a feature among the weights."""
+    return crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def shape(token: str) -> str:
+    """A token with its letters and digits as classes and runs of equal signs cut to two: Are. is Aa., OF!!! is A!!"""
+    return _RUN.sub(r"\1\1", _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", token[:64]))))
+
+
+class Features:
+    """Features of whole texts; remembers those of tokens up to a bound."""
+
+    def __init__(self) -> None:
+        self._memo: dict[str, tuple[int, int]] = {}
+
+    def token(self, token: str) -> tuple[int, int]:
+        found = self._memo.get(token)
+        if found is None:
+            if len(self._memo) >= _MEMO:
+                self._memo.clear()
+            found = self._memo[token] = (bucket("w" + token.lower()), bucket("s" + shape(token)))
+        return found
+
+    def of(self, text: str | None) -> dict[int, float]:
+        """Value by bucket: each different word by its share of the vector, each shape by its share of the tokens,
+        and the rates of repeated tokens, of different tokens and of different lines, and the length, by steps."""
+        t = text or ""
+        tokens = t.split()
+        counts, n = Counter(tokens), max(1, len(tokens))
+        word = 1 / sqrt(max(1, len(counts)))
+        out: dict[int, float] = {}
+        for token, k in counts.items():
+            w, s = self.token(token)
+            out[w] = word
+            out[s] = out.get(s, 0.0) + 4 * k / n
+        lines = t.split("\n")
+        for name, value in (
+            ("length", log(1 + len(tokens)) / log(4)), ("repeated", 8 * sum(map(eq, tokens, tokens[1:])) / n),
+            ("different", 8 * len(counts) / n), ("lines", 4 * len(set(lines)) / len(lines)),
+        ):
+            out[bucket(f"{name}={int(value)}")] = 1.0
+        return out
 
 
 def strength(groups: DataFrame, above: Column) -> float:
@@ -105,59 +109,71 @@ def strength(groups: DataFrame, above: Column) -> float:
     return float(min(1e4, max(1.0, 1 / max(1e-4, between) - 1)))
 
 
+def train(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, float, float]:
+    """Weights and bias of the text classifier and the share of label 1, from ``known(doc_id, y)``."""
+    rows = labelled_sample(docs, known, TRAIN_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Features()
+        for batch in batches:
+            own = [made.of(t.as_py()) for t in batch.column(0)]
+            yield pa.record_batch([batch.column(1), batch.column(2), pa.array([list(f) for f in own], pa.list_(pa.int32())), pa.array([list(f.values()) for f in own], pa.list_(pa.float32()))], names=["y", "w", "ids", "values"])
+
+    got = rows.mapInArrow(run, "y int, w long, ids array<int>, values array<float>").toArrow()  # TRAIN_ROWS rows at most
+    order = sorted(zip(got.column("y").to_pylist(), got.column("w").to_pylist(), got.column("ids").to_pylist(), got.column("values").to_pylist()))
+    y, w = np.array([r[0] for r in order], float), np.array([r[1] for r in order], float)
+    share = float((w * y).sum() / w.sum()) if len(w) else 0.5
+    if not 0 < share < 1:
+        return np.zeros(BUCKETS), _logit(share), share
+    weights, bias = fit(Sparse([r[2:] for r in order], BUCKETS), y, w, l2=1e-4, steps=250)
+    return weights, bias, share
+
+
+def _logit(p: float) -> float:
+    p = min(1 - 1e-6, max(1e-6, p))
+    return log(p / (1 - p))
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str = "quality") -> DataFrame:
     """``(doc_id, held_out, host, path, evidence, site_rate, score, predicted)`` for every document.
 
     ``evidence`` is the text's log likelihood ratio, ``site_rate`` the shrunken rate of the
-    document's path, ``score`` the posterior probability of label 1.
+    other documents on its path, ``score`` the posterior probability of label 1.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
-    x = cut(measured(base, "doc_id", "host", "path"))
     known = labels.where(~held_out()).where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    x = x.join(known, "doc_id", "left")
-    n = known.count()
-    train = hash_sample(x.where("y is not null"), "doc_id", TRAIN_ROWS, n).select("x", "y").toArrow()  # within the bound
-    y = train.column("y").to_numpy().astype(float)
-    if len(y) and 0 < y.mean() < 1:
-        weights, bias, mean, scale = fit(np.array(train.column("x").to_pylist()), y)
-        prior = float(y.mean())
-    else:
-        weights, bias, mean, scale, prior = np.zeros(10), 0.0, np.zeros(10), np.ones(10), float(y.mean()) if len(y) else 0.5
-        bias = log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    base_odds = log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    factors = weights / scale
-    shift = bias - base_odds - float(factors @ mean)
-    evidence = sum((F.col("x")[k] * float(f) for k, f in enumerate(factors)), F.lit(shift))
-    x = x.select("doc_id", "host", "path", "y", F.greatest(F.lit(-20.0), F.least(F.lit(20.0), evidence)).alias("evidence"))
-    x = x.withColumn("good", F.coalesce(F.col("y").cast("double"), 1 / (1 + F.exp(-(F.col("evidence") + base_odds)))))
-    scored = cut(x)
+    weights, bias, prior = train(base.select("doc_id", "text"), known)
+    odds = _logit(prior)
+    model = spark.sparkContext.broadcast((weights.astype(np.float64).tolist(), bias - odds))  # BUCKETS weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shift = model.value
+        made = Features()
+        for batch in batches:
+            z = [shift + sum(own[k] * v for k, v in made.of(t.as_py()).items()) for t in batch.column(3)]
+            yield pa.record_batch([*batch.columns[:3], pa.array(np.clip(z, -MOST_EVIDENCE, MOST_EVIDENCE), pa.float64())], names=["doc_id", "host", "path", "evidence"])
+
+    x = base.mapInArrow(run, "doc_id long, host string, path string, evidence double").join(known, "doc_id", "left")
+    scored = cut(x.withColumn("good", F.coalesce(F.col("y").cast("double"), 1 / (1 + F.exp(-(F.col("evidence") + odds))))))
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("good").alias("s")))
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     whole = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
     rate = float(whole) if whole is not None else prior
     k_host = strength(hosts, F.lit(rate))
-    hosts = hosts.select(F.col("host").alias("_h"), ((F.col("s") + k_host * rate) / (F.col("n") + k_host)).alias("host_rate"))
-    paths = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("_h"))).drop("_h"))
-    k_path = strength(paths, F.col("host_rate"))
-    paths = paths.select(F.col("host").alias("_h"), F.col("path").alias("_p"), ((F.col("s") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("site_rate"))
-    out = scored.join(paths, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
+    above = hosts.select(F.col("host").alias("_h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    paths = cut(paths.join(above, F.col("host").eqNullSafe(F.col("_h"))).drop("_h"))
+    k_path = strength(paths, (F.col("host_s") + k_host * rate) / (F.col("host_n") + k_host))
+    sites = paths.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "n", "s", "host_n", "host_s")
+    out = scored.join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
+    out = out.withColumn("host_rate", (F.col("host_s") - F.col("good") + k_host * rate) / (F.col("host_n") - 1 + k_host))
+    out = out.withColumn("site_rate", (F.col("s") - F.col("good") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path))
     safe = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("site_rate")))
     score = 1 / (1 + F.exp(-(F.log(safe / (1 - safe)) + F.col("evidence"))))
     out = out.select("doc_id", held_out().alias("held_out"), "host", "path", "evidence", "site_rate", score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def url_host(url: Column) -> Column:
-    """Host of a URL in lower case."""
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-
-
-def url_path(url: Column) -> Column:
-    """First path segment of a URL."""
-    return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: posterior quality of every document; source stands for the host, language for the path."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))

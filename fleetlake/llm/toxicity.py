@@ -1,19 +1,25 @@
 """Counterfactually regularised toxicity classifier.
 
-A logistic regression over the presence of words and word beginnings. Wherever a labelled
-text mentions an identity group, the mention is swapped for another group of its family, and
-training adds a penalty on the squared change of the logit (counterfactual logit pairing).
-Weights of neutral group mentions so shrink to what all groups of a family share, and a
-sentence is not scored higher for whom it mentions.
-
-The model is fitted on a bounded hash sample of labelled rows (``TRAIN_ROWS``) and has at
-most ``FEATURES`` weights; both bounds are fixed, so the model may be sent to every task.
-Scoring reads every whole text.
+A logistic regression over the presence of words and word beginnings. Each labelled text
+brings counterfactual pairs: its mentions of identity groups swapped for the next group of
+their family, and, as few texts mention any, one group put in for another of its family in
+turn. Training adds a penalty on the squared change of the logit over all pairs
+(counterfactual logit pairing). Words and beginnings that only some groups of a family share
+(an insult can begin like a group's name) so lose what tells the groups apart, and a sentence
+is not scored higher for whom it mentions.
+
+The model is fitted on at most ``TRAIN_ROWS`` different labelled rows and has at most
+``FEATURES`` weights and those of the identity terms; both bounds are fixed, so the model may
+be sent to every task. The features are those whose rates differ most between the labels,
+weighed by how often they occur; more of them bring in words of single texts and lower the
+held-out recall (README). Scoring reads every whole text.
 
 Defined results: null and empty texts score like a text without features; labels that are
-null are not learnt from; repeated labelled rows count as often as they occur; without both
-classes among the labels every text scores the share of label 1 (0 for no labels); an empty
-table gives an empty result; extra columns pass through :func:`score`.
+null are not learnt from, and of several labels of one doc_id the largest holds; repeated
+labelled rows count as often as they occur; without both classes among the labels every text
+scores the share of label 1 (0 for no labels); an empty table gives an empty result; extra
+columns pass through :func:`score`, where a column of the new one's name gives way (the
+name is a parameter).
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import exp, fsum
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, hash_sample, table
+from .common import labelled_sample, table
+from .linear import Sparse, fit
 
 TRAIN_ROWS = 8_000
 FEATURES = 1_024
-PENALTY = 4.0
-#: Families of group mentions; within a family each swaps for the next.
+PENALTY = 100.0
+#: Families of group mentions in the corpus's languages; within a family each swaps for the next.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -43,6 +51,12 @@ IDENTITY = (
     ("woman", "man"), ("women", "men"), ("girl", "boy"), ("female", "male"),
     ("immigrant", "refugee", "foreigner", "native"), ("immigrants", "refugees", "foreigners", "natives"),
     ("deaf", "blind", "disabled"), ("old", "young"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"), ("frau", "mann"), ("frauen", "männer"), ("mädchen", "junge"),
+    ("ausländer", "flüchtlinge", "einwanderer", "einheimische"), ("schwule", "lesben"), ("taube", "blinde", "behinderte"), ("alte", "junge"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("femme", "homme"), ("femmes", "hommes"), ("fille", "garçon"),
+    ("immigrés", "réfugiés", "étrangers", "autochtones"), ("noirs", "blancs", "asiatiques"), ("sourds", "aveugles", "handicapés"), ("vieux", "jeunes"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("mujer", "hombre"), ("mujeres", "hombres"), ("niña", "niño"),
+    ("inmigrantes", "refugiados", "extranjeros", "nativos"), ("negros", "blancos", "asiáticos"), ("sordos", "ciegos", "discapacitados"), ("viejos", "jóvenes"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 300_000
@@ -96,27 +110,10 @@ class Model:
         return 1 / (1 + exp(-max(-700.0, min(700.0, self.logit(text)))))
 
 
-def descend(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, penalty: float, l2: float = 2e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss + penalty * mean squared logit change + l2 * |w|^2 (Adam).
-
-    ``pairs`` holds the feature differences of swapped texts, one row each. Classes count alike
-    up to a factor of 4, as label 1 is rare.
-    """
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
-    share = max(1e-6, float(y.mean()))
-    weight = np.where(y == 1, min(4.0, (1 - share) / share), 1.0).astype(np.float32)
-    weight /= weight.sum()
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        error = weight * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
-        gw = x.T @ error + 2 * l2 * w
-        if len(pairs):
-            gw = gw + (2 * penalty / len(pairs)) * (pairs.T @ (pairs @ w))
-        g = np.append(gw, error.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * min(1.0, 2 * (1 - t / (steps + 1))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - move[:-1]).astype(np.float32), b - float(move[-1])
-    return w, b
+def contrasts(families: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
+    """Each term with the next of its family; families come in turn."""
+    pairs = [[(t, f[(k + 1) % len(f)]) for k, t in enumerate(f)] for f in families if len(f) > 1]
+    return [p[k] for k in range(max(map(len, pairs), default=0)) for p in pairs if k < len(p)]
 
 
 def held_out(col: str = "doc_id") -> F.Column:
@@ -124,76 +121,80 @@ def held_out(col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", families: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = PENALTY, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled texts that are not held out."""
-    own = labels.where(~held_out()).where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    n = own.count()
-    sample = cut(hash_sample(own, "doc_id", rows, n))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(sample, "doc_id")
-    texts = cut(texts.select("text", "y"))
-    n_one, n_all = texts.agg(F.sum("y"), F.count("*")).first()
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", families: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = PENALTY, rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
+    """Fit on at most ``rows`` different labelled texts that are not held out."""
+    own = labels.where(~held_out()).where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    texts = labelled_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), own, rows)
+    n_one, n_all = texts.agg(F.sum(F.col("y") * F.col("w")), F.sum("w")).first()
     if not n_all or n_one in (0, n_all):
         rate = (n_one or 0) / n_all if n_all else 0.0
         return Model([], [], float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))))
-    named = {w for family in families for w in family}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for t, y in zip(batch.column(0), batch.column(1)):
-                seen[y.as_py()].update({f for w in set(words(t.as_py())) for f in features_of(w)})
+            for t, y, w in zip(*(c.to_pylist() for c in batch.columns)):
+                for f in {f for w_ in set(words(t)) for f in features_of(w_)}:
+                    seen[y][f] += w
         keys = list(dict.fromkeys([*seen[0], *seen[1]]))
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
             yield pa.record_batch([pa.array(part), *(pa.array([c[f] for f in part], pa.int64()) for c in seen)], names=["f", "n0", "n1"])
 
-    counts = texts.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = texts.select("text", "y", "w").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rate0, rate1 = (F.col("n0") + 0.5) / (n_all - n_one + 1.0), (F.col("n1") + 0.5) / (n_one + 1.0)
     weight = F.abs(F.log(rate1 / rate0)) * F.sqrt(F.least(F.col("n0") + F.col("n1"), F.lit(int(n_one)) * 4))
-    chosen = counts.where(F.col("n0") + F.col("n1") >= 3).orderBy(F.desc(F.col("f").isin(*named)), F.desc(weight), "f").limit(FEATURES)
-    vocabulary = sorted(r["f"] for r in chosen.select("f").collect())
-    blank = Model(vocabulary, [0.0] * len(vocabulary), 0.0)
+    named = {f for family in families for t in family for f in features_of(t)}
+    vocabulary = sorted(named.union(r["f"] for r in counts.orderBy(F.desc(weight), "f").limit(features).select("f").collect()))
+    blank, terms = Model(vocabulary, [0.0] * len(vocabulary), 0.0), contrasts(families)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, swapped = [], []
-            for t in batch.column(0):
-                found = words(t.as_py())
-                other = swap(found, families)
-                ids.append(sorted(blank.ids(found)))
-                swapped.append(None if other is None else sorted(blank.ids(other)))
-            yield pa.record_batch([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], names=["y", "ids", "swapped"])
-
-    got = texts.mapInArrow(indexed, "y int, ids array<int>, swapped array<int>").toArrow()  # within TRAIN_ROWS x FEATURES
-    x, y, pairs = np.zeros((got.num_rows, len(vocabulary)), np.float32), np.zeros(got.num_rows, np.float32), []
-    for k, (one, ids, other) in enumerate(sorted(zip(got.column("y").to_pylist(), got.column("ids").to_pylist(), got.column("swapped").to_pylist()), key=lambda r: (r[0], r[1]))):
-        y[k] = one
-        x[k, ids] = 1
-        if other is not None:
-            change = -x[k].copy()
-            change[other] += 1
-            if change.any():
-                pairs.append(change)
-    w, b = descend(x, y, np.array(pairs, np.float32).reshape(-1, len(vocabulary)), penalty)
-    return Model(vocabulary, w.astype(float).tolist(), b)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score``: the probability of label 1 from the text alone."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
-    at = docs.columns.index("text")
+            ids, changes = [], []
+            for t in batch.column(0).to_pylist():
+                found = words(t)
+                held = blank.ids(found)
+                pairs = [(found, swap(found, families))]
+                if terms:
+                    one, other = terms[crc32((t or "").encode("utf-8", "surrogatepass")) % len(terms)]
+                    pairs.append(([*found, one], [*found, other]))
+                ids.append(sorted(held))
+                changes.append([sorted(blank.ids(a) ^ blank.ids(b)) + [-1] + sorted(blank.ids(b) - blank.ids(a)) for a, b in pairs if b is not None])
+            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(changes, pa.list_(pa.list_(pa.int32())))], names=["y", "w", "ids", "changes"])
+
+    got = texts.select("text", "y", "w").mapInArrow(indexed, "y int, w long, ids array<int>, changes array<array<int>>").toArrow()  # within rows x vocabulary
+    order = sorted(zip(*(got.column(c).to_pylist() for c in ("y", "w", "ids", "changes"))))
+    y, w = np.array([r[0] for r in order], float), np.array([r[1] for r in order], float)
+    share = float((w * y).sum() / w.sum())
+    w = np.where(y == 1, min(4.0, (1 - share) / share), 1.0) * w  # label 1 is rare
+    x = Sparse([(r[2], [1.0] * len(r[2])) for r in order], len(vocabulary))
+    pairs = []
+    for change in (c for r in order for c in r[3]):
+        at = change.index(-1)
+        more = set(change[at + 1 :])
+        if at:
+            pairs.append((change[:at], [1.0 if k in more else -1.0 for k in change[:at]]))
+    weights, bias = fit(x, y, w, Sparse(pairs, len(vocabulary)), penalty)
+    return Model(vocabulary, weights.tolist(), bias)
+
+
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (in place of one so called): the probability of label 1 from the text alone."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights and those of the identity terms
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
+    at = own.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        model_ = held.value
         for batch in batches:
-            yield pa.record_batch([*batch.columns, pa.array([own.score(t.as_py()) for t in batch.column(at)], pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.record_batch([*batch.columns, pa.array([model_.score(t.as_py()) for t in batch.column(at)], pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def predict(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 if the score is at least 0.5)."""
-    return score(docs, train(docs, labels, label)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def predict(docs: DataFrame, labels: DataFrame, label: str = "toxic", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with its score and prediction (1 if the score is at least 0.5) under ``names``."""
+    return score(docs, train(docs, labels, label), names[0]).withColumn(names[1], (F.col(names[0]) >= 0.5).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
