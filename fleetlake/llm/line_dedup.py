@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, free, table
 
 _BLANK = bytes([0x20, *range(0x09, 0x0E)])
 #: Keys that one shard of the index holds on average.
@@ -56,22 +56,23 @@ def hash_keys(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(k) for k in keys]), dtype=_U).reshape(-1, 2)
 
 
-def line_hashes(docs: DataFrame, min_points: int) -> DataFrame:
-    """``(doc_id, h1, h2)``: the distinct line keys of each document."""
+def line_hashes(docs: DataFrame, min_points: int, with_text: bool = False) -> DataFrame:
+    """``(doc_id, h1, h2)``: the distinct line keys of each document; ``with_text`` adds ``th``, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0).cast(pa.int64()), []
+            found = []
             counts = np.zeros(batch.num_rows, np.int64)
-            for k, t in enumerate(batch.column(1).cast(pa.binary())):
+            for k, t in enumerate(batch.column(0).cast(pa.binary())):
                 keys = list(dict.fromkeys(line_keys(t.as_py(), min_points)[2]))
                 counts[k] = len(keys)
                 found += keys
             h = hash_keys(found).view(np.int64)
-            own = ids.take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
-            yield pa.record_batch([own, pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["doc_id", "h1", "h2"])
+            own = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            yield pa.record_batch([*(c.take(own) for c in batch.columns[1:]), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=[*batch.schema.names[1:], "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long")
+    carried = [F.col("doc_id").cast("long").alias("doc_id"), *([F.xxhash64("text").alias("th")] if with_text else [])]
+    return docs.select("text", *carried).mapInArrow(run, f"doc_id long, {'th long, ' if with_text else ''}h1 long, h2 long")
 
 
 def _slots(h1: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -168,19 +169,20 @@ def _probe_all(shards: dict[int, Shard], n_shards: int, h: np.ndarray) -> tuple[
     return counts, last
 
 
-def _rebuild(batch: pa.RecordBatch, schema: pa.Schema, text_at: int, kept: list[bytes], n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
-    cols = [batch.column(k) for k in range(len(schema))]
+def _rebuild(batch: pa.RecordBatch, names: list[str], text_at: int, kept: list[bytes], n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
+    cols = [batch.column(k) for k in range(len(names) - 2)]
     cols[text_at] = pa.array(kept, pa.binary()).cast(pa.string())
-    return pa.record_batch([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*schema.names, "n_lines", "n_dropped"])
+    return pa.record_batch([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=names)
 
 
-def dedup_lines(docs: DataFrame, min_points: int = 20, min_docs: int = 3, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and ``n_lines``, ``n_dropped``.
+def dedup_lines(docs: DataFrame, min_points: int = 20, min_docs: int = 3, broadcast_bytes: int = 32 << 20, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, and two columns ``counts`` (in place of columns so called).
 
     Keys of at least ``min_points`` code points found in at least ``min_docs`` documents
     lose all their lines except in the largest doc_id that holds them.
     """
     spark = docs.sparkSession
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {n.lower() for n in counts}])
     stats = cut(
         line_hashes(docs, min_points).groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= min_docs)
     )
@@ -188,7 +190,7 @@ def dedup_lines(docs: DataFrame, min_points: int = 20, min_docs: int = 3, broadc
     index = cut(build_index(stats, n_shards))
     arrays = ("words", "fingerprints", "counts", "last")
     size = index.agg(F.sum(sum((F.octet_length(c) for c in arrays), F.lit(0)))).first()[0] or 0
-    out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
     names = docs.columns
     text_at, id_at = names.index("text"), names.index("doc_id")
     if size <= broadcast_bytes:
@@ -200,11 +202,11 @@ def dedup_lines(docs: DataFrame, min_points: int = 20, min_docs: int = 3, broadc
                 for start in range(0, batch.num_rows, 512):
                     part = batch.slice(start, 512)
                     split = [line_keys(t.as_py(), min_points) for t in part.column(text_at).cast(pa.binary())]
-                    counts, last = _probe_all(shards, n_shards, hash_keys([k for _, _, keys in split for k in keys]))
+                    held_in, last = _probe_all(shards, n_shards, hash_keys([k for _, _, keys in split for k in keys]))
                     ids = part.column(id_at).cast(pa.int64()).to_pylist()
                     own = np.repeat(np.array([-1 if i is None else i for i in ids], np.int64), [len(at) for _, at, _ in split])
                     no_id = np.repeat(np.array([i is None for i in ids], bool), [len(at) for _, at, _ in split])
-                    drop = (counts >= min_docs) & ((own != last) | no_id)
+                    drop = (held_in >= min_docs) & ((own != last) | no_id)
                     kept, n_lines, n_dropped, k = [], [], [], 0
                     for lines, at, _ in split:
                         gone = {at[j] for j in np.flatnonzero(drop[k : k + len(at)])}
@@ -212,13 +214,15 @@ def dedup_lines(docs: DataFrame, min_points: int = 20, min_docs: int = 3, broadc
                         kept.append(b"\n".join([x for j, x in enumerate(lines) if j not in gone]) if gone else b"\n".join(lines))
                         n_lines.append(len(lines))
                         n_dropped.append(len(gone))
-                    yield _rebuild(part, batch.schema, text_at, kept, n_lines, n_dropped)
+                    yield _rebuild(part, out.names, text_at, kept, n_lines, n_dropped)
 
         return docs.mapInArrow(run, out)
 
-    hits = route(docs, index, n_shards, min_points, min_docs)
-    gone = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left").select(*docs.columns, "_gone")
+    # By id and text: rows without an id, and repeated ids, do not gather in one group.
+    hits = route(docs, index, n_shards, min_points, min_docs).distinct()
+    own, text, pairs_ = free(docs, "_own"), free(docs, "_th"), free(docs, "_gone")
+    gone = hits.groupBy(F.col("doc_id").alias(own), F.col("th").alias(text)).agg(F.collect_list(F.struct("h1", "h2")).alias(pairs_))
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text)), "left").select(*docs.columns, pairs_)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +234,7 @@ def dedup_lines(docs: DataFrame, min_points: int = 20, min_docs: int = 3, broadc
                 kept.append(b"\n".join([x for j, x in enumerate(lines) if j not in gone]))
                 n_lines.append(len(lines))
                 n_dropped.append(len(gone))
-            yield _rebuild(batch, pa.schema([batch.schema.field(k) for k in range(len(names))]), text_at, kept, n_lines, n_dropped)
+            yield _rebuild(batch, out.names, text_at, kept, n_lines, n_dropped)
 
     return joined.mapInArrow(strip, out)
 
@@ -241,18 +245,18 @@ def bytes_or_list(x):
 
 
 def route(docs: DataFrame, index: DataFrame, n_shards: int, min_points: int, min_docs: int, salts: int = 32) -> DataFrame:
-    """``(doc_id, h1, h2)`` of lines to drop, found where the shards are.
+    """``(doc_id, th, h1, h2)`` of lines to drop, found where the shards are; ``th`` is the hash of the text.
 
     Shards are copied once per salt and sort before the lines of their (shard, salt), so a
     task holds one shard's arrays and streams lines past them.
     """
-    lines = line_hashes(docs, min_points).select(
-        F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"),
-        "doc_id", "h1", "h2", *[F.lit(None).cast(t).alias(c) for c, t in (("sizes", "array<long>"), ("words", "binary"), ("fingerprints", "binary"), ("counts", "binary"), ("last", "binary"))],
+    lines = line_hashes(docs, min_points, True).select(
+        F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "th"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"),
+        "doc_id", "th", "h1", "h2", *[F.lit(None).cast(t).alias(c) for c, t in (("sizes", "array<long>"), ("words", "binary"), ("fingerprints", "binary"), ("counts", "binary"), ("last", "binary"))],
     )
     arrays = index.select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"),
-        *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "h1", "h2")], "sizes", "words", "fingerprints", "counts", "last",
+        *[F.lit(None).cast("long").alias(c) for c in ("doc_id", "th", "h1", "h2")], "sizes", "words", "fingerprints", "counts", "last",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,11 +273,11 @@ def route(docs: DataFrame, index: DataFrame, n_shards: int, min_points: int, min
                     continue  # no indexed line has this shard
                 h1, h2 = (np.ascontiguousarray(part.column(c).to_numpy()).view(_U) for c in ("h1", "h2"))
                 counts, last = shard.probe(h1, h2)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                drop = (counts >= min_docs) & ~(ids == last)
-                yield part.select(["doc_id", "h1", "h2"]).filter(pa.array(drop))
+                ids = part.column("doc_id")
+                drop = (counts >= min_docs) & ((ids.fill_null(0).to_numpy() != last) | ids.is_null().to_numpy(zero_copy_only=False))
+                yield part.select(["doc_id", "th", "h1", "h2"]).filter(pa.array(drop))
 
-    return lines.unionByName(arrays).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return lines.unionByName(arrays).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(run, "doc_id long, th long, h1 long, h2 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,11 @@ pairs of a dense group.
 
 Defined results: a null or empty text (or one of white space only) has fingerprint zero and
 is linked like any other; a text of fewer words than ``shingle`` has one shingle, its whole
-word sequence; rows with a null ``doc_id`` get a null component unless linked to a row with
-an id; repeated rows stay and share a component; an empty table gives an empty result; extra
-columns are ignored by :func:`fingerprints`.
+word sequence; rows with a null ``doc_id`` link like any other and join what they link, and get
+a null component only if no row with an id is reachable; repeated rows stay and share a
+component; an empty table gives an empty result; extra columns are ignored by
+:func:`fingerprints`. In :func:`wide_groups` and :func:`similar_groups` texts that occur with
+null ids alone link with nothing and have a null component, so no kept row rests on them.
 """
 
 from __future__ import annotations
@@ -276,9 +278,12 @@ def fingerprint_links(classes: DataFrame, distance: int = 2, chunk: int = 4096)
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
     """One row ``(doc_id, fp, component_id)`` per document; the component is the least doc_id reachable by links."""
     marked = cut(fingerprints(docs, shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    # A fingerprint is its class's node: classes without any id still join others.
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.col("fp")))
     found = connected_components(fingerprint_links(classes, distance))
-    component = classes.join(found, classes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    joined = classes.join(found, classes.fp == found.node, "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root"))
+    named = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    component = joined.join(named, "root").select("fp", "component_id")
     return marked.join(component, "fp", "left").select("doc_id", "fp", "component_id")
 
 
