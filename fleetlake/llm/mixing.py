@@ -137,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: size, target of its source and words taken, for every document."""
     rows = cut(sized(table(spark, sf_dir, "documents")))
-    return copies(rows).select("doc_id", "size", "source_size", "target", "p", (F.col("copies") * F.col("size")).alias("taken"))
+    return copies(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = r"""
@@ -151,9 +151,9 @@ WITH d AS (
   FROM d GROUP BY source
 ), c AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (
-  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER b0 AS at
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level, row_number() OVER b0 AS pos
   FROM c WINDOW b AS (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b0 AS (ORDER BY cap / w, source ASC NULLS LAST)
-), f AS (SELECT (min({'at': at, 'level': level}) FILTER (WHERE level <= cap / w)).level AS final FROM l),
+), f AS (SELECT (min({'pos': pos, 'level': level}) FILTER (WHERE level <= cap / w)).level AS final FROM l),
 t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, w * final) END AS target FROM l, f),
 x AS (
   SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
@@ -172,7 +172,7 @@ x AS (
 ), z AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM z0
 )
-SELECT doc_id, size, source_size, target, p,
+SELECT doc_id, size, source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE size * least(2, sure + CASE WHEN p >= 1 OR upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) END AS taken
 FROM z
 """
