@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
 from ..registry import AWARDS
 from ..sources import fixtures as fx
 from .rollups import top_k
@@ -35,14 +36,14 @@ def leaders(totals: DataFrame, k: int, *by: str) -> DataFrame:
 
 def fold_accepted(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     """``accepted``: rows at least ``gap_us`` after the last accepted one of their key (a fold, as a lag cannot know that)."""
-    seed = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<event_id: long, accepted: boolean>>").alias("out"))
+    n = len(keys)
 
-    def step(acc: Column, e: Column) -> Column:
-        ok = acc["last"].isNull() | (e["us"] - acc["last"] >= gap_us)
-        return F.struct(F.when(ok, e["us"]).otherwise(acc["last"]).alias("last"), F.array_append(acc["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("accepted"))).alias("out"))
+    def step(last: int | None, row: tuple) -> tuple[int, tuple]:
+        us, event_id = row[n], row[n + 1]
+        ok = last is None or us - last >= gap_us
+        return (us if ok else last), (event_id, ok)
 
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("us", "event_id"))).alias("es"))
-    return g.select(F.explode(F.aggregate("es", seed, step)["out"]).alias("o")).select("o.event_id", "o.accepted")
+    return ordered_fold(rows.select(*keys, "us", "event_id"), keys, ["us", "event_id"], step, "event_id long, accepted boolean")
 
 
 def capped_awards(ledger: DataFrame, cap: int = 100) -> DataFrame:
@@ -108,7 +109,7 @@ def _asked(s, d):  # noqa: ANN001, ANN202
 
 
 def _reports_us(s, d):  # noqa: ANN001, ANN202
-    return fx.load(s, d, "events").select("event_id", F.expr("user_id % 40").alias("reporter"), "event_type", fx.micros("ts").alias("us"))
+    return fx.load(s, d, "events").select("event_id", F.col("user_id").alias("reporter"), "event_type", fx.micros("ts").alias("us"))
 
 
 def badges(s, d) -> DataFrame:  # noqa: ANN001
@@ -266,7 +267,7 @@ def regions_desc(s, d) -> DataFrame:  # noqa: ANN001
 _EARN = "SELECT {by} account_id, CAST(sum(points) AS BIGINT) AS points, min(ts) AS first_at FROM user_points WHERE status = 'confirmed' GROUP BY ALL"
 _ELIG = "FROM (" + _EARN + ") e JOIN accounts a USING (account_id) WHERE shows AND display_name IS NOT NULL"
 _CELL = f"SELECT cell, account_id, points, row_number() OVER (PARTITION BY cell ORDER BY points DESC, first_at, account_id) AS place {_ELIG.format(by='cell,')} QUALIFY place <= 3"
-_FOLD = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY us, event_id) AS n FROM (SELECT event_id, user_id % 40 AS reporter, event_type, epoch_us(ts) AS us FROM events {where})),
+_FOLD = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY us, event_id) AS n FROM (SELECT event_id, user_id AS reporter, event_type, epoch_us(ts) AS us FROM events {where})),
   f AS (SELECT {keys}, n, event_id, us AS last, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT {okeys}, o.n, o.event_id, CASE WHEN o.us - f.last >= {gap} THEN o.us ELSE f.last END, o.us - f.last >= {gap} FROM f JOIN o ON {on} AND o.n = f.n + 1) SELECT event_id, accepted FROM f"""
 _STREAK = "SELECT account_id, min(day) AS earned FROM (SELECT *, row_number() OVER (PARTITION BY account_id, island ORDER BY day) AS n FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY account_id ORDER BY day) AS INT) AS island FROM (SELECT DISTINCT account_id, CAST(ts AS DATE) AS day FROM user_points))) WHERE n = 2 GROUP BY 1"
 _CAP = "least(t, 100) - least(t - points, 100)"

@@ -9,6 +9,9 @@ from ..functions import geo
 from ..sources import fixtures as fx
 
 LUT_STEPS = 100
+FULL_METRES = 100 + 327 * (LUT_STEPS - 1)
+# Fixed values of the ride grade: the fleet's failure rate, its weight in rentals, points per unit of rate.
+GRADE_RATE, GRADE_PRIOR, GRADE_SLOPE = 0.085, 20.0, 210.0
 
 
 def soc_lut(spark) -> DataFrame:  # noqa: ANN001
@@ -44,12 +47,12 @@ def cell_ranks(points: DataFrame) -> DataFrame:
     return x
 
 
-def battery_percent(points: DataFrame, lut: DataFrame, types: DataFrame) -> DataFrame:
-    """Charge in percent: exact place in the table, else share of the type's highest range, clamped."""
-    x = points.join(F.broadcast(lut), points.range_m == lut.metres, "left").join(F.broadcast(types.select("type_id", "max_range")), "type_id", "left")
+def battery_percent(points: DataFrame, lut: DataFrame) -> DataFrame:
+    """Charge in percent: exact place in the table, else the share of its last value, clamped; null without a range."""
+    x = points.join(F.broadcast(lut), points.range_m == lut.metres, "left")  # LUT_STEPS rows
     exact = F.round(F.col("soc_rank") * 100.0 / (LUT_STEPS - 1))
-    scaled = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.round(F.col("range_m") * 100.0 / F.col("max_range"))))
-    return x.withColumn("soc", F.coalesce(exact, scaled).cast("long"))
+    scaled = F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.round(F.col("range_m") * 100.0 / FULL_METRES)))
+    return x.withColumn("soc", F.coalesce(exact, F.when(F.col("range_m").isNotNull(), scaled)).cast("long"))
 
 
 def status_of(disabled: str = "is_disabled", reserved: str = "is_reserved") -> Column:
@@ -57,80 +60,50 @@ def status_of(disabled: str = "is_disabled", reserved: str = "is_reserved") -> C
     return F.when(F.coalesce(disabled, F.lit(False)), "disabled").when(F.coalesce(reserved, F.lit(False)), "reserved").otherwise("available")
 
 
-def quality_designation(soc: Column, dwell_h: Column, failed: Column, disabled: Column, outlier: Column) -> Column:
-    """Tier from the charge, lowered by a failed start, a long stay and a stay out of line with peers."""
-    base = F.when(soc >= 75, 3).when(soc >= 50, 2).when(soc >= 25, 1).otherwise(0)
-    steps = F.when(failed, 1).otherwise(0) + F.when(dwell_h >= 24, 2).when(dwell_h >= 12, 1).otherwise(0) + F.when(outlier, 1).otherwise(0)
-    tier = F.element_at(F.array(*map(F.lit, ("poor", "fair", "good", "great"))), F.greatest(F.lit(0), base - steps) + 1)
-    return F.when(disabled | soc.isNull(), "N/A").otherwise(tier)
+def ride_grade(rentals: Column, bad: Column) -> Column:
+    """65 to 100 from a failure rate drawn to the fleet's; null for fewer than five rentals. Rounds half to even."""
+    rate = (F.least(F.greatest(bad, F.lit(0)), rentals) + GRADE_RATE * GRADE_PRIOR) / (rentals + GRADE_PRIOR)
+    return F.when(rentals >= 5, F.bround(F.least(F.lit(100.0), F.greatest(F.lit(65.0), 100.0 - GRADE_SLOPE * rate))).cast("long"))
 
 
-def ride_grade(rentals: Column, bad: Column) -> Column:
-    """65 to 100 from a smoothed failure rate; null for fewer than five rentals. Rounds half to even."""
-    rate = (bad + 1.0) / (rentals + 10.0)
-    return F.when(rentals >= 5, F.bround(F.greatest(F.lit(65.0), 100.0 - rate * 100.0)).cast("long"))
+def _up_to(counts: DataFrame, k: str, by: list[str]) -> DataFrame:
+    """``counts(<by>, hours, n)`` with ``below{k}`` (those not longer), ``n{k}`` and the median ``med{k}`` of each group."""
+    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    x = counts.withColumns({f"below{k}": F.sum("n").over(part.orderBy("hours")), f"n{k}": F.sum("n").over(part)})
+    at = lambda p: F.min(F.when(F.col(f"below{k}") >= p, F.col("hours"))).over(part)
+    return x.withColumn(f"med{k}", (at(F.floor((F.col(f"n{k}") + 1) / 2)) + at(F.floor(F.col(f"n{k}") / 2) + 1)) / 2).drop("n")
 
 
 def dwell_peers(stays: DataFrame, least: int = 5) -> DataFrame:
     """Median stay, share of peers not longer, and outlier flag, from the cell and its ring, then two rings, then the city.
 
-    ``stays(vehicle, q, r, hours)``. Per-cell arrays travel to neighbours, so the join is an
-    equi-join on cells; the city's figures are one row.
+    ``stays(vehicle, q, r, hours)``; a stay without a cell compares with the city. Peers
+    depend on the cell alone, so counts per (cell, hours) travel to the neighbouring cells,
+    and ranks and medians are window sums over them: at most 19 rows per different value of a
+    cell, however many vehicles it holds. The second ring is built for cells that the first
+    leaves short, the city's figures run over different values.
     """
-    cells = stays.groupBy("q", "r").agg(F.collect_list("hours").alias("own"))
-
-    def around(k: int) -> DataFrame:
-        spread = cells.select("own", F.explode(geo.ring(F.struct("q", "r"), k)).alias("to"))
-        return spread.groupBy(F.col("to.q").alias("q"), F.col("to.r").alias("r")).agg(F.sort_array(F.flatten(F.collect_list("own"))).alias(f"peers{k}"))
-
-    x = stays.join(around(1), ["q", "r"]).join(around(2), ["q", "r"])
-    city = stays.agg(F.count("*").alias("n0"), F.expr("median(hours)").alias("median0"))
-    x = x.crossJoin(F.broadcast(city))
-    order = Window.partitionBy(F.lit(0)).orderBy("hours").rangeBetween(Window.unboundedPreceding, 0)
-    rank0 = stays.groupBy("hours").count().select("hours", F.sum("count").over(order).alias("below0"))
-    x = x.join(rank0, "hours")
-
-    def median(a: Column) -> Column:
-        n = F.size(a)
-        return (F.element_at(a, ((n + 1) / 2).cast("int")) + F.element_at(a, (n / 2 + 1).cast("int"))) / 2
-
-    def upto(a: Column) -> Column:
-        return F.size(F.filter(a, lambda h: h <= F.col("hours"))) / F.size(a)
-
-    ring1, ring2 = F.size("peers1") >= least, F.size("peers2") >= least
-    scope = F.when(ring1, 1).when(ring2, 2).when(F.col("n0") >= least, 0)
-    med = F.when(ring1, median(F.col("peers1"))).when(ring2, median(F.col("peers2"))).when(F.col("n0") >= least, F.col("median0"))
-    share = F.when(ring1, upto(F.col("peers1"))).when(ring2, upto(F.col("peers2"))).when(F.col("n0") >= least, F.col("below0") / F.col("n0"))
-    x = x.withColumns({"scope": scope.cast("long"), "median_h": F.round(med, 6), "share": F.round(share, 6)})
-    return x.withColumn("outlier", F.coalesce((F.col("share") >= 0.9) & (F.col("hours") >= 3 * F.col("median_h")) & (F.col("hours") >= 24), F.lit(False)))
+    own = stays.groupBy("q", "r", "hours").agg(F.count("*").alias("n"))
+    cells = own.where("q IS NOT NULL")
 
+    def around(k: int, to: DataFrame) -> DataFrame:
+        spread = cells.select("hours", "n", F.explode(geo.ring(F.struct("q", "r"), k)).alias("to"))
+        spread = spread.select(F.col("to.q").alias("q"), F.col("to.r").alias("r"), "hours", "n").join(to, ["q", "r"], "left_semi")
+        return _up_to(spread.groupBy("q", "r", "hours").agg(F.sum("n").alias("n")), str(k), ["q", "r"])
 
-def _stays(s, d):  # noqa: ANN001, ANN202
-    """Last position of each vehicle and hours since the vehicle before it in time moved (a stand-in for the stop table)."""
-    last = fx.points(s, d).where("lat > 39").groupBy("vehicle").agg(F.max_by(F.struct("lat", "lon", "ts"), F.struct("ts", "event_id")).alias("p"))
-    cell = geo.hex_cell(F.col("p.lat"), F.col("p.lon"), 8)
-    end = fx.micros(F.lit("2024-02-01").cast("timestamp_ntz"))
-    return last.select("vehicle", cell["q"].alias("q0"), cell["r"].alias("r0"), ((end - fx.micros(F.col("p.ts"))) / 3.6e9).alias("hours")).select("vehicle", F.expr("q0 div 8").alias("q"), F.expr("r0 div 8").alias("r"), F.round("hours", 3).alias("hours"))
+    first = around(1, cells.select("q", "r").distinct())
+    second = around(2, first.where(F.col("n1") < least).select("q", "r").distinct())
+    city = _up_to(own.groupBy("hours").agg(F.sum("n").alias("n")), "0", [])
+    x = stays.join(first, ["q", "r", "hours"], "left").join(second, ["q", "r", "hours"], "left").join(city, "hours")
+    ring1, ring2, whole = F.coalesce(F.col("n1") >= least, F.lit(False)), F.coalesce(F.col("n2") >= least, F.lit(False)), F.col("n0") >= least
 
+    def chosen(name: str) -> Column:
+        return F.when(ring1, F.col(f"{name}1")).when(ring2, F.col(f"{name}2")).when(whole, F.col(f"{name}0"))
 
-def has_negative_report(points: DataFrame, reports: DataFrame) -> DataFrame:
-    """``reported``: a report on the same vehicle within the 24 hours before the point (its time included)."""
-    own = reports.select(F.col("vehicle").alias("_v"), F.col("ts").alias("_t"))
-    on = (F.col("vehicle") == F.col("_v")) & (F.col("_t") <= F.col("ts")) & (F.col("_t") > F.col("ts") - F.expr("INTERVAL 24 HOURS"))
-    hit = points.join(own, on).select("event_id").distinct().withColumn("reported", F.lit(True))
-    return points.join(hit, "event_id", "left").withColumn("reported", F.coalesce("reported", F.lit(False)))
-
-
-def daylight_hours(start: Column, end: Column) -> Column:
-    """Hours between two local times that fall in 08:00 to 20:00 of the days they touch."""
-    days = F.sequence(F.to_date(start), F.to_date(end), F.expr("INTERVAL 1 DAY"))
-
-    def one(day: Column) -> Column:
-        base = fx.micros(day.cast("timestamp_ntz"))
-        lo, hi = F.greatest(fx.micros(start), base + F.lit(8 * 3_600_000_000)), F.least(fx.micros(end), base + F.lit(20 * 3_600_000_000))
-        return F.greatest(F.lit(0).cast("long"), hi - lo)
-
-    return F.aggregate(F.transform(days, one), F.lit(0).cast("long"), lambda a, x: a + x) / 3.6e9
+    scope = F.when(ring1, 1).when(ring2, 2).when(whole, 0)
+    x = x.withColumns({"scope": scope.cast("long"), "peers": chosen("n"), "median_h": F.round(chosen("med"), 6), "share": F.round(chosen("below") / chosen("n"), 6)})
+    x = x.withColumn("outlier", F.coalesce((F.col("share") >= 0.9) & (F.col("hours") >= 3 * F.col("median_h")) & (F.col("hours") >= 24), F.lit(False)))
+    return x.select(*stays.columns, "scope", "peers", "median_h", "share", "outlier")
 
 
 def _hmac_plate(plate: Column, key: bytes) -> Column:
@@ -142,7 +115,7 @@ def _hmac_plate(plate: Column, key: bytes) -> Column:
 
 
 _LUT = "(SELECT i AS soc_rank, CAST(100 + 327 * i AS INT) AS metres FROM range(100) t(i))"
-_SOC = f"CAST(coalesce(round(soc_rank * 100.0::DOUBLE / 99), least(100.0, greatest(0.0, round(range_m * 100.0::DOUBLE / max_range)))) AS BIGINT)"
+_SOC = f"CAST(coalesce(round(soc_rank * 100.0::DOUBLE / 99), CASE WHEN range_m IS NOT NULL THEN least(100.0, greatest(0.0, round(range_m * 100.0::DOUBLE / {FULL_METRES}))) END) AS BIGINT)"
 _SOC_FROM = f"typed t LEFT JOIN {_LUT} l ON t.range_m = l.metres"
 
 
@@ -172,7 +145,7 @@ def _typed(s, d):  # noqa: ANN001, ANN202
 
 
 def _soc(s, d):  # noqa: ANN001, ANN202
-    return battery_percent(fx.points(s, d), soc_lut(s), fx.vehicle_types(s))
+    return battery_percent(fx.points(s, d), soc_lut(s))
 
 
 def _plate() -> Column:
@@ -197,19 +170,8 @@ QUERIES = {
     "layer_feature_filter": lambda s, d: fx.load(s, d, "nation").withColumn("prop", F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name"))).where("prop IS NOT NULL").select("n_nationkey", "prop"),
     "status_classify": lambda s, d: fx.points(s, d).groupBy(status_of().alias("state"), F.coalesce(F.nullif(F.trim("type_id"), F.lit("")), F.lit("Unknown")).alias("model")).agg(F.count("*").alias("n")),
     "device_filters": lambda s, d: _typed(s, d).where((status_of() == "available") & (F.col("form_factor") == "scooter") & F.col("lat").between(39.6, 39.8) & F.col("lon").between(-105.1, -104.8) & (F.col("status") == "core")).select("event_id", "device_id"),
-    "optional_field_groups": lambda s, d: fx.points(s, d).select("event_id", geo.hex_name(geo.hex_cell(F.col("lat"), F.col("lon"), 8)).alias("h8")),
     "battery_percent": lambda s, d: _soc(s, d).select("event_id", "soc"),
-    "quality_designation": lambda s, d: _soc(s, d).select("event_id", quality_designation(F.col("soc"), F.col("event_id") % 40, F.col("event_id") % 6 == 0, F.col("is_disabled"), F.col("event_id") % 10 == 0).alias("designation")),
-    "daylight_hours": lambda s, d: fx.load(s, d, "events").select("event_id", F.round(daylight_hours(F.col("ts"), F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 60).cast("int"))), 6).alias("hours")),
-    "reliability_tier": lambda s, d: fx.points(s, d).select("event_id", F.when(F.col("is_disabled"), "high_risk").when(F.col("range_m").isNull(), "unknown").when((F.col("event_id") % 50) > F.least(F.lit(36.0), 16 * ((F.col("event_id") % 7) / 2.0)), "high_risk").otherwise("ok").alias("tier")),
-    "ride_grade": lambda s, d: fx.points(s, d).groupBy("vehicle").agg(F.count_if(F.col("is_reserved")).alias("rentals"), F.count_if(F.col("is_disabled")).alias("bad")).select("vehicle", "rentals", "bad", ride_grade(F.col("rentals"), F.least("bad", "rentals")).alias("grade")),
-    "usable_range": lambda s, d: _soc(s, d).select("event_id", (F.col("soc") * 364).alias("usable_m"), F.when(F.col("soc").isNull(), "unknown").when((F.col("event_id") % 7200) <= 3600, "fresh").otherwise("stale").alias("reading")),
-    "device_card": lambda s, d: has_negative_report(_soc(s, d), fx.device_reports(s, d)).select("event_id", "vehicle", "soc", "reported", status_of().alias("state"), quality_designation(F.col("soc"), F.lit(0), F.col("reported"), F.col("is_disabled"), F.lit(False)).alias("designation")),
-    "points_with_state": lambda s, d: fx.points(s, d).alias("p").join(fx.points(s, d).groupBy("vehicle").agg(F.max("ts").alias("last_ts")), "vehicle", "left").select("event_id", (F.col("ts") == F.col("last_ts")).alias("is_last")),
-    "has_negative_report": lambda s, d: has_negative_report(fx.points(s, d), fx.device_reports(s, d)).select("event_id", "reported"),
-    "dwell_peer_rings": lambda s, d: dwell_peers(_stays(s, d)).select("vehicle", "scope", "median_h", "share", "outlier"),
-    "cell_dwell_mean": lambda s, d: _stays(s, d).groupBy("q", "r").agg(F.count("*").alias("n"), F.round(F.avg("hours"), 6).alias("mean_h")),
-    "dwell_peer_stats": lambda s, d: _stays(s, d).agg(F.count("*").alias("n"), F.round(F.expr("median(hours)"), 6).alias("median_h"), F.round(F.expr("percentile(hours, 0.9)"), 6).alias("p90")),
+    "ride_grade": lambda s, d: fx.points(s, d).groupBy("vehicle").agg(F.count_if(F.col("is_reserved")).alias("rentals"), F.count_if(F.col("is_disabled")).alias("bad")).select("vehicle", "rentals", "bad", ride_grade(F.col("rentals"), F.col("bad")).alias("grade")),
     "rank_tie_top": lambda s, d: range_ranks(fx.points(s, d)).select("event_id", "rank_x", "rank_y"),
     "rank_unique": lambda s, d: range_ranks(fx.points(s, d)).select("event_id", "unique_x", "unique_y"),
     "range_quartile": lambda s, d: range_ranks(fx.points(s, d)).select("event_id", "quartile"),
@@ -218,8 +180,6 @@ QUERIES = {
     "latest_per_key": lambda s, d: fx.points(s, d).groupBy("vehicle").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")),
     "max_range_tracker": lambda s, d: fx.points(s, d).where("range_m IS NOT NULL").groupBy("vehicle").agg(F.max("range_m").alias("best"), F.max_by("ts", F.struct("range_m", -fx.micros("ts"), -F.col("event_id"))).alias("first_at")),
     "max_range_desc": lambda s, d: fx.points(s, d).groupBy("vehicle").agg(F.max("range_m").alias("best")).orderBy(F.desc_nulls_last("best"), "vehicle").limit(10),
-    "devices_feature_collection": lambda s, d: fx.points(s, d).select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("event_id", "vehicle").alias("properties"))).alias("feature")),
-    "cell_aggregates": lambda s, d: cell_aggregates(s, d),
     "model_caps": lambda s, d: fx.points(s, d).groupBy("type_id").agg(F.max("range_m").alias("cap"), F.count("range_m").alias("n")),
     "value_table_stability": lambda s, d: fx.points(s, d).where("range_m IS NOT NULL").groupBy("day").agg(F.count_distinct("range_m").alias("n_values"), F.min("range_m").alias("lo"), F.max("range_m").alias("hi")),
     "pipeline_health": lambda s, d: fx.points(s, d).agg(F.max("ts").alias("last_ingest"), F.max_by("device_id", F.struct("ts", "event_id")).alias("last_device"), F.count("*").alias("n")),
@@ -253,17 +213,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new)
 
 
-def cell_aggregates(s, d) -> DataFrame:  # noqa: ANN001
-    """Per hexagon: devices and mean charge of the last day, trips and their busiest clock hour."""
-    cell = geo.hex_name(geo.hex_cell(F.col("lat"), F.col("lon"), 8)).alias("cell")
-    p = _soc(s, d)
-    p = p.join(F.broadcast(p.agg(F.max("day").alias("_d"))), F.col("day") == F.col("_d"))
-    devices = p.groupBy(cell).agg(F.count_distinct("vehicle").alias("devices"), F.round(F.avg("soc"), 6).alias("mean_soc"))
-    hours = fx.trip_events(s, d).groupBy(cell, F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"))
-    trips = hours.groupBy("cell").agg(F.sum("n").alias("trips"), F.max("n").alias("peak"))
-    return devices.join(trips, "cell", "full").select("cell", F.coalesce("devices", F.lit(0)).alias("devices"), "mean_soc", F.coalesce("trips", F.lit(0)).alias("trips"), F.coalesce("peak", F.lit(0)).alias("peak"))
-
-
 def stale_snapshots(s, d) -> DataFrame:  # noqa: ANN001
     """Days whose signature (distinct device count, or the sum of ids if that is 0) equals the day before's."""
     x = fx.points(s, d).groupBy("day").agg((F.count_distinct("vehicle") % 3).alias("sign"))
@@ -272,13 +221,9 @@ def stale_snapshots(s, d) -> DataFrame:  # noqa: ANN001
 
 
 _PL = "('PL-' || lpad(CAST(user_id AS VARCHAR), 5, '0'))"
-_REPORTED = "EXISTS (SELECT 1 FROM device_reports r WHERE r.vehicle = p.vehicle AND r.ts <= p.ts AND r.ts > p.ts - INTERVAL 24 HOURS)"
-_TIER = "list_extract(['poor', 'fair', 'good', 'great'], greatest(0, CASE WHEN soc >= 75 THEN 3 WHEN soc >= 50 THEN 2 WHEN soc >= 25 THEN 1 ELSE 0 END - ({steps})) + 1)"
 _RANKS = """(SELECT *, count(range_m) OVER (PARTITION BY day, type_id ORDER BY range_m RANGE UNBOUNDED PRECEDING) AS rank_x, count(range_m) OVER (PARTITION BY day, type_id) AS rank_y,
   dense_rank() OVER (PARTITION BY day, type_id ORDER BY range_m) AS unique_x FROM points WHERE range_m IS NOT NULL)"""
 _UNIQ = f"(SELECT *, max(unique_x) OVER (PARTITION BY day, type_id) AS unique_y FROM {_RANKS})"
-_STAYS = f"""stays0 AS (SELECT vehicle, arg_max(lat, {{'a': ts, 'b': event_id}}) AS lat, arg_max(lon, {{'a': ts, 'b': event_id}}) AS lon, max(ts) AS ts FROM points WHERE lat > 39 GROUP BY vehicle),
-  stays AS (SELECT vehicle, {_hex_sql(8, 'q')} // 8 AS q, {_hex_sql(8, 'r')} // 8 AS r, round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9, 3) AS hours FROM stays0)"""
 SQL = {
     "read_feed_snapshot": fx.sql("SELECT CAST(epoch(day) AS BIGINT) AS last_updated, device_id AS bike_id, lat, lon, type_id AS vehicle_type_id FROM points"),
     "vehicle_type_dim": fx.sql("SELECT type_id, form_factor, use_type, max_range FROM (SELECT DISTINCT type_id FROM points) LEFT JOIN vehicle_types USING (type_id)"),
@@ -294,26 +239,8 @@ SQL = {
     "layer_feature_filter": "SELECT n_nationkey, n_name AS prop FROM nation WHERE n_nationkey % 7 <> 0 AND n_name IS NOT NULL",
     "status_classify": fx.sql("SELECT CASE WHEN coalesce(is_disabled, false) THEN 'disabled' WHEN coalesce(is_reserved, false) THEN 'reserved' ELSE 'available' END AS state, type_id AS model, count(*) AS n FROM points GROUP BY 1, 2"),
     "device_filters": fx.sql("SELECT event_id, device_id FROM typed WHERE NOT is_disabled AND coalesce(is_reserved, false) = false AND form_factor = 'scooter' AND lat BETWEEN 39.6::DOUBLE AND 39.8::DOUBLE AND lon BETWEEN -105.1::DOUBLE AND -104.8::DOUBLE AND status = 'core'"),
-    "optional_field_groups": fx.sql(f"SELECT event_id, {hex_sql(8)} AS h8 FROM points"),
     "battery_percent": fx.sql(f"SELECT event_id, {_SOC} AS soc FROM {_SOC_FROM}"),
-    "quality_designation": fx.sql(f"""SELECT event_id, CASE WHEN is_disabled OR soc IS NULL THEN 'N/A' ELSE {_TIER.format(steps="CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 40 >= 24 THEN 2 WHEN event_id % 40 >= 12 THEN 1 ELSE 0 END + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END")} END AS designation
-      FROM (SELECT *, {_SOC} AS soc FROM {_SOC_FROM})"""),
-    "daylight_hours": """SELECT event_id, round(sum(greatest(0, epoch_us(least(e, day + INTERVAL 20 HOURS)) - epoch_us(greatest(ts, day + INTERVAL 8 HOURS)))) / 3.6e9, 6) AS hours FROM
-      (SELECT event_id, ts, ts + to_hours(event_id % 60) AS e, unnest(generate_series(date_trunc('day', ts), date_trunc('day', ts + to_hours(event_id % 60)), INTERVAL 1 DAY)) AS day FROM events) GROUP BY event_id""",
-    "reliability_tier": fx.sql("SELECT event_id, CASE WHEN is_disabled THEN 'high_risk' WHEN range_m IS NULL THEN 'unknown' WHEN event_id % 50 > least(36.0, 16 * ((event_id % 7) / 2.0)) THEN 'high_risk' ELSE 'ok' END AS tier FROM points"),
-    "ride_grade": fx.sql("SELECT vehicle, rentals, bad, CASE WHEN rentals >= 5 THEN CAST(round_even(greatest(65.0::DOUBLE, 100.0::DOUBLE - (least(bad, rentals) + 1.0::DOUBLE) / (rentals + 10.0::DOUBLE) * 100.0::DOUBLE), 0) AS BIGINT) END AS grade FROM (SELECT vehicle, count(*) FILTER (WHERE is_reserved) AS rentals, count(*) FILTER (WHERE is_disabled) AS bad FROM points GROUP BY vehicle)"),
-    "usable_range": fx.sql(f"SELECT event_id, soc * 364 AS usable_m, CASE WHEN soc IS NULL THEN 'unknown' WHEN event_id % 7200 <= 3600 THEN 'fresh' ELSE 'stale' END AS reading FROM (SELECT event_id, {_SOC} AS soc FROM {_SOC_FROM})"),
-    "device_card": fx.sql(f"""SELECT event_id, vehicle, soc, reported, CASE WHEN coalesce(is_disabled, false) THEN 'disabled' WHEN coalesce(is_reserved, false) THEN 'reserved' ELSE 'available' END AS state,
-      CASE WHEN is_disabled OR soc IS NULL THEN 'N/A' ELSE {_TIER.format(steps="CASE WHEN reported THEN 1 ELSE 0 END")} END AS designation FROM (SELECT p.*, {_REPORTED} AS reported FROM (SELECT t.*, {_SOC} AS soc FROM {_SOC_FROM}) p)"""),
-    "points_with_state": fx.sql("SELECT event_id, ts = max(ts) OVER (PARTITION BY vehicle) AS is_last FROM points"),
-    "has_negative_report": fx.sql(f"SELECT event_id, {_REPORTED} AS reported FROM points p"),
-    "dwell_peer_rings": fx.sql(f"""WITH {_STAYS}, peers AS (SELECT a.vehicle, a.hours, b.hours AS h, greatest(abs(a.q - b.q), abs(a.r - b.r), abs(a.q - b.q + a.r - b.r)) AS k FROM stays a, stays b),
-      g AS (SELECT vehicle, hours, count(*) FILTER (WHERE k <= 1) AS n1, count(*) FILTER (WHERE k <= 2) AS n2, count(*) AS n0, median(h) FILTER (WHERE k <= 1) AS m1, median(h) FILTER (WHERE k <= 2) AS m2, median(h) AS m0,
-        count(*) FILTER (WHERE k <= 1 AND h <= hours) AS c1, count(*) FILTER (WHERE k <= 2 AND h <= hours) AS c2, count(*) FILTER (WHERE h <= hours) AS c0 FROM peers GROUP BY vehicle, hours),
-      x AS (SELECT vehicle, hours, CAST(CASE WHEN n1 >= 5 THEN 1 WHEN n2 >= 5 THEN 2 WHEN n0 >= 5 THEN 0 END AS BIGINT) AS scope, round(CASE WHEN n1 >= 5 THEN m1 WHEN n2 >= 5 THEN m2 WHEN n0 >= 5 THEN m0 END, 6) AS median_h, round(CASE WHEN n1 >= 5 THEN c1 / n1 WHEN n2 >= 5 THEN c2 / n2 WHEN n0 >= 5 THEN c0 / n0 END, 6) AS share FROM g)
-      SELECT vehicle, scope, median_h, share, coalesce(share >= 0.9 AND hours >= 3 * median_h AND hours >= 24, false) AS outlier FROM x"""),
-    "cell_dwell_mean": fx.sql(f"WITH {_STAYS} SELECT q, r, count(*) AS n, round(avg(hours), 6) AS mean_h FROM stays GROUP BY 1, 2"),
-    "dwell_peer_stats": fx.sql(f"WITH {_STAYS} SELECT count(*) AS n, round(median(hours), 6) AS median_h, round(quantile_cont(hours, 0.9), 6) AS p90 FROM stays"),
+    "ride_grade": fx.sql("SELECT vehicle, rentals, bad, CASE WHEN rentals >= 5 THEN CAST(round_even(least(100.0::DOUBLE, greatest(65.0::DOUBLE, 100.0::DOUBLE - 210.0::DOUBLE * ((least(bad, rentals) + 0.085::DOUBLE * 20.0::DOUBLE) / (rentals + 20.0::DOUBLE)))), 0) AS BIGINT) END AS grade FROM (SELECT vehicle, count(*) FILTER (WHERE is_reserved) AS rentals, count(*) FILTER (WHERE is_disabled) AS bad FROM points GROUP BY vehicle)"),
     "rank_tie_top": fx.sql(f"SELECT event_id, rank_x, rank_y FROM {_RANKS}"),
     "rank_unique": fx.sql(f"SELECT event_id, unique_x, unique_y FROM {_UNIQ}"),
     "range_quartile": fx.sql(f"SELECT event_id, CAST(CASE WHEN unique_y = 1 THEN 75 ELSE least(3, floor((unique_x - 1) / unique_y * 4)) * 25 END AS BIGINT) AS quartile FROM {_UNIQ}"),
@@ -322,10 +249,6 @@ SQL = {
     "latest_per_key": fx.sql("SELECT vehicle, event_id FROM points QUALIFY row_number() OVER (PARTITION BY vehicle ORDER BY ts DESC, event_id DESC) = 1"),
     "max_range_tracker": fx.sql("SELECT vehicle, range_m AS best, ts AS first_at FROM points WHERE range_m IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vehicle ORDER BY range_m DESC, ts, event_id) = 1"),
     "max_range_desc": fx.sql("SELECT vehicle, max(range_m) AS best FROM points GROUP BY vehicle ORDER BY best DESC NULLS LAST, vehicle LIMIT 10"),
-    "devices_feature_collection": fx.sql("""SELECT '{"type":"Feature","properties":{"event_id":' || event_id || ',"vehicle":"' || vehicle || '"}}' AS feature FROM points"""),
-    "cell_aggregates": fx.sql(f"""WITH dv AS (SELECT {hex_sql(8)} AS cell, count(DISTINCT vehicle) AS devices, round(avg({_SOC}), 6) AS mean_soc FROM {_SOC_FROM} WHERE day = (SELECT max(day) FROM points) GROUP BY 1),
-      hr AS (SELECT {hex_sql(8)} AS cell, date_trunc('hour', ts) AS h, count(*) AS n FROM trip_events GROUP BY 1, 2), tr AS (SELECT cell, CAST(sum(n) AS BIGINT) AS trips, max(n) AS peak FROM hr GROUP BY 1)
-      SELECT cell, coalesce(devices, 0) AS devices, mean_soc, coalesce(trips, 0) AS trips, coalesce(peak, 0) AS peak FROM dv FULL JOIN tr USING (cell)"""),
     "model_caps": fx.sql("SELECT type_id, max(range_m) AS cap, count(range_m) AS n FROM points GROUP BY 1"),
     "value_table_stability": fx.sql("SELECT day, count(DISTINCT range_m) AS n_values, min(range_m) AS lo, max(range_m) AS hi FROM points WHERE range_m IS NOT NULL GROUP BY day"),
     "pipeline_health": fx.sql("SELECT max(ts) AS last_ingest, arg_max(device_id, {'a': ts, 'b': event_id}) AS last_device, count(*) AS n FROM points"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.folds import ordered_fold
 from ..registry import MOVED_METRES
 from ..sources import fixtures as fx
 
@@ -99,17 +100,15 @@ def vehicle_step(state: tuple | None, reserved: bool, lat: float, lon: float) ->
 
 
 def vehicle_states(moving: DataFrame) -> DataFrame:
-    """What happened at each sample: a fold per vehicle in time order."""
+    """What happened at each sample, and where the vehicle stands after it: a fold per vehicle in time order."""
 
-    def fold(pdf):  # noqa: ANN001, ANN202
-        pdf, state, kinds = pdf.sort_values(["us", "event_id"]), None, []
-        for reserved, lat, lon in zip(pdf["reserved"], pdf["lat"], pdf["lon"]):
-            state, kind = vehicle_step(state, bool(reserved), lat, lon)
-            kinds.append(kind)
-        return pdf[["event_id", "vehicle", "us"]].assign(kind=kinds)
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        vehicle, us, event_id, lat, lon, reserved = row
+        state, kind = vehicle_step(state, reserved, lat, lon)
+        return state, (event_id, vehicle, us, kind, state[0], state[1])
 
-    x = moving.select("event_id", "vehicle", "us", "lat", "lon", F.coalesce("is_reserved", F.lit(False)).alias("reserved"))
-    return x.groupBy("vehicle").applyInPandas(fold, "event_id long, vehicle string, us long, kind string")
+    x = moving.select("vehicle", "us", "event_id", "lat", "lon", F.coalesce("is_reserved", F.lit(False)).alias("reserved"))
+    return ordered_fold(x, ["vehicle"], ["us", "event_id"], step, "event_id long, vehicle string, us long, kind string, stop_lat double, stop_lon double")
 
 
 WATCH_US = 3 * 3_600_000_000
@@ -191,7 +190,7 @@ QUERIES = {
     "vehicle_state_machine": lambda s, d: vehicle_states(fx.moving(s, d)).select("event_id", "kind"),
     "trip_events": lambda s, d: vehicle_states(fx.moving(s, d)).where(F.col("kind").isin("trip_end", "moved")).select("event_id", "vehicle", "us"),
     "rental_outcomes": lambda s, d: vehicle_states(fx.moving(s, d)).groupBy("vehicle").agg(F.count_if(F.col("kind").isin("trip_end", "failed_start")).alias("rentals"), F.count_if(F.col("kind") == "failed_start").alias("failed")),
-    "stop_intervals": lambda s, d: stop_intervals(vehicle_states(fx.moving(s, d))),
+    "stop_intervals": lambda s, d: stop_intervals(vehicle_states(fx.moving(s, d))).drop("lat", "lon"),
     "ride_watch": lambda s, d: ride_watch(watches(s, d), fx.moving(s, d).select("vehicle", "us", F.coalesce("is_reserved", F.lit(False)).alias("reserved"))),
     "watch_vs_observed": lambda s, d: watch(s, d),
     "donated_observation": lambda s, d: close_out(fx.rides(s, d), P(s, d)).where("source = 'track' AND metres BETWEEN 500 AND 80000").select("ride_id", "metres"),
@@ -228,7 +227,7 @@ def stop_intervals(states: DataFrame) -> DataFrame:
     """Stops of each vehicle: opened when new or moved, closed by the next opening; failed starts within."""
     w = Window.partitionBy("vehicle").orderBy("us", "event_id")
     x = states.withColumn("stop", F.sum(F.col("kind").isin("new", "moved", "trip_end").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = x.groupBy("vehicle", "stop").agg(F.min("us").alias("arrive"), F.count_if(F.col("kind") == "failed_start").alias("failed"))
+    g = x.groupBy("vehicle", "stop").agg(F.min("us").alias("arrive"), F.count_if(F.col("kind") == "failed_start").alias("failed"), F.min("stop_lat").alias("lat"), F.min("stop_lon").alias("lon"))
     return g.withColumn("depart", F.lead("arrive").over(Window.partitionBy("vehicle").orderBy("stop")))
 
 
@@ -252,11 +251,12 @@ _RS = """SELECT route_id, round(sum(metres * canopy) / nullif(sum(CASE WHEN cano
   round(sum(CASE WHEN bikeway THEN metres ELSE 0 END) / sum(metres), 9) AS network, sum(metres) AS metres FROM route_edges LEFT JOIN ways USING (way_id) GROUP BY 1"""
 _RUN = "SELECT route_id, island, sum(metres) AS metres FROM (SELECT e.*, coalesce(bikeway, false) AS on_net, CAST(sum(CASE WHEN bikeway THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM route_edges e LEFT JOIN ways USING (way_id)) WHERE NOT on_net GROUP BY 1, 2"
 _D = fx.distance_sql("s.lat", "s.lon", "o.lat", "o.lon")
-_VS = f"""vo AS (SELECT *, coalesce(is_reserved, false) AS res, row_number() OVER (PARTITION BY vehicle ORDER BY us, event_id) AS n FROM moving),
+_VS_OF = f"""vo AS (SELECT *, coalesce(is_reserved, false) AS res, row_number() OVER (PARTITION BY vehicle ORDER BY us, event_id) AS n FROM {{view}}),
   vs AS (SELECT vehicle, n, event_id, us, lat, lon, res AS riding, 'new' AS kind FROM vo WHERE n = 1 UNION ALL
     SELECT o.vehicle, o.n, o.event_id, o.us, CASE WHEN NOT o.res AND {_D} > 16 THEN o.lat ELSE s.lat END, CASE WHEN NOT o.res AND {_D} > 16 THEN o.lon ELSE s.lon END, o.res,
       CASE WHEN o.res THEN CASE WHEN s.riding THEN 'in_rental' ELSE 'rental_start' END WHEN s.riding THEN CASE WHEN {_D} > 16 THEN 'trip_end' ELSE 'failed_start' END WHEN {_D} > 16 THEN 'moved' ELSE 'stationary' END
     FROM vs s JOIN vo o ON o.vehicle = s.vehicle AND o.n = s.n + 1)"""
+_VS = _VS_OF.format(view="moving")
 SQL = {
     "leg_distance": fx.sql(f"WITH {_LEGS} SELECT ride_id, seq, round(leg, 6) AS leg FROM lg"),
     "path_length": fx.sql(f"WITH {_PL} SELECT * FROM pl"),

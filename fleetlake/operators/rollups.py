@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import ordered_fold
 from ..registry import LOCAL_ZONE
 from ..sources import fixtures as fx
 
@@ -130,15 +131,13 @@ def rate_window(events: DataFrame, limit: int, window_us: int) -> DataFrame:
     A fold over each key's time-ordered events keeps the times of the accepted ones that are
     still in the window, at most ``limit``.
     """
-    seed = F.struct(F.array().cast("array<long>").alias("held"), F.array().cast("array<long>").alias("over"))
 
-    def step(acc: Column, e: Column) -> Column:
-        live = F.filter(acc["held"], lambda t: t > e["us"] - window_us)
-        full = F.size(live) >= limit
-        return F.struct(F.when(full, live).otherwise(F.array_append(live, e["us"])).alias("held"), F.when(full, F.array_append(acc["over"], e["event_id"])).otherwise(acc["over"]).alias("over"))
+    def step(held: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        key, us, event_id = row
+        live = tuple(t for t in held or () if t > us - window_us)
+        return (live, (key, event_id)) if len(live) >= limit else ((*live, us), None)
 
-    folded = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("us", "event_id"))).alias("es")).select("key", F.aggregate("es", seed, step)["over"].alias("over"))
-    return folded.select("key", F.explode("over").alias("event_id"))
+    return ordered_fold(events.select("key", "us", "event_id"), ["key"], ["us", "event_id"], step, "key long, event_id long")
 
 
 _L = "CAST(timezone('America/Denver', timezone('UTC', {t})) AS DATE)"

@@ -37,7 +37,7 @@ def micros(col: str | Column = "ts") -> Column:
     return F.unix_micros((F.col(col) if isinstance(col, str) else col).cast("timestamp"))
 
 
-def _common(e: DataFrame) -> DataFrame:
+def _common(e: DataFrame, *more: str) -> DataFrame:
     r = F.floor(F.col("value") * 100).cast("int")
     return e.select(
         "event_id", "user_id", F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("vehicle"), "ts",
@@ -45,7 +45,7 @@ def _common(e: DataFrame) -> DataFrame:
         ((F.col("user_id") % 5) + 1).cast("string").alias("type_id"),
         (F.col("event_type") == "error").alias("is_disabled"),
         F.when(F.col("event_type") != "signup", F.col("event_type") == "purchase").alias("is_reserved"),
-        F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 2 == 0, 100 + 327 * F.floor(r / 327).cast("int")).otherwise(r).cast("int").alias("range_m"),
+        F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 2 == 0, 100 + 327 * F.floor(r / 327).cast("int")).otherwise(r).cast("int").alias("range_m"), *more,
     )
 
 
@@ -69,6 +69,16 @@ def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumns({"lat": lat, "lon": lon}).drop("ts", "k")
 
 
+def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples in real time (us) around sixty places, where vehicles stay for about a day; every 17th has no plate."""
+    x = _common(load(spark, sf_dir, "events"), "value")
+    k = F.sum(F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumns({"us": micros("ts"), "k": k, "plate": F.when(F.col("user_id") % 17 != 0, F.concat(F.lit("PL-"), F.lpad(F.col("user_id").cast("string"), 5, "0")))})
+    lat = F.lit(39.6) + ((F.col("user_id") * 7919 + F.col("k") * 131) % 6) * F.lit(0.05) + ((F.col("user_id") * 31 + F.col("k") * 17) % 40) * F.lit(0.0002)
+    lon = F.lit(-105.2) + ((F.col("user_id") * 104729 + F.col("k") * 257) % 10) * F.lit(0.06) + ((F.col("user_id") * 13 + F.col("k") * 7) % 40) * F.lit(0.0002)
+    return x.withColumns({"lat": lat, "lon": lon}).drop("k")
+
+
 def vehicle_types(spark: SparkSession) -> DataFrame:
     """Built-in vehicle types."""
     return spark.createDataFrame(list(VEHICLE_TYPES), "type_id string, form_factor string, use_type string, max_range int")
@@ -204,6 +214,8 @@ VIEWS = {
   CASE WHEN event_id % 97 = 0 THEN 110.0::DOUBLE ELSE -105.25::DOUBLE + ((event_id * 104729) % 7000) / 10000.0::DOUBLE END AS lon FROM events)""",
     "moving": f"""SELECT * EXCLUDE (k), 39.58::DOUBLE + ((user_id * 7919 + k * 131) % 3400) / 10000.0::DOUBLE AS lat, -105.25::DOUBLE + ((user_id * 104729 + k * 257) % 7000) / 10000.0::DOUBLE AS lon
   FROM (SELECT {_EVENT.format(ts="1704067200000000 + (epoch_us(ts) - 1704067200000000) // 120 AS us,")}, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS k FROM events)""",
+    "tracked": f"""SELECT * EXCLUDE (k), 39.6::DOUBLE + ((user_id * 7919 + k * 131) % 6) * 0.05::DOUBLE + ((user_id * 31 + k * 17) % 40) * 0.0002::DOUBLE AS lat, -105.2::DOUBLE + ((user_id * 104729 + k * 257) % 10) * 0.06::DOUBLE + ((user_id * 13 + k * 7) % 40) * 0.0002::DOUBLE AS lon
+  FROM (SELECT {_EVENT.format(ts="ts, epoch_us(ts) AS us, value, CASE WHEN user_id % 17 <> 0 THEN 'PL-' || lpad(CAST(user_id AS VARCHAR), 5, '0') END AS plate,")}, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS k FROM events)""",
     "vehicle_types": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {'NULL' if d is None else d}::INT)" for a, b, c, d in VEHICLE_TYPES) + ") t(type_id, form_factor, use_type, max_range)",
     "edges": f"""SELECT region_type, 'r' || lpad(CAST(k AS VARCHAR), 2, '0') AS region_name,
   -105.25::DOUBLE + (k % 5 + ux1) * 0.14::DOUBLE + 0.00005::DOUBLE AS x1, 39.58::DOUBLE + (k // 5 + uy1) * 0.068::DOUBLE + 0.00005::DOUBLE AS y1,
