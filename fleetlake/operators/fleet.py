@@ -193,7 +193,6 @@ QUERIES = {
     "archive_day_chunks": lambda s, d: fx.load(s, d, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))).alias("day")),
     "retention_prune": lambda s, d: fx.load(s, d, "orders").join(F.broadcast(fx.load(s, d, "orders").agg(F.add_months(F.max("o_orderdate").cast("date"), -18).alias("horizon"))), F.col("o_orderdate").cast("date") >= F.col("horizon")).select("o_orderkey"),
     "minute_coarsen": lambda s, d: fx.load(s, d, "events").select("event_id", (F.floor(fx.micros("ts") / 60_000_000) * 60_000).cast("long").alias("minute_ms")),
-    "deidentify_sweep": lambda s, d: fx.rides(s, d).select("ride_id", F.when(F.col("state") != "F", F.col("account_id")).alias("owner"), (F.col("state") == "F").alias("swept")),
     "catalog_seed": lambda s, d: fx.points(s, d).groupBy("vehicle", "type_id").agg(F.max(F.when(F.col("event_id") % 9 == 0, F.col("is_disabled"))).alias("basket")).select("vehicle", F.coalesce("basket", F.col("type_id").isin("2", "4")).alias("basket")),
     "reclassify_cohort": lambda s, d: fx.points(s, d).join(F.broadcast(fx.load(s, d, "supplier").select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("vehicle"), F.lit(True).alias("hit"))), "vehicle", "left").select("event_id", F.when(F.col("hit") & (F.col("type_id") == "5"), "rover").otherwise(F.col("type_id")).alias("type_id")),
 }
@@ -263,7 +262,6 @@ SQL = {
     "archive_day_chunks": "SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM events",
     "retention_prune": "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(CAST(max(o_orderdate) AS DATE) - INTERVAL 18 MONTHS AS DATE) FROM orders)",
     "minute_coarsen": "SELECT event_id, epoch_us(ts) // 60000000 * 60000 AS minute_ms FROM events",
-    "deidentify_sweep": fx.sql("SELECT ride_id, CASE WHEN state <> 'F' THEN account_id END AS owner, state = 'F' AS swept FROM rides"),
     "catalog_seed": fx.sql("SELECT vehicle, coalesce(max(CASE WHEN event_id % 9 = 0 THEN is_disabled END), type_id IN ('2', '4')) AS basket FROM points GROUP BY vehicle, type_id"),
     "reclassify_cohort": fx.sql("SELECT event_id, CASE WHEN s_suppkey IS NOT NULL AND type_id = '5' THEN 'rover' ELSE type_id END AS type_id FROM points LEFT JOIN supplier ON vehicle = 'v' || s_suppkey"),
 }

@@ -28,33 +28,12 @@ def path_length(points: DataFrame) -> DataFrame:
     return x.groupBy("ride_id").agg(F.count("*").alias("points"), F.round(F.sum(capped), 3).alias("metres"), F.count_if(F.col("leg") > LEG_CAP).alias("dropped"))
 
 
-def close_out(rides: DataFrame, points: DataFrame) -> DataFrame:
-    """Distance and source of finished rides: the track if it has two points, else the claim; clamped, with the amount before."""
-    x = rides.join(path_length(points), "ride_id", "left")
-    source = F.when(F.col("points") >= 2, F.when(F.col("dropped") > 0, "track_partial").otherwise("track")).otherwise("straight_line")
-    raw = F.when(F.col("points") >= 2, F.col("metres")).otherwise(F.col("claimed_m").cast("double"))
-    return x.select("ride_id", source.alias("source"), F.least(F.lit(RIDE_CAP), raw).alias("metres"), F.when(raw > RIDE_CAP, raw).alias("clamped_from"))
-
-
 def plausibility(rides: DataFrame) -> DataFrame:
     """Error code of a claim: too fast, or far beyond its route; null if plausible."""
     bound = F.least(F.greatest(3 * F.col("route_m"), F.col("route_m") + 1000), F.lit(80_000))
     return rides.withColumn("error", F.when(F.col("claimed_m") > 20 * F.col("seconds"), "too_fast").when(F.col("claimed_m") > bound, "too_far"))
 
 
-def track_checks(points: DataFrame, seconds: int = 30) -> DataFrame:
-    """Per ride: the fastest accuracy-adjusted leg, share of fast legs, order of times, verdict and reasons."""
-    w = Window.partitionBy("ride_id").orderBy("seq")
-    x = legs(points).withColumn("t", F.col("seq") * seconds + F.when(F.col("acc") > 75, -2 * seconds).otherwise(0))
-    dt = F.col("t") - F.lag("t").over(w)
-    slack = F.least(F.col("acc"), F.lit(50.0)) + F.least(F.lag("acc").over(w), F.lit(50.0))
-    x = x.withColumns({"dt": dt, "speed": F.when(dt > 0, F.greatest(F.lit(0.0), F.col("leg") - slack) / dt)})
-    g = x.groupBy("ride_id").agg(F.count("*").alias("n"), F.round(F.max("speed"), 6).alias("top"), F.count_if(F.col("speed") > 11).alias("fast"), F.count("speed").alias("timed"), F.coalesce(F.bool_and(F.col("dt") > 0), F.lit(True)).alias("monotonic"), F.round(F.sum(F.coalesce("leg", F.lit(0.0))), 3).alias("metres"))
-    fails = F.array_compact(F.array(F.when(~F.col("monotonic"), "order"), F.when(F.col("top") > 20, "speed"), F.when(F.col("n") < 3, "volume"), F.when(F.col("metres") < 500, "distance")))
-    flag = F.col("fast") > 0.1 * F.col("timed")
-    return g.withColumns({"reasons": F.array_join(fails, ","), "verdict": F.when(F.size(fails) > 0, "rejected").when(flag, "flagged").otherwise("verified")})
-
-
 def downsample(path: Column, most: int) -> Column:
     """At most ``most`` evenly spaced elements of an array, ends included."""
     n = F.size(path)
@@ -149,10 +128,6 @@ def watches(s, d) -> DataFrame:  # noqa: ANN001
 P, E = fx.ride_points, fx.route_edges
 
 
-def _track(s, d, *cols):  # noqa: ANN001, ANN202
-    return track_checks(P(s, d)).select("ride_id", *cols)
-
-
 def route_rerank(s, d) -> DataFrame:  # noqa: ANN001
     """Best route of each group of ten by shade, then length; unmeasured never beats measured."""
     x = route_scores(E(s, d), fx.ways(s, d)).withColumn("g", F.expr("route_id div 10"))
@@ -163,14 +138,10 @@ def route_rerank(s, d) -> DataFrame:  # noqa: ANN001
 QUERIES = {
     "leg_distance": lambda s, d: legs(P(s, d)).select("ride_id", F.col("seq").cast("long").alias("seq"), F.round("leg", 6).alias("leg")),
     "path_length": lambda s, d: path_length(P(s, d)),
-    "close_out_rides": lambda s, d: close_out(fx.rides(s, d), P(s, d)),
     "clamp_ride_distance": lambda s, d: fx.rides(s, d).select("ride_id", F.least("claimed_m", F.lit(80_000)).alias("metres"), F.when(F.col("claimed_m") > 80_000, F.col("claimed_m")).alias("clamped_from")),
     "ride_plausibility": lambda s, d: plausibility(fx.rides(s, d)).select("ride_id", "error"),
     "provisional_validation": lambda s, d: fx.rides(s, d).select("ride_id", F.when(F.col("ride_id") % 3 == 0, "ineligible").when(F.col("state") == "P", "pending_feed").otherwise("pending").alias("validation")),
     "elevation_gain": lambda s, d: elevation_gain(s, d),
-    "sustained_speed_flag": lambda s, d: _track(s, d, "top", "fast"),
-    "monotonic_check": lambda s, d: _track(s, d, "monotonic"),
-    "track_verdict": lambda s, d: _track(s, d, "verdict", "reasons"),
     "downsample_path": lambda s, d: P(s, d).groupBy("ride_id").agg(F.array_sort(F.collect_list(F.col("seq").cast("long"))).alias("path")).select("ride_id", F.array_join(downsample(F.col("path"), 3).cast("array<string>"), ",").alias("path")),
     "flatten_route_legs": lambda s, d: flatten_legs(s, d),
     "edge_attr_join": lambda s, d: E(s, d).join(fx.ways(s, d), "way_id", "left").select("route_id", F.col("seq").cast("long").alias("seq"), "canopy", "bikeway"),
@@ -183,9 +154,7 @@ QUERIES = {
     "ride_export": lambda s, d: P(s, d).groupBy("ride_id").agg(F.count("*").alias("n"), F.min("seq").alias("a")).join(fx.rides(s, d), "ride_id", "right").select("ride_id", F.when(F.col("n") >= 2, "LineString").when(F.col("n") == 1, "Point").alias("geometry"), "claimed_m"),
     "donation_to_ride": lambda s, d: fx.rides(s, d).join(P(s, d).groupBy("ride_id").agg(F.count("*").alias("n")).where("n >= 2"), "ride_id").where("state = 'O'").select("ride_id", "n"),
     "existing_route_semi": lambda s, d: fx.rides(s, d).join(E(s, d).select(F.col("route_id").alias("ride_id")), "ride_id", "left_semi").select("ride_id"),
-    "gbfs_end_match": lambda s, d: gbfs_end_match(s, d),
     "expire_abandoned": lambda s, d: fx.rides(s, d).join(F.broadcast(fx.rides(s, d).agg(F.max("ts").alias("now"))), F.lit(True)).select("ride_id", F.when((F.col("state") == "O") & (F.col("ts") < F.col("now") - F.expr("INTERVAL 24 HOURS")), "expired").otherwise(F.col("state")).alias("state")),
-    "finalize_validation": lambda s, d: plausibility(fx.rides(s, d)).join(_track(s, d, "verdict"), "ride_id", "left").select("ride_id", F.when(F.col("error").isNotNull(), "ineligible").when(F.col("verdict") == "rejected", "ineligible").when(F.col("verdict").isNull(), "pending_feed").otherwise("eligible").alias("validation")),
     "union_all_rides": lambda s, d: fx.rides(s, d).where("state = 'F'").select("ride_id", F.lit("tracked").alias("kind")).unionByName(P(s, d).where("seq = 1").select("ride_id", F.lit("donated").alias("kind"))),
     "vehicle_state_machine": lambda s, d: vehicle_states(fx.moving(s, d)).select("event_id", "kind"),
     "trip_events": lambda s, d: vehicle_states(fx.moving(s, d)).where(F.col("kind").isin("trip_end", "moved")).select("event_id", "vehicle", "us"),
@@ -193,7 +162,6 @@ QUERIES = {
     "stop_intervals": lambda s, d: stop_intervals(vehicle_states(fx.moving(s, d))).drop("lat", "lon"),
     "ride_watch": lambda s, d: ride_watch(watches(s, d), fx.moving(s, d).select("vehicle", "us", F.coalesce("is_reserved", F.lit(False)).alias("reserved"))),
     "watch_vs_observed": lambda s, d: watch(s, d),
-    "donated_observation": lambda s, d: close_out(fx.rides(s, d), P(s, d)).where("source = 'track' AND metres BETWEEN 500 AND 80000").select("ride_id", "metres"),
 }
 
 
@@ -213,16 +181,6 @@ def flatten_legs(s, d) -> DataFrame:  # noqa: ANN001
     return x.select("ride_id", F.col("seq").cast("long").alias("seq"), "k", (F.row_number().over(w) - 1).cast("long").alias("vertex"))
 
 
-def gbfs_end_match(s, d) -> DataFrame:  # noqa: ANN001
-    """Rides whose last point lies within 150 m of the first point of the account's ride before."""
-    ends = P(s, d).groupBy("ride_id").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("z"), F.min_by(F.struct("lat", "lon"), "seq").alias("a"))
-    x = fx.rides(s, d).join(ends, "ride_id")
-    w = Window.partitionBy("account_id").orderBy("ts", "ride_id")
-    x = x.withColumn("b", F.lag("a").over(w))
-    m = geo.metres(F.col("z.lat"), F.col("z.lon"), F.col("b.lat"), F.col("b.lon"))
-    return x.select("ride_id", F.coalesce(m <= 150, F.lit(False)).alias("matches"))
-
-
 def stop_intervals(states: DataFrame) -> DataFrame:
     """Stops of each vehicle: opened when new or moved, closed by the next opening; failed starts within."""
     w = Window.partitionBy("vehicle").orderBy("us", "event_id")
@@ -240,13 +198,7 @@ def watch(s, d) -> DataFrame:  # noqa: ANN001
 
 _LEGS = f"lg AS (SELECT *, {fx.distance_sql('p_lat', 'p_lon', 'lat', 'lon')} AS leg FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM ride_points WINDOW w AS (PARTITION BY ride_id ORDER BY seq)))"
 _PL = f"{_LEGS}, pl AS (SELECT ride_id, count(*) AS points, round(sum(CASE WHEN leg <= 3000 THEN leg ELSE 0 END), 3) AS metres, count(*) FILTER (WHERE leg > 3000) AS dropped FROM lg GROUP BY 1)"
-_CO = f"{_PL}, co AS (SELECT ride_id, CASE WHEN points >= 2 THEN CASE WHEN dropped > 0 THEN 'track_partial' ELSE 'track' END ELSE 'straight_line' END AS source, CASE WHEN points >= 2 THEN metres ELSE CAST(claimed_m AS DOUBLE) END AS raw FROM rides LEFT JOIN pl USING (ride_id))"
 _ERR = "CASE WHEN claimed_m > 20 * seconds THEN 'too_fast' WHEN claimed_m > least(greatest(3 * route_m, route_m + 1000), 80000) THEN 'too_far' END"
-_TC = f"""{_LEGS}, t0 AS (SELECT *, seq * 30 + CASE WHEN acc > 75 THEN -60 ELSE 0 END AS t FROM lg), t1 AS (SELECT *, t - lag(t) OVER w AS dt, least(acc, 50.0) + least(lag(acc) OVER w, 50.0) AS slack, lag(acc) OVER w AS pa FROM t0 WINDOW w AS (PARTITION BY ride_id ORDER BY seq)),
-  t2 AS (SELECT *, CASE WHEN dt > 0 THEN greatest(0.0::DOUBLE, leg - slack) / dt END AS speed FROM t1),
-  tc AS (SELECT ride_id, count(*) AS n, round(max(speed), 6) AS top, count(*) FILTER (WHERE speed > 11) AS fast, count(speed) AS timed, coalesce(bool_and(dt > 0), true) AS monotonic, round(sum(coalesce(leg, 0.0)), 3) AS metres FROM t2 GROUP BY 1),
-  tv AS (SELECT *, concat_ws(',', CASE WHEN NOT monotonic THEN 'order' END, CASE WHEN top > 20 THEN 'speed' END, CASE WHEN n < 3 THEN 'volume' END, CASE WHEN metres < 500 THEN 'distance' END) AS reasons FROM tc),
-  tw AS (SELECT *, CASE WHEN reasons <> '' THEN 'rejected' WHEN fast > 0.1 * timed THEN 'flagged' ELSE 'verified' END AS verdict FROM tv)"""
 _RS = """SELECT route_id, round(sum(metres * canopy) / nullif(sum(CASE WHEN canopy IS NOT NULL THEN metres END), 0), 9) AS canopy, round(sum(CASE WHEN street THEN metres ELSE 0 END) / sum(metres), 9) AS street,
   round(sum(CASE WHEN bikeway THEN metres ELSE 0 END) / sum(metres), 9) AS network, sum(metres) AS metres FROM route_edges LEFT JOIN ways USING (way_id) GROUP BY 1"""
 _RUN = "SELECT route_id, island, sum(metres) AS metres FROM (SELECT e.*, coalesce(bikeway, false) AS on_net, CAST(sum(CASE WHEN bikeway THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM route_edges e LEFT JOIN ways USING (way_id)) WHERE NOT on_net GROUP BY 1, 2"
@@ -260,14 +212,10 @@ _VS = _VS_OF.format(view="moving")
 SQL = {
     "leg_distance": fx.sql(f"WITH {_LEGS} SELECT ride_id, seq, round(leg, 6) AS leg FROM lg"),
     "path_length": fx.sql(f"WITH {_PL} SELECT * FROM pl"),
-    "close_out_rides": fx.sql(f"WITH {_CO} SELECT ride_id, source, least(80000.0::DOUBLE, raw) AS metres, CASE WHEN raw > 80000 THEN raw END AS clamped_from FROM co"),
     "clamp_ride_distance": fx.sql("SELECT ride_id, least(claimed_m, 80000) AS metres, CASE WHEN claimed_m > 80000 THEN claimed_m END AS clamped_from FROM rides"),
     "ride_plausibility": fx.sql(f"SELECT ride_id, {_ERR} AS error FROM rides"),
     "provisional_validation": fx.sql("SELECT ride_id, CASE WHEN ride_id % 3 = 0 THEN 'ineligible' WHEN state = 'P' THEN 'pending_feed' ELSE 'pending' END AS validation FROM rides"),
     "elevation_gain": fx.sql("SELECT ride_id, CASE WHEN count(h) = count(*) THEN coalesce(sum(CASE WHEN seq > 1 THEN greatest(0.0, h - p) END), 0) END AS gain FROM (SELECT *, lag(h) OVER (PARTITION BY ride_id ORDER BY seq) AS p FROM (SELECT *, CASE WHEN acc < 78 THEN acc * 3 + 1600 END AS h FROM ride_points)) GROUP BY 1"),
-    "sustained_speed_flag": fx.sql(f"WITH {_TC} SELECT ride_id, top, fast FROM tc"),
-    "monotonic_check": fx.sql(f"WITH {_TC} SELECT ride_id, monotonic FROM tc"),
-    "track_verdict": fx.sql(f"WITH {_TC} SELECT ride_id, verdict, reasons FROM tw"),
     "downsample_path": fx.sql("WITH x AS (SELECT ride_id, list(seq ORDER BY seq) AS p, count(*) AS n FROM ride_points GROUP BY 1) SELECT ride_id, CASE WHEN n <= 3 THEN array_to_string(p, ',') ELSE p[1] || ',' || p[CAST(round_even((n - 1) / 2.0, 0) AS INT) + 1] || ',' || p[n] END AS path FROM x"),
     "flatten_route_legs": fx.sql("SELECT ride_id, seq, k, row_number() OVER (PARTITION BY ride_id ORDER BY seq, k) - 1 AS vertex FROM ride_points, (VALUES (0), (1)) t(k) WHERE k = 1 OR seq = 1"),
     "edge_attr_join": fx.sql("SELECT route_id, seq, canopy, bikeway FROM route_edges LEFT JOIN ways USING (way_id)"),
@@ -280,10 +228,7 @@ SQL = {
     "ride_export": fx.sql("SELECT r.ride_id, CASE WHEN count(seq) >= 2 THEN 'LineString' WHEN count(seq) = 1 THEN 'Point' END AS geometry, claimed_m FROM rides r LEFT JOIN ride_points p ON p.ride_id = r.ride_id GROUP BY 1, claimed_m"),
     "donation_to_ride": fx.sql("SELECT ride_id, n FROM rides JOIN (SELECT ride_id, count(*) AS n FROM ride_points GROUP BY 1 HAVING count(*) >= 2) USING (ride_id) WHERE state = 'O'"),
     "existing_route_semi": fx.sql("SELECT ride_id FROM rides WHERE ride_id IN (SELECT route_id FROM route_edges)"),
-    "gbfs_end_match": fx.sql(f"""WITH en AS (SELECT ride_id, arg_max(lat, seq) AS zlat, arg_max(lon, seq) AS zlon, arg_min(lat, seq) AS alat, arg_min(lon, seq) AS alon FROM ride_points GROUP BY 1), x AS (SELECT ride_id, zlat, zlon, lag(alat) OVER w AS blat, lag(alon) OVER w AS blon FROM rides JOIN en USING (ride_id) WINDOW w AS (PARTITION BY account_id ORDER BY ts, ride_id))
-      SELECT ride_id, coalesce({fx.distance_sql('zlat', 'zlon', 'blat', 'blon')} <= 150, false) AS matches FROM x"""),
     "expire_abandoned": fx.sql("SELECT ride_id, CASE WHEN state = 'O' AND ts < (SELECT max(ts) - INTERVAL 24 HOURS FROM rides) THEN 'expired' ELSE state END AS state FROM rides"),
-    "finalize_validation": fx.sql(f"WITH {_TC} SELECT ride_id, CASE WHEN {_ERR} IS NOT NULL OR verdict = 'rejected' THEN 'ineligible' WHEN verdict IS NULL THEN 'pending_feed' ELSE 'eligible' END AS validation FROM rides LEFT JOIN tw USING (ride_id)"),
     "union_all_rides": fx.sql("SELECT ride_id, 'tracked' AS kind FROM rides WHERE state = 'F' UNION ALL SELECT ride_id, 'donated' FROM ride_points WHERE seq = 1"),
     "vehicle_state_machine": fx.sql(f"WITH {_VS} SELECT event_id, kind FROM vs"),
     "trip_events": fx.sql(f"WITH {_VS} SELECT event_id, vehicle, us FROM vs WHERE kind IN ('trip_end', 'moved')"),
@@ -296,5 +241,4 @@ SQL = {
       bk AS (SELECT lf.ride_id, lf.start, left_us, min(us) FILTER (WHERE NOT reserved AND us > left_us) AS back_us FROM lf JOIN jn USING (ride_id) GROUP BY 1, 2, 3)
       SELECT ride_id, CASE WHEN back_us IS NOT NULL THEN 'resolved' WHEN (SELECT max(us) FROM moving) > start + 10800000000 THEN 'expired' WHEN left_us IS NOT NULL THEN 'left_feed' ELSE 'watching' END AS state, left_us, back_us FROM bk"""),
     "watch_vs_observed": fx.sql("WITH l AS (SELECT vehicle, arg_max(coalesce(is_reserved, false), {'a': ts, 'b': event_id}) AS r FROM points WHERE day = (SELECT max(day) FROM points) GROUP BY 1) SELECT DISTINCT p.vehicle, CASE WHEN l.vehicle IS NULL OR r THEN 'checked_out' ELSE 'parked' END AS state FROM points p LEFT JOIN l USING (vehicle)"),
-    "donated_observation": fx.sql(f"WITH {_CO} SELECT ride_id, least(80000.0::DOUBLE, raw) AS metres FROM co WHERE source = 'track' AND raw BETWEEN 500 AND 80000"),
 }

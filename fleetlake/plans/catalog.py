@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("..operators.spatial", "..operators.fleet", "..operators.cards", "..operators.rollups", "..operators.rentals", "..operators.rides", "..operators.community", ".stored")
+MODULES = ("..operators.spatial", "..operators.fleet", "..operators.cards", "..operators.rollups", "..operators.rentals", "..operators.rides", "..operators.settle", "..operators.community", ".stored")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -174,6 +174,41 @@ def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("ride_id"), F.col("o_custkey").alias("account_id"), F.col("o_orderdate").alias("ts"), F.floor("o_totalprice").cast("long").alias("claimed_m"), (60 + F.col("o_orderkey") % 7200).alias("seconds"), (F.col("o_orderkey") % 9000).alias("route_m"), F.col("o_orderstatus").alias("state"))
 
 
+def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waypoints of donated tracks: three near each ride point, 150 seconds apart; every tenth ride has none."""
+    p = ride_points(spark, sf_dir).where("ride_id % 10 <> 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    n = F.col("seq") * 3 + F.col("j") - 3
+    late = F.when((F.col("acc") > 78) & (F.col("j") == 1), 300).otherwise(0)
+    issued = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ride_id"), (micros("o_orderdate") + (F.col("o_orderkey") % 86400) * 1_000_000).alias("issued_us"))
+    x = p.withColumn("n", n.cast("long")).join(issued, "ride_id")
+    return x.select("ride_id", "n", (F.col("issued_us") + (F.col("n") * 150 - late) * 1_000_000).alias("us"), (F.col("lat") + F.col("j") * F.lit(0.0002)).alias("lat"), (F.col("lon") + F.col("j") * F.lit(0.0002)).alias("lon"), "acc")
+
+
+def donations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Donated rides: orders, with what rider and feed say of start, end and charge."""
+    o = load(spark, sf_dir, "orders")
+    k, s = F.col("ride_id"), F.lit(1_000_000)
+    p = ride_points(spark, sf_dir).groupBy(F.col("ride_id").alias("_r")).agg(F.min_by(F.struct("lat", "lon"), "seq").alias("a"), F.max_by(F.struct("lat", "lon"), "seq").alias("z"), F.count("*").alias("c"))
+    x = o.select(F.col("o_orderkey").alias("ride_id"), F.col("o_custkey").alias("account_id"), F.concat(F.lit("v"), (F.col("o_custkey") % 1500).cast("string")).alias("vehicle"), (micros("o_orderdate") + (F.col("o_orderkey") % 86400) * 1_000_000).alias("issued_us"))
+    x = x.join(p, F.col("ride_id") == F.col("_r"), "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    last = F.col("issued_us") + (F.col("c") * 3 - 1) * 150 * s
+    x = x.withColumn("ended_us", last + ((k % 40) - 4) * 60 * s)
+    x = x.withColumns({
+        "start_lat": F.col("a.lat") + (k % 16) * F.lit(0.0001), "start_lon": F.col("a.lon"), "end_lat": F.col("z.lat") + (k % 150) * F.lit(0.0003), "end_lon": F.col("z.lon"),
+        "feed_lat": F.when(k % 3 != 0, F.col("a.lat") + (k % 14) * F.lit(0.0001)), "feed_lon": F.when(k % 3 != 0, F.col("a.lon")), "left_us": F.when(k % 7 != 0, F.col("issued_us") + ((k % 25) - 12) * 60 * s),
+        "back_us": F.when(k % 4 != 0, last + ((k % 23) - 11) * 60 * s), "back_lat": F.when(k % 4 != 0, F.col("z.lat") + (k % 17) * F.lit(0.0001)), "back_lon": F.when(k % 4 != 0, F.col("z.lon") + F.lit(0.0004)),
+        "soc_feed": F.when(k % 6 != 0, 40 + k % 60), "soc_start": F.when(k % 5 != 0, 45 + k % 50), "soc_end": F.when(k % 3 == 0, k % 90), "soc_back": F.when(k % 8 != 0, k % 70),
+        "battery": k % 2 == 0, "nav": k % 3 != 0, "own_device": k % 11 == 0,
+    })
+    x = x.withColumn("donated_us", F.col("ended_us") + (k % 41) * 900 * s).withColumn("settled_us", F.when(k % 9 != 0, F.col("donated_us") + (k % 10) * 3600 * s))
+    return x.drop("_r", "a", "z", "c")
+
+
+def mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rentals that were mined from the feed: near the start of every ride."""
+    return donations(spark, sf_dir).select("vehicle", (F.col("issued_us") + ((F.col("ride_id") % 7) - 3) * 600_000_000).alias("departed_us"), (F.col("ride_id") % 50).cast("double").alias("burn"))
+
+
 def hourly_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temperatures: each hour of the compressed range, every 13th missing."""
     b = moving(spark, sf_dir).agg(F.expr("min(us) div 3600000000").alias("lo"), F.expr("max(us) div 3600000000").alias("hi"))
@@ -239,6 +274,17 @@ VIEWS = {
     "requests": "SELECT l_returnflag AS route, l_linestatus AS method, 200 + 100 * (l_linenumber % 4) AS status, CAST(trunc(l_quantity) AS INT) AS ms, l_linenumber % 2 = 0 AS authed, l_shipdate AS ts FROM lineitem",
     "ride_points": "SELECT l_orderkey AS ride_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, 39.58::DOUBLE + (l_partkey * 37 % 340) / 10000.0::DOUBLE AS lat, -105.25::DOUBLE + (l_suppkey * 53 % 350) / 10000.0::DOUBLE AS lon, CAST(l_partkey % 80 AS DOUBLE) AS acc FROM lineitem",
     "rides": "SELECT o_orderkey AS ride_id, o_custkey AS account_id, o_orderdate AS ts, CAST(floor(o_totalprice) AS BIGINT) AS claimed_m, 60 + o_orderkey % 7200 AS seconds, o_orderkey % 9000 AS route_m, o_orderstatus AS state FROM orders",
+    "track_points": """SELECT ride_id, n, issued_us + (n * 150 - CASE WHEN acc > 78 AND j = 1 THEN 300 ELSE 0 END) * 1000000 AS us, lat + j * 0.0002::DOUBLE AS lat, lon + j * 0.0002::DOUBLE AS lon, acc
+  FROM (SELECT *, seq * 3 + j - 3 AS n FROM ride_points, (VALUES (0), (1), (2)) t(j) WHERE ride_id % 10 <> 0) JOIN (SELECT o_orderkey AS ride_id, epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS issued_us FROM orders) USING (ride_id)""",
+    "donations": """SELECT * EXCLUDE (alat, alon, zlat, zlon, last_us), alat + (ride_id % 16) * 0.0001::DOUBLE AS start_lat, alon AS start_lon, zlat + (ride_id % 150) * 0.0003::DOUBLE AS end_lat, zlon AS end_lon,
+    CASE WHEN ride_id % 3 <> 0 THEN alat + (ride_id % 14) * 0.0001::DOUBLE END AS feed_lat, CASE WHEN ride_id % 3 <> 0 THEN alon END AS feed_lon, CASE WHEN ride_id % 7 <> 0 THEN issued_us + ((ride_id % 25) - 12) * 60000000 END AS left_us,
+    CASE WHEN ride_id % 4 <> 0 THEN last_us + ((ride_id % 23) - 11) * 60000000 END AS back_us, CASE WHEN ride_id % 4 <> 0 THEN zlat + (ride_id % 17) * 0.0001::DOUBLE END AS back_lat, CASE WHEN ride_id % 4 <> 0 THEN zlon + 0.0004::DOUBLE END AS back_lon,
+    CASE WHEN ride_id % 6 <> 0 THEN 40 + ride_id % 60 END AS soc_feed, CASE WHEN ride_id % 5 <> 0 THEN 45 + ride_id % 50 END AS soc_start, CASE WHEN ride_id % 3 = 0 THEN ride_id % 90 END AS soc_end, CASE WHEN ride_id % 8 <> 0 THEN ride_id % 70 END AS soc_back,
+    ride_id % 2 = 0 AS battery, ride_id % 3 <> 0 AS nav, ride_id % 11 = 0 AS own_device, ended_us + (ride_id % 41) * 900000000 AS donated_us, CASE WHEN ride_id % 9 <> 0 THEN ended_us + (ride_id % 41) * 900000000 + (ride_id % 10) * 3600000000 END AS settled_us
+  FROM (SELECT *, last_us + ((ride_id % 40) - 4) * 60000000 AS ended_us FROM (SELECT o_orderkey AS ride_id, o_custkey AS account_id, 'v' || (o_custkey % 1500) AS vehicle, epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS issued_us, alat, alon, zlat, zlon,
+    epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 + (coalesce(c, 0) * 3 - 1) * 150000000 AS last_us FROM orders LEFT JOIN
+    (SELECT ride_id AS r, arg_min(lat, seq) AS alat, arg_min(lon, seq) AS alon, arg_max(lat, seq) AS zlat, arg_max(lon, seq) AS zlon, count(*) AS c FROM ride_points GROUP BY 1) ON r = o_orderkey))""",
+    "mined": "SELECT vehicle, issued_us + ((ride_id % 7) - 3) * 600000000 AS departed_us, CAST(ride_id % 50 AS DOUBLE) AS burn FROM donations",
     "hourly_temperature": "SELECT hour, CAST((hour * 37) % 35 - 5 AS DOUBLE) AS temp FROM (SELECT unnest(generate_series(min(us) // 3600000000, max(us) // 3600000000 + 1)) AS hour FROM moving) WHERE hour % 13 <> 0",
     "route_edges": "SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_partkey AS way_id, l_quantity AS metres, l_linenumber % 2 = 0 AS street FROM lineitem",
     "ways": "SELECT p_partkey AS way_id, CASE WHEN p_partkey % 5 > 0 THEN (p_partkey % 100) / 100.0::DOUBLE END AS canopy, p_partkey % 3 = 0 AS bikeway FROM part",
