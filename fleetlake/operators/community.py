@@ -53,16 +53,6 @@ def capped_awards(ledger: DataFrame, cap: int = 100) -> DataFrame:
     return ledger.withColumn("paid", F.least(total, F.lit(cap)) - F.least(total - F.col("points"), F.lit(cap)))
 
 
-def vote(reports: DataFrame, *fields: str) -> DataFrame:
-    """Per vehicle and field the majority of those who did not abstain: more than half, else null."""
-    out = []
-    for f in fields:
-        n, yes = F.count(f), F.count_if(F.col(f))
-        need = F.floor(n / 2) + 1
-        out.append(F.when((n > 0) & (yes >= need), True).when((n > 0) & (n - yes >= need), False).alias(f))
-    return reports.groupBy("vehicle").agg(*out)
-
-
 def streaks(ledger: DataFrame, days: int = 7) -> DataFrame:
     """First day on which an account completes a run of consecutive days."""
     d = ledger.select("account_id", F.col("ts").cast("date").alias("day")).distinct()
@@ -112,14 +102,6 @@ def _reports_us(s, d):  # noqa: ANN001, ANN202
     return fx.load(s, d, "events").select("event_id", F.col("user_id").alias("reporter"), "event_type", fx.micros("ts").alias("us"))
 
 
-def badges(s, d) -> DataFrame:  # noqa: ANN001
-    """All badges with the time each was earned: first and tenth entry, a discount, a streak."""
-    w = Window.partitionBy("account_id").orderBy("ts", "entry_id")
-    nth = U(s, d).withColumn("n", F.row_number().over(w)).where("n IN (1, 10)").select("account_id", F.when(F.col("n") == 1, "first").otherwise("tenth").alias("badge"), F.col("ts").cast("date").alias("day"))
-    discount = fx.discount_reports(s, d).where("cents > 2500").groupBy("account_id").agg(F.min("ts").cast("date").alias("day")).select("account_id", F.lit("discount").alias("badge"), "day")
-    return nth.unionByName(discount).unionByName(streaks(U(s, d), 2).select("account_id", F.lit("streak").alias("badge"), F.col("earned").alias("day")))
-
-
 def report_summary(s, d) -> DataFrame:  # noqa: ANN001
     """Weighted reports (an account counts 2) and half the discounts per region; zero for regions without."""
     from .spatial import points_in_polygons
@@ -138,13 +120,6 @@ def corroboration(s, d) -> DataFrame:  # noqa: ANN001
     return r.join(o, on, "left_semi").select("event_id")
 
 
-def referral_settlement(s, d) -> DataFrame:  # noqa: ANN001
-    """Each referred account's first ride pays its referrer once, and the newcomer unless late."""
-    ref = A(s, d).select(F.col("account_id").alias("referrer"), (F.col("account_id") + 1).alias("account_id"))
-    first = fx.rides(s, d).where("state = 'F'").groupBy("account_id").agg(F.min_by("ride_id", F.struct("ts", "ride_id")).alias("ride_id"), F.min("ts").alias("ts"))
-    return ref.join(first, "account_id").select("referrer", "account_id", "ride_id", F.when(F.col("ts") < F.lit("1996-01-01").cast("timestamp_ntz"), 50).otherwise(0).alias("newcomer"))
-
-
 def universe(s, d) -> DataFrame:  # noqa: ANN001
     """Cells ever seen, by kind of evidence."""
     p = U(s, d).select("cell", F.lit(False).alias("devices"), F.lit(True).alias("points"))
@@ -152,28 +127,6 @@ def universe(s, d) -> DataFrame:  # noqa: ANN001
     return p.unionByName(t).groupBy("cell").agg(F.bool_or("devices").alias("devices"), F.bool_or("points").alias("points"))
 
 
-def consensus_machine(s, d) -> DataFrame:  # noqa: ANN001
-    """Feature state per vehicle after all reports in order: first sets, agreement confirms, three others overturn."""
-    def fold(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        value, confirms, against, changes = None, 0, 0, 0
-        for v in pdf.sort_values(["ts", "event_id"])["basket"]:
-            if v is None or pd.isna(v):
-                continue
-            if value is None:
-                value = bool(v)
-            elif bool(v) == value:
-                confirms, against = confirms + 1, 0
-            else:
-                against += 1
-                if against == 3:
-                    value, against, changes = bool(v), 0, changes + 1
-        return pd.DataFrame([(pdf["vehicle"].iloc[0], value, confirms, changes)], columns=["vehicle", "basket", "confirms", "changes"])
-
-    return fx.feature_reports(s, d).select("vehicle", "ts", "event_id", "basket").groupBy("vehicle").applyInPandas(fold, "vehicle string, basket boolean, confirms long, changes long")
-
-
 QUERIES = {
     "points_balance": lambda s, d: U(s, d).where("status = 'confirmed'").groupBy("account_id").agg(F.sum("points").alias("points")),
     "keyset_page": lambda s, d: U(s, d).where("ts < '1997-01-01'").orderBy(F.desc("ts"), F.desc("entry_id")).limit(20).select("entry_id", "ts"),
@@ -181,16 +134,12 @@ QUERIES = {
     "cell_leaders": lambda s, d: leaders(eligible(earned(U(s, d), "cell"), A(s, d)), 3, "cell").select("cell", "account_id", "points", "place"),
     "podium_per_cell": lambda s, d: leaders(eligible(earned(U(s, d), "cell"), A(s, d)), 3, "cell").groupBy("cell").agg(F.max(F.when(F.col("place") == 1, F.col("account_id"))).alias("gold"), F.count("*").alias("n")),
     "regional_leaders": lambda s, d: leaders(eligible(earned(U(s, d)), A(s, d)), 25).select("account_id", "points", "place"),
-    "leaders_admin": lambda s, d: leaders(earned(U(s, d), "cell"), 1, "cell").groupBy("account_id").agg(F.count("*").alias("led")),
     "universe_outer": lambda s, d: universe(s, d).join(U(s, d).where("ts >= '1997-01-01'").groupBy("cell").agg(F.sum("points").alias("w")), "cell", "full").select("cell", F.coalesce("w", F.lit(0)).alias("points")),
     "cell_universe": universe,
     "union_cells_distinct": lambda s, d: U(s, d).select("cell").union(fx.load(s, d, "events").select((F.col("event_id") % 120).alias("cell"))).distinct(),
     "ride_points_cap": lambda s, d: capped_awards(U(s, d)).select("entry_id", "paid"),
     "points_ledger": lambda s, d: capped_awards(U(s, d).withColumn("_n", F.row_number().over(Window.partitionBy("source_id", "action").orderBy("ts", "entry_id"))).where("_n = 1")).where("paid > 0").select("entry_id", "account_id", "paid"),
-    "cumulative_threshold": lambda s, d: U(s, d).withColumn("c", F.sum("points").over(Window.partitionBy("account_id").orderBy("ts", "entry_id").rowsBetween(Window.unboundedPreceding, 0))).where("c >= 100").groupBy("account_id").agg(F.min_by("entry_id", F.struct("ts", "entry_id")).alias("entry_id")),
-    "streak_islands": lambda s, d: streaks(U(s, d), 2),
     "nth_report": lambda s, d: fx.device_reports(s, d).where("account_id IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("account_id").orderBy("ts", "event_id")).cast("long")).where("n IN (1, 10)").select("account_id", "n", "ts"),
-    "badges": badges,
     "first_scan_award": lambda s, d: top_k(fx.load(s, d, "events").where("event_type = 'view'").select("event_id", "user_id", (F.col("event_id") % 50).alias("v"), "ts"), 1, ["user_id", "v"], F.col("ts"), F.col("event_id")).select("event_id", F.lit(AWARDS["scan"]).alias("points")),
     "photo_award_cap": lambda s, d: top_k(fx.load(s, d, "events").where("event_type = 'click'").select("event_id", (F.col("event_id") % 50).alias("v"), "ts"), 3, ["v"], F.col("ts"), F.col("event_id")).select("event_id", F.lit(AWARDS["photo"]).alias("points")),
     "profile_award_once": lambda s, d: A(s, d).where("display_name IS NOT NULL AND balance > 0").join(U(s, d).where("action = '1-URGENT'").select("account_id").distinct(), "account_id", "left_anti").select("account_id", F.coalesce(F.when(F.col("public"), F.lit("home")), F.lit("work")).alias("place")),
@@ -201,40 +150,15 @@ QUERIES = {
     "reliability_reports_only": lambda s, d: fx.device_reports(s, d).where(~F.col("report_type").isin("parking")).select("event_id", "report_type"),
     "report_summary": report_summary,
     "corroboration": corroboration,
-    "monthly_report_export": lambda s, d: fx.device_reports(s, d).select(F.lit("device").alias("kind"), F.col("event_id").alias("id"), F.col("report_type").alias("detail")).unionByName(fx.discount_reports(s, d).where("ts >= '1996-03-01' AND ts < '1996-04-01'").select(F.lit("discount").alias("kind"), F.col("report_id").alias("id"), F.col("cents").cast("string").alias("detail"))),
-    "report_anchor": lambda s, d: fx.device_reports(s, d).join(fx.points(s, d).where("event_id % 2 = 0").groupBy("vehicle").agg(F.max_by("device_id", F.struct("ts", "event_id")).alias("dev")), "vehicle", "left").select("event_id", F.coalesce("dev", "ip").alias("anchor")),
-    "consensus_vote": lambda s, d: vote(fx.feature_reports(s, d), "basket", "holder"),
-    "feature_consensus_machine": consensus_machine,
     "qr_scan_counts": lambda s, d: fx.feature_reports(s, d).groupBy("vehicle").agg(F.min_by("reporter", F.struct("ts", "event_id")).alias("first"), F.max_by("reporter", F.struct("ts", "event_id")).alias("last"), F.count("*").alias("n")),
     "duplicate_accounts": lambda s, d: top_k(A(s, d).withColumn("e", F.lower(F.trim("email"))), 1, ["e"], F.desc_nulls_last("balance"), F.col("account_id")).select("e", "account_id"),
-    "contact_match": lambda s, d: contact_match(s, d),
-    "display_name_compose": lambda s, d: A(s, d).select("account_id", F.concat_ws(" ", F.when(F.col("public"), F.lit("Rider")), F.initcap("display_name")).alias("name")),
-    "visible_photos": lambda s, d: fx.load(s, d, "events").where("event_type = 'click'").select("event_id", (F.col("user_id") + 1).alias("account_id")).join(A(s, d), "account_id").select("event_id", F.when(F.col("public"), F.col("display_name")).alias("name")),
     "recommend_eligible": lambda s, d: recommend(s, d),
-    "referral_settlement": referral_settlement,
-    "oldest_live_claim": lambda s, d: fx.load(s, d, "events").where("event_type = 'click' AND ts >= '2024-01-15'").groupBy((F.col("event_id") % 50).alias("v")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")),
-    "survey_validate": lambda s, d: fx.load(s, d, "events").select("event_id", F.when(F.size(F.array_except(F.array("event_type"), F.array(*map(F.lit, ("click", "view", "purchase"))))) > 0, "unknown_issue").alias("error")),
-    "survey_awards": lambda s, d: fx.load(s, d, "events").select("event_id", F.explode(F.array_compact(F.array(F.when(F.col("value") > 50, "rating"), F.when(F.length(F.trim("props")) >= 9, "text"), F.when(F.col("event_id") % 3 == 0, "consent")))).alias("award")),
-    "feedback_clean": lambda s, d: fx.load(s, d, "events").select("event_id", F.nullif(F.trim(F.when(F.col("event_id") % 4 == 0, "  ").otherwise(F.col("event_type"))), F.lit("")).alias("answer")).where("answer IS NOT NULL"),
     "equity_estimate": lambda s, d: equity(s, d),
     "random_sample_limit": lambda s, d: top_k(fx.load(s, d, "events").select("event_id", F.col("ts").cast("date").alias("day")), 5, ["day"], F.md5(F.col("event_id").cast("string")), F.col("event_id")).select("day", "event_id"),
     "regions_desc": lambda s, d: regions_desc(s, d),
-    "address_match": lambda s, d: address_match(_asked(s, d), _words(s, d)).select("query_id", "word", F.col("tier").cast("long").alias("tier"), F.col("edits").cast("long").alias("edits")),
-    "address_points_load": lambda s, d: fx.load(s, d, "part").select(F.lower(F.regexp_extract("p_name", r"([A-Za-z]+)$", 1)).alias("street"), (F.col("p_partkey") % 500).alias("number")).where("street <> ''").dropDuplicates().groupBy("street").agg(F.count("*").alias("points")),
 }
 
 
-def contact_match(s, d) -> DataFrame:  # noqa: ANN001
-    """Accounts that share a lower-case mail address, or a nation, with the one before: two equi-joins, united."""
-    c = A(s, d).select("account_id", F.lower("email").alias("mail"))
-    n = fx.load(s, d, "customer").select(F.col("c_custkey").alias("account_id"), F.concat_ws("-", "c_nationkey", "c_mktsegment").alias("phone"))
-    x = c.join(n, "account_id")
-    y = x.select((F.col("account_id") - 1).alias("_a"), F.col("mail").alias("m2"), F.col("phone").alias("p2"), F.col("account_id").alias("other"))
-    by_mail = x.join(y, (F.col("mail") == F.col("m2")) & (F.col("account_id") == F.col("_a")))
-    by_phone = x.join(y, (F.col("phone") == F.col("p2")) & (F.col("account_id") == F.col("_a")))
-    return by_mail.select("account_id", "other").union(by_phone.select("account_id", "other")).distinct()
-
-
 def recommend(s, d) -> DataFrame:  # noqa: ANN001
     """Latest vote of each rider and vehicle where the rider bought on that vehicle in the 24 hours before."""
     e = fx.load(s, d, "events").withColumn("v", F.col("event_id") % 3)
@@ -269,9 +193,7 @@ _ELIG = "FROM (" + _EARN + ") e JOIN accounts a USING (account_id) WHERE shows A
 _CELL = f"SELECT cell, account_id, points, row_number() OVER (PARTITION BY cell ORDER BY points DESC, first_at, account_id) AS place {_ELIG.format(by='cell,')} QUALIFY place <= 3"
 _FOLD = """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY us, event_id) AS n FROM (SELECT event_id, user_id AS reporter, event_type, epoch_us(ts) AS us FROM events {where})),
   f AS (SELECT {keys}, n, event_id, us AS last, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT {okeys}, o.n, o.event_id, CASE WHEN o.us - f.last >= {gap} THEN o.us ELSE f.last END, o.us - f.last >= {gap} FROM f JOIN o ON {on} AND o.n = f.n + 1) SELECT event_id, accepted FROM f"""
-_STREAK = "SELECT account_id, min(day) AS earned FROM (SELECT *, row_number() OVER (PARTITION BY account_id, island ORDER BY day) AS n FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY account_id ORDER BY day) AS INT) AS island FROM (SELECT DISTINCT account_id, CAST(ts AS DATE) AS day FROM user_points))) WHERE n = 2 GROUP BY 1"
 _CAP = "least(t, 100) - least(t - points, 100)"
-_VOTE = "CASE WHEN count({f}) > 0 AND count(*) FILTER (WHERE {f}) >= floor(count({f}) / 2) + 1 THEN true WHEN count({f}) > 0 AND count({f}) - count(*) FILTER (WHERE {f}) >= floor(count({f}) / 2) + 1 THEN false END AS {f}"
 _UNI = "SELECT cell, bool_or(devices) AS devices, bool_or(points) AS points FROM (SELECT cell, false AS devices, true AS points FROM user_points UNION ALL SELECT event_id % 120, true, false FROM events) GROUP BY 1"
 _STREET = "lower(regexp_extract(p_name, '([A-Za-z]+)$', 1))"
 SQL = {
@@ -281,17 +203,12 @@ SQL = {
     "cell_leaders": fx.sql(_CELL),
     "podium_per_cell": fx.sql(f"SELECT cell, max(CASE WHEN place = 1 THEN account_id END) AS gold, count(*) AS n FROM ({_CELL}) GROUP BY 1"),
     "regional_leaders": fx.sql(f"SELECT account_id, points, row_number() OVER (ORDER BY points DESC, first_at, account_id) AS place {_ELIG.format(by='')} QUALIFY place <= 25"),
-    "leaders_admin": fx.sql(f"SELECT account_id, count(*) AS led FROM (SELECT * FROM ({_EARN.format(by='cell,')}) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY points DESC, first_at, account_id) = 1) GROUP BY 1"),
     "universe_outer": fx.sql(f"SELECT cell, coalesce(w, 0) AS points FROM ({_UNI}) FULL JOIN (SELECT cell, CAST(sum(points) AS BIGINT) AS w FROM user_points WHERE ts >= TIMESTAMP '1997-01-01' GROUP BY 1) USING (cell)"),
     "cell_universe": fx.sql(_UNI),
     "union_cells_distinct": fx.sql("SELECT cell FROM user_points UNION SELECT event_id % 120 FROM events"),
     "ride_points_cap": fx.sql(f"SELECT entry_id, {_CAP} AS paid FROM (SELECT *, CAST(sum(points) OVER (PARTITION BY source_id ORDER BY ts, entry_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM user_points)"),
     "points_ledger": fx.sql(f"SELECT entry_id, account_id, {_CAP} AS paid FROM (SELECT *, CAST(sum(points) OVER (PARTITION BY source_id ORDER BY ts, entry_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM (SELECT * FROM user_points QUALIFY row_number() OVER (PARTITION BY source_id, action ORDER BY ts, entry_id) = 1)) WHERE {_CAP} > 0"),
-    "cumulative_threshold": fx.sql("SELECT account_id, arg_min(entry_id, {'a': ts, 'b': entry_id}) AS entry_id FROM (SELECT *, sum(points) OVER (PARTITION BY account_id ORDER BY ts, entry_id ROWS UNBOUNDED PRECEDING) AS c FROM user_points) WHERE c >= 100 GROUP BY 1"),
-    "streak_islands": fx.sql(_STREAK),
     "nth_report": fx.sql("SELECT account_id, n, ts FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts, event_id) AS n FROM device_reports WHERE account_id IS NOT NULL) WHERE n IN (1, 10)"),
-    "badges": fx.sql(f"""SELECT account_id, CASE n WHEN 1 THEN 'first' ELSE 'tenth' END AS badge, CAST(ts AS DATE) AS day FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts, entry_id) AS n FROM user_points) WHERE n IN (1, 10)
-      UNION ALL SELECT account_id, 'discount', CAST(min(ts) AS DATE) FROM discount_reports WHERE cents > 2500 GROUP BY 1 UNION ALL SELECT account_id, 'streak', earned FROM ({_STREAK})"""),
     "first_scan_award": "SELECT event_id, 100 AS points FROM events WHERE event_type = 'view' QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY ts, event_id) = 1",
     "photo_award_cap": "SELECT event_id, 50 AS points FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY event_id % 50 ORDER BY ts, event_id) <= 3",
     "profile_award_once": fx.sql("SELECT account_id, CASE WHEN public THEN 'home' ELSE 'work' END AS place FROM accounts WHERE display_name IS NOT NULL AND balance > 0 AND account_id NOT IN (SELECT account_id FROM user_points WHERE action = '1-URGENT')"),
@@ -304,25 +221,10 @@ SQL = {
       h AS (SELECT k, region_name, any_value(w) AS w, any_value(c) AS c FROM r JOIN edges e ON region_type = 'neighborhood' AND (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)
       SELECT b.region_name, CAST(coalesce(sum(w), 0) AS BIGINT) AS weighted, CAST(coalesce(sum(c), 0) // 2 AS BIGINT) AS overcharge FROM (SELECT DISTINCT region_name FROM edges) b LEFT JOIN h USING (region_name) GROUP BY 1"""),
     "corroboration": fx.sql("SELECT event_id FROM device_reports r WHERE EXISTS (SELECT 1 FROM device_reports o WHERE o.vehicle = r.vehicle AND o.account_id IS DISTINCT FROM r.account_id AND o.ts BETWEEN r.ts - INTERVAL 7 DAYS AND r.ts + INTERVAL 7 DAYS)"),
-    "monthly_report_export": fx.sql("SELECT 'device' AS kind, event_id AS id, report_type AS detail FROM device_reports UNION ALL SELECT 'discount', report_id, CAST(cents AS VARCHAR) FROM discount_reports WHERE ts >= TIMESTAMP '1996-03-01' AND ts < TIMESTAMP '1996-04-01'"),
-    "report_anchor": fx.sql("SELECT event_id, coalesce(dev, ip) AS anchor FROM device_reports LEFT JOIN (SELECT vehicle, arg_max(device_id, {'a': ts, 'b': event_id}) AS dev FROM points WHERE event_id % 2 = 0 GROUP BY 1) USING (vehicle)"),
-    "consensus_vote": fx.sql(f"SELECT vehicle, {_VOTE.format(f='basket')}, {_VOTE.format(f='holder')} FROM feature_reports GROUP BY 1"),
     "qr_scan_counts": fx.sql("SELECT vehicle, arg_min(reporter, {'a': ts, 'b': event_id}) AS first, arg_max(reporter, {'a': ts, 'b': event_id}) AS last, count(*) AS n FROM feature_reports GROUP BY 1"),
     "duplicate_accounts": fx.sql("SELECT lower(trim(email)) AS e, account_id FROM accounts QUALIFY row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY balance DESC NULLS LAST, account_id) = 1"),
-    "contact_match": fx.sql("WITH x AS (SELECT account_id, lower(email) AS mail, c_nationkey || '-' || c_mktsegment AS phone FROM accounts JOIN customer ON c_custkey = account_id) SELECT a.account_id, b.account_id AS other FROM x a JOIN x b ON b.account_id = a.account_id + 1 AND (a.mail = b.mail OR a.phone = b.phone)"),
-    "display_name_compose": fx.sql("SELECT account_id, concat_ws(' ', CASE WHEN public THEN 'Rider' END, upper(left(display_name, 1)) || lower(substr(display_name, 2))) AS name FROM accounts"),
-    "visible_photos": fx.sql("SELECT event_id, CASE WHEN public THEN display_name END AS name FROM events JOIN accounts ON account_id = user_id + 1 WHERE event_type = 'click'"),
     "recommend_eligible": "SELECT user_id, event_id % 3 AS v, arg_max(event_id, {'a': ts, 'b': event_id}) AS event_id FROM events e WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'purchase' AND r.user_id = e.user_id AND r.event_id % 3 = e.event_id % 3 AND r.ts BETWEEN e.ts - INTERVAL 24 HOURS AND e.ts) GROUP BY 1, 2",
-    "referral_settlement": fx.sql("WITH f AS (SELECT account_id, arg_min(ride_id, {'a': ts, 'b': ride_id}) AS ride_id, min(ts) AS ts FROM rides WHERE state = 'F' GROUP BY 1) SELECT a.account_id AS referrer, f.account_id, ride_id, CASE WHEN ts < TIMESTAMP '1996-01-01' THEN 50 ELSE 0 END AS newcomer FROM accounts a JOIN f ON f.account_id = a.account_id + 1"),
-    "oldest_live_claim": "SELECT event_id % 50 AS v, arg_min(event_id, {'a': ts, 'b': event_id}) AS event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-15' GROUP BY 1",
-    "survey_validate": "SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown_issue' END AS error FROM events",
-    "survey_awards": "SELECT event_id, award FROM (SELECT event_id, unnest([CASE WHEN value > 50 THEN 'rating' END, CASE WHEN length(trim(props)) >= 9 THEN 'text' END, CASE WHEN event_id % 3 = 0 THEN 'consent' END]) AS award FROM events) WHERE award IS NOT NULL",
-    "feedback_clean": "SELECT event_id, event_type AS answer FROM events WHERE event_id % 4 <> 0 AND event_type IS NOT NULL",
     "random_sample_limit": "SELECT CAST(ts AS DATE) AS day, event_id FROM events QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) <= 5",
-    "address_match": f"""WITH w AS (SELECT DISTINCT {_STREET} AS word FROM part WHERE {_STREET} <> ''), q AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN {_STREET} WHEN 1 THEN substr({_STREET}, 2) ELSE left({_STREET}, 1) || {_STREET} END AS q FROM part WHERE {_STREET} <> ''),
-      c AS (SELECT query_id, word, CASE WHEN q = word THEN 0 WHEN length(q) >= 3 AND starts_with(word, q) OR (length(q) < 3 AND word = q) THEN 1 ELSE 2 END AS tier, CASE WHEN q = word OR (length(q) >= 3 AND starts_with(word, q)) THEN 0 ELSE levenshtein(q, word) END AS edits FROM q, w)
-      SELECT query_id, word, CAST(tier AS BIGINT) AS tier, CAST(edits AS BIGINT) AS edits FROM c WHERE tier < 2 OR edits BETWEEN 1 AND 2 QUALIFY tier * 10 + edits = min(tier * 10 + edits) OVER (PARTITION BY query_id)""",
-    "address_points_load": f"SELECT street, count(*) AS points FROM (SELECT DISTINCT {_STREET} AS street, p_partkey % 500 AS number FROM part) WHERE street <> '' GROUP BY 1",
 }
 
 
