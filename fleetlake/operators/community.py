@@ -13,6 +13,14 @@ from .rollups import top_k
 U, A = fx.user_points, fx.accounts
 
 
+def keyset_page(rows: DataFrame, size: int, after: DataFrame | None = None) -> DataFrame:
+    """The newest ``size`` rows, or those next to the last row of the page ``after``."""
+    if after is not None:
+        last = F.broadcast(after.agg(F.min(F.struct("ts", "entry_id")).alias("_last")))  # one row
+        rows = rows.crossJoin(last).where(F.struct("ts", "entry_id") < F.col("_last")).drop("_last")
+    return rows.orderBy(F.desc("ts"), F.desc("entry_id")).limit(size)
+
+
 def eligible(totals: DataFrame, accounts: DataFrame) -> DataFrame:
     """Totals joined to accounts that show in leaderboards and have a name."""
     return totals.join(accounts.where("shows AND display_name IS NOT NULL"), "account_id")
@@ -113,10 +121,11 @@ def report_summary(s, d) -> DataFrame:  # noqa: ANN001
 
 
 def corroboration(s, d) -> DataFrame:  # noqa: ANN001
-    """Reports that another reporter (null-safe) made on the same vehicle within seven days."""
-    r = fx.device_reports(s, d)
-    o = r.select(F.col("vehicle").alias("v2"), F.col("ts").alias("t2"), F.col("account_id").alias("a2"))
-    on = (F.col("vehicle") == F.col("v2")) & ~F.col("account_id").eqNullSafe(F.col("a2")) & F.col("t2").between(F.col("ts") - F.expr("INTERVAL 7 DAYS"), F.col("ts") + F.expr("INTERVAL 7 DAYS"))
+    """Reports that another reporter (null-safe) made on the same vehicle within seven days: a join on vehicle and week."""
+    week = lambda shift: F.expr(f"unix_micros(cast(ts as timestamp)) div 604800000000 + {shift}")
+    r = fx.device_reports(s, d).withColumn("week", week(0))
+    o = r.select(F.col("vehicle").alias("v2"), F.col("ts").alias("t2"), F.col("account_id").alias("a2"), F.explode(F.array(week(-1), week(0), week(1))).alias("w2"))
+    on = (F.col("vehicle") == F.col("v2")) & (F.col("week") == F.col("w2")) & ~F.col("account_id").eqNullSafe(F.col("a2")) & F.col("t2").between(F.col("ts") - F.expr("INTERVAL 7 DAYS"), F.col("ts") + F.expr("INTERVAL 7 DAYS"))
     return r.join(o, on, "left_semi").select("event_id")
 
 
@@ -129,7 +138,7 @@ def universe(s, d) -> DataFrame:  # noqa: ANN001
 
 QUERIES = {
     "points_balance": lambda s, d: U(s, d).where("status = 'confirmed'").groupBy("account_id").agg(F.sum("points").alias("points")),
-    "keyset_page": lambda s, d: U(s, d).where("ts < '1997-01-01'").orderBy(F.desc("ts"), F.desc("entry_id")).limit(20).select("entry_id", "ts"),
+    "keyset_page": lambda s, d: keyset_page(U(s, d), 20, keyset_page(U(s, d), 20)).select("entry_id", "ts"),
     "privacy_filter_join": lambda s, d: eligible(earned(U(s, d), *[]), A(s, d)).select("account_id", "points", F.when(F.col("public"), F.col("display_name")).alias("name")),
     "cell_leaders": lambda s, d: leaders(eligible(earned(U(s, d), "cell"), A(s, d)), 3, "cell").select("cell", "account_id", "points", "place"),
     "podium_per_cell": lambda s, d: leaders(eligible(earned(U(s, d), "cell"), A(s, d)), 3, "cell").groupBy("cell").agg(F.max(F.when(F.col("place") == 1, F.col("account_id"))).alias("gold"), F.count("*").alias("n")),
@@ -160,11 +169,11 @@ QUERIES = {
 
 
 def recommend(s, d) -> DataFrame:  # noqa: ANN001
-    """Latest vote of each rider and vehicle where the rider bought on that vehicle in the 24 hours before."""
-    e = fx.load(s, d, "events").withColumn("v", F.col("event_id") % 3)
-    votes = e.where("event_type = 'view'").select("event_id", "user_id", "v", "ts")
-    r = e.where("event_type = 'purchase'").select(F.col("user_id").alias("u2"), F.col("v").alias("v2"), F.col("ts").alias("t2"))
-    ok = votes.join(r, (F.col("user_id") == F.col("u2")) & (F.col("v") == F.col("v2")) & F.col("t2").between(F.col("ts") - F.expr("INTERVAL 24 HOURS"), F.col("ts")), "left_semi")
+    """Latest vote of each rider and vehicle where the rider bought on that vehicle in the 24 hours before: each vote looks back to the last purchase by a window."""
+    e = fx.load(s, d, "events").withColumn("v", F.col("event_id") % 3).where("event_type IN ('view', 'purchase')")
+    w = Window.partitionBy("user_id", "v").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    x = e.withColumn("bought", F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).over(w))
+    ok = x.where("event_type = 'view' AND bought >= ts - INTERVAL 24 HOURS")
     return ok.groupBy("user_id", "v").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
@@ -198,7 +207,7 @@ _UNI = "SELECT cell, bool_or(devices) AS devices, bool_or(points) AS points FROM
 _STREET = "lower(regexp_extract(p_name, '([A-Za-z]+)$', 1))"
 SQL = {
     "points_balance": fx.sql("SELECT account_id, CAST(sum(points) AS BIGINT) AS points FROM user_points WHERE status = 'confirmed' GROUP BY 1"),
-    "keyset_page": fx.sql("SELECT entry_id, ts FROM user_points WHERE ts < TIMESTAMP '1997-01-01' ORDER BY ts DESC, entry_id DESC LIMIT 20"),
+    "keyset_page": fx.sql("SELECT entry_id, ts FROM user_points ORDER BY ts DESC, entry_id DESC LIMIT 20 OFFSET 20"),
     "privacy_filter_join": fx.sql(f"SELECT account_id, points, CASE WHEN public THEN display_name END AS name {_ELIG.format(by='')}"),
     "cell_leaders": fx.sql(_CELL),
     "podium_per_cell": fx.sql(f"SELECT cell, max(CASE WHEN place = 1 THEN account_id END) AS gold, count(*) AS n FROM ({_CELL}) GROUP BY 1"),

@@ -148,6 +148,45 @@ def _soc(s, d):  # noqa: ANN001, ANN202
     return battery_percent(fx.points(s, d), soc_lut(s))
 
 
+def plate_extract(*uris: str) -> Column:
+    """The plate in the first of the rental links, in their order, that holds one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(u, F.lit("")), r"[?&](?:plate|vehicle)=([A-Z0-9-]+)", 1), F.lit("")) for u in uris])
+
+
+def vehicle_type_dim(feed: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Types that the feed describes, and built-in rows for those that it does not; ranges that are no whole numbers become null."""
+    own = feed.withColumn("max_range", F.expr("try_cast(max_range AS int)"))
+    return own.unionByName(fallback.join(feed, "type_id", "left_anti").select(*own.columns))
+
+
+def archive_due(rows: DataFrame, archived: DataFrame, hours: int) -> DataFrame:
+    """Rows past the last archived one, if that is at least ``hours`` older than the newest; else, and where nothing is new, none."""
+    high = F.broadcast(archived.agg(F.max("ts").alias("_high")))  # one row
+    now = F.broadcast(rows.agg(F.max("ts").alias("_now")))
+    x = rows.crossJoin(high).crossJoin(now)
+    return x.where(F.col("_high").isNull() | ((F.col("ts") > F.col("_high")) & (F.col("_now") >= F.col("_high") + F.make_dt_interval(hours=F.lit(hours))))).select(*rows.columns)
+
+
+def _archived(points: DataFrame) -> DataFrame:
+    last = F.broadcast(points.agg(F.max("day").alias("_last")))  # one row
+    return points.crossJoin(last).where("day <= _last - INTERVAL 3 DAYS")
+
+
+def _feed_types(s, d) -> DataFrame:  # noqa: ANN001
+    """What the feed says of the types with odd numbers: their highest range as text, for one of them with a unit."""
+    g = fx.points(s, d).where("type_id IN ('1', '3', '5')").groupBy("type_id").agg(F.max("range_m").alias("m"))
+    return g.select("type_id", F.lit("scooter").alias("form_factor"), F.when(F.col("type_id") == "5", "sitting").alias("use_type"), F.concat(F.col("m").cast("string"), F.when(F.col("type_id") == "3", " m").otherwise("")).alias("max_range"))
+
+
+def _uris(s, d) -> DataFrame:  # noqa: ANN001
+    k = F.col("event_id")
+    link = lambda head, tail: F.concat(F.lit(head), _plate(), F.lit(tail))
+    return fx.points(s, d).select(
+        "event_id", F.when(k % 3 == 0, link("app://ride?vehicle=", "")).when(k % 3 == 1, F.lit("app://home")).alias("android"),
+        F.when(k % 2 == 0, link("app://ride?a=b&plate=", "I&c=d")).alias("ios"), F.when(k % 5 > 0, link("https://x.org/r?plate=", "W")).alias("web"),
+    )
+
+
 def _plate() -> Column:
     """The fixture plate of a user."""
     return F.concat(F.lit("PL-"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
@@ -156,12 +195,12 @@ def _plate() -> Column:
 _WORDS = ("otter", "falcon", "maple", "comet", "willow", "badger", "canyon")
 QUERIES = {
     "read_feed_snapshot": lambda s, d: feed_rows(s, d),
-    "vehicle_type_dim": lambda s, d: fx.points(s, d).select("type_id").distinct().join(F.broadcast(fx.vehicle_types(s)), "type_id", "left").select("type_id", "form_factor", "use_type", "max_range"),
+    "vehicle_type_dim": lambda s, d: vehicle_type_dim(_feed_types(s, d), fx.vehicle_types(s)),
     "soc_lut_table": lambda s, d: soc_lut(s).join(fx.points(s, d).groupBy("range_m").agg(F.count("*").alias("points")), F.col("metres") == F.col("range_m"), "left").select("soc_rank", "metres", F.coalesce("points", F.lit(0)).alias("points")),
     "drop_unusable_rows": lambda s, d: fx.points(s, d).withColumn("text_lat", F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("lat").cast("string"))).where(F.expr("try_cast(text_lat AS double) IS NOT NULL AND device_id IS NOT NULL")).select("event_id"),
     "use_type_derive": lambda s, d: _typed(s, d).select("event_id", F.coalesce("use_type", F.when(F.col("form_factor") == "bicycle", "sitting").when(F.col("form_factor") == "scooter", "standing")).alias("use")),
     "coerce_optional_fields": lambda s, d: fx.load(s, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') AS int)").alias("k"), F.expr("try_cast(event_type AS boolean)").alias("flag")),
-    "plate_extract": lambda s, d: fx.points(s, d).select("event_id", F.coalesce(F.nullif(F.regexp_extract(F.concat(F.lit("app://ride?plate="), _plate()), r"plate=([A-Z0-9-]+)", 1), F.lit("")), F.lit(None)).alias("plate")),
+    "plate_extract": lambda s, d: _uris(s, d).select("event_id", plate_extract("android", "ios", "web").alias("plate")),
     "vehicle_pseudonym": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", _hmac_plate(_plate(), b"salt").alias("pseudonym")),
     "plate_display": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", F.translate(_plate(), "0123456789", "ABCDEFGHJK").alias("shown"), F.expr("right(regexp_replace(concat('PL-', lpad(cast(user_id as string), 5, '0')), '[^A-Za-z0-9]', ''), 3)").alias("last3")),
     "plate_normalise": lambda s, d: fx.points(s, d).select("user_id").distinct().select("user_id", F.regexp_replace(F.lower(F.trim(F.concat(F.lit("  "), _plate(), F.lit(" ")))), "[^a-z0-9]", "").alias("plate")),
@@ -182,16 +221,13 @@ QUERIES = {
     "max_range_desc": lambda s, d: fx.points(s, d).groupBy("vehicle").agg(F.max("range_m").alias("best")).orderBy(F.desc_nulls_last("best"), "vehicle").limit(10),
     "model_caps": lambda s, d: fx.points(s, d).groupBy("type_id").agg(F.max("range_m").alias("cap"), F.count("range_m").alias("n")),
     "value_table_stability": lambda s, d: fx.points(s, d).where("range_m IS NOT NULL").groupBy("day").agg(F.count_distinct("range_m").alias("n_values"), F.min("range_m").alias("lo"), F.max("range_m").alias("hi")),
-    "pipeline_health": lambda s, d: fx.points(s, d).agg(F.max("ts").alias("last_ingest"), F.max_by("device_id", F.struct("ts", "event_id")).alias("last_device"), F.count("*").alias("n")),
-    "drop_stale_snapshots": lambda s, d: stale_snapshots(s, d),
     "transmission_rollup": lambda s, d: fx.points(s, d).groupBy("day").agg(F.when(F.count_if(F.col("is_disabled")) == 0, "ok").when(F.count_if(F.col("is_disabled")) == F.count("*"), "none").otherwise("mixed").alias("outcome")),
     "batch_lookup_with_misses": lambda s, d: fx.load(s, d, "customer").select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("vehicle")).distinct().join(fx.points(s, d).groupBy("vehicle").agg(F.count("*").alias("n")), "vehicle", "left").select("vehicle", F.col("n").isNotNull().alias("found"), F.coalesce("n", F.lit(0)).alias("n")),
     "difference_missing": lambda s, d: fx.load(s, d, "customer").select(F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("vehicle")).exceptAll(fx.points(s, d).select("vehicle").distinct()),
     "insert_if_absent": lambda s, d: fx.user_points(s, d).where("status = 'confirmed'").groupBy("source_id", "action").agg(F.min("entry_id").alias("entry_id")).join(fx.user_points(s, d).where("status <> 'confirmed'").select("source_id", "action").distinct(), ["source_id", "action"], "left_anti"),
     "upsert_by_key": lambda s, d: upsert(fx.user_points(s, d).where("entry_id % 3 <> 0").groupBy("source_id").agg(F.sum("points").alias("points")), fx.user_points(s, d).where("entry_id % 3 = 0").groupBy("source_id").agg(F.sum("points").alias("points")), "source_id"),
-    "archive_high_water": lambda s, d: fx.points(s, d).join(F.broadcast(fx.points(s, d).agg((F.max("day") - F.expr("INTERVAL 3 DAYS")).cast("date").alias("high"))), F.col("day") > F.col("high")).select("event_id"),
+    "archive_high_water": lambda s, d: archive_due(fx.points(s, d), _archived(fx.points(s, d)), 24).select("event_id"),
     "archive_day_chunks": lambda s, d: fx.load(s, d, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))).alias("day")),
-    "retention_prune": lambda s, d: fx.load(s, d, "orders").join(F.broadcast(fx.load(s, d, "orders").agg(F.add_months(F.max("o_orderdate").cast("date"), -18).alias("horizon"))), F.col("o_orderdate").cast("date") >= F.col("horizon")).select("o_orderkey"),
     "minute_coarsen": lambda s, d: fx.load(s, d, "events").select("event_id", (F.floor(fx.micros("ts") / 60_000_000) * 60_000).cast("long").alias("minute_ms")),
     "catalog_seed": lambda s, d: fx.points(s, d).groupBy("vehicle", "type_id").agg(F.max(F.when(F.col("event_id") % 9 == 0, F.col("is_disabled"))).alias("basket")).select("vehicle", F.coalesce("basket", F.col("type_id").isin("2", "4")).alias("basket")),
     "reclassify_cohort": lambda s, d: fx.points(s, d).join(F.broadcast(fx.load(s, d, "supplier").select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("vehicle"), F.lit(True).alias("hit"))), "vehicle", "left").select("event_id", F.when(F.col("hit") & (F.col("type_id") == "5"), "rover").otherwise(F.col("type_id")).alias("type_id")),
@@ -212,25 +248,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new)
 
 
-def stale_snapshots(s, d) -> DataFrame:  # noqa: ANN001
-    """Days whose signature (distinct device count, or the sum of ids if that is 0) equals the day before's."""
-    x = fx.points(s, d).groupBy("day").agg((F.count_distinct("vehicle") % 3).alias("sign"))
-    before = F.lag("sign").over(Window.partitionBy(F.lit(0)).orderBy("day"))  # one row per snapshot
-    return x.select("day", F.coalesce(F.col("sign") == before, F.lit(False)).alias("stale"))
-
-
 _PL = "('PL-' || lpad(CAST(user_id AS VARCHAR), 5, '0'))"
 _RANKS = """(SELECT *, count(range_m) OVER (PARTITION BY day, type_id ORDER BY range_m RANGE UNBOUNDED PRECEDING) AS rank_x, count(range_m) OVER (PARTITION BY day, type_id) AS rank_y,
   dense_rank() OVER (PARTITION BY day, type_id ORDER BY range_m) AS unique_x FROM points WHERE range_m IS NOT NULL)"""
 _UNIQ = f"(SELECT *, max(unique_x) OVER (PARTITION BY day, type_id) AS unique_y FROM {_RANKS})"
 SQL = {
     "read_feed_snapshot": fx.sql("SELECT CAST(epoch(day) AS BIGINT) AS last_updated, device_id AS bike_id, lat, lon, type_id AS vehicle_type_id FROM points"),
-    "vehicle_type_dim": fx.sql("SELECT type_id, form_factor, use_type, max_range FROM (SELECT DISTINCT type_id FROM points) LEFT JOIN vehicle_types USING (type_id)"),
+    "vehicle_type_dim": fx.sql("""WITH ft AS (SELECT type_id, 'scooter' AS form_factor, CASE WHEN type_id = '5' THEN 'sitting' END AS use_type, CASE WHEN type_id <> '3' THEN max(range_m) END AS max_range FROM points WHERE type_id IN ('1', '3', '5') GROUP BY 1)
+      SELECT * FROM ft UNION ALL SELECT * FROM vehicle_types WHERE type_id NOT IN (SELECT type_id FROM ft)"""),
     "soc_lut_table": fx.sql(f"SELECT soc_rank, metres, count(event_id) AS points FROM {_LUT} l LEFT JOIN points ON metres = range_m GROUP BY 1, 2"),
     "drop_unusable_rows": fx.sql("SELECT event_id FROM points WHERE event_id % 13 <> 0"),
     "use_type_derive": fx.sql("SELECT event_id, coalesce(use_type, CASE form_factor WHEN 'bicycle' THEN 'sitting' WHEN 'scooter' THEN 'standing' END) AS use FROM typed"),
     "coerce_optional_fields": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(NULL AS BOOLEAN) AS flag FROM events",
-    "plate_extract": fx.sql(f"SELECT event_id, {_PL} AS plate FROM points"),
+    "plate_extract": fx.sql(f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN {_PL} WHEN event_id % 2 = 0 THEN {_PL} || 'I' WHEN event_id % 5 > 0 THEN {_PL} || 'W' END AS plate FROM points"),
     "plate_display": fx.sql(f"SELECT DISTINCT user_id, translate({_PL}, '0123456789', 'ABCDEFGHJK') AS shown, right(regexp_replace({_PL}, '[^A-Za-z0-9]', '', 'g'), 3) AS last3 FROM points"),
     "plate_normalise": fx.sql(f"SELECT DISTINCT user_id, regexp_replace(lower(trim('  ' || {_PL} || ' ')), '[^a-z0-9]', '', 'g') AS plate FROM points"),
     "public_name": fx.sql(f"SELECT DISTINCT vehicle, {list(_WORDS)}[CAST(('0x' || substr(sha256(vehicle), 1, 8)) AS BIGINT) % 7 + 1] AS word, CAST(('0x' || substr(sha256(vehicle), 9, 8)) AS BIGINT) % 12 AS icon FROM points"),
@@ -250,17 +280,14 @@ SQL = {
     "max_range_desc": fx.sql("SELECT vehicle, max(range_m) AS best FROM points GROUP BY vehicle ORDER BY best DESC NULLS LAST, vehicle LIMIT 10"),
     "model_caps": fx.sql("SELECT type_id, max(range_m) AS cap, count(range_m) AS n FROM points GROUP BY 1"),
     "value_table_stability": fx.sql("SELECT day, count(DISTINCT range_m) AS n_values, min(range_m) AS lo, max(range_m) AS hi FROM points WHERE range_m IS NOT NULL GROUP BY day"),
-    "pipeline_health": fx.sql("SELECT max(ts) AS last_ingest, arg_max(device_id, {'a': ts, 'b': event_id}) AS last_device, count(*) AS n FROM points"),
-    "drop_stale_snapshots": fx.sql("SELECT day, coalesce(sign = lag(sign) OVER (ORDER BY day), false) AS stale FROM (SELECT day, count(DISTINCT vehicle) % 3 AS sign FROM points GROUP BY day)"),
     "transmission_rollup": fx.sql("SELECT day, CASE WHEN count(*) FILTER (WHERE is_disabled) = 0 THEN 'ok' WHEN count(*) FILTER (WHERE is_disabled) = count(*) THEN 'none' ELSE 'mixed' END AS outcome FROM points GROUP BY day"),
     "batch_lookup_with_misses": fx.sql("SELECT 'v' || c_custkey AS vehicle, count(event_id) > 0 AS found, count(event_id) AS n FROM customer LEFT JOIN points ON vehicle = 'v' || c_custkey GROUP BY 1"),
     "difference_missing": fx.sql("SELECT 'v' || c_custkey AS vehicle FROM customer EXCEPT ALL SELECT DISTINCT vehicle FROM points"),
     "insert_if_absent": fx.sql("SELECT source_id, action, min(entry_id) AS entry_id FROM user_points u WHERE status = 'confirmed' AND NOT EXISTS (SELECT 1 FROM user_points o WHERE o.status <> 'confirmed' AND o.source_id = u.source_id AND o.action = u.action) GROUP BY 1, 2"),
     "upsert_by_key": fx.sql("""WITH o AS (SELECT source_id, CAST(sum(points) AS BIGINT) AS points FROM user_points WHERE entry_id % 3 <> 0 GROUP BY 1), n AS (SELECT source_id, CAST(sum(points) AS BIGINT) AS points FROM user_points WHERE entry_id % 3 = 0 GROUP BY 1)
       SELECT source_id, coalesce(n.points, o.points) AS points FROM o FULL JOIN n USING (source_id)"""),
-    "archive_high_water": fx.sql("SELECT event_id FROM points WHERE day > (SELECT max(day) - 3 FROM points)"),
+    "archive_high_water": fx.sql("SELECT event_id FROM points, (SELECT max(ts) AS high FROM points WHERE day <= (SELECT max(day) - 3 FROM points)) WHERE ts > high AND (SELECT max(ts) FROM points) >= high + INTERVAL 24 HOURS"),
     "archive_day_chunks": "SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM events",
-    "retention_prune": "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT CAST(CAST(max(o_orderdate) AS DATE) - INTERVAL 18 MONTHS AS DATE) FROM orders)",
     "minute_coarsen": "SELECT event_id, epoch_us(ts) // 60000000 * 60000 AS minute_ms FROM events",
     "catalog_seed": fx.sql("SELECT vehicle, coalesce(max(CASE WHEN event_id % 9 = 0 THEN is_disabled END), type_id IN ('2', '4')) AS basket FROM points GROUP BY vehicle, type_id"),
     "reclassify_cohort": fx.sql("SELECT event_id, CASE WHEN s_suppkey IS NOT NULL AND type_id = '5' THEN 'rover' ELSE type_id END AS type_id FROM points LEFT JOIN supplier ON vehicle = 'v' || s_suppkey"),

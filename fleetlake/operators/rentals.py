@@ -203,9 +203,11 @@ def lut_double_join(s, d) -> DataFrame:  # noqa: ANN001
 
 
 def anti_overlap(e: DataFrame, spans: DataFrame) -> DataFrame:
-    """Episodes that overlap no span of the same vehicle."""
-    on = (F.col("vehicle") == F.col("_v")) & (F.col("departed_us") <= F.col("hi")) & (F.col("arrived_us") >= F.col("lo"))
-    return e.join(spans, on, "left_anti")
+    """Episodes that overlap no span of the same vehicle: both go by the hours that they touch, so only near ones meet."""
+    hours = lambda lo, hi: F.explode(F.sequence(F.expr(f"{lo} div 3600000000"), F.expr(f"{hi} div 3600000000")))
+    wide = e.select("vehicle", "episode", "departed_us", "arrived_us", hours("departed_us", "arrived_us").alias("_h"))
+    near = wide.join(spans.withColumn("_g", hours("lo", "hi")), (F.col("vehicle") == F.col("_v")) & (F.col("_h") == F.col("_g")) & (F.col("departed_us") <= F.col("hi")) & (F.col("arrived_us") >= F.col("lo")))
+    return e.join(near.select("vehicle", "episode").distinct(), ["vehicle", "episode"], "left_anti")
 
 
 def feed_start(s, d) -> DataFrame:  # noqa: ANN001

@@ -128,13 +128,6 @@ def watches(s, d) -> DataFrame:  # noqa: ANN001
 P, E = fx.ride_points, fx.route_edges
 
 
-def route_rerank(s, d) -> DataFrame:  # noqa: ANN001
-    """Best route of each group of ten by shade, then length; unmeasured never beats measured."""
-    x = route_scores(E(s, d), fx.ways(s, d)).withColumn("g", F.expr("route_id div 10"))
-    w = Window.partitionBy("g").orderBy(F.desc_nulls_last("canopy"), "metres", "route_id")
-    return x.withColumn("n", F.row_number().over(w)).where("n = 1").select("g", "route_id", "canopy")
-
-
 QUERIES = {
     "leg_distance": lambda s, d: legs(P(s, d)).select("ride_id", F.col("seq").cast("long").alias("seq"), F.round("leg", 6).alias("leg")),
     "path_length": lambda s, d: path_length(P(s, d)),
@@ -147,11 +140,7 @@ QUERIES = {
     "edge_attr_join": lambda s, d: E(s, d).join(fx.ways(s, d), "way_id", "left").select("route_id", F.col("seq").cast("long").alias("seq"), "canopy", "bikeway"),
     "route_scores": lambda s, d: route_scores(E(s, d), fx.ways(s, d)),
     "off_network_islands": lambda s, d: off_network_runs(E(s, d), fx.ways(s, d)).select("route_id", "island", "metres"),
-    "longest_off_network_run": lambda s, d: off_network_runs(E(s, d), fx.ways(s, d)).where("metres >= 50").groupBy("route_id").agg(F.max("metres").alias("metres"), F.max_by("island", F.struct("metres", -F.col("island"))).alias("island")),
-    "route_options_dedupe": lambda s, d: E(s, d).groupBy("route_id").agg(F.sum("metres").alias("m"), F.min("way_id").alias("shape")).groupBy("shape").agg(F.max("m").alias("slowest"), F.count("*").alias("labels"), F.min("route_id").alias("route_id")),
-    "route_rerank": route_rerank,
     "adherence": lambda s, d: E(s, d).join(fx.ways(s, d).where("bikeway").select("way_id", F.lit(True).alias("hit")), "way_id", "left").groupBy("route_id").agg(F.round(F.sum(F.when(F.col("hit"), F.col("metres")).otherwise(0.0)) / F.sum("metres"), 6).alias("share")).withColumn("adheres", F.col("share") >= 0.85),
-    "ride_export": lambda s, d: P(s, d).groupBy("ride_id").agg(F.count("*").alias("n"), F.min("seq").alias("a")).join(fx.rides(s, d), "ride_id", "right").select("ride_id", F.when(F.col("n") >= 2, "LineString").when(F.col("n") == 1, "Point").alias("geometry"), "claimed_m"),
     "donation_to_ride": lambda s, d: fx.rides(s, d).join(P(s, d).groupBy("ride_id").agg(F.count("*").alias("n")).where("n >= 2"), "ride_id").where("state = 'O'").select("ride_id", "n"),
     "existing_route_semi": lambda s, d: fx.rides(s, d).join(E(s, d).select(F.col("route_id").alias("ride_id")), "ride_id", "left_semi").select("ride_id"),
     "expire_abandoned": lambda s, d: fx.rides(s, d).join(F.broadcast(fx.rides(s, d).agg(F.max("ts").alias("now"))), F.lit(True)).select("ride_id", F.when((F.col("state") == "O") & (F.col("ts") < F.col("now") - F.expr("INTERVAL 24 HOURS")), "expired").otherwise(F.col("state")).alias("state")),
@@ -221,11 +210,7 @@ SQL = {
     "edge_attr_join": fx.sql("SELECT route_id, seq, canopy, bikeway FROM route_edges LEFT JOIN ways USING (way_id)"),
     "route_scores": fx.sql(_RS),
     "off_network_islands": fx.sql(_RUN),
-    "longest_off_network_run": fx.sql(f"SELECT route_id, max(metres) AS metres, arg_max(island, {{'a': metres, 'b': -island}}) AS island FROM ({_RUN}) WHERE metres >= 50 GROUP BY 1"),
-    "route_options_dedupe": fx.sql("SELECT shape, max(m) AS slowest, count(*) AS labels, min(route_id) AS route_id FROM (SELECT route_id, sum(metres) AS m, min(way_id) AS shape FROM route_edges GROUP BY 1) GROUP BY 1"),
-    "route_rerank": fx.sql(f"SELECT route_id // 10 AS g, route_id, canopy FROM ({_RS}) QUALIFY row_number() OVER (PARTITION BY route_id // 10 ORDER BY canopy DESC NULLS LAST, metres, route_id) = 1"),
     "adherence": fx.sql("SELECT *, share >= 0.85 AS adheres FROM (SELECT route_id, round(sum(CASE WHEN bikeway THEN metres ELSE 0 END) / sum(metres), 6) AS share FROM route_edges LEFT JOIN ways USING (way_id) GROUP BY 1)"),
-    "ride_export": fx.sql("SELECT r.ride_id, CASE WHEN count(seq) >= 2 THEN 'LineString' WHEN count(seq) = 1 THEN 'Point' END AS geometry, claimed_m FROM rides r LEFT JOIN ride_points p ON p.ride_id = r.ride_id GROUP BY 1, claimed_m"),
     "donation_to_ride": fx.sql("SELECT ride_id, n FROM rides JOIN (SELECT ride_id, count(*) AS n FROM ride_points GROUP BY 1 HAVING count(*) >= 2) USING (ride_id) WHERE state = 'O'"),
     "existing_route_semi": fx.sql("SELECT ride_id FROM rides WHERE ride_id IN (SELECT route_id FROM route_edges)"),
     "expire_abandoned": fx.sql("SELECT ride_id, CASE WHEN state = 'O' AND ts < (SELECT max(ts) - INTERVAL 24 HOURS FROM rides) THEN 'expired' ELSE state END AS state FROM rides"),

@@ -78,29 +78,22 @@ QUERIES = {
     "status_class": lambda s, d: R(s, d).groupBy(F.concat(F.substring(F.col("status").cast("string"), 1, 1), F.lit("xx")).alias("class")).agg(F.count("*").alias("n")),
     "route_health": lambda s, d: R(s, d).groupBy("route").agg(F.count("*").alias("n"), F.round(F.expr("percentile(ms, 0.95)"), 6).alias("p95"), F.count_if(F.col("status") >= 500).alias("errors")).orderBy(F.desc("n"), "route").limit(25),
     "campaign_daily": lambda s, d: T(s, d).withColumn("c", campaign(F.col("campaign"))).where("c <> 'none'").groupBy(local_day("ts").alias("day"), "c").agg(F.count_distinct("visitor").alias("visitors"), F.count_if(F.col("name") == "signup").alias("signups"), F.count_if(F.col("name") == "purchase").alias("purchases")),
-    "campaign_alltime": lambda s, d: T(s, d).withColumn("c", campaign(F.col("campaign"))).groupBy("c").agg(F.count("*").alias("events"), F.min(local_day("ts")).alias("first_day"), F.max(local_day("ts")).alias("last_day")),
     "campaign_normalise": lambda s, d: T(s, d).select("event_id", campaign(F.col("campaign")).alias("campaign")),
     "daily_active": lambda s, d: T(s, d).groupBy(local_day("ts").alias("day")).agg(F.count_distinct("visitor").alias("visitors"), F.count_distinct("session_id").alias("sessions"), F.count("*").alias("events")),
     "top_events": lambda s, d: T(s, d).groupBy("name").agg(F.count("*").alias("events"), F.count_distinct("visitor").alias("visitors")).orderBy(F.desc("events"), "name"),
-    "ride_funnel": lambda s, d: T(s, d).groupBy().agg(*[F.count_distinct(F.when(F.col("name") == n, F.col("visitor"))).alias(n) for n in ("view", "click", "signup", "purchase")]),
     "auth_funnel": lambda s, d: T(s, d).groupBy("name", F.expr("CASE WHEN event_id % 2 = 0 THEN 'email' ELSE 'sms' END").alias("method")).agg(F.count("*").alias("n")),
-    "client_mix": lambda s, d: T(s, d).groupBy(*[c.alias(n) for c, n in zip(user_agent(F.col("ua")), ("device", "os"))]).agg(F.count_distinct("visitor").alias("visitors")),
     "ua_classify": lambda s, d: T(s, d).select("event_id", *[c.alias(n) for c, n in zip(user_agent(F.col("ua")), ("device", "os"))]),
     "entry_mode": lambda s, d: T(s, d).groupBy("session_id").agg(F.min_by("name", F.struct("ts", "event_id")).alias("mode")).groupBy("mode").agg(F.count("*").alias("sessions")),
     "session_sets": lambda s, d: T(s, d).groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_set("name")), " + ").alias("names")).groupBy("names").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "names").limit(15),
     "session_rollup": lambda s, d: T(s, d).groupBy("name").agg(F.count_distinct("session_id").alias("sessions")),
-    "analytics_daily_read": lambda s, d: T(s, d).groupBy(local_day("ts").alias("day"), "name").agg(F.count("*").alias("e"), F.count_distinct("visitor").alias("v")).groupBy("day").agg(F.sum("e").alias("events"), F.max("v").alias("visitors")),
     "referrer_host": lambda s, d: T(s, d).select("event_id", referrer_host(F.col("referrer")).alias("host")),
     "visitor_hash": lambda s, d: T(s, d).select("event_id", F.sha2(F.concat_ws("|", F.sha2(F.concat(F.lit("salt"), F.col("ts").cast("date").cast("string")), 256), "visitor", "ua"), 256).alias("hash")),
-    "telemetry_clean": lambda s, d: T(s, d).where(F.col("name").isin("click", "view", "purchase", "signup")).select("event_id", F.when(F.col("name").isin("click", "view"), F.col("name")).otherwise("other").alias("name"), F.substring("session_id", 1, 6).alias("sid"), F.to_json(F.map_filter(F.transform_values(F.from_json("props", "map<string,string>"), lambda k, v: F.substring(v, 1, 120)), lambda k, v: v.isNotNull())).alias("props")),
     "hourly_status": lambda s, d: fx.points(s, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.max_by("is_disabled", F.struct("ts", "event_id")).alias("is_disabled"), F.max("ts").alias("last")),
     "hour_backfill": lambda s, d: hour_backfill(s, d),
     "trailing_window": lambda s, d: fx.trip_events(s, d).join(F.broadcast(fx.trip_events(s, d).agg(F.max("ts").alias("now"))), F.col("ts") > F.col("now") - F.expr("INTERVAL 28 DAYS")).groupBy("model").agg(F.count("*").alias("trips")),
-    "latest_cycle": lambda s, d: fx.points(s, d).groupBy("day").agg(F.count("*").alias("n")).where("day(day) % 9 <> 0").orderBy(F.desc("day")).limit(1),
     "latest_metrics": lambda s, d: fx.points(s, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.max("range_m").alias("best")).orderBy(F.desc("hour")).limit(1),
     "events_recent": lambda s, d: fx.load(s, d, "events").where("ts >= '2024-01-10'").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts"),
     "text_search_ilike": lambda s, d: fx.load(s, d, "part").where(F.col("p_name").ilike("%RE%")).select("p_partkey", "p_name"),
-    "hours_missing": lambda s, d: fx.load(s, d, "events").agg(F.expr("unix_micros(cast(min(ts) as timestamp)) div 3600000000").alias("lo"), F.expr("unix_micros(cast(max(ts) as timestamp)) div 3600000000").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("hour")).join(fx.load(s, d, "events").where("event_type = 'purchase'").select(F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("hour")).distinct(), "hour", "left_anti").agg(F.count("*").alias("missing")),
     "region_trend": lambda s, d: fx.points(s, d).where("type_id = '2'").groupBy("day").agg(F.count("*").alias("n"), F.round(F.avg("range_m"), 6).alias("avg_range")),
     "snapshot_asof": lambda s, d: snapshot_asof(s, d),
     "rate_window": lambda s, d: rate_window(fx.load(s, d, "events").select(F.col("user_id").alias("key"), fx.micros("ts").alias("us"), "event_id"), 3, 86_400_000_000),
@@ -163,30 +156,23 @@ SQL = {
     "status_class": fx.sql("SELECT left(CAST(status AS VARCHAR), 1) || 'xx' AS class, count(*) AS n FROM requests GROUP BY 1"),
     "route_health": fx.sql("SELECT route, count(*) AS n, round(quantile_cont(ms, 0.95), 6) AS p95, count(*) FILTER (WHERE status >= 500) AS errors FROM requests GROUP BY 1 ORDER BY n DESC, route LIMIT 25"),
     "campaign_daily": fx.sql(f"SELECT {_LD} AS day, {_CAMP} AS c, count(DISTINCT visitor) AS visitors, count(*) FILTER (WHERE name = 'signup') AS signups, count(*) FILTER (WHERE name = 'purchase') AS purchases FROM telemetry WHERE {_CAMP} <> 'none' GROUP BY 1, 2"),
-    "campaign_alltime": fx.sql(f"SELECT {_CAMP} AS c, count(*) AS events, min({_LD}) AS first_day, max({_LD}) AS last_day FROM telemetry GROUP BY 1"),
     "campaign_normalise": fx.sql(f"SELECT event_id, {_CAMP} AS campaign FROM telemetry"),
     "daily_active": fx.sql(f"SELECT {_LD} AS day, count(DISTINCT visitor) AS visitors, count(DISTINCT session_id) AS sessions, count(*) AS events FROM telemetry GROUP BY 1"),
     "top_events": fx.sql("SELECT name, count(*) AS events, count(DISTINCT visitor) AS visitors FROM telemetry GROUP BY 1"),
-    "ride_funnel": fx.sql("SELECT " + ", ".join(f"count(DISTINCT CASE WHEN name = '{n}' THEN visitor END) AS {n}" for n in ("view", "click", "signup", "purchase")) + " FROM telemetry"),
     "auth_funnel": fx.sql("SELECT name, CASE WHEN event_id % 2 = 0 THEN 'email' ELSE 'sms' END AS method, count(*) AS n FROM telemetry GROUP BY 1, 2"),
-    "client_mix": fx.sql(f"SELECT device, os, count(DISTINCT visitor) AS visitors FROM (SELECT visitor, {_DEV} FROM telemetry) GROUP BY 1, 2"),
     "ua_classify": fx.sql(f"SELECT event_id, {_DEV} FROM telemetry"),
     "entry_mode": fx.sql("SELECT mode, count(*) AS sessions FROM (SELECT session_id, arg_min(name, {'a': ts, 'b': event_id}) AS mode FROM telemetry GROUP BY 1) GROUP BY 1"),
     "session_sets": fx.sql("SELECT names, count(*) AS n FROM (SELECT session_id, string_agg(DISTINCT name, ' + ' ORDER BY name) AS names FROM telemetry GROUP BY 1) GROUP BY 1 ORDER BY n DESC, names LIMIT 15"),
     "session_rollup": fx.sql("SELECT name, count(DISTINCT session_id) AS sessions FROM telemetry GROUP BY 1"),
-    "analytics_daily_read": fx.sql(f"SELECT day, CAST(sum(e) AS BIGINT) AS events, max(v) AS visitors FROM (SELECT {_LD} AS day, name, count(*) AS e, count(DISTINCT visitor) AS v FROM telemetry GROUP BY 1, 2) GROUP BY 1"),
     "referrer_host": fx.sql("SELECT event_id, coalesce(nullif(lower(regexp_extract(regexp_replace(coalesce(referrer, ''), '^[a-zA-Z]+://', ''), '^[^/?]*')), ''), 'direct') AS host FROM telemetry"),
     "visitor_hash": fx.sql("SELECT event_id, sha256(sha256('salt' || CAST(CAST(ts AS DATE) AS VARCHAR)) || '|' || visitor || '|' || ua) AS hash FROM telemetry"),
-    "telemetry_clean": fx.sql("SELECT event_id, CASE WHEN name IN ('click', 'view') THEN name ELSE 'other' END AS name, substr(session_id, 1, 6) AS sid, '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}' AS props FROM telemetry WHERE name IN ('click', 'view', 'purchase', 'signup')"),
     "hourly_status": fx.sql("SELECT date_trunc('hour', ts) AS hour, arg_max(is_disabled, {'a': ts, 'b': event_id}) AS is_disabled, max(ts) AS last FROM points GROUP BY 1"),
     "hour_backfill": """WITH f AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1), g AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1)
       SELECT hour, n, 'first' AS origin FROM f UNION ALL SELECT hour, n, 'second' FROM g WHERE hour NOT IN (SELECT hour FROM f)""",
     "trailing_window": fx.sql("SELECT model, count(*) AS trips FROM trip_events WHERE ts > (SELECT max(ts) - INTERVAL 28 DAYS FROM trip_events) GROUP BY 1"),
-    "latest_cycle": fx.sql("SELECT day, count(*) AS n FROM points WHERE day(day) % 9 <> 0 GROUP BY 1 ORDER BY day DESC LIMIT 1"),
     "latest_metrics": fx.sql("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, max(range_m) AS best FROM points GROUP BY 1 ORDER BY 1 DESC LIMIT 1"),
     "events_recent": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id DESC LIMIT 20",
     "text_search_ilike": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RE%'",
-    "hours_missing": "SELECT count(*) AS missing FROM (SELECT unnest(generate_series(min(epoch_us(ts)) // 3600000000, max(epoch_us(ts)) // 3600000000)) AS hour FROM events) WHERE hour NOT IN (SELECT epoch_us(ts) // 3600000000 FROM events WHERE event_type = 'purchase')",
     "region_trend": fx.sql("SELECT day, count(*) AS n, round(avg(range_m), 6) AS avg_range FROM points WHERE type_id = '2' GROUP BY 1"),
     "snapshot_asof": fx.sql("SELECT asked, max(day) AS day FROM (SELECT DISTINCT CAST(ts AS DATE) + 3 AS asked FROM events) JOIN (SELECT DISTINCT day FROM points) ON day <= asked AND day >= date_trunc('month', asked) - INTERVAL 1 MONTH GROUP BY 1"),
     "rate_window": """WITH RECURSIVE o AS (SELECT user_id AS key, epoch_us(ts) AS us, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

@@ -1,14 +1,16 @@
 """Point-in-polygon joins, status refinement and the cycle's metric tables.
 
-Polygons are the small side: one row each, edges in an array. A point meets only polygons
-that share one of its 0.02-degree tiles (an equi-join), then passes the bounding box and the
-even-odd test. Points are never shuffled while the polygons' measured size allows a
-broadcast; beyond ``BROADCAST_EDGES`` Spark chooses the join.
+Polygons are the small side: one row each, edges in an array. They are listed by 0.02-degree
+tile; a point looks up its tile's list (one equi-join), and the bounding boxes and the even-odd
+test then filter the list inside the row. So one lookup gives all regions of a point, and the
+metrics above it need no further join: while the tiles' lists have at most ``BROADCAST_EDGES``
+edges (counted), points are not shuffled before the final aggregate. Beyond, Spark chooses the
+join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -27,24 +29,39 @@ def polygon_tiles(polygons: DataFrame, margin: float = 0.0) -> DataFrame:
     return p.withColumn("tx", F.explode(xs)).withColumn("ty", F.explode(ys))
 
 
-def _hinted(tiles: DataFrame, polygons: DataFrame) -> DataFrame:
-    n = polygons.agg(F.sum(F.size("edges"))).first()[0] or 0
+def _hinted(tiles: DataFrame) -> DataFrame:
+    n = tiles.agg(F.sum(F.size("edges"))).first()[0] or 0
     return F.broadcast(tiles) if n <= BROADCAST_EDGES else tiles
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Each pair of a point and a polygon that holds it: columns of both but the edges."""
-    tiles = _hinted(polygon_tiles(polygons), polygons)
+def with_regions(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """``regions``: the polygons that hold each point, as structs of their columns but the edges."""
+    own = [c for c in polygons.columns if c != "edges"]
+    tiles = polygon_tiles(polygons)
+    n = tiles.agg(F.sum(F.size("edges"))).first()[0] or 0
+    lists = tiles.groupBy("tx", "ty").agg(F.collect_list(F.struct(*own, "west", "east", "south", "north", "edges")).alias("polygons"))  # a tile's polygons
     p = points.withColumns({"tx": geo.tile(F.col("lon")), "ty": geo.tile(F.col("lat"))})
+    x = p.join(F.broadcast(lists) if n <= BROADCAST_EDGES else lists, ["tx", "ty"], "left")
     lat, lon = F.col("lat"), F.col("lon")
-    hit = p.join(tiles, ["tx", "ty"]).where(lon.between(F.col("west"), F.col("east")) & lat.between(F.col("south"), F.col("north")) & geo.inside(F.col("edges"), lat, lon))
-    return hit.select(*points.columns, *[c for c in polygons.columns if c != "edges"])
+
+    def holds(g: Column) -> Column:
+        return lon.between(g["west"], g["east"]) & lat.between(g["south"], g["north"]) & geo.inside(g["edges"], lat, lon)
+
+    held = F.transform(F.filter("polygons", holds), lambda g: F.struct(*[g[c].alias(c) for c in own]))
+    none = F.expr("filter(array(named_struct({})), g -> false)".format(", ".join(f"'{c}', cast(null as {t})" for c, t in polygons.select(*own).dtypes)) if own else "array()")
+    return x.select(*points.columns, F.coalesce(held, none).alias("regions"))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Each pair of a point and a polygon that holds it: columns of both but the edges."""
+    x = with_regions(points, polygons)
+    return x.select(*points.columns, F.explode("regions").alias("region")).select(*points.columns, "region.*")
 
 
 def near_polygons(points: DataFrame, polygons: DataFrame, metres: float = BUFFER_METRES) -> DataFrame:
     """Each pair of a point and a polygon that holds it or has an edge within ``metres``."""
     margin = metres / 80_000.0  # a degree of longitude is longer than 80 km in the study area
-    tiles = _hinted(polygon_tiles(polygons, margin), polygons)
+    tiles = _hinted(polygon_tiles(polygons, margin))
     p = points.withColumns({"tx": geo.tile(F.col("lon")), "ty": geo.tile(F.col("lat"))})
     lat, lon = F.col("lat"), F.col("lon")
     box = lon.between(F.col("west") - margin, F.col("east") + margin) & lat.between(F.col("south") - margin, F.col("north") + margin)
@@ -58,12 +75,17 @@ def envelope_tag(points: DataFrame) -> DataFrame:
     return points.withColumn("status", F.when(geo.in_box(lat, lon, CORE_BOX), "core").when(geo.in_box(lat, lon, GLITCH_BOX), "glitch").otherwise("outlier"))
 
 
-def refine_status(tagged: DataFrame, city: DataFrame, key: str = "event_id") -> DataFrame:
-    """Core points outside the city become outliers, outliers inside it core; glitches stay. ``tag`` keeps the first status."""
-    inside = points_in_polygons(tagged.select(key, "lat", "lon"), city.select("edges")).select(F.col(key).alias("_k")).distinct()
-    x = tagged.join(inside, F.col(key) == F.col("_k"), "left")
-    refined = F.when((F.col("status") == "core") & F.col("_k").isNull(), "outlier").when((F.col("status") == "outlier") & F.col("_k").isNotNull(), "core").otherwise(F.col("status"))
-    return x.withColumns({"tag": F.col("status"), "status": refined}).drop("_k")
+def refined(located: DataFrame, kind: str = "neighborhood") -> DataFrame:
+    """The status of points with ``regions``: core ones outside every region of the kind become outliers, outliers inside one core; glitches stay. ``tag`` keeps the first status."""
+    inside = F.exists("regions", lambda g: g["region_type"] == kind)
+    status = F.when((F.col("status") == "core") & ~inside, "outlier").when((F.col("status") == "outlier") & inside, "core").otherwise(F.col("status"))
+    return located.withColumns({"tag": F.col("status"), "status": status})
+
+
+def refine_status(tagged: DataFrame, city: DataFrame) -> DataFrame:
+    """:func:`refined` by the polygons of ``city``, whatever their kind."""
+    x = with_regions(tagged, city.select("edges", F.lit("city").alias("region_type")))
+    return refined(x, "city").drop("regions")
 
 
 def with_types(points: DataFrame, types: DataFrame) -> DataFrame:
@@ -74,17 +96,17 @@ def with_types(points: DataFrame, types: DataFrame) -> DataFrame:
 def core_summary(points: DataFrame, polygons: DataFrame, *by: str) -> DataFrame:
     """One wide row (per ``by``): counts citywide, per group and per split value, and their percents.
 
-    Group membership is one flag array per point, so all columns come from one conditional
+    Points bring their ``regions`` or get them here; so all columns come from one conditional
     aggregate. A group that no boundary has counts 0; a zero total gives null percents.
     """
     core = points.where("status = 'core'")
-    groups = points_in_polygons(core.select("event_id", "lat", "lon"), polygons).groupBy("event_id").agg(F.collect_set("region_type").alias("groups"))
-    x = core.join(groups, "event_id", "left")
+    core = core if "regions" in core.columns else with_regions(core, polygons)
+    x = core.withColumn("groups", F.transform("regions", lambda g: g["region_type"]))
     counts = []
     for name, group, col, value in core_columns():
         flag = F.lit(True)
         if group:
-            flag = flag & F.coalesce(F.array_contains("groups", group), F.lit(False))
+            flag = flag & F.array_contains("groups", group)
         if col:
             flag = flag & F.coalesce(F.col(col) == value, F.lit(False))
         counts.append(F.count_if(flag).alias(name))
@@ -99,7 +121,9 @@ def core_summary(points: DataFrame, polygons: DataFrame, *by: str) -> DataFrame:
 
 def regional_breakdown(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Counts per region, zero for regions without points; a device counts once per region."""
-    hits = points_in_polygons(points.where("status = 'core'").select("event_id", "lat", "lon", "form_factor"), polygons)
+    core = points.where("status = 'core'")
+    core = core if "regions" in core.columns else with_regions(core, polygons)
+    hits = core.select("form_factor", F.explode("regions").alias("g")).select("g.region_type", "g.region_name", "form_factor")
     n = hits.groupBy("region_type", "region_name").agg(F.count("*").alias("n"), F.count_if(F.col("form_factor") == "bicycle").alias("b"), F.count_if(F.col("form_factor") == "scooter").alias("s"))
     out = polygons.select("region_type", "region_name").join(n, ["region_type", "region_name"], "left")
     return out.select("region_type", "region_name", *[F.coalesce(c, F.lit(0)).alias(a) for c, a in (("n", "count_total"), ("b", "count_bike"), ("s", "count_scooter"))])
@@ -113,8 +137,8 @@ def fleet_status(points: DataFrame) -> DataFrame:
 
 
 def _typed(spark, d):  # noqa: ANN001, ANN202
-    city = fx.boundaries(spark, d).where("region_type = 'neighborhood'")
-    return with_types(refine_status(envelope_tag(fx.points(spark, d)), city), fx.vehicle_types(spark))
+    """Points with regions, refined status and vehicle type: one lookup of polygons, one of types."""
+    return with_types(refined(with_regions(envelope_tag(fx.points(spark, d)), fx.boundaries(spark, d))), fx.vehicle_types(spark))
 
 
 def _core_sql(by: str = "") -> str:
@@ -136,7 +160,7 @@ QUERIES = {
     "core_summary": lambda s, d: core_summary(_typed(s, d), fx.boundaries(s, d)),
     "core_summary_daily": lambda s, d: core_summary(_typed(s, d), fx.boundaries(s, d), "day"),
     "regional_breakdown": lambda s, d: regional_breakdown(_typed(s, d), fx.boundaries(s, d)),
-    "spatial_left_zero_fill": lambda s, d: regional_breakdown(_typed(s, d).where("is_disabled AND is_reserved IS NOT NULL AND user_id = 3"), fx.boundaries(s, d)).select("region_type", "region_name", "count_total"),
+    "spatial_left_zero_fill": lambda s, d: regional_breakdown(_typed(s, d).where("is_disabled AND range_m > 9900"), fx.boundaries(s, d)).select("region_type", "region_name", "count_total"),
     "fleet_status": lambda s, d: fleet_status(_typed(s, d)),
     "form_factor_resolve": lambda s, d: _typed(s, d).select("event_id", "form_factor", "use_type"),
     "boundary_layer_summary": lambda s, d: fx.boundaries(s, d).select("region_type", "region_name", F.explode("edges").alias("e")).groupBy("region_type").agg(F.count_distinct("region_name").alias("features"), F.min(F.least("e.x1", "e.x2")).alias("west"), F.max(F.greatest("e.x1", "e.x2")).alias("east"), F.min(F.least("e.y1", "e.y2")).alias("south"), F.max(F.greatest("e.y1", "e.y2")).alias("north")),
@@ -161,7 +185,7 @@ SQL = {
     "regional_breakdown": fx.sql("""SELECT r.region_type, r.region_name, CAST(count(t.event_id) AS BIGINT) AS count_total, CAST(count(*) FILTER (WHERE form_factor = 'bicycle') AS BIGINT) AS count_bike, CAST(count(*) FILTER (WHERE form_factor = 'scooter') AS BIGINT) AS count_scooter
       FROM (SELECT DISTINCT region_type, region_name FROM edges) r LEFT JOIN (SELECT h.*, form_factor FROM hits h JOIN typed USING (event_id) WHERE status = 'core') t USING (region_type, region_name) GROUP BY ALL"""),
     "spatial_left_zero_fill": fx.sql("""SELECT r.region_type, r.region_name, CAST(count(t.event_id) AS BIGINT) AS count_total
-      FROM (SELECT DISTINCT region_type, region_name FROM edges) r LEFT JOIN (SELECT h.* FROM hits h JOIN typed USING (event_id) WHERE status = 'core' AND is_disabled AND is_reserved IS NOT NULL AND user_id = 3) t USING (region_type, region_name) GROUP BY ALL"""),
+      FROM (SELECT DISTINCT region_type, region_name FROM edges) r LEFT JOIN (SELECT h.* FROM hits h JOIN typed USING (event_id) WHERE status = 'core' AND is_disabled AND range_m > 9900) t USING (region_type, region_name) GROUP BY ALL"""),
     "fleet_status": fx.sql("""SELECT form_factor, count(*) FILTER (WHERE st = 'available') AS available, count(*) FILTER (WHERE st = 'reserved') AS reserved, count(*) FILTER (WHERE st = 'out') AS out FROM
       (SELECT *, CASE WHEN coalesce(is_disabled, false) THEN 'out' WHEN coalesce(is_reserved, false) THEN 'reserved' ELSE 'available' END AS st FROM typed) GROUP BY form_factor"""),
     "form_factor_resolve": fx.sql("SELECT event_id, form_factor, use_type FROM typed"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("..operators.spatial", "..operators.fleet", "..operators.cards", "..operators.rollups", "..operators.rentals", "..operators.rides", "..operators.settle", "..operators.community", "..operators.people", ".stored")
+MODULES = ("..operators.spatial", "..operators.fleet", "..operators.cards", "..operators.rollups", "..operators.web", "..operators.rentals", "..operators.rides", "..operators.settle", "..operators.routes", "..operators.community", "..operators.people", ".stored")
 
 QUERIES: dict = {}
 SQL: dict = {}
