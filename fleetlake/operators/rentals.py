@@ -1,6 +1,7 @@
 """Rental episodes, mining filters, pair analysis and the burn model.
 
-All window steps of an episode share one partitioning by vehicle, so they share a shuffle.
+All window steps of an episode, its one grouped pass and the look back to the episode before
+share one partitioning by vehicle, so they share a shuffle.
 """
 
 from __future__ import annotations
@@ -40,18 +41,24 @@ def swap_flag(x: DataFrame) -> DataFrame:
 def episodes(moving: DataFrame) -> DataFrame:
     """One row per rental: last free reading before, settled reading after, ride time and places.
 
-    Free rows of episode e come before rental e + 1. The reading after is the latest of the
-    first five free rows that is not null and not swapped.
+    One grouped pass per (vehicle, episode) gives the ride, the stay after it and the stay's
+    last row, which the next episode takes as what was before it. The reading after is the
+    latest of the first five free rows that is not null and not swapped.
     """
     p = swap_flag(positioned(marked(moving)))
-    free = p.where("NOT reserved")
-    pre = free.where("place = n").select("vehicle", (F.col("episode") + 1).alias("episode"), F.col("us").alias("pre_us"), F.col("range_m").alias("pre_range"), F.col("lat").alias("pre_lat"), F.col("lon").alias("pre_lon"))
-    good = (F.col("place") <= 5) & F.col("range_m").isNotNull() & (F.col("swapped") == 0)
-    post = free.groupBy("vehicle", "episode").agg(
-        F.max_by("range_m", F.when(good, F.struct("us", "event_id"))).alias("post_range"), F.min("us").alias("arrived_us"), F.min_by("lat", F.struct("us", "event_id")).alias("post_lat"), F.min_by("lon", F.struct("us", "event_id")).alias("post_lon"), F.count("*").alias("settled"),
+    free, at = ~F.col("reserved"), F.struct("us", "event_id")
+    good = free & (F.col("place") <= 5) & F.col("range_m").isNotNull() & (F.col("swapped") == 0)
+    first = lambda c: F.min_by(c, F.when(free, at))
+    g = p.groupBy("vehicle", "episode").agg(
+        F.min(F.when(F.col("reserved"), F.col("us"))).alias("departed_us"), F.count_if("reserved").alias("ride_rows"), F.max("type_id").alias("type_id"),
+        F.max_by("range_m", F.when(good, at)).alias("post_range"), F.min(F.when(free, F.col("us"))).alias("arrived_us"), first("lat").alias("post_lat"), first("lon").alias("post_lon"), F.count_if(free).alias("settled"),
+        F.max_by(F.struct("us", "range_m", "lat", "lon"), F.when(free, at)).alias("left"),
+    )
+    g = g.withColumn("pre", F.lag("left").over(Window.partitionBy("vehicle").orderBy("episode")))
+    return g.where("ride_rows > 0 AND settled > 0 AND pre IS NOT NULL").select(
+        "vehicle", "episode", "type_id", "departed_us", "ride_rows", F.col("pre.us").alias("pre_us"), F.col("pre.range_m").alias("pre_range"), F.col("pre.lat").alias("pre_lat"), F.col("pre.lon").alias("pre_lon"),
+        "post_range", "arrived_us", "post_lat", "post_lon", "settled",
     )
-    ride = p.where("reserved").groupBy("vehicle", "episode").agg(F.min("us").alias("departed_us"), F.count("*").alias("ride_rows"))
-    return ride.join(pre, ["vehicle", "episode"]).join(post, ["vehicle", "episode"])
 
 
 def judged(e: DataFrame) -> DataFrame:
@@ -115,14 +122,101 @@ def train_burn_model(obs: DataFrame, features: list[str], label: str = "burn", c
     return Pipeline(stages=[top, hot, vector, LinearRegression(featuresCol="_x", labelCol=label, solver="normal")]).fit(obs)
 
 
+FEATURES = ("km", "climb", "temp", "stale")
+
+
+def observations(s, d) -> DataFrame:  # noqa: ANN001
+    """Usable rentals with what the burn model sees: kilometres, climb, temperature of the hour (12.5 if none is near) and minutes since the reading before."""
+    x = _judged(s, d).where("reason = 'ok'")
+    t = nearest_temperature(x.select("vehicle", "episode", "departed_us"), fx.hourly_temperature(s, d), "departed_us")
+    return x.join(t, ["vehicle", "episode"], "left").select(
+        "vehicle", "episode", "type_id", "departed_us", "burn", (F.col("metres") / 1000).alias("km"), (F.greatest(F.lit(0.0), F.col("post_lat") - F.col("pre_lat")) * 100).alias("climb"),
+        F.coalesce("temp", F.lit(12.5)).alias("temp"), ((F.col("departed_us") - F.col("pre_us")) / 6e7).alias("stale"),
+    )
+
+
+def fit_burn(obs: DataFrame, features: tuple[str, ...] = FEATURES, label: str = "burn", by: str = "type_id") -> dict | None:
+    """Least squares on the features with one offset per vehicle model; None for fewer than 100 rows.
+
+    Sums and products per model come from one grouped aggregate (a row per model reaches the
+    driver); what is left is a system of as many equations as there are features. The default
+    offset is the models' mean, weighted by their rows.
+    """
+    import numpy as np
+
+    n = len(features)
+    cols = [*features, label]
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)] + [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    rows = obs.groupBy(by).agg(F.count("*").alias("n"), *sums).orderBy(by).collect()
+    total = sum(r["n"] for r in rows)
+    if total < 100:
+        return None
+    s = {r[by]: np.array([r[f"s{i}"] for i in range(n + 1)]) for r in rows}
+    p = {r[by]: np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(n + 1)] for i in range(n + 1)]) for r in rows}
+    within = sum(p[r[by]] - np.outer(s[r[by]], s[r[by]]) / r["n"] for r in rows)
+    slope = np.linalg.lstsq(within[:n, :n], within[:n, n], rcond=None)[0]
+    offsets = {r[by]: float((s[r[by]][n] - slope @ s[r[by]][:n]) / r["n"]) for r in rows}
+    residual = float(within[n, n] - slope @ within[:n, n])
+    whole = float(sum(q[n, n] for q in p.values()) - sum(v[n] for v in s.values()) ** 2 / total)
+    return {
+        "slopes": dict(zip(features, map(float, slope))), "offsets": offsets, "default": sum(offsets[r[by]] * r["n"] for r in rows) / total,
+        "r2": 1 - residual / whole, "sigma": (residual / (total - n - len(rows))) ** 0.5, "n": total,
+    }
+
+
+def predicted(model: dict, at: dict[str, Column], by: Column) -> Column:
+    """Burn by the model: its slopes at the given features (those left out count 0) and the model's offset, or the default one."""
+    known = F.create_map(*[x for k, v in model["offsets"].items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(known[by], F.lit(model["default"])) + sum((F.lit(model["slopes"][f]) * c for f, c in at.items()), F.lit(0.0))
+
+
+def burn_model(s, d, hours: int = 1) -> DataFrame:  # noqa: ANN001
+    """Terms of the burn model fitted on all rentals but those of the last hours, and its mean error on these; no rows if it refuses."""
+    obs = observations(s, d)
+    last = F.broadcast(obs.agg((F.max("departed_us") - hours * 3_600_000_000).alias("_start")))  # one row
+    x = obs.crossJoin(last)
+    model = fit_burn(x.where("departed_us < _start"))
+    if model is None:
+        return s.createDataFrame([], "term string, value double")
+    error = F.abs(F.col("burn") - predicted(model, {f: F.col(f) for f in FEATURES}, F.col("type_id")))
+    held = x.where("departed_us >= _start").agg(F.avg(error)).first()[0]
+    rows = [*model["slopes"].items(), *((f"offset_{k}", v) for k, v in model["offsets"].items()), ("offset_default", model["default"]), ("r2", model["r2"]), ("sigma", model["sigma"]), ("n", float(model["n"])), ("held_out_error", held)]
+    return s.createDataFrame(rows, "term string, value double").select("term", F.round("value", 5).alias("value"))
+
+
+def burn_estimates(s, d) -> DataFrame:  # noqa: ANN001
+    """Predicted burn of each usable rental with a fresh reading: the model's offset, a band of one residual spread, all within 0 to 100, and the share that climbing takes."""
+    obs = observations(s, d)
+    model = fit_burn(obs)
+    if model is None:
+        return obs.where("false").select("vehicle", "episode", F.col("burn"), F.col("burn").alias("low"), F.col("burn").alias("high"), F.col("burn").alias("climb_share"))
+    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
+    p = predicted(model, {f: F.col(f) for f in FEATURES if f != "stale"}, F.col("type_id"))
+    band = F.lit(model["sigma"])
+    share = F.when(p > 0, clamp(F.lit(model["slopes"]["climb"]) * F.col("climb") / p * 100))
+    return obs.select("vehicle", "episode", *[F.round(clamp(c), 4).alias(n) for c, n in ((p, "burn"), (p - band, "low"), (p + band, "high"))], F.round(share, 3).alias("climb_share"))
+
+
 def burn_offsets(s, d) -> DataFrame:  # noqa: ANN001
-    """Slope and each model's offset of the burn model over all pairs of readings."""
+    """Slope and each model's offset of the used range over all pairs of readings: distance and dummies alone."""
     fitted = train_burn_model(pair_deltas(M(s, d)).select("type_id", F.col("metres").cast("double"), F.col("used").cast("double")).dropna(), ["metres"], "used")
     line, names = fitted.stages[-1], fitted.stages[0].labels  # as many as there are vehicle models
     rows = [(n, float(line.intercept + (line.coefficients[1 + k] if k + 1 < len(names) else 0.0)), float(line.coefficients[0])) for k, n in enumerate(names)]
     return s.createDataFrame(rows, "type_id string, offset double, slope double").select("type_id", F.round("offset", 3).alias("offset"), F.round("slope", 6).alias("slope"))
 
 
+def idle_noise(s, d) -> DataFrame:  # noqa: ANN001
+    """Per type: range change of idle pairs with its spread and share of zeros, swaps per day, and how often the range rises after a move."""
+    x = pair_deltas(M(s, d))
+    idle, moved = F.col("metres") < 16, F.col("metres") >= 16
+    span = F.broadcast(M(s, d).agg(((F.max("us") - F.min("us")) / 86_400_000_000).alias("days")))  # one row
+    g = x.groupBy("type_id").agg(
+        F.count_if(idle).alias("n"), F.round(F.avg(F.when(idle, F.col("used"))), 4).alias("mean"), F.round(F.stddev_samp(F.when(idle, F.col("used"))), 4).alias("sigma"), F.round(F.count_if(idle & (F.col("used") == 0)) / F.nullif(F.count_if(idle), F.lit(0)), 6).alias("zero_share"),
+        F.count_if(F.col("used") < -SWAP_STEP).alias("_swaps"), F.round(F.count_if(moved & (F.col("used") < 0)) / F.nullif(F.count_if(moved), F.lit(0)), 6).alias("rebound_share"),
+    )
+    return g.crossJoin(span).select("type_id", "n", "mean", "sigma", "zero_share", F.round(F.col("_swaps") / F.col("days"), 4).alias("swaps_per_day"), "rebound_share")
+
+
 def burn_holdout(rides: DataFrame, hours: int = 72, least: int = 100) -> DataFrame:
     """Residual spread of the burn line on earlier rides and its mean error on those of the last ``hours``; one row.
 
@@ -170,11 +264,11 @@ QUERIES = {
     "swap_sticky": lambda s, d: swap_flag(positioned(marked(M(s, d)))).where("NOT reserved").select("event_id", "swapped"),
     "settled_reading": lambda s, d: episodes(M(s, d)).select("vehicle", "episode", "post_range", "settled"),
     "episode_assemble": lambda s, d: episodes(M(s, d)).select("vehicle", "episode", "pre_range", "post_range", "departed_us", "arrived_us", "ride_rows"),
-    "accept_filters": lambda s, d: _judged(s, d).groupBy("reason").agg(F.count("*").alias("n")),
+    "accept_filters": lambda s, d: _judged(s, d).groupBy("reason").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("burn") == 0) / F.count("*"), 6).alias("zero_share")),
     "rebalance_groups": lambda s, d: rebalance_groups(_judged(s, d), 1).groupBy("vehicles").agg(F.count("*").alias("groups")),
     "pair_deltas": lambda s, d: pair_deltas(M(s, d)).select("event_id", "metres", "used"),
     "burn_by_model": lambda s, d: pair_deltas(M(s, d)).groupBy("type_id").agg(F.count("*").alias("n"), F.round(F.avg("used"), 6).alias("mean_used"), F.round(F.avg("metres"), 4).alias("mean_m"), F.count_if(F.col("used") == 0).alias("zeros"), F.round(F.regr_slope("used", "metres"), 6).alias("slope"), F.round(F.regr_r2("used", "metres"), 6).alias("r2")),
-    "idle_noise": lambda s, d: pair_deltas(M(s, d)).where("metres < 16").groupBy("type_id").agg(F.count("*").alias("n"), F.round(F.avg("used"), 4).alias("mean"), F.round(F.stddev_samp("used"), 4).alias("sigma"), F.count_if(F.col("used") == 0).alias("zeros")),
+    "idle_noise": idle_noise,
     "lut_double_join": lambda s, d: lut_double_join(s, d),
     "nearest_temperature": lambda s, d: nearest_temperature(episodes(M(s, d)), fx.hourly_temperature(s, d), "departed_us"),
     "temperature_fallback": lambda s, d: episodes(M(s, d)).select("vehicle", "episode").join(nearest_temperature(episodes(M(s, d)), fx.hourly_temperature(s, d), "departed_us"), ["vehicle", "episode"], "left").select("vehicle", "episode", F.coalesce("temp", F.lit(12.5)).alias("temp")),
@@ -183,10 +277,11 @@ QUERIES = {
     "stops_overlapping": lambda s, d: stops(M(s, d)).where("arrive <= 1704067200000000 + 7200000000 AND (depart IS NULL OR depart >= 1704067200000000 + 3600000000)").select("vehicle", "stop", "arrive", "depart"),
     "feed_start_asof": lambda s, d: feed_start(s, d),
     "mine_rentals": mine_rentals,
-    "fit_burn_model": burn_offsets,
+    "fit_burn_model": burn_model,
+    "burn_offsets": burn_offsets,
     "burn_holdout": lambda s, d: burn_holdout(_judged(s, d).where("reason = 'ok'").select("departed_us", "burn", "metres"), hours=1),  # the view's rides span six hours
     "fit_burn_line": lambda s, d: fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"),
-    "burn_estimate": lambda s, d: burn_estimate(_judged(s, d).where("reason = 'ok'").select("vehicle", "episode", "metres"), fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"), F.lit(6.0)).select("vehicle", "episode", "burn", "low", "high"),
+    "burn_estimate": burn_estimates,
     "arrival_battery": lambda s, d: burn_estimate(_judged(s, d).where("reason = 'ok'").select("vehicle", "episode", "metres", "pre_range"), fit_line(_judged(s, d).where("reason = 'ok'"), "burn", "metres"), F.lit(6.0)).select("vehicle", "episode", F.round(F.col("pre_range") / 364.0 - F.col("high"), 4).alias("worst"), (F.col("pre_range") / 364.0 - F.col("high") >= 10).alias("enough")),
 }
 
@@ -236,17 +331,38 @@ _PAIRS = f"""pd0 AS (SELECT *, lag(us) OVER w AS p_us, lag(lat) OVER w AS p_lat,
 _TEMP = """SELECT vehicle, episode, arg_min(temp, {'a': abs(hour * 3600000000 - departed_us), 'b': hour}) AS temp FROM epi JOIN hourly_temperature ON abs(hour * 3600000000 - departed_us) <= 7200000000 GROUP BY 1, 2"""
 _LINE = "SELECT count(*) AS n, round(regr_slope(burn, metres), 6) AS slope, round(regr_intercept(burn, metres), 4) AS intercept, round(regr_r2(burn, metres), 6) AS r2 FROM jd WHERE reason = 'ok'"
 _P = "(intercept + slope * metres{})"
+_OBS = f"""{_JUDGED}, tm AS ({_TEMP}), ob AS (SELECT jd.vehicle, jd.episode, CAST(CAST(substr(jd.vehicle, 2) AS INT) % 5 + 1 AS VARCHAR) AS type_id, departed_us, burn, metres / 1000 AS km, greatest(0.0::DOUBLE, post_lat - pre_lat) * 100 AS climb, coalesce(temp, 12.5::DOUBLE) AS temp, (departed_us - pre_us) / 6e7 AS stale
+  FROM jd LEFT JOIN tm USING (vehicle, episode) WHERE reason = 'ok')"""
+
+
+def _ols(rows: str) -> str:
+    """CTEs that end in ``md`` (slopes b1 to b4, default offset, fit) and ``mo`` (offsets): features made orthogonal one after the other, then solved backwards."""
+    x = ("km", "climb", "temp", "stale")
+    mean = ", ".join(f"{c} - avg({c}) OVER t AS x{k + 1}" for k, c in enumerate(x))
+    out = [f"o0 AS (SELECT type_id, burn - avg(burn) OVER t AS y, {mean} FROM {rows} WINDOW t AS (PARTITION BY type_id))", "o1 AS (SELECT *, x1 AS z1 FROM o0)"]
+    for k in (2, 3, 4):
+        over = ", ".join(f"sum(x{k} * z{j}) OVER () / sum(z{j} * z{j}) OVER () AS b{k}{j}" for j in range(1, k))
+        out.append(f"o{k} AS (SELECT *, x{k} - " + " - ".join(f"b{k}{j} * z{j}" for j in range(1, k)) + f" AS z{k} FROM (SELECT *, {over} FROM o{k - 1}))")
+    held = ", ".join(f"any_value(b{k}{j}) AS b{k}{j}" for k in (2, 3, 4) for j in range(1, k))
+    out.append("og AS (SELECT " + ", ".join(f"sum(y * z{k}) / sum(z{k} * z{k}) AS g{k}" for k in (1, 2, 3, 4)) + f", {held}, sum(y * y) AS yy, sum(y * z1) * sum(y * z1) / sum(z1 * z1) + sum(y * z2) * sum(y * z2) / sum(z2 * z2) + sum(y * z3) * sum(y * z3) / sum(z3 * z3) + sum(y * z4) * sum(y * z4) / sum(z4 * z4) AS fitted, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT type_id) AS kinds FROM o4)")
+    out.append("ob4 AS (SELECT *, g4 AS b4, g3 - b43 * g4 AS b3 FROM og), ob2 AS (SELECT *, g2 - b32 * b3 - b42 * b4 AS b2 FROM ob4), ob1 AS (SELECT *, g1 - b21 * b2 - b31 * b3 - b41 * b4 AS b1 FROM ob2)")
+    out.append(f"mo AS (SELECT type_id, avg(burn) - any_value(b1) * avg(km) - any_value(b2) * avg(climb) - any_value(b3) * avg(temp) - any_value(b4) * avg(stale) AS offset_t, count(*) AS c FROM {rows}, ob1 GROUP BY 1)")
+    out.append(f"md AS (SELECT *, (SELECT sum(offset_t * c) / sum(c) FROM mo) AS offset_d, 1 - (yy - fitted) / (SELECT sum(burn * burn) - sum(burn) * sum(burn) / count(*) FROM {rows}) AS r2, sqrt((yy - fitted) / (n - 4 - kinds)) AS sigma FROM ob1)")
+    return ", ".join(out)
+
+
 SQL = {
     "episode_label": fx.sql(f"WITH {_MARKED} SELECT event_id, episode FROM m2 /* FROM moving */"),
     "run_position": fx.sql(f"WITH {_MARKED} SELECT event_id, place, n FROM m3 /* FROM moving */"),
     "swap_sticky": fx.sql(f"WITH {_MARKED} SELECT event_id, swapped FROM m4 WHERE NOT reserved"),
     "settled_reading": fx.sql(f"WITH {_EPI} SELECT vehicle, episode, post_range, settled FROM epi"),
     "episode_assemble": fx.sql(f"WITH {_EPI} SELECT vehicle, episode, pre_range, post_range, departed_us, arrived_us, ride_rows FROM epi"),
-    "accept_filters": fx.sql(f"WITH {_JUDGED} SELECT reason, count(*) AS n FROM jd GROUP BY 1"),
+    "accept_filters": fx.sql(f"WITH {_JUDGED} SELECT reason, count(*) AS n, round(count(*) FILTER (WHERE burn = 0) / count(*), 6) AS zero_share FROM jd GROUP BY 1"),
     "rebalance_groups": fx.sql(f"WITH {_JUDGED} SELECT vehicles, count(*) AS groups FROM ({_RB}) GROUP BY 1"),
     "pair_deltas": fx.sql(f"WITH {_PAIRS} SELECT event_id, metres, used FROM pd"),
     "burn_by_model": fx.sql(f"WITH {_PAIRS} SELECT type_id, count(*) AS n, round(avg(used), 6) AS mean_used, round(avg(metres), 4) AS mean_m, count(*) FILTER (WHERE used = 0) AS zeros, round(regr_slope(used, metres), 6) AS slope, round(regr_r2(used, metres), 6) AS r2 FROM pd GROUP BY 1"),
-    "idle_noise": fx.sql(f"WITH {_PAIRS} SELECT type_id, count(*) AS n, round(avg(used), 4) AS mean, round(stddev_samp(used), 4) AS sigma, count(*) FILTER (WHERE used = 0) AS zeros FROM pd WHERE metres < 16 GROUP BY 1"),
+    "idle_noise": fx.sql(f"""WITH {_PAIRS} SELECT type_id, count(*) FILTER (WHERE metres < 16) AS n, round(avg(used) FILTER (WHERE metres < 16), 4) AS mean, round(stddev_samp(used) FILTER (WHERE metres < 16), 4) AS sigma, round(count(*) FILTER (WHERE metres < 16 AND used = 0) / nullif(count(*) FILTER (WHERE metres < 16), 0), 6) AS zero_share,
+      round(count(*) FILTER (WHERE used < -3000) / (SELECT (max(us) - min(us)) / 86400000000.0::DOUBLE FROM moving), 4) AS swaps_per_day, round(count(*) FILTER (WHERE metres >= 16 AND used < 0) / nullif(count(*) FILTER (WHERE metres >= 16), 0), 6) AS rebound_share FROM pd GROUP BY 1"""),
     "lut_double_join": fx.sql("WITH lut AS (SELECT i AS soc_rank, 100 + 327 * i AS m FROM range(100) t(i)), x AS (SELECT event_id, range_m, lag(range_m) OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS prev FROM points) SELECT event_id, a.soc_rank AS rank_now, b.soc_rank AS rank_prev FROM x LEFT JOIN lut a ON range_m = a.m LEFT JOIN lut b ON prev = b.m"),
     "nearest_temperature": fx.sql(f"WITH {_EPI} {_TEMP}"),
     "temperature_fallback": fx.sql(f"WITH {_EPI} SELECT vehicle, episode, coalesce(temp, 12.5::DOUBLE) AS temp FROM epi LEFT JOIN ({_TEMP}) USING (vehicle, episode)"),
@@ -258,13 +374,16 @@ SQL = {
     "feed_start_asof": fx.sql(f"WITH {_EPI} SELECT e.vehicle, episode, arg_max(event_id, {{'a': us, 'b': event_id}}) AS event_id FROM epi e JOIN moving m ON m.vehicle = e.vehicle AND us < departed_us AND us >= departed_us - 1800000000 GROUP BY 1, 2"),
     "mine_rentals": fx.sql(f"""WITH {_JUDGED}, rb AS (SELECT * FROM ({_RB}) WHERE vehicles >= 3), tm AS ({_TEMP}) SELECT vehicle, episode, secs, metres, round(burn, 6) AS burn, temp FROM jd LEFT JOIN tm USING (vehicle, episode)
       WHERE reason = 'ok' AND metres <= secs * 20 AND NOT EXISTS (SELECT 1 FROM rb WHERE a = round_even(pre_lat, 2) AND b = round_even(pre_lon, 2) AND c = round_even(post_lat, 2) AND d = round_even(post_lon, 2) AND t = departed_us // 1200000000)"""),
-    "fit_burn_model": fx.sql(f"""WITH {_PAIRS}, mn AS (SELECT type_id, avg(metres) AS mx, avg(used) AS my FROM pd WHERE metres IS NOT NULL AND used IS NOT NULL GROUP BY 1), sl AS (SELECT sum((metres - mx) * (used - my)) / sum((metres - mx) * (metres - mx)) AS b FROM pd JOIN mn USING (type_id))
+    "burn_offsets": fx.sql(f"""WITH {_PAIRS}, mn AS (SELECT type_id, avg(metres) AS mx, avg(used) AS my FROM pd WHERE metres IS NOT NULL AND used IS NOT NULL GROUP BY 1), sl AS (SELECT sum((metres - mx) * (used - my)) / sum((metres - mx) * (metres - mx)) AS b FROM pd JOIN mn USING (type_id))
       SELECT type_id, round(my - b * mx, 3) AS offset, round(b, 6) AS slope FROM mn, sl"""),
     "fit_burn_line": fx.sql(f"WITH {_JUDGED} {_LINE}"),
     "burn_holdout": fx.sql(f"""WITH {_JUDGED}, ok AS (SELECT burn, metres, departed_us < max(departed_us) OVER () - 3600000000 AS train FROM jd WHERE reason = 'ok'),
       line AS (SELECT CASE WHEN count(*) >= 100 THEN round(regr_slope(burn, metres), 6) END AS slope, CASE WHEN count(*) >= 100 THEN round(regr_intercept(burn, metres), 4) END AS intercept FROM ok WHERE train),
       res AS (SELECT train, burn - (intercept + slope * metres) AS gap FROM ok, line)
       SELECT count(*) FILTER (WHERE train) AS fitted, count(*) FILTER (WHERE NOT train) AS held_out, round(sqrt(sum(gap * gap) FILTER (WHERE train) / (count(*) FILTER (WHERE train) - 2)), 4) AS sigma, round(avg(abs(gap)) FILTER (WHERE NOT train), 4) AS held_out_error FROM res"""),
-    "burn_estimate": fx.sql(f"WITH {_JUDGED} SELECT vehicle, episode, " + ", ".join(f"round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, {_P.format(k)})), 4) AS {a}" for k, a in (("", "burn"), (" - 6.0", "low"), (" + 6.0", "high"))) + f" FROM jd, ({_LINE}) WHERE reason = 'ok'"),
+    "fit_burn_model": fx.sql(f"""WITH {_OBS}, tr AS (SELECT * FROM ob WHERE departed_us < (SELECT max(departed_us) - 3600000000 FROM ob)), {_ols('tr')}, he AS (SELECT avg(abs(burn - (coalesce(offset_t, offset_d) + b1 * km + b2 * climb + b3 * temp + b4 * stale))) AS held FROM ob LEFT JOIN mo USING (type_id), md WHERE departed_us >= (SELECT max(departed_us) - 3600000000 FROM ob))
+      SELECT term, round(value, 5) AS value FROM (SELECT unnest(['km', 'climb', 'temp', 'stale', 'offset_default', 'r2', 'sigma', 'n', 'held_out_error']) AS term, unnest([b1, b2, b3, b4, offset_d, r2, sigma, n, held]) AS value FROM md, he UNION ALL SELECT 'offset_' || type_id, offset_t FROM mo) WHERE (SELECT n FROM md) >= 100"""),
+    "burn_estimate": fx.sql(f"""WITH {_OBS}, {_ols('ob')}, pr AS (SELECT vehicle, episode, climb, b2, sigma, coalesce(offset_t, offset_d) + b1 * km + b2 * climb + b3 * temp AS p FROM ob LEFT JOIN mo USING (type_id), md WHERE n >= 100)
+      SELECT vehicle, episode, """ + ", ".join(f"round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, p{k})), 4) AS {a}" for k, a in (("", "burn"), (" - sigma", "low"), (" + sigma", "high"))) + ", CASE WHEN p > 0 THEN round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, b2 * climb / p * 100)), 3) END AS climb_share FROM pr"),
     "arrival_battery": fx.sql(f"WITH {_JUDGED} SELECT vehicle, episode, round(pre_range / 364.0::DOUBLE - high, 4) AS worst, pre_range / 364.0::DOUBLE - high >= 10 AS enough FROM (SELECT *, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, {_P.format(' + 6.0')})), 4) AS high FROM jd, ({_LINE}) WHERE reason = 'ok')"),
 }

@@ -49,7 +49,8 @@ def with_regions(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
     held = F.transform(F.filter("polygons", holds), lambda g: F.struct(*[g[c].alias(c) for c in own]))
     none = F.expr("filter(array(named_struct({})), g -> false)".format(", ".join(f"'{c}', cast(null as {t})" for c, t in polygons.select(*own).dtypes)) if own else "array()")
-    return x.select(*points.columns, F.coalesce(held, none).alias("regions"))
+    # Through a generator of one element, so that filters and columns above read the list instead of testing the polygons again.
+    return x.select(*points.columns, F.explode(F.array(F.coalesce(held, none))).alias("regions"))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame) -> DataFrame:
