@@ -92,22 +92,22 @@ def test_slow_drift_never_moves_and_rental_freezes():
     assert (a, b, c) == ("rental_start", "in_rental", "failed_start") and state == (39.7, -105.0, False)
 
 
-def test_duplicates_at_0_20_40_minutes(spark):
-    df = spark.createDataFrame([(1, "r", 0), (2, "r", 1_200_000_000), (3, "r", 2_400_000_000), (4, "s", 5)], "event_id long, reporter string, us long")
+def test_a_rejected_report_does_not_start_the_gap_anew(spark):
+    df = spark.createDataFrame([(1, "r", 7), (2, "r", 1_000_000_000), (3, "r", 1_900_000_000), (4, "r", 3_600_000_000), (5, "s", 5)], "event_id long, reporter string, us long")
     got = {r["event_id"]: r["accepted"] for r in community.fold_accepted(df, ["reporter"], 1_800_000_000).collect()}
-    assert got == {1: True, 2: False, 3: True, 4: True}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
 def test_ride_cap_and_even_points(spark, sf_dir):
-    df = spark.createDataFrame([(1, 1, 60, 1), (2, 1, 60, 2), (3, 1, 10, 3)], "entry_id long, source_id long, points long, ts long")
-    assert [r["paid"] for r in community.capped_awards(df).orderBy("entry_id").collect()] == [60, 40, 0]
+    df = spark.createDataFrame([(1, 1, 34, 1), (2, 1, 48, 2), (3, 1, 52, 3), (4, 1, 6, 4)], "entry_id long, source_id long, points long, ts long")
+    assert [r["paid"] for r in community.capped_awards(df).orderBy("entry_id").collect()] == [34, 48, 18, 0]
     assert all(r["paid"] % 2 == 0 for r in catalog.QUERIES["points_ledger"](spark, sf_dir).collect())
 
 
 def test_dwell_peers_ladder(spark):
-    rows = [(f"a{k}", 0, 0, h) for k, h in enumerate([4.0, 5.0, 6.0, 7.0, 8.0, 31.0])] + [("far", 50, 50, 30.0)]
+    rows = [(f"a{k}", 0, 0, h) for k, h in enumerate([2.5, 3.0, 9.0, 10.0, 11.0, 41.0])] + [("far", 50, 50, 30.0)]
     got = {r["vehicle"]: r for r in fleet.dwell_peers(spark.createDataFrame(rows, "vehicle string, q long, r long, hours double")).collect()}
-    assert got["a5"]["median_h"] == 6.5 and got["a5"]["outlier"] and not got["a0"]["outlier"]
+    assert got["a5"]["median_h"] == 9.5 and got["a5"]["outlier"] and not got["a0"]["outlier"]
     assert got["far"]["scope"] == 0
 
 
