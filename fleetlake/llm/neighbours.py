@@ -10,9 +10,11 @@ function of (next projected distance / k-th distance)^2 reaches p.
 Nearness is the largest inner product: with one more component that fills each vector up to
 the largest norm, that is the smallest Euclidean distance, so vectors need not be normalised.
 
-The tree's upper levels are cells fitted on a bounded sample; every row is in the index. A
-query first searches its own cell, and with the k-th distance found there goes on to just
-the cells that the same test cannot rule out. Equal vectors are one class in the index.
+The tree's upper levels are cells fitted on a bounded sample of projected points; every row is
+in the index. A query first searches its own cell, and with the k-th distance found there goes
+on to just the cells that the same test cannot rule out. A cell's points are copied once per
+``QUERY_CHUNK`` queries that come to that cell, and points of a cell without queries not at
+all. Equal vectors are one class in the index.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, that
 have a null vec_id, or whose length is not the most frequent one, take no part; a query with
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .vectors import MOST_CELLS, box_gap2, cell_of, kd_tree, marked, matrix, sample_matrix
+from .vectors import MOST_CELLS, box_gap2, cell_of, kd_tree, marked, matrix, sample_points
 
 M = 8
 P = 0.98
@@ -143,8 +145,7 @@ def nearest(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, m
     n, most2 = classes.agg(F.count("*"), F.max(norm2)).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = sample_matrix(classes, n)
-    d = sample.shape[1]
+    d = len(classes.select("v").first()["v"])
     reach = chi2_quantile(p, m)
     stable = np.random.default_rng(SEED).standard_normal((d + 1, m))
 
@@ -152,7 +153,8 @@ def nearest(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, m
         more = np.sqrt(np.maximum(0.0, most2 - (x * x).sum(axis=1))) if fill else np.zeros(len(x))
         return x @ stable[:d] + more[:, None] * stable[d]
 
-    tree = kd_tree(project(sample, True), min(n / CELL, MOST_CELLS, len(sample) / 8))
+    sample = sample_points(classes, n, lambda x: project(x, True))
+    tree = kd_tree(sample, min(n / CELL, MOST_CELLS, len(sample) / 8))
     kind = classes.schema["v"].dataType.simpleString()
 
     def place(batches):  # noqa: ANN001, ANN202
@@ -167,31 +169,29 @@ def nearest(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, m
     cells = points.groupBy("cell").agg(F.count("*").alias("n"), *ends).orderBy("cell").collect()  # at most MOST_CELLS rows
     numbers = np.array([r["cell"] for r in cells], np.int32)
     low, high = (np.array([[r[f"{s}{j}"] for j in range(m)] for r in cells]) for s in ("lo", "hi"))
-    parts = spark.createDataFrame([(int(r["cell"]), max(1, round(r["n"] / CELL)) if r["n"] > 2 * CELL else 1) for r in cells], "cell int, parts int")
-    n_chunks = max(1, -(-asked.count() // QUERY_CHUNK))
+    parts = F.broadcast(spark.createDataFrame([(int(r["cell"]), max(1, round(r["n"] / CELL)) if r["n"] > 2 * CELL else 1) for r in cells], "cell int, parts int"))  # MOST_CELLS rows
     dealt = points.join(parts, "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("part"), "id", "v")
-    dealt = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
 
     def route(first: bool):  # noqa: ANN202
         def run(batches):  # noqa: ANN001, ANN202
-            for batch in batches:
-                x = matrix(batch.column(1))
-                if not len(x):
-                    continue
-                gap = box_gap2(*(2 * [project(x, False)]), low, high)
-                home = gap.argmin(axis=1)
-                if first:
-                    to = np.zeros_like(gap, bool)
-                    to[np.arange(len(x)), home] = True
-                    best2 = np.full(len(x), np.inf)
-                else:
-                    best2 = batch.column(2).to_numpy(zero_copy_only=False)
-                    to = ~ruled_out(gap, best2[:, None], reach)
-                    to[np.arange(len(x)), home] = False
-                i, c = np.nonzero(to)
-                for at in range(0, len(i), 4096):  # a query may go to many cells: small results
-                    j = pa.array(i[at : at + 4096])
-                    yield pa.record_batch([batch.column(0).take(j), batch.column(1).take(j), pa.array(numbers[c[at : at + 4096]]), pa.array(best2[i[at : at + 4096]])], names=["id", "v", "cell", "best2"])
+            for whole in batches:
+                for start in range(0, whole.num_rows, 256):  # rows x cells stays small
+                    batch = whole.slice(start, 256)
+                    x = matrix(batch.column(1))
+                    gap = box_gap2(*(2 * [project(x, False)]), low, high)
+                    home = gap.argmin(axis=1)
+                    if first:
+                        to = np.zeros_like(gap, bool)
+                        to[np.arange(len(x)), home] = True
+                        best2 = np.full(len(x), np.inf)
+                    else:
+                        best2 = batch.column(2).to_numpy(zero_copy_only=False)
+                        to = ~ruled_out(gap, best2[:, None], reach)
+                        to[np.arange(len(x)), home] = False
+                    i, c = np.nonzero(to)
+                    for at in range(0, len(i), 4096):  # a query may go to many cells: small results
+                        j = pa.array(i[at : at + 4096])
+                        yield pa.record_batch([batch.column(0).take(j), batch.column(1).take(j), pa.array(numbers[c[at : at + 4096]]), pa.array(best2[i[at : at + 4096]])], names=["id", "v", "cell", "best2"])
 
         return run
 
@@ -207,8 +207,12 @@ def nearest(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, m
         return pa.table([pa.array(c) for c in cols], names=["asking", "id", "score"])
 
     def visited(queries: DataFrame) -> DataFrame:
-        queries = queries.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(n_chunks)).cast("int"))
-        return dealt.groupBy("cell", "part", "chunk").cogroup(queries.groupBy("cell", "part", "chunk")).applyInArrow(visit, "asking long, id long, score double")
+        queries = cut(queries)
+        chunks = F.broadcast(queries.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks")))  # MOST_CELLS rows
+        asked_ = queries.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(chunks, "cell")
+        asked_ = asked_.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(9)), F.col("chunks")).cast("int"))
+        held = dealt.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "part", "chunk", "id", "v")
+        return held.groupBy("cell", "part", "chunk").cogroup(asked_.select("cell", "part", "chunk", "id", "v", "best2").groupBy("cell", "part", "chunk")).applyInArrow(visit, "asking long, id long, score double")
 
     asking = classes.where("asked").select("id", "v")
     routed = f"id long, v {kind}, cell int, best2 double"

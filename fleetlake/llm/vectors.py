@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,8 +13,8 @@ from .common import hash_sample
 
 #: Vectors that rotations, projections' cells and tiles are fitted on at most.
 SAMPLE = 16_384
-#: Cells at most; beyond, a cell's rows are split by a hash into tiles, whose number follows the rows.
-MOST_CELLS = 2_048
+#: Points of few dimensions that the cells are fitted on at most, and cells at most; beyond, a cell's rows are split by a hash, into parts whose number follows the rows.
+CELL_SAMPLE, MOST_CELLS = 131_072, 16_384
 
 
 def marked(vectors: DataFrame) -> DataFrame:
@@ -43,6 +45,19 @@ def sample_matrix(classes: DataFrame, rows: int, bound: int = SAMPLE) -> np.ndar
     return matrix(hash_sample(classes, "id", bound, rows).select("v").toArrow().column("v"))
 
 
+def sample_points(classes: DataFrame, rows: int, to: Callable[[np.ndarray], np.ndarray], bound: int = CELL_SAMPLE) -> np.ndarray:
+    """At most ``bound`` vectors of ``classes(id, v)`` as the points of few dimensions that ``to`` makes of them."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            x = matrix(batch.column(0))
+            if len(x):
+                px = to(x)
+                yield pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(px.ravel()), px.shape[1]).cast(pa.list_(pa.float64()))], names=["px"])
+
+    return matrix(hash_sample(classes, "id", bound, rows).select("v").mapInArrow(run, "px array<double>").toArrow().column("px"))
+
+
 def kd_tree(points: np.ndarray, cells: int) -> list[tuple[int, float]]:
     """Median splits of the points, level by level; node k has children 2k+1 and 2k+2, leaves are the cells."""
     depth = max(0, round(np.log2(max(1.0, cells))))
