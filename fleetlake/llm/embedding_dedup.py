@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, merge_labels, table
-from .vectors import MOST_CELLS, box_gap2, cell_of, kd_tree, marked, matrix, sample_matrix
+from .vectors import MOST_CELLS, box_gap2, cell_of, kd_tree, marked, matrix, sample_matrix, sample_points
 
 #: Classes that a tile holds on average; a cell of more than twice as many is split by a hash.
 TILE = 6_144
@@ -88,16 +88,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         return alone
     sample = sample_matrix(classes, n)
     turn = rotation(sample)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    tree = kd_tree((unit @ turn)[:, :BOX], min(n / TILE, MOST_CELLS, len(sample) / 8))
     box = min(BOX, turn.shape[1])
 
+    def leading(x: np.ndarray) -> np.ndarray:
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn[:, :box]
+
+    points = sample_points(classes, n, leading)
+    tree = kd_tree(points, min(n / TILE, MOST_CELLS, len(points) / 8))
+
     def place(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             x = matrix(batch.column(2))
             if not len(x):
                 continue
-            lead = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn[:, :box]
+            lead = leading(x)
             yield pa.record_batch([*batch.columns, pa.array(cell_of(lead, tree).astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(lead.ravel()), box).cast(pa.list_(pa.float64()))], names=["id", "w", "v", "cell", "lead"])
 
     kind = classes.schema["v"].dataType.simpleString()
@@ -105,13 +109,22 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     ends = [f(F.col("lead")[k]).alias(f"{s}{k}") for k in range(box) for f, s in ((F.min, "lo"), (F.max, "hi"))]
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), *ends).orderBy("cell").collect()  # at most MOST_CELLS rows
     low, high = (np.array([[r[f"{s}{k}"] for k in range(box)] for r in cells]) for s in ("lo", "hi"))
-    near = box_gap2(low, high, low, high) <= 2 - 2 * threshold + _SLACK
     parts = [max(1, round(r["n"] / TILE)) if r["n"] > 2 * TILE else 1 for r in cells]
-    tiles = spark.createDataFrame([(int(r["cell"]), p) for r, p in zip(cells, parts)], "cell int, parts int")
-    beside = spark.createDataFrame([(int(cells[i]["cell"]), [int(cells[j]["cell"]) for j in np.flatnonzero(near[i])]) for i in range(len(cells))], "cell int, others array<int>")
+    numbers = np.array([r["cell"] for r in cells], np.int32)
+    tiles = spark.createDataFrame([(int(c), p) for c, p in zip(numbers, parts)], "cell int, parts int")
+
+    def near(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            own = np.searchsorted(numbers, batch.column(0).to_numpy())
+            for at in range(0, len(own), 64):  # cells x cells in slices
+                some = own[at : at + 64]
+                i, j = np.nonzero(box_gap2(low[some], high[some], low, high) <= 2 - 2 * threshold + _SLACK)
+                yield pa.record_batch([pa.array(numbers[some[i]]), pa.array(numbers[j])], names=["cell", "other"])
+
+    beside = tiles.repartition(max(1, len(cells) // 256)).select("cell").mapInArrow(near, "cell int, other int")
     tiles = tiles.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = (
-        tiles.join(beside, "cell").select(F.struct("cell", "part").alias("lo"), F.explode("others").alias("other"))
+        tiles.join(beside, "cell").select(F.struct("cell", "part").alias("lo"), "other")
         .join(tiles.select(F.col("cell").alias("other"), F.col("part").alias("other_part")), "other")
         .select("lo", F.struct(F.col("other").alias("cell"), F.col("other_part").alias("part")).alias("hi")).where("lo <= hi")
     )
