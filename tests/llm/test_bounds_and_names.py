@@ -202,3 +202,26 @@ def test_operators_replace_columns_of_their_names(spark, sf_dir, tmp_path):
     assert dict(out.dtypes)["slot"] == "bigint" and out.count() == len(ODD) and out.where("block = 'own'").count() == len(ODD)
     assert mixing.mix(odd).columns == odd.columns
     assert quality.classify(odd, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("source"), F.col("size")).count() == len(ODD)
+
+
+def test_edited_license_bodies_are_found(spark):
+    import random
+
+    from fleetlake.llm import license_scan as ls
+
+    rnd, rows, want = random.Random(3), [], {}
+    bodies = [(n, t) for n, t in ls.TEMPLATES if len(t.split()) > 60]
+    for k in range(200):
+        name, text = bodies[k % len(bodies)]
+        words = text.split()
+        for _ in range(len(words) // 60):
+            words[rnd.randrange(len(words))] = f"edit{rnd.randrange(99)}"
+        rows.append((k, " ".join(["some", "prose"] * rnd.randrange(60) + words + ["more", "of", "it"] * rnd.randrange(40))))
+        want[k] = name
+    got = ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["license"]) for r in got if r["part_of"] is None}
+    assert sum((k, n) in found for k, n in want.items()) > 190
+    # One body within another is marked; a body of two clauses is not taken for one of three.
+    two, three = (next(t for n, t in ls.TEMPLATES if n == f"BSD-{c}-Clause" and len(t) > 200) for c in (2, 3))
+    rows = ls.scan(spark.createDataFrame([(2, two), (3, three)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"]) for r in rows if r["part_of"] is None} == {(2, "BSD-2-Clause"), (3, "BSD-3-Clause")}
