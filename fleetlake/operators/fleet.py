@@ -230,14 +230,14 @@ QUERIES = {
     "archive_day_chunks": lambda s, d: fx.load(s, d, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"), F.expr("INTERVAL 1 DAY"))).alias("day")),
     "minute_coarsen": lambda s, d: fx.load(s, d, "events").select("event_id", (F.floor(fx.micros("ts") / 60_000_000) * 60_000).cast("long").alias("minute_ms")),
     "catalog_seed": lambda s, d: fx.points(s, d).groupBy("vehicle", "type_id").agg(F.max(F.when(F.col("event_id") % 9 == 0, F.col("is_disabled"))).alias("basket")).select("vehicle", F.coalesce("basket", F.col("type_id").isin("2", "4")).alias("basket")),
-    "reclassify_cohort": lambda s, d: fx.points(s, d).join(F.broadcast(fx.load(s, d, "supplier").select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("vehicle"), F.lit(True).alias("hit"))), "vehicle", "left").select("event_id", F.when(F.col("hit") & (F.col("type_id") == "5"), "rover").otherwise(F.col("type_id")).alias("type_id")),
+    "reclassify_cohort": lambda s, d: fx.points(s, d).join(fx.load(s, d, "supplier").select(F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("vehicle"), F.lit(True).alias("hit")), "vehicle", "left").select("event_id", F.when(F.col("hit") & (F.col("type_id") == "5"), "rover").otherwise(F.col("type_id")).alias("type_id")),
 }
 
 
 def feed_rows(s, d) -> DataFrame:  # noqa: ANN001
-    """Feed files as JSON text per day, parsed with a schema and flattened to one row per bike."""
+    """Feed files of at most 2,000 bikes of a day as JSON text, parsed with a schema and flattened to one row per bike."""
     bike = F.struct(F.col("device_id").alias("bike_id"), "lat", "lon", F.col("type_id").alias("vehicle_type_id"))
-    text = fx.points(s, d).groupBy("day").agg(F.to_json(F.struct(F.unix_timestamp(F.col("day").cast("timestamp")).alias("last_updated"), F.struct(F.collect_list(bike).alias("bikes")).alias("data"))).alias("body"))
+    text = fx.points(s, d).groupBy("day", F.expr("event_id div 2000")).agg(F.to_json(F.struct(F.unix_timestamp(F.col("day").cast("timestamp")).alias("last_updated"), F.struct(F.collect_list(bike).alias("bikes")).alias("data"))).alias("body"))
     schema = "last_updated long, data struct<bikes: array<struct<bike_id: string, id: string, lat: double, lon: double, vehicle_type_id: string>>>"
     x = text.select(F.from_json("body", schema).alias("f")).select("f.last_updated", F.explode("f.data.bikes").alias("b"))
     return x.select("last_updated", F.coalesce("b.bike_id", "b.id").alias("bike_id"), "b.lat", "b.lon", "b.vehicle_type_id")

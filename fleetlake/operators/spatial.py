@@ -91,7 +91,7 @@ def refine_status(tagged: DataFrame, city: DataFrame) -> DataFrame:
 
 def with_types(points: DataFrame, types: DataFrame) -> DataFrame:
     """Form factor and use type by vehicle type; an unknown type gives form factor "unknown"."""
-    return points.join(F.broadcast(types), "type_id", "left").withColumn("form_factor", F.coalesce("form_factor", F.lit("unknown")))
+    return points.join(types, "type_id", "left").withColumn("form_factor", F.coalesce("form_factor", F.lit("unknown")))
 
 
 def core_summary(points: DataFrame, polygons: DataFrame, *by: str) -> DataFrame:

@@ -98,30 +98,42 @@ def way_tables(s, d) -> DataFrame:  # noqa: ANN001
 
 
 def cycle_counts(s, d) -> DataFrame:  # noqa: ANN001
-    """Feed files, one per cycle, through the cycle stream; points by cycle and refined status."""
+    """Feed files of at most 2,000 bikes, eight per micro-batch, through the cycle stream; points by feed time and refined status."""
     feed, out, check = io.scratch(s), io.scratch(s), io.scratch(s)
     bike = F.struct(F.col("device_id").alias("bike_id"), "lat", "lon", F.col("type_id").alias("vehicle_type_id"))
     body = F.struct(F.unix_timestamp(F.col("day").cast("timestamp")).alias("last_updated"), F.struct(F.collect_list(bike).alias("bikes")).alias("data"))
-    fx.points(s, d).groupBy("day").agg(F.to_json(body).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(feed)
+    fx.points(s, d).groupBy("day", F.expr("event_id div 2000")).agg(F.to_json(body).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(feed)
 
     def store(name: str, frame: DataFrame, number: int) -> None:
         if name == "points":
             frame.write.mode("overwrite").parquet(f"{out}/cycle={number}")  # a batch that runs again replaces its own
 
-    streams.cycle_stream(s, feed, fx.boundaries(s, d), store, check, files_per_cycle=1_000).awaitTermination()
+    streams.cycle_stream(s, feed, fx.boundaries(s, d), store, check, files_per_cycle=8).awaitTermination()
     return s.read.parquet(out).groupBy("last_updated", "status").agg(F.count("*").alias("n"))
 
 
-def sla_windows(s, d) -> DataFrame:  # noqa: ANN001
-    """The local morning average as a stream: the last state of each day."""
-    out, check = io.scratch(s), io.scratch(s)
+def _last_states(stream: DataFrame) -> DataFrame:
+    """What an updating stream has put out, batch by batch, for what is there now."""
+    spark = stream.sparkSession
+    out, check = io.scratch(spark), io.scratch(spark)
 
     def store(frame: DataFrame, number: int) -> None:
         frame.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = streams.sla_stream(_staged(fx.points(s, d)))
     stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    x = s.read.parquet(out).groupBy("local_day").agg(F.max_by(F.struct("n", "avg_range"), "batch").alias("x"))
+    return spark.read.parquet(out)
+
+
+def hourly_windows(s, d) -> DataFrame:  # noqa: ANN001
+    """Counts per hour as a stream: the last state of each hour."""
+    x = _last_states(streams.hourly_status_stream(_staged(fx.points(s, d).withColumn("ts", F.col("ts").cast("timestamp")))))
+    x = x.groupBy("hour").agg(F.max_by(F.struct("n", "disabled"), "batch").alias("x"))
+    return x.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "x.n", "x.disabled")
+
+
+def sla_windows(s, d) -> DataFrame:  # noqa: ANN001
+    """The local morning average as a stream: the last state of each day."""
+    x = _last_states(streams.sla_stream(_staged(fx.points(s, d)))).groupBy("local_day").agg(F.max_by(F.struct("n", "avg_range"), "batch").alias("x"))
     return x.select("local_day", "x.n", F.round("x.avg_range", 6).alias("avg_range"))
 
 
@@ -161,6 +173,7 @@ QUERIES = {
     "edge_attribute_tables": way_tables,
     "cycle_stream": cycle_counts,
     "sla_window_stream": sla_windows,
+    "hourly_status_stream": hourly_windows,
     "dedupe_reports_stream": reports_stream,
 }
 
@@ -177,5 +190,6 @@ SQL = {
     "edge_attribute_tables": fx.sql("SELECT * FROM ways"),
     "cycle_stream": fx.sql("SELECT CAST(epoch(day) AS BIGINT) AS last_updated, status, count(*) AS n FROM refined GROUP BY 1, 2"),
     "sla_window_stream": fx.sql(f"SELECT local_day, n, avg_range FROM ({rollups._SLA})"),
+    "hourly_status_stream": fx.sql("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (WHERE is_disabled) AS disabled FROM points GROUP BY 1"),
     "dedupe_reports_stream": community.SQL["report_dedupe_30min"],
 }

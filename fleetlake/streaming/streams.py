@@ -44,11 +44,6 @@ def sla_stream(points: DataFrame, delay: str = "1 hour") -> DataFrame:
     return x.where("hour(l) >= 6 AND hour(l) < 9").groupBy(F.window("l", "1 day")).agg(F.count("*").alias("n"), F.avg("range_m").alias("avg_range")).select(F.col("window.start").cast("date").alias("local_day"), "n", "avg_range")
 
 
-def dedupe_reports(reports: DataFrame, delay: str = "30 minutes") -> DataFrame:
-    """The first report of each (reporter, vehicle, type) within the watermark."""
-    return reports.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["reporter", "vehicle", "report_type"])
-
-
 def accepted_reports_stream(reports: DataFrame, gap_us: int) -> DataFrame:
     """``accepted``: reports at least ``gap_us`` after the last accepted one of their key; that time is the state.
 
