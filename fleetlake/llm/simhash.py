@@ -165,13 +165,14 @@ def ring_keys(classes: DataFrame, ring: Ring) -> DataFrame:
     return classes.select("fp", "id", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "fp", "id")
 
 
-def _forest(ids: np.ndarray, group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _forest(ids: np.ndarray, group: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links inside the groups (equal neighbours in ``group``).
 
     ``near(p, q)`` says which of the position pairs are links. Pairs that are already
-    connected are not compared, and a group that is one component is left.
+    connected (``labels``, the least position of each set, may say so from the start) are not
+    compared, and a group that is one component is left.
     """
-    n, labels = len(ids), np.arange(len(ids))
+    n, labels = len(ids), np.arange(len(ids)) if labels is None else labels
     at, d, first = np.arange(n), 0, np.searchsorted(group, group)
     while len(at):
         d += 1
@@ -318,6 +319,16 @@ def _wide_links(classes: DataFrame, distance: int, chunk: int) -> DataFrame:
     return _grouped_links(keyed.join(shared, ["start", "key"]), _FPS, lambda _, words: _wide_near(words, distance), chunk)
 
 
+def _candidate_links(classes: DataFrame, distance: int, chunk: int) -> DataFrame:
+    """Edges that connect at least what :func:`_wide_links` does: under anchors of more than ``chunk`` rows all are tied to one of them, in one pass."""
+    keyed = classes.select(*_FPS, "id", F.posexplode("anchors").alias("start", "key"))
+    counts = cut(keyed.groupBy("start", "key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"))
+    few = keyed.join(counts.where(F.col("n") <= chunk).select("start", "key"), ["start", "key"])
+    links = _grouped_links(few, _FPS, lambda _, words: _wide_near(words, distance), chunk)
+    many = keyed.join(counts.where(F.col("n") > chunk), ["start", "key"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return links.unionByName(many)
+
+
 def _components(marked: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(links)
     component = classes.join(found, classes.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
@@ -340,8 +351,10 @@ def wide_groups(docs: DataFrame, distance: int = WIDE_DISTANCE, shingle: int = 5
 def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least: float, distance: int, shingle: int, held: int) -> DataFrame:
     """Edges inside the candidate ``groups(node, component)`` whose shingle sets have a similarity of ``least`` or more.
 
-    A group's texts meet once, whatever anchors brought them together. Groups of more than
-    ``held`` hashes are dealt as pairs of chunks.
+    A group's texts meet once, whatever anchors brought them together. In a group of more than
+    ``held`` hashes each text is first held against one of them; what is linked to that one is
+    connected, and only the others then meet the whole group, dealt as pairs of chunks. So a
+    large group of near copies costs one pass.
     """
     wanted = classes.join(groups, classes.id == groups.node).select("id", "component", F.col("digest").alias("want"), *_FPS)
 
@@ -353,16 +366,8 @@ def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least:
             yield pa.record_batch([*rest.columns, pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=[*rest.schema.names, "n", "own"]).filter(fits)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").select("component", "id", "want", *_FPS, "text")
-    schema = "component long, id long, " + ", ".join(f"{f} long" for f in _FPS) + ", n long, own binary"
-    rows = cut(texts.mapInArrow(sets, schema))
-    crowded = rows.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > held).select("component", F.ceil(F.col("total") / (held / 2)).cast("int").alias("parts"))
-    dealt = (
-        rows.join(crowded, "component", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64("id", F.lit(17)), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("component", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", *_FPS, "own")
-    )
+    row = "component long, id long, " + ", ".join(f"{f} long" for f in _FPS) + ", n long, own binary"
+    rows = cut(texts.mapInArrow(sets, row))
 
     def found(t: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("own")]
@@ -375,9 +380,36 @@ def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least:
             out[at] = [similarity(own[i], own[j]) >= least for i, j in zip(p[at].tolist(), q[at].tolist())]
             return out
 
-        return _forest(t.column("id").to_numpy(), group, near)
+        tied = t.column("tied").to_numpy(zero_copy_only=False).astype(bool)
+        labels, first = np.arange(len(own)), {}
+        for k in np.flatnonzero(tied).tolist():  # one set per group from the start
+            labels[k] = first.setdefault(int(group[k]), k)
+        return _forest(t.column("id").to_numpy(), group, near, labels)
+
+    parts = lambda c: F.ceil(F.col(c) / (held / 2)).cast("int")
+    crowded = cut(rows.groupBy("component").agg(F.sum("n").alias("total"), F.min("id").alias("pivot")).where(F.col("total") > held))
+    whole = rows.join(crowded.select("component"), "component", "left_anti").select(*rows.columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("tied"))
+    if crowded.isEmpty():
+        return _links_by_group(whole, ["component", "i", "j"], found)
+    # First pass over crowded groups: each text against the group's first one.
+    kept = [*rows.columns, "pivot"]
+    pivots = rows.join(crowded, (rows.component == crowded.component) & (F.col("id") == F.col("pivot"))).groupBy(crowded.component, "pivot").agg(F.first("own").alias("pivot_own"))
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            close = [similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= least for a, b in zip(batch.column("own"), batch.column("pivot_own"))]
+            rest = batch.select(kept)
+            yield pa.record_batch([*rest.columns, pa.array(close, pa.bool_())], names=[*rest.schema.names, "tied"])
 
-    return _links_by_group(dealt, ["component", "lo", "hi"], found)
+    large = cut(rows.join(pivots, "component").mapInArrow(tie, row + ", pivot long, tied boolean"))
+    stars = large.where("tied AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    # Second pass: the others against all of their group.
+    sizes = large.groupBy("component").agg(F.sum("n").alias("all"), F.sum(F.when(~F.col("tied"), F.col("n")).otherwise(0)).alias("loose"))
+    x = large.join(sizes.where("loose > 0").select("component", parts("all").alias("all"), parts("loose").alias("loose")), "component")
+    one, every = F.pmod(F.xxhash64("id", F.lit(17)), F.col("loose")).cast("int"), F.pmod(F.xxhash64("id", F.lit(19)), F.col("all")).cast("int")
+    left = x.where("NOT tied").select(*rows.columns, one.alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), "tied")
+    right = x.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("loose") - 1)).alias("i"), every.alias("j"), "tied")
+    return _links_by_group(whole.unionByName(left).unionByName(right), ["component", "i", "j"], found).unionByName(stars)
 
 
 def similar_groups(docs: DataFrame, least: float = LEAST, shingle: int = 5, chunk: int = 4096, held: int = HELD) -> DataFrame:
@@ -389,7 +421,7 @@ def similar_groups(docs: DataFrame, least: float = LEAST, shingle: int = 5, chun
     anchors and 0.0001 by the bits (4 against 5 shingles, the worst case).
     """
     marked, classes = _sketched(docs, shingle)
-    groups = connected_components(_wide_links(classes, CANDIDATE_DISTANCE, chunk))
+    groups = connected_components(_candidate_links(classes, CANDIDATE_DISTANCE, chunk))
     return _components(marked, classes, _exact_links(docs, classes, groups, least, CANDIDATE_DISTANCE, shingle, held))
 
 

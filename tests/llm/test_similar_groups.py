@@ -82,3 +82,23 @@ def test_three_stages_equal_exact_brute_force(spark, sf_dir):
         out = stage(spark, out, sf_dir)
     assert Counter(r["doc_id"] for r in out.select("doc_id").collect()) == Counter(want.keys())
     assert len(want) < len(texts)
+
+
+@pytest.mark.parametrize("chunk, held", [(4, 500), (4096, 3000), (3, simhash.HELD)])
+def test_crowded_anchors_and_groups_lose_no_link(spark, chunk, held):
+    rnd, texts = random.Random(4), {}
+    base = [f"w{rnd.randrange(900)}" for _ in range(120)]
+    for k in range(60):  # near copies of one text, some of them edited on in chains that leave it
+        words = list(base)
+        for _ in range(2):
+            words[rnd.randrange(120)] = f"x{k}"
+        texts[k] = " ".join(words)
+    for k in range(60, 90):
+        words = texts[rnd.randrange(k)].split()
+        for _ in range(4):
+            words[rnd.randrange(120)] = f"y{k}"
+        texts[k] = " ".join(words)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame, chunk=chunk, held=held).collect()}
+    want = exact_groups(texts)
+    assert got == want and len(set(want.values())) > 1
