@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +36,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+
+
+_SCOPE: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
+
+
+@contextmanager
+def scoped_cuts(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables cut inside when the block ends; for work whose result is then stored and reread."""
+    made: list[str] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
 def write_cut(df: DataFrame) -> str:
     """Write ``df`` as Parquet into the shared folder and return the path."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
+    if (made := _SCOPE.get()) is not None:
+        made.append(path)
     return path
 
 
@@ -70,7 +96,8 @@ def hash_sample(df: DataFrame, id_col: str, bound: int, rows: int) -> DataFrame:
         return df
     share = int(0.9 * bound / rows * (1 << 30))
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30))
-    return df.where(h < share).orderBy(h, id_col).limit(bound)
+    some = df.where(h < share)
+    return some if some.count() <= bound else some.orderBy(h, id_col).limit(bound)
 
 
 def labelled_sample(docs: DataFrame, known: DataFrame, bound: int) -> DataFrame:

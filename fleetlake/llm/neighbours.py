@@ -19,7 +19,8 @@ all. Equal vectors are one class in the index.
 Defined results: vectors that are null, zero, or hold null or non-finite components, that
 have a null vec_id, or whose length is not the most frequent one, take no part; a query with
 fewer candidates than ``k`` gets all of them; ties go to the smaller vec_id; repeated rows
-with one vec_id count as one vector if they are equal; an empty table gives an empty result.
+with one vec_id count as one vector if they are equal, and as several, each with results of its
+own as a query, if they differ; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -133,3 +133,14 @@ def test_texts_of_all_shingle_counts():
         assert words.shape == (simhash.WIDE,) and anchors.shape == (simhash.ANCHORS,)
         by_words[words.tobytes()].append(n)
     assert len(by_words) == 6
+
+
+def test_run_leaves_one_table_behind(spark, sf_dir):
+    import os
+
+    from fleetlake.llm.common import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = {f for f in os.listdir(shared_dir(spark)) if f not in before}
+    assert len(left) == 1 and out.count() > 0
