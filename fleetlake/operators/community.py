@@ -191,10 +191,13 @@ def equity(s, d) -> DataFrame:  # noqa: ANN001
 
 
 def regions_desc(s, d) -> DataFrame:  # noqa: ANN001
-    """Regions by count, most first."""
-    from .spatial import QUERIES as Q
+    """Regions by the count of the latest snapshot, most first."""
+    from . import spatial
 
-    return Q["regional_breakdown"](s, d).where("region_type = 'neighborhood'").orderBy(F.desc("count_total"), "region_name").limit(10).select("region_name", "count_total")
+    x = spatial._typed(s, d)
+    last = F.broadcast(fx.points(s, d).agg(F.max("day").alias("_last")))  # one row
+    now = x.crossJoin(last).where("day = _last")
+    return spatial.regional_breakdown(now, fx.boundaries(s, d)).where("region_type = 'neighborhood'").orderBy(F.desc("count_total"), "region_name").select("region_name", "count_total")
 
 
 _EARN = "SELECT {by} account_id, CAST(sum(points) AS BIGINT) AS points, min(ts) AS first_at FROM user_points WHERE status = 'confirmed' GROUP BY ALL"
@@ -242,7 +245,8 @@ def _from_spatial() -> None:
     from .spatial import SQL as S
 
     SQL["equity_estimate"] = f"SELECT day, er1_count + er2_count + er3_count AS n, round((er1_count + er2_count + er3_count) * 100.0::DOUBLE / nullif(total_count, 0), 4) AS pct FROM ({S['core_summary_daily']}) ORDER BY day DESC LIMIT 1"
-    SQL["regions_desc"] = f"SELECT region_name, count_total FROM ({S['regional_breakdown']}) WHERE region_type = 'neighborhood' ORDER BY count_total DESC, region_name LIMIT 10"
+    SQL["regions_desc"] = fx.sql("""SELECT r.region_name, CAST(count(t.event_id) AS BIGINT) AS count_total FROM (SELECT DISTINCT region_name FROM edges WHERE region_type = 'neighborhood') r
+      LEFT JOIN (SELECT h.event_id, region_name FROM hits h JOIN typed USING (event_id) WHERE region_type = 'neighborhood' AND status = 'core' AND day = (SELECT max(day) FROM points)) t USING (region_name) GROUP BY 1""")
 
 
 _from_spatial()

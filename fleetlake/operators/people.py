@@ -310,7 +310,6 @@ QUERIES = {
     "display_name_compose": _names,
     "monthly_report_export": lambda s, d: report_export(fx.device_reports(s, d), fx.discount_reports(s, d)),
     "address_match": _addresses,
-    "address_points_load": lambda s, d: address_points(_address_rows(s, d))[0],
     "address_streets": lambda s, d: address_points(_address_rows(s, d))[1],
 }
 
@@ -370,8 +369,9 @@ SQL = {
       m AS (SELECT b.*, address_id, direction, kind, coalesce(direction = dd, false) AS hd FROM b JOIN a USING (word, number)),
       n AS (SELECT *, coalesce(kind = kk, false) AS hk FROM m QUALIFY hd OR NOT bool_or(hd) OVER (PARTITION BY query_id))
       SELECT query_id, address_id, tier, edits FROM (SELECT *, bool_or(hk) OVER (PARTITION BY query_id) AS ak FROM n) WHERE hk OR NOT ak""",
-    "address_points_load": f"""WITH r AS (SELECT DISTINCT {_WORD} AS street, CASE WHEN p_partkey % 19 <> 0 THEN p_partkey % 500 END AS number, CASE WHEN p_partkey % 23 <> 0 THEN 39.6::DOUBLE + (p_partkey % 300) * 0.001::DOUBLE END AS lat, -105.2::DOUBLE + (p_partkey % 600) * 0.001::DOUBLE AS lon FROM part)
-      SELECT street_id, number, lat, lon FROM r JOIN (SELECT street, row_number() OVER (ORDER BY street) AS street_id FROM (SELECT DISTINCT street FROM r WHERE street <> '' AND number IS NOT NULL AND lat IS NOT NULL)) USING (street) WHERE number IS NOT NULL AND lat IS NOT NULL""",
     "address_streets": f"""WITH r AS (SELECT DISTINCT {_WORD} AS street, CASE WHEN p_partkey % 19 <> 0 THEN p_partkey % 500 END AS number, CASE WHEN p_partkey % 23 <> 0 THEN 39.6::DOUBLE + (p_partkey % 300) * 0.001::DOUBLE END AS lat, -105.2::DOUBLE + (p_partkey % 600) * 0.001::DOUBLE AS lon FROM part)
       SELECT street, count(*) AS points, row_number() OVER (ORDER BY street) AS street_id FROM r WHERE street <> '' AND number IS NOT NULL AND lat IS NOT NULL GROUP BY 1""",
 }
+#: SQL of the points alone; their query reads pages (``plans/stored.py``).
+POINTS_SQL = f"""WITH r AS (SELECT DISTINCT {_WORD} AS street, CASE WHEN p_partkey % 19 <> 0 THEN p_partkey % 500 END AS number, CASE WHEN p_partkey % 23 <> 0 THEN 39.6::DOUBLE + (p_partkey % 300) * 0.001::DOUBLE END AS lat, -105.2::DOUBLE + (p_partkey % 600) * 0.001::DOUBLE AS lon FROM part)
+      SELECT street_id, number, lat, lon FROM r JOIN (SELECT street, row_number() OVER (ORDER BY street) AS street_id FROM (SELECT DISTINCT street FROM r WHERE street <> '' AND number IS NOT NULL AND lat IS NOT NULL)) USING (street) WHERE number IS NOT NULL AND lat IS NOT NULL"""

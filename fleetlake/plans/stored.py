@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import community, rollups, spatial
+from ..operators import community, people, rollups, spatial
 from ..registry import GROUPS
 from ..sources import fixtures as fx
 from ..sources import io
@@ -88,6 +88,13 @@ def temperatures(s, d) -> DataFrame:  # noqa: ANN001
     return io.hourly_from_arrays(x.select(F.col("e.hour").alias("time"), F.col("e.temp").alias("temperature")))
 
 
+def address_pages(s, d) -> DataFrame:  # noqa: ANN001
+    """Address records as pages of JSON of at most a thousand, read back with a schema."""
+    path, rows = io.scratch(s), people._address_rows(s, d)
+    rows.write.option("maxRecordsPerFile", 1_000).json(path)
+    return s.read.schema(rows.schema).json(path)
+
+
 def way_tables(s, d) -> DataFrame:  # noqa: ANN001
     """Way attributes through a compressed CSV that has unusable rows among them."""
     path, ways = io.scratch(s), fx.ways(s, d)
@@ -171,6 +178,7 @@ QUERIES = {
     "swap_if_complete": swap_if_complete,
     "hourly_temps_from_arrays": temperatures,
     "edge_attribute_tables": way_tables,
+    "address_points_load": lambda s, d: people.address_points(address_pages(s, d))[0],
     "cycle_stream": cycle_counts,
     "sla_window_stream": sla_windows,
     "hourly_status_stream": hourly_windows,
@@ -188,6 +196,7 @@ SQL = {
     "swap_if_complete": fx.sql("SELECT * FROM ways"),
     "hourly_temps_from_arrays": fx.sql('SELECT hour AS "time", temp AS temperature FROM hourly_temperature WHERE hour % 5 <> 0'),
     "edge_attribute_tables": fx.sql("SELECT * FROM ways"),
+    "address_points_load": people.POINTS_SQL,
     "cycle_stream": fx.sql("SELECT CAST(epoch(day) AS BIGINT) AS last_updated, status, count(*) AS n FROM refined GROUP BY 1, 2"),
     "sla_window_stream": fx.sql(f"SELECT local_day, n, avg_range FROM ({rollups._SLA})"),
     "hourly_status_stream": fx.sql("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (WHERE is_disabled) AS disabled FROM points GROUP BY 1"),
