@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, license_scan, line_dedup, mixing, neighbours, quality, sharding, simhash, toxicity
+from . import bpe, embedding_dedup, license_scan, line_dedup, merkle, mixing, neighbours, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_quality": quality.query,
     "op10_mixing": mixing.query,
+    "op11_merkle": merkle.query,
 }
 
-SQL = {"op3_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op3_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL}
