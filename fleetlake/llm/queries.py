@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, license_scan, line_dedup, merkle, mixing, neighbours, quality, sharding, simhash, toxicity
+from . import bpe, decontaminate, embedding_dedup, license_scan, line_dedup, merkle, mixing, neighbours, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_mixing": mixing.query,
     "op11_merkle": merkle.query,
+    "op12_decontamination": decontaminate.query,
 }
 
-SQL = {"op3_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL}
+SQL = {"op3_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL, "op12_decontamination": decontaminate.SQL}
