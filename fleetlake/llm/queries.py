@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embedding_dedup, license_scan, line_dedup, merkle, mixing, neighbours, quality, sharding, simhash, toxicity
+from . import bpe, decontaminate, embedding_dedup, license_scan, line_dedup, merkle, mixing, neighbours, quality, sharding, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "op11_merkle": merkle.query,
     "op12_decontamination": decontaminate.query,
+    "op13_whitening": whitening.query,
 }
 
 SQL = {"op3_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL, "op12_decontamination": decontaminate.SQL}
