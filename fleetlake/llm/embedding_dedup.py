@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, merge_labels, table
-from .vectors import MOST_CELLS, box_gap2, cell_of, kd_tree, marked, matrix, sample_matrix, sample_points
+from .vectors import MOST_CELLS, box_gap2, cell_of, kd_tree, marked, matrix, sample_matrix, sample_points, scaled
 
 #: Classes that a tile holds on average; a cell of more than twice as many is split by a hash.
 TILE = 6_144
@@ -36,6 +36,7 @@ _SLACK = 1e-4  # single precision of the bounds; links themselves are decided in
 
 def rotation(sample: np.ndarray) -> np.ndarray:
     """Orthonormal columns, most variance first, of unit vectors."""
+    sample = scaled(sample)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     values, vectors = np.linalg.eigh(unit.T @ unit)
     return vectors[:, np.argsort(-values, kind="stable")]
@@ -47,6 +48,7 @@ def _suffix(turned: np.ndarray, k: int) -> np.ndarray:
 
 def tile_links(a: np.ndarray, b: np.ndarray | None, turn: np.ndarray, threshold: float, block: int = 1024):
     """Yield position pairs (i, j) with cosine >= threshold between rows of a and b; with b None, i < j within a."""
+    a, b = scaled(a), None if b is None else scaled(b)
     unit_a = a / np.linalg.norm(a, axis=1, keepdims=True)
     unit_b = unit_a if b is None else b / np.linalg.norm(b, axis=1, keepdims=True)
     d = a.shape[1]
@@ -91,6 +93,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     box = min(BOX, turn.shape[1])
 
     def leading(x: np.ndarray) -> np.ndarray:
+        x = scaled(x)
         return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn[:, :box]
 
     points = sample_points(classes, n, leading)

@@ -46,7 +46,8 @@ BUCKETS = 1 << 16
 MOST_EVIDENCE = 12.0
 _RUN = re.compile(r"(.)\1\1+")
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-Þ]+"), re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"\d+")
-_MEMO = 300_000
+#: Tokens that are remembered, and how long those are at most; longer ones are read anew each time.
+_MEMO, _SHORT = 300_000, 64
 
 
 def bucket(feature: str) -> int:
@@ -56,7 +57,7 @@ def bucket(feature: str) -> int:
 
 def shape(token: str) -> str:
     """A token with its letters and digits as classes and runs of equal signs cut to two: Are. is Aa., OF!!! is A!!"""
-    return _RUN.sub(r"\1\1", _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", token[:64]))))
+    return _RUN.sub(r"\1\1", _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", token))))
 
 
 class Features:
@@ -68,9 +69,11 @@ class Features:
     def token(self, token: str) -> tuple[int, int]:
         found = self._memo.get(token)
         if found is None:
-            if len(self._memo) >= _MEMO:
-                self._memo.clear()
-            found = self._memo[token] = (bucket("w" + token.lower()), bucket("s" + shape(token)))
+            found = bucket("w" + token.lower()), bucket("s" + shape(token))
+            if len(token) <= _SHORT:
+                if len(self._memo) >= _MEMO:
+                    self._memo.clear()
+                self._memo[token] = found
         return found
 
     def of(self, text: str | None) -> dict[int, float]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, merge_labels, table
+from .common import connected_components, cut, free, merge_labels, table
 
 SEED = 42
 #: Wide sketches: 64-bit words of the fingerprint, anchors of a text, and least shingles joined in one anchor.
@@ -47,6 +47,8 @@ WIDE_DISTANCE = 47
 LEAST, CANDIDATE_DISTANCE = 0.8, 72
 #: Shingle hashes of the texts that one task compares at a time, about (32 MB).
 HELD = 1 << 22
+#: Bytes of sets that stand for crowded parts and are broadcast at most.
+PIVOT_BYTES = 32 << 20
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = (np.random.default_rng(SEED).integers(0, 1 << 63, WIDE + ANCHORS * JOINED, np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -292,7 +294,12 @@ _FPS = [f"f{k}" for k in range(WIDE)]
 
 
 def _sketched(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, digest, <fps>, anchors)`` per document, and one row with the least ``id`` per shingle set."""
+    """``(doc_id, mark, digest, <fps>, anchors)`` per document, and one row per shingle set.
+
+    ``mark`` is a hash of the text, which tells apart texts of one doc_id. A class, a shingle
+    set that occurs under some doc_id, has a number ``id`` of its own (fixed as the table is
+    written) and ``first``, the least (doc_id, mark) that it occurs under.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,11 +311,12 @@ def _sketched(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
             anchors = np.array([m[1] for m in made], np.uint64).reshape(-1, ANCHORS).view(np.int64)
             held = pa.FixedSizeListArray.from_arrays(pa.array(anchors.ravel()), ANCHORS).cast(pa.list_(pa.int64()))
             digests = pa.array([m[2] for m in made], pa.binary())
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), digests, *(pa.array(words[:, k]) for k in range(WIDE)), held], names=["doc_id", "digest", *_FPS, "anchors"])
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), digests, *(pa.array(words[:, k]) for k in range(WIDE)), held], names=["doc_id", "mark", "digest", *_FPS, "anchors"])
 
-    schema = "doc_id long, digest binary, " + ", ".join(f"{f} long" for f in _FPS) + ", anchors array<long>"
-    marked = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
-    return marked, cut(marked.groupBy("digest", *_FPS, "anchors").agg(F.min("doc_id").alias("id")).where("id is not null"))
+    schema = "doc_id long, mark long, digest binary, " + ", ".join(f"{f} long" for f in _FPS) + ", anchors array<long>"
+    marked = cut(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, schema))
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
+    return marked, cut(marked.groupBy("digest", *_FPS, "anchors").agg(first.alias("first")).where("first is not null").withColumn("id", F.monotonically_increasing_id()))
 
 
 def _wide_links(classes: DataFrame, distance: int, chunk: int) -> DataFrame:
@@ -330,9 +338,11 @@ def _candidate_links(classes: DataFrame, distance: int, chunk: int) -> DataFrame
 
 
 def _components(marked: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(doc_id, mark, kept)`` per document: ``kept`` is the least (doc_id, mark) of its component, null for texts without ids."""
     found = connected_components(links)
-    component = classes.join(found, classes.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(component, "digest", "left").select("doc_id", "component_id")
+    joined = classes.join(found, classes.id == found.node, "left").select("digest", "first", F.coalesce("component", "id").alias("root"))
+    kept = joined.join(joined.groupBy("root").agg(F.min("first").alias("kept")), "root").select("digest", "kept")
+    return marked.join(kept, "digest", "left").select("doc_id", "mark", "kept")
 
 
 def wide_groups(docs: DataFrame, distance: int = WIDE_DISTANCE, shingle: int = 5, chunk: int = 4096) -> DataFrame:
@@ -345,27 +355,63 @@ def wide_groups(docs: DataFrame, distance: int = WIDE_DISTANCE, shingle: int = 5
     with probability 0.001. Null ids, empty texts and repeated rows as in :func:`near_duplicates`.
     """
     marked, classes = _sketched(docs, shingle)
-    return _components(marked, classes, _wide_links(classes, distance, chunk))
+    return _components(marked, classes, _wide_links(classes, distance, chunk)).select("doc_id", F.col("kept.doc_id").alias("component_id"))
+
+
+def _refined(rows: DataFrame, least: float) -> DataFrame:
+    """``(id, part)``: ``rows(component, id, n, own)`` in parts of their groups outside of which they have no partner; rows without any are left out.
+
+    Take the shingles of each set from the rarest of the group to the most frequent one. Two
+    sets of similarity t or more have t / (1 + t) of their sizes together in common, so the
+    first n - ceil(2 t n / (1 + t)) + 1 shingles of the smaller set and the first
+    n - ceil(t n) + 1 of the larger one share one (prefix filtering; Bayardo et al., "Scaling
+    Up All Pairs Similarity Search", 2007). Texts that have a frequent passage in common and
+    are less alike differ in rare shingles, which fill the prefixes and are shared by none, so
+    such a group falls apart at a cost that grows with its size alone.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                h = np.frombuffer(batch.column(3)[k].as_py(), np.uint64).view(np.int64)
+                yield pa.record_batch([pa.repeat(batch.column(c)[k], len(h)) for c in range(3)] + [pa.array(h)], names=["component", "id", "n", "h"])
+
+    shingles = rows.select("component", "id", "n", "own").mapInArrow(each, "component long, id long, n long, h long")
+    shared = shingles.groupBy("component", "h").agg(F.count("*").alias("texts")).where("texts > 1")
+    own = shingles.join(shared, ["component", "h"]).groupBy("component", "id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "h"))).alias("common"))
+    # Shingles of one text alone come first and take up places.
+    alone = F.col("n") - F.size("common")
+    places = lambda share: (F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1 - alone).cast("int")
+    own = own.withColumn("places", places(least)).withColumn("inner", places(2 * least / (1 + least))).where("places > 0")
+    prefix = own.select("component", "id", "inner", F.posexplode(F.slice("common", F.lit(1), F.col("places"))).alias("at", "c"))
+    prefix = cut(prefix.select("component", "id", "c.h", (F.col("at") < F.col("inner")).alias("short")))
+    one = prefix.groupBy("component", "h").agg(F.min(F.when(F.col("short"), F.col("id"))).alias("b"), F.count("*").alias("texts")).where("texts > 1 AND b is not null")
+    parts = connected_components(prefix.join(one, ["component", "h"]).select(F.col("id").alias("a"), "b"))
+    return parts.select(F.col("node").alias("id"), F.col("component").alias("part"))
 
 
 def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least: float, distance: int, shingle: int, held: int) -> DataFrame:
     """Edges inside the candidate ``groups(node, component)`` whose shingle sets have a similarity of ``least`` or more.
 
-    A group's texts meet once, whatever anchors brought them together. In a group of more than
-    ``held`` hashes each text is first held against one of them; what is linked to that one is
-    connected, and only the others then meet the whole group, dealt as pairs of chunks. So a
-    large group of near copies costs one pass.
+    A group's texts meet once, whatever anchors brought them together. Groups of more than
+    ``held`` hashes first fall into the parts of :func:`_refined`. In a part that is still as
+    large each text is held against one of them; what is linked to that one is connected, and
+    only the others then meet the whole part, dealt as pairs of chunks. So a large group of
+    near copies costs one pass, and one that shares a frequent passage costs no pairs.
     """
-    wanted = classes.join(groups, classes.id == groups.node).select("id", "component", F.col("digest").alias("want"), *_FPS)
+    wanted = classes.join(groups, classes.id == groups.node).select("id", "component", "first.*", F.col("digest").alias("want"), *_FPS)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
-            fits = pa.array([set_digest(s) == w.as_py() for s, w in zip(own, batch.column("want"))], pa.bool_())  # a repeated id can have several texts
+            fits = pa.array([set_digest(s) == w.as_py() for s, w in zip(own, batch.column("want"))], pa.bool_())  # two texts of an id can share a mark
             rest = batch.select(["component", "id", *_FPS])
             yield pa.record_batch([*rest.columns, pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=[*rest.schema.names, "n", "own"]).filter(fits)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").select("component", "id", "want", *_FPS, "text")
+    own_text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    if own_text.where("doc_id is not null").groupBy("doc_id", "mark").count().where("count > 1").limit(1).count():
+        own_text = own_text.dropDuplicates(["doc_id", "mark"])
+    texts = own_text.join(wanted, ["doc_id", "mark"]).select("component", "id", "want", *_FPS, "text")
     row = "component long, id long, " + ", ".join(f"{f} long" for f in _FPS) + ", n long, own binary"
     rows = cut(texts.mapInArrow(sets, row))
 
@@ -387,11 +433,19 @@ def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least:
         return _forest(t.column("id").to_numpy(), group, near, labels)
 
     parts = lambda c: F.ceil(F.col(c) / (held / 2)).cast("int")
-    crowded = cut(rows.groupBy("component").agg(F.sum("n").alias("total"), F.min("id").alias("pivot")).where(F.col("total") > held))
-    whole = rows.join(crowded.select("component"), "component", "left_anti").select(*rows.columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("tied"))
+    sums = lambda x: cut(x.groupBy("component").agg(F.sum("n").alias("total"), F.min("id").alias("pivot")).where(F.col("total") > held))
+    plain = lambda x: x.select(*rows.columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("tied"))
+    crowded = sums(rows)
+    whole = plain(rows.join(crowded.select("component"), "component", "left_anti"))
+    if crowded.isEmpty():
+        return _links_by_group(whole, ["component", "i", "j"], found)
+    large = rows.join(crowded.select("component"), "component", "left_semi")
+    rows = cut(large.join(_refined(large, least), "id").withColumn("component", F.col("part")).select(*rows.columns))
+    crowded = sums(rows)
+    whole = whole.unionByName(plain(rows.join(crowded.select("component"), "component", "left_anti")))
     if crowded.isEmpty():
         return _links_by_group(whole, ["component", "i", "j"], found)
-    # First pass over crowded groups: each text against the group's first one.
+    # First pass over crowded parts: each text against the part's first one.
     kept = [*rows.columns, "pivot"]
     pivots = rows.join(crowded, (rows.component == crowded.component) & (F.col("id") == F.col("pivot"))).groupBy(crowded.component, "pivot").agg(F.first("own").alias("pivot_own"))
 
@@ -401,7 +455,9 @@ def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least:
             rest = batch.select(kept)
             yield pa.record_batch([*rest.columns, pa.array(close, pa.bool_())], names=[*rest.schema.names, "tied"])
 
-    large = cut(rows.join(pivots, "component").mapInArrow(tie, row + ", pivot long, tied boolean"))
+    pivots = cut(pivots)
+    small = pivots.agg(F.sum(F.octet_length("pivot_own") + 64)).first()[0] <= PIVOT_BYTES
+    large = cut(rows.join(F.broadcast(pivots) if small else pivots, "component").mapInArrow(tie, row + ", pivot long, tied boolean"))
     stars = large.where("tied AND id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     # Second pass: the others against all of their group.
     sizes = large.groupBy("component").agg(F.sum("n").alias("all"), F.sum(F.when(~F.col("tied"), F.col("n")).otherwise(0)).alias("loose"))
@@ -412,8 +468,8 @@ def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least:
     return _links_by_group(whole.unionByName(left).unionByName(right), ["component", "i", "j"], found).unionByName(stars)
 
 
-def similar_groups(docs: DataFrame, least: float = LEAST, shingle: int = 5, chunk: int = 4096, held: int = HELD) -> DataFrame:
-    """One row ``(doc_id, component_id)`` per document; links have a similarity of ``least`` or more.
+def _similar(docs: DataFrame, least: float, shingle: int, chunk: int, held: int) -> DataFrame:
+    """``(doc_id, mark, kept)`` as in :func:`_components`; links have a similarity of ``least`` or more.
 
     The estimate of :func:`wide_groups`, with the wider ``CANDIDATE_DISTANCE``, only finds
     groups of candidates; inside each, pairs are linked on their shingle sets (64-bit hashes).
@@ -425,17 +481,23 @@ def similar_groups(docs: DataFrame, least: float = LEAST, shingle: int = 5, chun
     return _components(marked, classes, _exact_links(docs, classes, groups, least, CANDIDATE_DISTANCE, shingle, held))
 
 
-def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """The documents without near copies: of each group the row with the least doc_id stays, once.
+def similar_groups(docs: DataFrame, least: float = LEAST, shingle: int = 5, chunk: int = 4096, held: int = HELD) -> DataFrame:
+    """``(doc_id, component_id)``, one row per document: the least doc_id of its :func:`_similar` component."""
+    return _similar(docs, least, shingle, chunk, held).select("doc_id", F.col("kept.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, least: float = LEAST, shingle: int = 5, chunk: int = 4096, held: int = HELD) -> DataFrame:
+    """The documents without near copies: of each group the text with the least doc_id stays, once.
 
-    ``groups(doc_id, component_id)`` comes from :func:`similar_groups` (the default),
-    :func:`wide_groups` or :func:`near_duplicates`. Rows without a doc_id stay. Of repeated rows with the same
-    doc_id, one stays.
+    Rows without a doc_id stay. Of rows with one doc_id, equal texts and near copies stay
+    once, and each text that is like no other stays.
     """
-    groups = similar_groups(docs) if groups is None else groups
-    least = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    groups = _similar(docs, least, shingle, chunk, held)
+    own, mark = free(docs, "_id"), free(docs, "_mark")
+    kept = groups.where((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("mark") == F.col("kept.mark"))).select(F.col("doc_id").alias(own), F.col("mark").alias(mark)).distinct()
+    x = docs.where(F.col("doc_id").isNotNull()).withColumn(own, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64("text"))
+    x = x.join(kept, [own, mark], "left_semi").dropDuplicates([own, mark])
+    return x.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

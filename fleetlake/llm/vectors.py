@@ -40,6 +40,11 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest components are 0.5 to 1 in size; digits stay as they are and squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0, keepdims=True))[1])
+
+
 def sample_matrix(classes: DataFrame, rows: int, bound: int = SAMPLE) -> np.ndarray:
     """At most ``bound`` vectors of ``classes(id, v)``, the same ones in each run."""
     return matrix(hash_sample(classes, "id", bound, rows).select("v").toArrow().column("v"))

@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_pipeline import shingles
 from test_text_operators import brute_lines
@@ -102,3 +103,65 @@ def test_crowded_anchors_and_groups_lose_no_link(spark, chunk, held):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame, chunk=chunk, held=held).collect()}
     want = exact_groups(texts)
     assert got == want and len(set(want.values())) > 1
+
+
+def brute_keep(rows):
+    """(doc_id, text) rows that stay: nodes are different (doc_id, text) pairs, of each component one with the least doc_id."""
+    nodes = sorted({r for r in rows if r[0] is not None}, key=str)
+    groups = exact_groups({k: text for k, (_, text) in enumerate(nodes)})
+    parts = {}
+    for k, (d, text) in enumerate(nodes):
+        parts.setdefault(groups[k], []).append((d, text))
+    return [{r for r in part if r[0] == min(d for d, _ in part)} for part in parts.values()]
+
+
+@pytest.mark.parametrize("held", [simhash.HELD, 300])
+def test_repeated_ids_lose_no_text(spark, edited, held):
+    near, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(40))
+    rows = [(3, near), (5, near + " end"), (5, other), (5, other.upper()), (5, other), (None, other), (None, other), (6, None), (6, "")]
+    rnd = random.Random(3)
+    rows += [(100 + rnd.randrange(40), t) for t in edited.values()]  # ids that stand over texts of different groups
+    given = rows if held == simhash.HELD else rows[::-1]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(given, "doc_id long, text string"), held=held).collect()]
+    assert kept.count((None, other)) == 2
+    left, want = [k for k in kept if k[0] is not None], brute_keep(rows)
+    assert len(left) == len(want) and all(sum(k in part for k in left) == 1 for part in want)
+    assert (3, near) in left and any(k[0] == 5 and k[1].lower() == other for k in left)
+
+
+def test_frequent_passages_cost_no_pairs(spark):
+    rnd = random.Random(8)
+    shared = [f"s{k}" for k in range(140)]
+    texts = {k: " ".join(shared + [f"u{k}x{j}" for j in range(30)]) for k in range(300)}  # similarity 0.69
+    for k in range(300, 330):  # near copies of some of them
+        words = texts[rnd.randrange(300)].split()
+        words[rnd.randrange(170)] = f"z{k}"
+        texts[k] = " ".join(words)
+    sets = {d: np.sort(simhash.shingle_set(t)) for d, t in texts.items()}
+    rows = spark.createDataFrame([(0, d, len(s), bytearray(s.tobytes())) for d, s in sets.items()], "component long, id long, n long, own binary")
+    parts = {r["id"]: r["part"] for r in simhash._refined(rows, 0.8).collect()}
+    want = exact_groups(texts)
+    size = Counter(want.values())
+    assert all(parts[d] == parts[c] for d, c in want.items() if size[c] > 1)  # no link is parted
+    compared = sum(n * (n - 1) // 2 for n in Counter(parts.values()).values())
+    assert compared < 200  # of 54,285 pairs of the group
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), held=2000).collect()}
+    assert got == want
+
+
+def test_prefixes_part_no_pair_of_just_enough(spark):
+    # Sets of 4 to 40 shingles at exactly or just below 0.8.
+    rnd, rows, sets = random.Random(2), [], {}
+    for k in range(150):
+        n = rnd.choice((4, 5, 9, 10, 20, 40))
+        base = rnd.sample(range(1, 400), n)
+        for j in range(3):
+            own = set(base)
+            for _ in range(rnd.choice((0, 1, n // 10, n // 9))):
+                own.remove(rnd.choice(sorted(own)))
+                own.add(rnd.randrange(1, 400)) if rnd.random() < 0.5 else None
+            sets[k * 3 + j] = own
+            rows.append((k % 2, k * 3 + j, len(own), bytearray(np.array(sorted(own), np.uint64).tobytes())))
+    parts = {r["id"]: r["part"] for r in simhash._refined(spark.createDataFrame(rows, "component long, id long, n long, own binary"), 0.8).collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and a // 3 % 2 == b // 3 % 2 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 100 and all(parts[a] == parts[b] for a, b in pairs)
