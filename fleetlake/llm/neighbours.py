@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .vectors import MOST_CELLS, box_gap2, cell_of, kd_tree, marked, matrix, sample_points
 
-M = 8
-P = 0.98
+#: Projected dimensions and the probability of the stopping test: on the given tables 0.95 of the nearest are found, and 55 to 70 % of the
+#: candidates verified (8 and 0.98: 0.98 and 80 to 85 %).
+M = 16
+P = 0.95
 SEED = 20
 #: Classes that a cell holds on average (more than twice as many are split), and a leaf in it.
 CELL = 4_096
@@ -93,10 +95,11 @@ def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np
     """For each query the k best (position, score) of x; ``best2`` is a k-th distance known before, or infinity.
 
     Leaves come in the order of their distance, 8 first, then twice as many at a time; those
-    that the test rules out by then, and all behind them, are never looked at.
+    that the test rules out by then, and all behind them, are never looked at. Of the others'
+    points those are verified that the test, for their own projected distance, leaves open.
     """
     tree = Leaves(px)
-    x, ids = x[tree.order], ids[tree.order]
+    x, ids, px = x[tree.order], ids[tree.order], px[tree.order]
     gaps = box_gap2(pq, pq, tree.low, tree.high)
     orders = np.argsort(gaps, axis=1, kind="stable")
     for at in range(len(q)):
@@ -110,6 +113,8 @@ def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np
             chosen = np.zeros(len(order), bool)
             chosen[order[n : min(n + step, stop)]] = True
             i = np.flatnonzero(chosen[tree.leaf_of])
+            if limit < np.inf:
+                i = i[~ruled_out(((px[i] - pq[at]) ** 2).sum(axis=1), limit, reach)]
             s = x[i] @ q[at]
             if len(found_s) == k:  # only what reaches the k-th score can enter
                 enter = s >= found_s[-1]

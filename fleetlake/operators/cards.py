@@ -3,16 +3,24 @@
 The snapshot is each vehicle's latest sample; its time is that of the latest of all. Reports
 and trips of the day before it are filtered by that one time and then meet vehicles by
 equi-joins, so no vehicle pairs its history.
+
+What all of this rests on, the stops of each vehicle (one ordered fold) and the snapshot with
+the state that follows from them, is computed once and stored (:func:`stage`); dwell of peers,
+reports and cells read the stored tables. Hours are compared as measured and rounded only in
+what is put out.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources import fixtures as fx
-from . import fleet, rides
+from ..sources import io
+from . import fleet, rides, spatial
 from .rollups import local
 
 DAY_US = 86_400_000_000
@@ -68,31 +76,39 @@ def reliability_tier(failed: Column, dwell_h: Column, designation: Column, repor
     return F.when(high, "high_risk").when(unknown, "unknown").otherwise("ok")
 
 
-def device_state(samples: DataFrame) -> DataFrame:
+def stops(samples: DataFrame) -> DataFrame:
+    """Stops of the followed vehicles (those with a plate) in time order."""
+    return rides.stop_intervals(rides.vehicle_states(samples.where("plate IS NOT NULL")))
+
+
+def device_state(stops: DataFrame) -> DataFrame:
     """``(vehicle, first_us, failed)``: since when each followed vehicle stands where it stands, and failed starts there."""
-    stops = rides.stop_intervals(rides.vehicle_states(samples.where("plate IS NOT NULL")))
     return stops.where("depart IS NULL").select("vehicle", F.col("arrive").alias("first_us"), "failed")
 
 
-def trips(samples: DataFrame) -> DataFrame:
+def trips(stops: DataFrame) -> DataFrame:
     """``(vehicle, us, lat, lon)``: arrival of each trip and the place that it came from."""
-    stops = rides.stop_intervals(rides.vehicle_states(samples.where("plate IS NOT NULL")))
     return stops.where("depart IS NOT NULL").select("vehicle", F.col("depart").alias("us"), "lat", "lon")
 
 
+def latest(samples: DataFrame) -> DataFrame:
+    """Each vehicle's latest sample."""
+    rest = F.struct(*[c for c in samples.columns if c != "vehicle"])
+    return samples.groupBy("vehicle").agg(F.max_by(rest, F.struct("us", "event_id")).alias("s")).select("vehicle", "s.*")
+
+
 def snapshot(samples: DataFrame) -> DataFrame:
     """Each vehicle's latest sample with ``now``, the latest time of all (one row, sent to every task)."""
-    rest = F.struct(*[c for c in samples.columns if c != "vehicle"])
-    last = samples.groupBy("vehicle").agg(F.max_by(rest, F.struct("us", "event_id")).alias("s")).select("vehicle", "s.*")
-    return last.crossJoin(F.broadcast(samples.agg(F.max("us").alias("now"))))
+    return latest(samples).crossJoin(F.broadcast(samples.agg(F.max("us").alias("now"))))
 
 
 def reports(samples: DataFrame) -> DataFrame:
-    """Negative reports of two kinds at the vehicle's place: typed ones on errors, plain ones on high values."""
+    """Negative reports of two kinds at the vehicle's place, in one pass: typed ones on errors, plain ones on high values."""
     cell = geo.hex_name(geo.hex_cell(F.col("lat"), F.col("lon"), 10)).alias("cell")
     kind = F.element_at(F.array(*map(F.lit, fx.REPORT_TYPES)), (F.col("event_id") % 5 + 1).cast("int"))
-    typed = samples.where("is_disabled").select("vehicle", "us", cell, kind.alias("report_type"))
-    return typed.unionByName(samples.where("value > 95").select("vehicle", "us", cell, F.lit(None).cast("string").alias("report_type")))
+    typed, plain = F.struct(F.coalesce("is_disabled", F.lit(False)).alias("made"), kind.alias("type")), F.struct(F.coalesce(F.col("value") > 95, F.lit(False)).alias("made"), F.lit(None).cast("string").alias("type"))
+    made = samples.select("vehicle", "us", cell, F.explode(F.filter(F.array(typed, plain), lambda r: r["made"])).alias("r"))
+    return made.select("vehicle", "us", "cell", F.col("r.type").alias("report_type"))
 
 
 def with_reported(devices: DataFrame, reports: DataFrame) -> DataFrame:
@@ -115,29 +131,46 @@ def stays(devices: DataFrame) -> DataFrame:
 def with_state(devices: DataFrame, state: DataFrame) -> DataFrame:
     """The snapshot with ``first_us``, ``failed`` and ``hours`` (of dwell); null for vehicles that were never followed."""
     x = devices.join(state, "vehicle", "left")
-    return x.withColumn("hours", F.round((F.col("now") - F.col("first_us")) / 3.6e9, 3))
+    return x.withColumn("hours", (F.col("now") - F.col("first_us")) / 3.6e9)
+
+
+@dataclass
+class Stage:
+    """Stored tables that all cards are made of."""
+
+    devices: DataFrame  # with_state of the snapshot
+    stops: DataFrame
+
+
+def stage(samples: DataFrame) -> Stage:
+    """One fold over the samples for the stops, one grouped pass for the snapshot; both stored."""
+    done = io.stored(stops(samples))
+    seen = io.stored(latest(samples))
+    now = seen.agg(F.max("us")).first()[0]
+    return Stage(io.stored(with_state(seen.withColumn("now", F.lit(now).cast("long")), device_state(done))), done)
 
 
-def cards(samples: DataFrame, lut: DataFrame) -> DataFrame:
+def cards(made: Stage, reports: DataFrame, lut: DataFrame) -> DataFrame:
     """Every vehicle of the snapshot with charge, state, dwell against peers, quality and reliability."""
-    x = with_reported(with_state(snapshot(samples), device_state(samples)), reports(samples))
-    peers = fleet.dwell_peers(stays(x)).select("vehicle", "share", "median_h", "outlier")
+    x = with_reported(made.devices, reports)
+    peers = fleet.dwell_peers(stays(made.devices)).select("vehicle", "share", "median", "median_h", "outlier")
     x = fleet.battery_percent(x, lut).join(peers, "vehicle", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
     daylight = daylight_hours(local_time("first_us"), local_time("now"))
     x = x.withColumn("designation", quality_designation(F.col("soc"), F.col("is_disabled"), F.col("is_reserved"), F.col("failed"), F.col("hours"), daylight, F.col("reported"), F.col("outlier")))
-    return x.withColumn("tier", reliability_tier(F.col("failed"), F.col("hours"), F.col("designation"), F.col("reported"), F.col("outlier"), F.col("median_h")))
+    return x.withColumn("tier", reliability_tier(F.col("failed"), F.col("hours"), F.col("designation"), F.col("reported"), F.col("outlier"), F.col("median")))
 
 
-def cell_aggregates(samples: DataFrame, lut: DataFrame, resolution: int = 8) -> DataFrame:
-    """Per hexagon: devices, mean charge, share at high risk and mean dwell of the snapshot; trips of the 24 hours before it and their busiest clock hour."""
+def cell_aggregates(samples: DataFrame, lut: DataFrame, city: DataFrame, resolution: int = 8) -> DataFrame:
+    """Per hexagon: devices of core status (refined by the polygons of ``city``), mean charge, share at high risk and mean dwell; trips of the 24 hours before the snapshot and their busiest clock hour."""
     cell = geo.hex_name(geo.hex_cell(F.col("lat"), F.col("lon"), resolution)).alias("cell")
-    x = cards(samples, lut).where(geo.in_box(F.col("lat"), F.col("lon")))
+    made = stage(samples)
+    x = spatial.refine_status(spatial.envelope_tag(cards(made, reports(samples), lut)), city).where("status = 'core'")
     devices = x.groupBy(cell).agg(
         F.count("*").alias("devices"), F.bround(F.avg("soc")).cast("long").alias("mean_soc"),
         F.bround(F.count_if(F.col("tier") == "high_risk") / F.count("*"), 2).alias("risk_share"), F.bround(F.avg("hours"), 1).alias("mean_dwell"),
     )
-    now = F.broadcast(samples.agg(F.max("us").alias("now")))  # one row
-    recent = trips(samples).crossJoin(now).where(F.col("us") > F.col("now") - DAY_US)
+    now = F.broadcast(made.devices.agg(F.max("now").alias("now")))  # one row
+    recent = trips(made.stops).crossJoin(now).where(F.col("us") > F.col("now") - DAY_US)
     hours = recent.groupBy(cell, F.expr("us div 3600000000").alias("h")).agg(F.count("*").alias("n"))
     started = hours.groupBy("cell").agg(F.sum("n").alias("trips"), F.max("n").alias("peak"))
     return devices.join(started, "cell", "full").select("cell", F.coalesce("devices", F.lit(0)).alias("devices"), "mean_soc", "risk_share", "mean_dwell", F.coalesce("trips", F.lit(0)).alias("trips"), F.coalesce("peak", F.lit(0)).alias("peak"))
@@ -167,17 +200,17 @@ S = fx.tracked
 
 
 def _cards(s, d):  # noqa: ANN001, ANN202
-    return cards(S(s, d), fleet.soc_lut(s))
+    return cards(stage(S(s, d)), reports(S(s, d)), fleet.soc_lut(s))
 
 
 def _peers(s, d):  # noqa: ANN001, ANN202
-    return fleet.dwell_peers(stays(with_state(snapshot(S(s, d)), device_state(S(s, d)))))
+    return fleet.dwell_peers(stays(stage(S(s, d)).devices))
 
 
 def device_card(s, d) -> DataFrame:  # noqa: ANN001
     """The public projection of a card."""
     x = _cards(s, d)
-    return x.select("vehicle", "soc", "reported", fleet.status_of().alias("state"), "designation", "tier", "failed", "hours", F.round(F.col("share") * 100, 4).alias("percentile"), "median_h", "outlier", (F.col("soc") * METRES_PER_PERCENT).alias("usable_m"))
+    return x.select("vehicle", "soc", "reported", fleet.status_of().alias("state"), "designation", "tier", "failed", F.round("hours", 3).alias("hours"), F.round(F.col("share") * 100, 4).alias("percentile"), "median_h", "outlier", (F.col("soc") * METRES_PER_PERCENT).alias("usable_m"))
 
 
 def usable_range(s, d) -> DataFrame:  # noqa: ANN001
@@ -189,13 +222,13 @@ def usable_range(s, d) -> DataFrame:  # noqa: ANN001
 
 def cell_dwell(s, d) -> DataFrame:  # noqa: ANN001
     """Mean dwell of the followed vehicles of each cell."""
-    x = stays(with_state(snapshot(S(s, d)), device_state(S(s, d))))
+    x = stays(with_state(snapshot(S(s, d)), device_state(stops(S(s, d)))))
     return x.groupBy("q", "r").agg(F.count("*").alias("n"), F.round(F.avg("hours"), 6).alias("mean_h"))
 
 
 def dwell_peer_stats(s, d) -> DataFrame:  # noqa: ANN001
     """Scope, peers, share of peers not longer, median and verdict of each followed vehicle."""
-    return _peers(s, d).select("vehicle", "hours", "scope", "peers", "share", "median_h", "outlier")
+    return _peers(s, d).select("vehicle", F.round("hours", 3).alias("hours"), "scope", "peers", "share", "median_h", "outlier")
 
 
 def daylight(s, d) -> DataFrame:  # noqa: ANN001
@@ -205,7 +238,7 @@ def daylight(s, d) -> DataFrame:  # noqa: ANN001
 
 
 QUERIES = {
-    "points_with_state": lambda s, d: with_state(snapshot(S(s, d)), device_state(S(s, d))).select("vehicle", "event_id", "first_us", "failed"),
+    "points_with_state": lambda s, d: with_state(snapshot(S(s, d)), device_state(stops(S(s, d)))).select("vehicle", "event_id", "first_us", "failed"),
     "has_negative_report": lambda s, d: with_reported(snapshot(S(s, d)), reports(S(s, d))).select("vehicle", "reported"),
     "dwell_peer_rings": lambda s, d: _peers(s, d).select("vehicle", "scope", "peers", "median_h"),
     "dwell_peer_stats": dwell_peer_stats,
@@ -215,7 +248,7 @@ QUERIES = {
     "reliability_tier": lambda s, d: _cards(s, d).select("vehicle", "tier"),
     "usable_range": usable_range,
     "device_card": device_card,
-    "cell_aggregates": lambda s, d: cell_aggregates(S(s, d), fleet.soc_lut(s)),
+    "cell_aggregates": lambda s, d: cell_aggregates(S(s, d), fleet.soc_lut(s), fx.boundaries(s, d).where("region_type = 'neighborhood'")),
     "optional_field_groups": lambda s, d: column_groups(snapshot(S(s, d)), ranks=True, cells=True),
     "devices_feature_collection": lambda s, d: features(snapshot(S(s, d))),
 }
@@ -224,7 +257,7 @@ _STATES = rides._VS_OF.format(view="(SELECT * FROM tracked WHERE plate IS NOT NU
 _SNAP = "nw AS (SELECT max(us) AS now FROM tracked), sn AS (SELECT t.*, now FROM (SELECT * FROM tracked QUALIFY row_number() OVER (PARTITION BY vehicle ORDER BY us DESC, event_id DESC) = 1) t, nw)"
 _STOPS = f"""{_STATES}, sy AS (SELECT *, CAST(sum(CASE WHEN kind IN ('new', 'moved', 'trip_end') THEN 1 ELSE 0 END) OVER (PARTITION BY vehicle ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM vs),
   sg AS (SELECT vehicle, stop, min(us) AS arrive, count(*) FILTER (WHERE kind = 'failed_start') AS failed, min(lat) AS lat, min(lon) AS lon FROM sy GROUP BY 1, 2), si AS (SELECT *, lead(arrive) OVER (PARTITION BY vehicle ORDER BY stop) AS depart FROM sg),
-  ds AS (SELECT vehicle, arrive AS first_us, failed FROM si WHERE depart IS NULL), {_SNAP}, st AS (SELECT sn.*, first_us, failed, round((now - first_us) / 3.6e9, 3) AS hours FROM sn LEFT JOIN ds USING (vehicle)),
+  ds AS (SELECT vehicle, arrive AS first_us, failed FROM si WHERE depart IS NULL), {_SNAP}, st AS (SELECT sn.*, first_us, failed, (now - first_us) / 3.6e9 AS hours FROM sn LEFT JOIN ds USING (vehicle)),
   sp AS (SELECT vehicle, {fleet._hex_sql(9, 'q')} AS q, {fleet._hex_sql(9, 'r')} AS r, hours FROM st WHERE first_us IS NOT NULL)"""
 _RP = f"""rp AS (SELECT DISTINCT vehicle, {fleet.hex_sql(10)} AS cell FROM tracked, nw WHERE us > now - {DAY_US} AND ((is_disabled AND {fx._PICK}[event_id % 5 + 1] <> 'parking') OR value > 95)),
   re AS (SELECT sn.vehicle, rp.vehicle IS NOT NULL AS reported FROM sn LEFT JOIN rp ON rp.vehicle = sn.vehicle AND rp.cell = {fleet.hex_sql(10)})"""
@@ -232,34 +265,35 @@ _PEERS = """pa AS (SELECT a.vehicle, a.hours, b.hours AS h, greatest(abs(a.q - b
   pg AS (SELECT vehicle, hours, count(*) FILTER (WHERE k <= 1) AS n1, count(*) FILTER (WHERE k <= 2) AS n2, count(*) AS n0, median(h) FILTER (WHERE k <= 1) AS m1, median(h) FILTER (WHERE k <= 2) AS m2, median(h) AS m0,
     count(*) FILTER (WHERE k <= 1 AND h <= hours) AS c1, count(*) FILTER (WHERE k <= 2 AND h <= hours) AS c2, count(*) FILTER (WHERE h <= hours) AS c0 FROM pa GROUP BY vehicle, hours),
   ps AS (SELECT vehicle, hours, CAST(CASE WHEN n1 >= 5 THEN 1 WHEN n2 >= 5 THEN 2 WHEN n0 >= 5 THEN 0 END AS BIGINT) AS scope, CASE WHEN n1 >= 5 THEN n1 WHEN n2 >= 5 THEN n2 WHEN n0 >= 5 THEN n0 END AS peers,
-    round(CASE WHEN n1 >= 5 THEN m1 WHEN n2 >= 5 THEN m2 WHEN n0 >= 5 THEN m0 END, 6) AS median_h, round(CASE WHEN n1 >= 5 THEN c1 / n1 WHEN n2 >= 5 THEN c2 / n2 WHEN n0 >= 5 THEN c0 / n0 END, 6) AS share FROM pg),
-  pe AS (SELECT *, coalesce(share >= 0.9 AND hours >= 3 * median_h AND hours >= 24, false) AS outlier FROM ps)"""
+    CASE WHEN n1 >= 5 THEN m1 WHEN n2 >= 5 THEN m2 WHEN n0 >= 5 THEN m0 END AS med, CASE WHEN n1 >= 5 THEN c1 / n1 WHEN n2 >= 5 THEN c2 / n2 WHEN n0 >= 5 THEN c0 / n0 END AS exact FROM pg),
+  pe AS (SELECT *, round(med, 6) AS median_h, round(exact, 6) AS share, coalesce(exact >= 0.9 AND hours >= 3 * med AND hours >= 24, false) AS outlier FROM ps)"""
 _LOCAL = "timezone('America/Denver', timezone('UTC', {}))"
 _DAYLIGHT = "sum(greatest(0, epoch_us(least(e, day + INTERVAL 20 HOURS)) - epoch_us(greatest(b, day + INTERVAL 8 HOURS)))) / 3.6e9"
 _CARDS = f"""{_STOPS}, {_RP}, {_PEERS}, dl0 AS (SELECT vehicle, {_LOCAL.format('make_timestamp(first_us)')} AS b, {_LOCAL.format('make_timestamp(now)')} AS e FROM st WHERE first_us IS NOT NULL),
   dl AS (SELECT vehicle, {_DAYLIGHT} AS daylight FROM (SELECT *, unnest(generate_series(date_trunc('day', b), date_trunc('day', e), INTERVAL 1 DAY)) AS day FROM dl0) GROUP BY 1),
-  cx AS (SELECT st.*, {fleet._SOC} AS soc, reported, share, median_h, coalesce(outlier, false) AS outlier, coalesce(failed, 0) AS fails, coalesce(st.hours, 0) AS dwell, daylight
+  cx AS (SELECT st.*, {fleet._SOC} AS soc, reported, share, med, median_h, coalesce(outlier, false) AS outlier, coalesce(failed, 0) AS fails, coalesce(st.hours, 0) AS dwell, daylight
     FROM st JOIN re USING (vehicle) LEFT JOIN pe USING (vehicle) LEFT JOIN dl USING (vehicle) LEFT JOIN {fleet._LUT} l ON range_m = l.metres),
   cq AS (SELECT *, CASE WHEN coalesce(is_disabled, false) OR coalesce(is_reserved, false) OR soc IS NULL THEN 'N/A' WHEN reported OR fails > 1 THEN 'poor'
     ELSE ['poor', 'acceptable', 'good', 'great'][greatest(0, CASE WHEN soc >= 75 THEN 3 WHEN soc >= 53 THEN 2 WHEN soc >= 28 THEN 1 ELSE 0 END - CASE WHEN fails = 1 THEN 1 ELSE 0 END
       - CASE WHEN st.hours >= 24 THEN 2 WHEN st.hours >= 12 OR daylight >= 6 THEN 1 ELSE 0 END - CASE WHEN outlier THEN 1 ELSE 0 END) + 1] END AS designation FROM cx st),
   cd AS (SELECT *, CASE WHEN reported OR fails >= 2 OR (fails = 1 AND dwell >= 24) OR dwell >= 72 OR (outlier AND dwell >= 48) THEN 'high_risk'
-    WHEN (failed IS NULL AND hours IS NULL) OR designation = 'N/A' OR fails = 1 OR coalesce(median_h > 0 AND dwell >= 2 * median_h AND dwell >= least(36.0::DOUBLE, 16 * median_h), false) THEN 'unknown' ELSE 'ok' END AS tier FROM cq)"""
+    WHEN (failed IS NULL AND hours IS NULL) OR designation = 'N/A' OR fails = 1 OR coalesce(med > 0 AND dwell >= 2 * med AND dwell >= least(36.0::DOUBLE, 16 * med), false) THEN 'unknown' ELSE 'ok' END AS tier FROM cq)"""
 SQL = {
     "points_with_state": fx.sql(f"WITH {_STOPS} SELECT vehicle, event_id, first_us, failed FROM st"),
     "has_negative_report": fx.sql(f"WITH {_SNAP}, {_RP} SELECT vehicle, reported FROM re"),
     "dwell_peer_rings": fx.sql(f"WITH {_STOPS}, {_PEERS} SELECT vehicle, scope, peers, median_h FROM pe"),
-    "dwell_peer_stats": fx.sql(f"WITH {_STOPS}, {_PEERS} SELECT vehicle, hours, scope, peers, share, median_h, outlier FROM pe"),
+    "dwell_peer_stats": fx.sql(f"WITH {_STOPS}, {_PEERS} SELECT vehicle, round(hours, 3) AS hours, scope, peers, share, median_h, outlier FROM pe"),
     "cell_dwell_mean": fx.sql(f"WITH {_STOPS} SELECT q, r, count(*) AS n, round(avg(hours), 6) AS mean_h FROM sp GROUP BY 1, 2"),
     "daylight_hours": f"""SELECT event_id, round({_DAYLIGHT}, 6) AS hours FROM (SELECT event_id, b, e, unnest(generate_series(date_trunc('day', b), date_trunc('day', e), INTERVAL 1 DAY)) AS day FROM
       (SELECT event_id, {_LOCAL.format('ts')} AS b, {_LOCAL.format('ts + to_hours(event_id % 60)')} AS e FROM events)) GROUP BY event_id""",
     "quality_designation": fx.sql(f"WITH {_CARDS} SELECT vehicle, designation FROM cd"),
     "reliability_tier": fx.sql(f"WITH {_CARDS} SELECT vehicle, tier FROM cd"),
     "usable_range": fx.sql(f"WITH {_SNAP} SELECT vehicle, {fleet._SOC} * 364 AS usable_m, CASE WHEN range_m IS NULL THEN 'unknown' WHEN (now - us) / 1e6 <= 3600 THEN 'fresh' ELSE 'stale' END AS reading FROM sn LEFT JOIN {fleet._LUT} l ON range_m = l.metres"),
-    "device_card": fx.sql(f"""WITH {_CARDS} SELECT vehicle, soc, reported, CASE WHEN coalesce(is_disabled, false) THEN 'disabled' WHEN coalesce(is_reserved, false) THEN 'reserved' ELSE 'available' END AS state, designation, tier, failed, hours,
+    "device_card": fx.sql(f"""WITH {_CARDS} SELECT vehicle, soc, reported, CASE WHEN coalesce(is_disabled, false) THEN 'disabled' WHEN coalesce(is_reserved, false) THEN 'reserved' ELSE 'available' END AS state, designation, tier, failed, round(hours, 3) AS hours,
       round(share * 100, 4) AS percentile, median_h, outlier, soc * 364 AS usable_m FROM cd"""),
-    "cell_aggregates": fx.sql(f"""WITH {_CARDS}, dv AS (SELECT {fleet.hex_sql(8)} AS cell, count(*) AS devices, CAST(round_even(avg(soc), 0) AS BIGINT) AS mean_soc, round_even(count(*) FILTER (WHERE tier = 'high_risk') / count(*), 2) AS risk_share, round_even(avg(hours), 1) AS mean_dwell
-        FROM cd WHERE lat BETWEEN 39.58::DOUBLE AND 39.92::DOUBLE AND lon BETWEEN -105.25::DOUBLE AND -104.55::DOUBLE GROUP BY 1),
+    "cell_aggregates": fx.sql(f"""WITH {_CARDS}, cy AS (SELECT DISTINCT vehicle FROM (SELECT vehicle FROM cd JOIN edges e ON region_type = 'neighborhood' AND (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY vehicle, region_name HAVING count(*) % 2 = 1)),
+      dv AS (SELECT {fleet.hex_sql(8)} AS cell, count(*) AS devices, CAST(round_even(avg(soc), 0) AS BIGINT) AS mean_soc, round_even(count(*) FILTER (WHERE tier = 'high_risk') / count(*), 2) AS risk_share, round_even(avg(hours), 1) AS mean_dwell
+        FROM cd JOIN cy USING (vehicle) WHERE (lat BETWEEN 39.58::DOUBLE AND 39.92::DOUBLE AND lon BETWEEN -105.25::DOUBLE AND -104.55::DOUBLE) OR NOT (lat BETWEEN 18 AND 54 AND lon BETWEEN 73 AND 135) GROUP BY 1),
       hr AS (SELECT {fleet.hex_sql(8)} AS cell, depart // 3600000000 AS h, count(*) AS n FROM si, nw WHERE depart > now - {DAY_US} GROUP BY 1, 2), tr AS (SELECT cell, CAST(sum(n) AS BIGINT) AS trips, max(n) AS peak FROM hr GROUP BY 1)
       SELECT cell, coalesce(devices, 0) AS devices, mean_soc, risk_share, mean_dwell, coalesce(trips, 0) AS trips, coalesce(peak, 0) AS peak FROM dv FULL JOIN tr USING (cell)"""),
     "optional_field_groups": fx.sql(f"""WITH {_SNAP}, rk AS (SELECT *, count(range_m) OVER (PARTITION BY type_id ORDER BY range_m RANGE UNBOUNDED PRECEDING) AS rank_x, count(range_m) OVER (PARTITION BY type_id) AS rank_y, dense_rank() OVER (PARTITION BY type_id ORDER BY range_m) AS ux FROM sn WHERE range_m IS NOT NULL),

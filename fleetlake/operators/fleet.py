@@ -75,7 +75,7 @@ def _up_to(counts: DataFrame, k: str, by: list[str]) -> DataFrame:
 
 
 def dwell_peers(stays: DataFrame, least: int = 5) -> DataFrame:
-    """Median stay, share of peers not longer, and outlier flag, from the cell and its ring, then two rings, then the city.
+    """Median stay (exact and rounded), share of peers not longer, and outlier flag, from the cell and its ring, then two rings, then the city.
 
     ``stays(vehicle, q, r, hours)``; a stay without a cell compares with the city. Peers
     depend on the cell alone, so counts per (cell, hours) travel to the neighbouring cells,
@@ -101,9 +101,9 @@ def dwell_peers(stays: DataFrame, least: int = 5) -> DataFrame:
         return F.when(ring1, F.col(f"{name}1")).when(ring2, F.col(f"{name}2")).when(whole, F.col(f"{name}0"))
 
     scope = F.when(ring1, 1).when(ring2, 2).when(whole, 0)
-    x = x.withColumns({"scope": scope.cast("long"), "peers": chosen("n"), "median_h": F.round(chosen("med"), 6), "share": F.round(chosen("below") / chosen("n"), 6)})
-    x = x.withColumn("outlier", F.coalesce((F.col("share") >= 0.9) & (F.col("hours") >= 3 * F.col("median_h")) & (F.col("hours") >= 24), F.lit(False)))
-    return x.select(*stays.columns, "scope", "peers", "median_h", "share", "outlier")
+    x = x.withColumns({"scope": scope.cast("long"), "peers": chosen("n"), "median": chosen("med"), "exact": chosen("below") / chosen("n")})
+    outlier = F.coalesce((F.col("exact") >= 0.9) & (F.col("hours") >= 3 * F.col("median")) & (F.col("hours") >= 24), F.lit(False))
+    return x.select(*stays.columns, "scope", "peers", "median", F.round("median", 6).alias("median_h"), F.round("exact", 6).alias("share"), outlier.alias("outlier"))
 
 
 def _hmac_plate(plate: Column, key: bytes) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +34,48 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever file system it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_SCOPE: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`stored` writes inside go when the block ends; for work whose result is stored or collected in it."""
+    made: list[str] = []
+    token = _SCOPE.set(made)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def _leave(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended before
+        remove(spark, path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, whoever reads it, and reread where an executor is lost.
+
+    It goes with its :func:`scope`, or when the program ends.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.parquet(path)
+    made = _SCOPE.get()
+    if made is not None:
+        made.append(path)
+    else:
+        atexit.register(_leave, spark, path)
+    return spark.read.parquet(path)
+
+
 def feed_rows(files: DataFrame) -> DataFrame:
     """One row per bike of feed files read with ``FEED``: unusable ones dropped, odd values null."""
     x = files.select("last_updated", F.explode("data.bikes").alias("b"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlake.functions.folds import ordered_fold
 from fleetlake.operators import cards, fleet, people, rentals, rides, routes, settle, web
+from fleetlake.sources import io
 from fleetlake.plans import catalog
 from fleetlake.sources import fixtures as fx
 
@@ -244,3 +245,42 @@ def test_episodes_by_hand(spark):
 def test_stops_and_vehicle_states_of_a_long_history(spark, sf_dir):
     states = rides.vehicle_states(fx.moving(spark, sf_dir))
     assert states.count() == fx.moving(spark, sf_dir).count() and states.where("stop_lat IS NULL").isEmpty()
+
+
+def _standing(spark, hours_us):
+    """Samples of vehicles that stand since so many microseconds before the last sample of all, each far from the others."""
+    now = 1_700_000_000_000_000
+    rows = []
+    for k, us in enumerate(hours_us):
+        for j, t in enumerate((now - us, now)):
+            rows.append((f"v{k}", t, 2 * k + j, 39.6 + 0.05 * k, -105.0, "P", False, False, 32_473, 0.0))
+    return spark.createDataFrame(rows, "vehicle string, us long, event_id long, lat double, lon double, plate string, is_reserved boolean, is_disabled boolean, range_m int, value double")
+
+
+def test_bounds_hold_for_hours_as_measured(spark):
+    hour = 3_600_000_000
+    samples = _standing(spark, [24 * hour, 24 * hour - 1000, 72 * hour, 72 * hour - 1000])  # a millisecond rounds away at three decimals
+    none = spark.createDataFrame([], "vehicle string, us long, cell string, report_type string")
+    with io.scope(spark):
+        got = {r["vehicle"]: (r["designation"], r["tier"]) for r in cards.cards(cards.stage(samples), none, fleet.soc_lut(spark)).collect()}
+    assert got == {"v0": ("acceptable", "ok"), "v1": ("good", "ok"), "v2": ("acceptable", "high_risk"), "v3": ("acceptable", "ok")}
+
+
+def test_outliers_hold_for_medians_as_measured(spark):
+    # Ten vehicles of one cell: nine stay 8 hours, one 24 hours, or a millisecond less than thrice the median.
+    hour = 3_600_000_000
+    for most, outlier in ((24 * hour, True), (24 * hour - 1000, False)):
+        rows = [(f"v{k}", 0, 0, 8.0) for k in range(9)] + [("long", 0, 0, most / 3.6e9)]
+        got = {r["vehicle"]: r["outlier"] for r in fleet.dwell_peers(spark.createDataFrame(rows, "vehicle string, q long, r long, hours double")).collect()}
+        assert got["long"] is outlier and not any(got[f"v{k}"] for k in range(9))
+
+
+def test_cards_fold_once_and_scan_thrice(spark, sf_dir):
+    tracked = spark.read.parquet(f"{sf_dir}/events.parquet")  # stands for the samples: what matters is how often it is read
+    x = tracked.select(F.concat(F.lit("v"), "user_id").alias("vehicle"), fx.micros("ts").alias("us"), "event_id", (39.6 + F.col("user_id") % 7 * 0.01).alias("lat"), F.lit(-105.0).alias("lon"), F.lit("P").alias("plate"), (F.col("event_id") % 3 == 0).alias("is_reserved"), F.lit(False).alias("is_disabled"), F.lit(5000).alias("range_m"), "value")
+    with io.scope(spark):
+        made = cards.stage(x)
+        plan = cards.cards(made, cards.reports(x), fleet.soc_lut(spark))._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan  # the fold is stored
+        assert plan.count("Relation [event_id") == 1  # only the reports read the events again
+    assert made.devices.columns[-3:] == ["first_us", "failed", "hours"]
