@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import community, people, rollups, spatial
+from ..operators import community, people, rides, rollups, spatial
 from ..registry import GROUPS
 from ..sources import fixtures as fx
 from ..sources import io
@@ -104,19 +104,31 @@ def way_tables(s, d) -> DataFrame:  # noqa: ANN001
     return io.read_way_table(s, path, "way_id long, canopy double, bikeway boolean")
 
 
-def cycle_counts(s, d) -> DataFrame:  # noqa: ANN001
-    """Feed files of at most 2,000 bikes, eight per micro-batch, through the cycle stream; points by feed time and refined status."""
-    feed, out, check = io.scratch(s), io.scratch(s), io.scratch(s)
+def _cycles(s, d) -> streams.CycleStore:  # noqa: ANN001
+    """The points as weekly feeds, a file each in pages of at most 2,000 bikes, through the cycle stream; then two of the files once more, which are stale."""
+    feed, store, check = io.scratch(s), streams.CycleStore(s, io.scratch(s)), io.scratch(s)
     bike = F.struct(F.col("device_id").alias("bike_id"), "lat", "lon", F.col("type_id").alias("vehicle_type_id"))
-    body = F.struct(F.unix_timestamp(F.col("day").cast("timestamp")).alias("last_updated"), F.struct(F.collect_list(bike).alias("bikes")).alias("data"))
-    fx.points(s, d).groupBy("day", F.expr("event_id div 2000")).agg(F.to_json(body).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(feed)
+    week = F.unix_timestamp(F.date_trunc("week", F.col("day").cast("timestamp"))).alias("last_updated")
+    pages = fx.points(s, d).groupBy(week, F.expr("event_id div 2000").alias("page")).agg(F.collect_list(bike).alias("bikes"))
+    lines = io.stored(pages.select("last_updated", F.to_json(F.struct("last_updated", F.struct("bikes").alias("data"))).alias("value")))
+    for time in [r[0] for r in lines.select("last_updated").distinct().orderBy("last_updated").collect()]:  # a feed grows by one file at a time
+        lines.where(F.col("last_updated") == time).select("value").coalesce(1).write.mode("append").text(feed)
+    run = lambda: streams.cycle_stream(s, feed, fx.boundaries(s, d), store, check, pages=True).awaitTermination()
+    run()
+    for share in ("min", "max"):
+        lines.where(F.col("last_updated") == lines.agg({"last_updated": share}).first()[0]).select("value").coalesce(1).write.mode("append").text(feed)
+    run()
+    return store
+
+
+def cycle_counts(s, d) -> DataFrame:  # noqa: ANN001
+    """Points by feed time and refined status, as the cycle stream stored them."""
+    return _cycles(s, d).read("points").groupBy("last_updated", "status").agg(F.count("*").alias("n"))
 
-    def store(name: str, frame: DataFrame, number: int) -> None:
-        if name == "points":
-            frame.write.mode("overwrite").parquet(f"{out}/cycle={number}")  # a batch that runs again replaces its own
 
-    streams.cycle_stream(s, feed, fx.boundaries(s, d), store, check, files_per_cycle=8).awaitTermination()
-    return s.read.parquet(out).groupBy("last_updated", "status").agg(F.count("*").alias("n"))
+def cycle_regions(s, d) -> DataFrame:  # noqa: ANN001
+    """Devices per region of each cycle, as the cycle stream stored them."""
+    return _cycles(s, d).read("regions").select("last_updated", "region_type", "region_name", "count_total")
 
 
 def _last_states(stream: DataFrame) -> DataFrame:
@@ -144,10 +156,29 @@ def sla_windows(s, d) -> DataFrame:  # noqa: ANN001
     return x.select("local_day", "x.n", F.round("x.avg_range", 6).alias("avg_range"))
 
 
+HOUR_MS = 3_600_000
+
+
 def reports_stream(s, d) -> DataFrame:  # noqa: ANN001
-    """Report acceptance with the last accepted time as state."""
+    """Report acceptance in time order, with the last accepted time as state until the gap is over."""
     x = community._reports_us(s, d).select("event_id", "us", F.concat_ws("|", "reporter", "event_type").alias("key"))
-    return _drained(streams.accepted_reports_stream(_staged(x), 1_800_000_000))
+    return _drained(streams.accepted_reports_stream(_staged(streams.closed(x, "key", HOUR_MS)), 1_800_000_000))
+
+
+def _samples(s, d) -> DataFrame:  # noqa: ANN001
+    return fx.moving(s, d).select("event_id", "vehicle", "us", "lat", "lon", F.coalesce("is_reserved", F.lit(False)).alias("reserved"))
+
+
+def vehicle_states_stream(s, d) -> DataFrame:  # noqa: ANN001
+    """What happened at each sample, from the stream with expiring state."""
+    return _drained(streams.vehicle_state_stream(_staged(streams.closed(_samples(s, d), "vehicle", HOUR_MS)))).select("event_id", "kind")
+
+
+def ended_watches(s, d) -> DataFrame:  # noqa: ANN001
+    """Watches that have ended when the last sample is there, from the stream."""
+    starts = rides.watches(s, d).select("vehicle", F.col("start").alias("us"), "ride_id", F.lit(False).alias("reserved"))
+    both = _samples(s, d).select("vehicle", "us", F.lit(None).cast("long").alias("ride_id"), "reserved").unionByName(starts)
+    return _drained(streams.ride_watch_stream(_staged(streams.closed(both, "vehicle", HOUR_MS)), delay="1 hour"))
 
 
 def jdbc_scan(s, d) -> DataFrame:  # noqa: ANN001
@@ -180,9 +211,12 @@ QUERIES = {
     "edge_attribute_tables": way_tables,
     "address_points_load": lambda s, d: people.address_points(address_pages(s, d))[0],
     "cycle_stream": cycle_counts,
+    "cycle_stream_regions": cycle_regions,
     "sla_window_stream": sla_windows,
     "hourly_status_stream": hourly_windows,
     "dedupe_reports_stream": reports_stream,
+    "vehicle_state_stream": vehicle_states_stream,
+    "ride_watch_stream": ended_watches,
 }
 
 SQL = {
@@ -197,8 +231,13 @@ SQL = {
     "hourly_temps_from_arrays": fx.sql('SELECT hour AS "time", temp AS temperature FROM hourly_temperature WHERE hour % 5 <> 0'),
     "edge_attribute_tables": fx.sql("SELECT * FROM ways"),
     "address_points_load": people.POINTS_SQL,
-    "cycle_stream": fx.sql("SELECT CAST(epoch(day) AS BIGINT) AS last_updated, status, count(*) AS n FROM refined GROUP BY 1, 2"),
+    "cycle_stream": fx.sql("SELECT CAST(epoch(date_trunc('week', day)) AS BIGINT) AS last_updated, status, count(*) AS n FROM refined GROUP BY 1, 2"),
+    "cycle_stream_regions": fx.sql("""WITH w AS (SELECT CAST(epoch(date_trunc('week', day)) AS BIGINT) AS last_updated, event_id, status FROM refined)
+      SELECT c.last_updated, r.region_type, r.region_name, CAST(count(t.event_id) AS BIGINT) AS count_total FROM (SELECT DISTINCT region_type, region_name FROM edges) r CROSS JOIN (SELECT DISTINCT last_updated FROM w) c
+      LEFT JOIN (SELECT h.*, last_updated FROM hits h JOIN w USING (event_id) WHERE status = 'core') t ON t.region_type = r.region_type AND t.region_name = r.region_name AND t.last_updated = c.last_updated GROUP BY ALL"""),
     "sla_window_stream": fx.sql(f"SELECT local_day, n, avg_range FROM ({rollups._SLA})"),
     "hourly_status_stream": fx.sql("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) FILTER (WHERE is_disabled) AS disabled FROM points GROUP BY 1"),
     "dedupe_reports_stream": community.SQL["report_dedupe_30min"],
+    "vehicle_state_stream": rides.SQL["vehicle_state_machine"],
+    "ride_watch_stream": f"SELECT * FROM ({rides.SQL['ride_watch']}) WHERE state IN ('resolved', 'expired')",
 }

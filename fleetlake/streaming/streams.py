@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import spatial
 from ..operators.rides import ABSENT_US, WATCH_US, vehicle_step
@@ -14,21 +16,59 @@ from ..operators.rollups import local
 from ..sources import io
 
 
-def cycle_stream(spark: SparkSession, path: str, polygons: DataFrame, sinks: Callable[[str, DataFrame, int], None], checkpoint: str, files_per_cycle: int = 1) -> StreamingQuery:
+class CycleStore:
+    """Frames of cycles as tables under one folder, each cycle a partition that its batch replaces as a whole.
+
+    ``cycles`` is written last and is the commit: readers see the cycles that it lists, so a
+    batch that failed between two frames shows nothing, and one that runs again writes the
+    same partitions once more. It is also the memory of what was the newest feed.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def __call__(self, name: str, frame: DataFrame, number: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{self.root}/{name}/cycle={number}")
+
+    def _cycles(self) -> DataFrame:
+        try:
+            return self.spark.read.schema("last_updated long, taken boolean, cycle long").parquet(f"{self.root}/cycles")
+        except AnalysisException:  # no cycle yet
+            return self.spark.createDataFrame([], "last_updated long, taken boolean, cycle long")
+
+    def newest(self, number: int) -> int | None:
+        """Time of the newest feed taken before this batch."""
+        return self._cycles().where(F.col("taken") & (F.col("cycle") < number)).agg(F.max("last_updated")).first()[0]
+
+    def read(self, name: str) -> DataFrame:
+        """A frame's rows of all cycles that are committed."""
+        done = self._cycles().where("taken").select("cycle")
+        return self.spark.read.parquet(f"{self.root}/{name}").join(F.broadcast(done), "cycle", "left_semi")  # a row per cycle
+
+
+def cycle_stream(spark: SparkSession, path: str, polygons: DataFrame, sinks: Callable[[str, DataFrame, int], None], checkpoint: str, files_per_cycle: int = 1, pages: bool = False) -> StreamingQuery:
     """Each new feed file: tag, refine, count per region; ``sinks(name, frame, batch)`` stores the frames.
 
-    One micro-batch is one cycle. The refined points are cached for the two outputs.
+    One micro-batch is one cycle, a file by default; with ``pages`` a file has a part of the
+    feed per line. The refined points are cached for the two frames, ``points`` and
+    ``regions``; ``cycles`` follows when both are stored. A feed that is not newer than the
+    newest one taken (known to sinks with ``newest``, as :class:`CycleStore`) is skipped.
     """
-    files = spark.readStream.schema(io.FEED).option("multiLine", True).option("maxFilesPerTrigger", files_per_cycle).json(path)
+    files = spark.readStream.schema(io.FEED).option("multiLine", not pages).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_cycle).json(path)
 
     def cycle(batch: DataFrame, number: int) -> None:
-        # a feed may repeat a device at another place: rows of one key must share a position
-        rows = io.feed_rows(batch).withColumn("event_id", F.xxhash64("device_id", "last_updated", "lat", "lon"))
-        city = polygons.where("region_type = 'neighborhood'")
-        refined = spatial.refine_status(spatial.envelope_tag(rows), city).withColumn("form_factor", F.lit("unknown")).persist()
-        sinks("points", refined, number)
-        sinks("regions", spatial.regional_breakdown(refined, polygons), number)
-        refined.unpersist()
+        time = batch.agg(F.max("last_updated")).first()[0]
+        newest = sinks.newest(number) if hasattr(sinks, "newest") else None
+        taken = time is not None and (newest is None or time > newest)
+        if taken:
+            # a feed may repeat a device at another place: rows of one key must share a position
+            rows = io.feed_rows(batch).withColumn("event_id", F.xxhash64("device_id", "last_updated", "lat", "lon"))
+            city = polygons.where("region_type = 'neighborhood'")
+            refined = spatial.refine_status(spatial.envelope_tag(rows), city).withColumn("form_factor", F.lit("unknown")).persist()
+            sinks("points", refined, number)
+            sinks("regions", spatial.regional_breakdown(refined, polygons).withColumn("last_updated", F.lit(time)), number)
+            refined.unpersist()
+        sinks("cycles", batch.sparkSession.createDataFrame([(time, taken)], "last_updated long, taken boolean"), number)
 
     return files.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -44,88 +84,207 @@ def sla_stream(points: DataFrame, delay: str = "1 hour") -> DataFrame:
     return x.where("hour(l) >= 6 AND hour(l) < 9").groupBy(F.window("l", "1 day")).agg(F.count("*").alias("n"), F.avg("range_m").alias("avg_range")).select(F.col("window.start").cast("date").alias("local_day"), "n", "avg_range")
 
 
-def accepted_reports_stream(reports: DataFrame, gap_us: int) -> DataFrame:
-    """``accepted``: reports at least ``gap_us`` after the last accepted one of their key; that time is the state.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
-    ``reports(event_id, key, us)``; within a micro-batch rows are taken in time order.
+@dataclass(frozen=True)
+class Machine:
+    """A state machine over the rows of one key in time order.
+
+    ``fields`` names the columns of a row, time in microseconds (``us``) first, ``waiting``
+    their types. ``step(state, row)`` takes a row and gives the next state and rows to put
+    out; ``state`` is None where nothing is known. ``due(state)`` is the time from which
+    ``tick(state, now)`` has something to do, such as to end what waits or, with None as the
+    next state, to forget the key. ``order`` settles rows of one time.
     """
-    import pandas as pd
 
-    def fold(key, batches, state):  # noqa: ANN001, ANN202
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        accepted = []
-        for us in rows["us"]:
-            accepted.append(last is None or us - last >= gap_us)
-            last = int(us) if accepted[-1] else last
-        state.update((last,))
-        yield rows[["event_id"]].assign(accepted=accepted)
+    fields: tuple[str, ...]
+    waiting: str
+    state: str
+    out: tuple[str, ...]
+    step: Callable[[tuple | None, tuple], tuple[tuple | None, list[tuple]]]
+    due: Callable[[tuple], int | None]
+    tick: Callable[[tuple, int], tuple[tuple | None, list[tuple]]]
+    order: Callable[[tuple], tuple] = lambda row: row
 
-    return reports.groupBy("key").applyInPandasWithState(fold, "event_id long, accepted boolean", "last long", "append", "NoTimeout")
+    def run(self, state: tuple | None, rows: list[tuple], now: int) -> tuple[tuple | None, list[tuple]]:
+        """All rows in order, with what falls due before each, and what is due at ``now``."""
+        made: list[tuple] = []
+        for row in [*sorted(rows, key=self.order), None]:
+            at = now if row is None else row[0]
+            while state is not None and (due := self.due(state)) is not None and due <= at:
+                state, out = self.tick(state, at)
+                made += out
+            if row is not None:
+                state, out = self.step(state, row)
+                made += out
+        return state, made
 
 
-def ride_watch_stream(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Watches that end, as ``(ride_id, state, left_us, back_us)``: resolved by a sample or expired by the timer.
+class InOrder(StatefulProcessor):
+    """Runs a :class:`Machine` per key on a stream whose rows come out of order.
 
-    ``rows(vehicle, us, ts, ride_id, reserved)`` holds samples and, with ``ride_id`` set, starts of
-    watches; ``ts`` is the time of ``us``. State per vehicle: its last sample and its open watches.
+    Rows wait in a list state until the watermark has passed them, so a row that comes up to
+    the watermark's delay late still takes its place; what comes later than that is dropped by
+    Spark (and counted in its progress). One event-time timer per key is set for the first
+    waiting row or for what is due, so a silent key is taken up again, and forgotten, without
+    new rows.
     """
-    import pandas as pd
-
-    def fold(key, batches, state):  # noqa: ANN001, ANN202
-        last, ids, starts, lefts = state.get if state.exists else (None, [], [], [])
-        watching, done = {i: [s, None if left < 0 else left] for i, s, left in zip(ids, starts, lefts)}, []
-
-        def expire(now: int) -> None:
-            for i in [i for i, (start, _) in watching.items() if start + WATCH_US < now]:
-                start, left = watching.pop(i)
-                silent = max(start, last or 0) + ABSENT_US
-                done.append((i, "expired", silent if left is None and silent < start + WATCH_US else left, None))
-
-        if not state.hasTimedOut:
-            events = pd.concat(list(batches)).sort_values("us", kind="stable")
-            for us, ride, reserved in sorted(zip(events["us"], events["ride_id"], events["reserved"]), key=lambda e: (e[0], not pd.isna(e[1]))):
-                us = int(us)
-                expire(us)
-                if not pd.isna(ride):
-                    watching[int(ride)] = [us, None]
-                    continue
-                for i, own in list(watching.items()):
-                    since = max(own[0], last or 0)
-                    if own[1] is None:
-                        own[1] = since + ABSENT_US if us - since > ABSENT_US else us if reserved else None
-                    if own[1] is not None and own[1] < us and not reserved:
-                        done.append((i, "resolved", own[1], us))
-                        del watching[i]
-                last = us
-        now = state.getCurrentWatermarkMs() * 1000
-        expire(now)
-        if watching or last is not None:
-            state.update((last, list(watching), [w[0] for w in watching.values()], [-1 if w[1] is None else w[1] for w in watching.values()]))
-        if watching:
-            state.setTimeoutTimestamp(max(min(w[0] for w in watching.values()) + WATCH_US, now) // 1000 + 1)
-        frame = pd.DataFrame(done, columns=["ride_id", "state", "left_us", "back_us"])
-        yield frame.astype({"ride_id": "int64", "left_us": "Int64", "back_us": "Int64"})
-
-    keyed = rows.withWatermark("ts", delay).groupBy("vehicle")
-    return keyed.applyInPandasWithState(fold, "ride_id long, state string, left_us long, back_us long", "last long, ids array<long>, starts array<long>, lefts array<long>", "append", "EventTimeTimeout")
-
-
-def vehicle_state_stream(points: DataFrame) -> DataFrame:
-    """The vehicle state machine over a stream: state is the stop's position and whether a rental runs.
-
-    ``points(event_id, vehicle, us, lat, lon, reserved)``; within a micro-batch rows are taken in time order.
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.machine.waiting)
+        self.own = handle.getValueState("own", self.machine.state)
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _wake(self, us: int | None) -> None:
+        """One timer, at the first full millisecond from ``us`` on; none for None."""
+        ms = None if us is None else -(-us // 1000)
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old == ms:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if ms is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
+        fresh = [tuple(r[c] for c in self.machine.fields) for r in rows]
+        self.waiting.appendList(fresh)
+        first = min(r[0] for r in fresh)
+        if not self.timer.exists() or -(-first // 1000) < self.timer.get()[0]:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rest = [r for r in rows if r[0] > now]
+        state = tuple(self.own.get()) if self.own.exists() else None
+        state, made = self.machine.run(state, [r for r in rows if r[0] <= now], now)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if state is None:
+            self.own.clear()
+        else:
+            self.own.update(state)
+        self._wake(min([r[0] for r in rest] + [d for d in ([] if state is None else [self.machine.due(state)]) if d is not None], default=None))
+        for row in made:
+            yield Row(**dict(zip(self.machine.out, row)))
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(rows: DataFrame, key: str, machine: Machine, out: str, delay: str) -> DataFrame:
+    """What the machine puts out over ``rows``, a stream with ``us``, per ``key``; rows may come up to ``delay`` late."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the store that has timers
+    timed = rows.withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", delay)
+    return timed.groupBy(key).transformWithState(InOrder(machine), out, "Append", "EventTime")
+
+
+def closed(rows: DataFrame, key: str, delay_ms: int) -> DataFrame:
+    """A table with one more row, of the null ``key``, so late that the watermark of a stream over it passes all others.
+
+    The watermark ends one to two milliseconds after the last row; the closing row itself is never taken up.
+    """
+    last = rows.agg(F.max("us").alias("us")).where("us is not null")
+    end = last.select(*[((F.expr("us div 1000") + 2 + delay_ms) * 1000).alias("us") if c == "us" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    return rows.unionByName(end)
+
+
+def reports_machine(gap_us: int) -> Machine:
+    """``(event_id, accepted)``: a report is accepted at least ``gap_us`` after the last accepted one; after that time nothing is remembered."""
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        us, event_id = row
+        accepted = state is None or us - state[0] >= gap_us
+        return (us,) if accepted else state, [(event_id, accepted)]
+
+    return Machine(("us", "event_id"), "us long, event_id long", "last long", ("event_id", "accepted"), step, lambda state: state[0] + gap_us, lambda state, now: (None, []))
+
+
+def accepted_reports_stream(reports: DataFrame, gap_us: int, delay: str = "1 hour") -> DataFrame:
+    """``accepted`` for ``reports(event_id, key, us)``, in time order per key whatever order they come in."""
+    return in_order(reports, "key", reports_machine(gap_us), "event_id long, accepted boolean", delay)
+
+
+def watch_machine() -> Machine:
+    """Ends of watches: resolved by a sample or expired; a vehicle without open watches is forgotten.
+
+    Rows are samples and, with ``ride_id``, starts of watches. State: last sample, ids, starts
+    and leaving times (-1: not yet) of the open watches.
     """
-    import pandas as pd
-
-    def fold(key, batches, state):  # noqa: ANN001, ANN202
-        own = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        kinds = []
-        for reserved, lat, lon in zip(rows["reserved"], rows["lat"], rows["lon"]):
-            own, kind = vehicle_step(own, bool(reserved), float(lat), float(lon))
-            kinds.append(kind)
-        state.update(own)
-        yield rows[["event_id", "vehicle", "us"]].assign(kind=kinds)
-
-    return points.groupBy("vehicle").applyInPandasWithState(fold, "event_id long, vehicle string, us long, kind string", "lat double, lon double, riding boolean", "append", "NoTimeout")
+
+    def due(state: tuple) -> int | None:
+        return min(state[2]) + WATCH_US + 1
+
+    def packed(last: int | None, open_: dict[int, list]) -> tuple | None:
+        return (last, list(open_), [w[0] for w in open_.values()], [-1 if w[1] is None else w[1] for w in open_.values()]) if open_ else None
+
+    def opened(state: tuple | None) -> tuple[int | None, dict[int, list]]:
+        last, ids, starts, lefts = state if state is not None else (None, [], [], [])
+        return last, {i: [s, None if left < 0 else left] for i, s, left in zip(ids, starts, lefts)}
+
+    def tick(state: tuple, now: int) -> tuple[tuple | None, list[tuple]]:
+        last, open_ = opened(state)
+        done = []
+        for i in [i for i, (start, _) in open_.items() if start + WATCH_US < now]:
+            start, left = open_.pop(i)
+            silent = max(start, last or 0) + ABSENT_US
+            done.append((i, "expired", silent if left is None and silent < start + WATCH_US else left, None))
+        return packed(last, open_), done
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        us, ride, reserved = row
+        last, open_ = opened(state)
+        if ride is not None:
+            open_[ride] = [us, None]
+            return packed(last, open_), []
+        done = []
+        for i, own in list(open_.items()):
+            since = max(own[0], last or 0)
+            if own[1] is None:
+                own[1] = since + ABSENT_US if us - since > ABSENT_US else us if reserved else None
+            if own[1] is not None and own[1] < us and not reserved:
+                done.append((i, "resolved", own[1], us))
+                del open_[i]
+        return packed(us, open_), done
+
+    order = lambda row: (row[0], row[1] is not None, row[1] or 0, bool(row[2]))
+    return Machine(("us", "ride_id", "reserved"), "us long, ride_id long, reserved boolean", "last long, ids array<long>, starts array<long>, lefts array<long>", ("ride_id", "state", "left_us", "back_us"), step, due, tick, order)
+
+
+def ride_watch_stream(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Watches that end, as ``(ride_id, state, left_us, back_us)``, for ``rows(vehicle, us, ride_id, reserved)``, samples and starts of watches."""
+    return in_order(rows, "vehicle", watch_machine(), "ride_id long, state string, left_us long, back_us long", delay)
+
+
+#: How long the state of a vehicle that is not seen is kept.
+KEEP_US = 90 * 86_400_000_000
+
+
+def vehicle_machine(keep_us: int = KEEP_US) -> Machine:
+    """``(event_id, vehicle, us, kind)`` per sample; a vehicle unseen for more than ``keep_us`` is forgotten and new when it is back."""
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        us, event_id, vehicle, lat, lon, reserved = row
+        own, kind = vehicle_step(None if state is None else tuple(state[1:]), bool(reserved), lat, lon)
+        return (us, *own), [(event_id, vehicle, us, kind)]
+
+    fields = ("us", "event_id", "vehicle", "lat", "lon", "reserved")
+    return Machine(fields, "us long, event_id long, vehicle string, lat double, lon double, reserved boolean", "last long, lat double, lon double, riding boolean", ("event_id", "vehicle", "us", "kind"), step, lambda state: state[0] + keep_us + 1, lambda state, now: (None, []), lambda row: row[:2])
+
+
+def vehicle_state_stream(points: DataFrame, delay: str = "1 hour", keep_us: int = KEEP_US) -> DataFrame:
+    """The vehicle state machine over a stream ``points(event_id, vehicle, us, lat, lon, reserved)``, in time order whatever order they come in."""
+    return in_order(points, "vehicle", vehicle_machine(keep_us), "event_id long, vehicle string, us long, kind string", delay)

@@ -140,7 +140,8 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     from fleetlake.streaming import streams
 
     moving = fx.moving(spark, sf_dir).selectExpr("event_id", "vehicle", "us", "lat", "lon", "coalesce(is_reserved, false) AS reserved")
-    for k, part in enumerate((moving.where("us < 1704080000000000"), moving.where("us >= 1704080000000000"))):
+    ended_ = streams.closed(moving, "vehicle", 3_600_000)  # a row that closes the stream: the last rows wait for the watermark
+    for k, part in enumerate((moving.where("us < 1704080000000000"), ended_.where("us >= 1704080000000000"))):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p{k}"))
     for k in (0, 1):  # two micro-batches with state kept between them
         source = spark.readStream.schema(moving.schema).parquet(str(tmp_path / "in/p[0]" if k == 0 else tmp_path / "in/*"))
@@ -150,7 +151,8 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path):
     assert sorted((r["event_id"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
     starts = rides.watches(spark, sf_dir).selectExpr("vehicle", "start AS us", "ride_id", "false AS reserved")
-    both = moving.selectExpr("vehicle", "us", "CAST(NULL AS long) AS ride_id", "reserved").unionByName(starts).selectExpr("*", "timestamp_micros(us) AS ts")
+    both = moving.selectExpr("vehicle", "us", "CAST(NULL AS long) AS ride_id", "reserved").unionByName(starts)
+    both = streams.closed(both, "vehicle", 600_000)
     for k, part in enumerate((both.where("us < 1704080000000000"), both.where("us >= 1704080000000000"))):
         part.coalesce(1).write.parquet(str(tmp_path / f"watch/p{k}"))
     for k in (0, 1):
