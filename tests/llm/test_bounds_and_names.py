@@ -225,3 +225,10 @@ def test_edited_license_bodies_are_found(spark):
     two, three = (next(t for n, t in ls.TEMPLATES if n == f"BSD-{c}-Clause" and len(t) > 200) for c in (2, 3))
     rows = ls.scan(spark.createDataFrame([(2, two), (3, three)], "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["license"]) for r in rows if r["part_of"] is None} == {(2, "BSD-2-Clause"), (3, "BSD-3-Clause")}
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 70, 1000, 10_000])
+def test_shapes_read_whole_tokens(n):
+    assert quality.shape("b" * n) == "a" and quality.shape("b" * n + "!!!") == "a!!" and quality.shape("b" * n + "9" * n + "C") == "a0A"
+    made = quality.Features()
+    assert made.of("x " + "b" * n + "!!!") != made.of("x " + "b" * n) and made.token("b" * n) == made.token("b" * n)

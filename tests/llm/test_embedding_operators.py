@@ -100,3 +100,16 @@ def test_recall_on_tables(spark, sf_dir):
     links = brute_links(rows, 0.95)
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.query(spark, path).collect()}
     assert found == links
+
+
+def test_tiny_and_huge_vectors_link_like_others(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 40)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 16))
+    near = base + 0.02 * rng.standard_normal((60, 16))
+    size = rng.choice([1e-310, 1e-200, 1.0, 1e200, 1e307], (120, 1))
+    plain = np.concatenate((base, near))
+    rows = [(k, (v * s).tolist(), 0) for k, (v, s) in enumerate(zip(plain, size[:, 0]))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute_links([(k, v.tolist()) for k, v in enumerate(plain)], 0.95)
+    assert sum(n for n, _ in got.values()) >= 120
