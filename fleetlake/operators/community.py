@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import prefix
 from ..functions.folds import ordered_fold
 from ..registry import AWARDS
 from ..sources import fixtures as fx
@@ -32,7 +33,6 @@ def earned(ledger: DataFrame, *by: str) -> DataFrame:
 
 
 
-
 def leaders(totals: DataFrame, k: int, *by: str) -> DataFrame:
     """The first k per ``by`` with their place."""
     order = [F.desc("points"), F.col("first_at"), F.col("account_id")]
@@ -55,10 +55,15 @@ def fold_accepted(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
 
 
 def capped_awards(ledger: DataFrame, cap: int = 100) -> DataFrame:
-    """Awards of one source trimmed in order to a total of ``cap``; trimming keeps them even."""
-    w = Window.partitionBy("source_id").orderBy("ts", "entry_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("points").over(w)
-    return ledger.withColumn("paid", F.least(total, F.lit(cap)) - F.least(total - F.col("points"), F.lit(cap)))
+    """Awards of one source trimmed in order to a total of ``cap``; trimming keeps them even. A source's days are summed apart."""
+    x = prefix.running_total(ledger, "points", "source_id", ["ts", "entry_id"], F.to_date("ts"))
+    return x.withColumn("paid", F.least("total", F.lit(cap)) - F.least(F.col("total") - F.col("points"), F.lit(cap))).drop("total")
+
+
+def first_awards(ledger: DataFrame) -> DataFrame:
+    """The first entry of each kind of action of a source."""
+    rest = F.struct(*[c for c in ledger.columns if c not in ("source_id", "action")])
+    return ledger.groupBy("source_id", "action").agg(F.min_by(rest, F.struct("ts", "entry_id")).alias("e")).select("source_id", "action", "e.*")
 
 
 def streaks(ledger: DataFrame, days: int = 7) -> DataFrame:
@@ -143,11 +148,11 @@ QUERIES = {
     "cell_leaders": lambda s, d: leaders(eligible(earned(U(s, d), "cell"), A(s, d)), 3, "cell").select("cell", "account_id", "points", "place"),
     "podium_per_cell": lambda s, d: leaders(eligible(earned(U(s, d), "cell"), A(s, d)), 3, "cell").groupBy("cell").agg(F.max(F.when(F.col("place") == 1, F.col("account_id"))).alias("gold"), F.count("*").alias("n")),
     "regional_leaders": lambda s, d: leaders(eligible(earned(U(s, d)), A(s, d)), 25).select("account_id", "points", "place"),
-    "universe_outer": lambda s, d: universe(s, d).join(U(s, d).where("ts >= '1997-01-01'").groupBy("cell").agg(F.sum("points").alias("w")), "cell", "full").select("cell", F.coalesce("w", F.lit(0)).alias("points")),
+    "universe_outer": lambda s, d: universe(s, d).join(U(s, d).groupBy("cell").agg(F.sum("points").alias("w")), "cell", "full").select("cell", F.coalesce("w", F.lit(0)).alias("points")),
     "cell_universe": universe,
     "union_cells_distinct": lambda s, d: U(s, d).select("cell").union(fx.load(s, d, "events").select((F.col("event_id") % 120).alias("cell"))).distinct(),
     "ride_points_cap": lambda s, d: capped_awards(U(s, d)).select("entry_id", "paid"),
-    "points_ledger": lambda s, d: capped_awards(U(s, d).withColumn("_n", F.row_number().over(Window.partitionBy("source_id", "action").orderBy("ts", "entry_id"))).where("_n = 1")).where("paid > 0").select("entry_id", "account_id", "paid"),
+    "points_ledger": lambda s, d: capped_awards(first_awards(U(s, d))).where("paid > 0").select("entry_id", "account_id", "paid"),
     "nth_report": lambda s, d: fx.device_reports(s, d).where("account_id IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("account_id").orderBy("ts", "event_id")).cast("long")).where("n IN (1, 10)").select("account_id", "n", "ts"),
     "first_scan_award": lambda s, d: top_k(fx.load(s, d, "events").where("event_type = 'view'").select("event_id", "user_id", (F.col("event_id") % 50).alias("v"), "ts"), 1, ["user_id", "v"], F.col("ts"), F.col("event_id")).select("event_id", F.lit(AWARDS["scan"]).alias("points")),
     "photo_award_cap": lambda s, d: top_k(fx.load(s, d, "events").where("event_type = 'click'").select("event_id", (F.col("event_id") % 50).alias("v"), "ts"), 3, ["v"], F.col("ts"), F.col("event_id")).select("event_id", F.lit(AWARDS["photo"]).alias("points")),
@@ -215,7 +220,7 @@ SQL = {
     "cell_leaders": fx.sql(_CELL),
     "podium_per_cell": fx.sql(f"SELECT cell, max(CASE WHEN place = 1 THEN account_id END) AS gold, count(*) AS n FROM ({_CELL}) GROUP BY 1"),
     "regional_leaders": fx.sql(f"SELECT account_id, points, row_number() OVER (ORDER BY points DESC, first_at, account_id) AS place {_ELIG.format(by='')} QUALIFY place <= 25"),
-    "universe_outer": fx.sql(f"SELECT cell, coalesce(w, 0) AS points FROM ({_UNI}) FULL JOIN (SELECT cell, CAST(sum(points) AS BIGINT) AS w FROM user_points WHERE ts >= TIMESTAMP '1997-01-01' GROUP BY 1) USING (cell)"),
+    "universe_outer": fx.sql(f"SELECT cell, coalesce(w, 0) AS points FROM ({_UNI}) FULL JOIN (SELECT cell, CAST(sum(points) AS BIGINT) AS w FROM user_points GROUP BY 1) USING (cell)"),
     "cell_universe": fx.sql(_UNI),
     "union_cells_distinct": fx.sql("SELECT cell FROM user_points UNION SELECT event_id % 120 FROM events"),
     "ride_points_cap": fx.sql(f"SELECT entry_id, {_CAP} AS paid FROM (SELECT *, CAST(sum(points) OVER (PARTITION BY source_id ORDER BY ts, entry_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM user_points)"),

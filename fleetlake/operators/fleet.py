@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, prefix
 from ..sources import fixtures as fx
 
 LUT_STEPS = 100
@@ -19,31 +19,32 @@ def soc_lut(spark) -> DataFrame:  # noqa: ANN001
     return spark.range(LUT_STEPS).select(F.col("id").alias("soc_rank"), (100 + 327 * F.col("id")).cast("int").alias("metres"))
 
 
-def rank_tie_top(value: str, *by: str) -> tuple[Column, Column]:
-    """Rank from below in which ties take the last place, and the number ranked; null values are out."""
-    part = Window.partitionBy(*by)
-    return F.count(value).over(part.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)), F.count(value).over(part)
+#: Metres of range that are ordered together.
+RANGE_PIECE = 1_000
 
 
 def range_ranks(points: DataFrame) -> DataFrame:
-    """Rank of each range among its type's, rank among distinct values, and the quartile label."""
-    x = points.where("range_m IS NOT NULL")
-    rank, n = rank_tie_top("range_m", "day", "type_id")
-    part = Window.partitionBy("day", "type_id")
-    x = x.withColumns({"rank_x": rank, "rank_y": n, "unique_x": F.dense_rank().over(part.orderBy("range_m")).cast("long")})
-    x = x.withColumn("unique_y", F.max("unique_x").over(part))
+    """Rank of each range among its type's, rank among distinct values, and the quartile label; points without a range are out.
+
+    Ranks come from counts per (day, type, range) and meet the points by an equi-join on the
+    range itself, so neither a day's type nor a frequent range is one task's.
+    """
+    ranks = prefix.value_ranks(points, "range_m", ["day", "type_id"], RANGE_PIECE)
+    x = prefix.matched(points.where("range_m IS NOT NULL"), ranks, ["day", "type_id", "range_m"])
+    x = x.withColumnsRenamed({"upto": "rank_x", "total": "rank_y", "place": "unique_x", "kinds": "unique_y"})
     label = F.when(F.col("unique_y") == 1, 75).otherwise((F.least(F.lit(3), F.floor((F.col("unique_x") - 1) / F.col("unique_y") * 4)) * 25)).cast("long")
     return x.withColumn("quartile", label)
 
 
 def cell_ranks(points: DataFrame) -> DataFrame:
-    """Ranks among the points of the same day and hexagon at three resolutions."""
+    """Ranks among the points of the same day and hexagon at three resolutions, from counts per (day, cell, range)."""
     x = points.where("range_m IS NOT NULL")
     for res in (8, 9, 10):
         x = x.withColumn(f"cell{res}", geo.hex_name(geo.hex_cell(F.col("lat"), F.col("lon"), res)))
     for res in (8, 9, 10):
-        rank, n = rank_tie_top("range_m", "day", f"cell{res}")
-        x = x.withColumns({f"x{res}": rank, f"y{res}": n})
+        by = ["day", f"cell{res}"]
+        ranks = prefix.value_ranks(x, "range_m", by).select(*by, "range_m", F.col("upto").alias(f"x{res}"), F.col("total").alias(f"y{res}"))
+        x = prefix.matched(x, ranks, [*by, "range_m"])
     return x
 
 

@@ -92,7 +92,7 @@ QUERIES = {
     "hour_backfill": lambda s, d: hour_backfill(s, d),
     "trailing_window": lambda s, d: fx.trip_events(s, d).join(F.broadcast(fx.trip_events(s, d).agg(F.max("ts").alias("now"))), F.col("ts") > F.col("now") - F.expr("INTERVAL 28 DAYS")).groupBy("model").agg(F.count("*").alias("trips")),
     "latest_metrics": lambda s, d: fx.points(s, d).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.max("range_m").alias("best")).orderBy(F.desc("hour")).limit(1),
-    "events_recent": lambda s, d: fx.load(s, d, "events").where("ts >= '2024-01-10'").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts"),
+    "events_recent": lambda s, d: fx.load(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "ts"),
     "text_search_ilike": lambda s, d: fx.load(s, d, "part").where(F.col("p_name").ilike("%RE%")).select("p_partkey", "p_name"),
     "region_trend": lambda s, d: fx.points(s, d).where("type_id = '2'").groupBy("day").agg(F.count("*").alias("n"), F.round(F.avg("range_m"), 6).alias("avg_range")),
     "snapshot_asof": lambda s, d: snapshot_asof(s, d),
@@ -171,7 +171,7 @@ SQL = {
       SELECT hour, n, 'first' AS origin FROM f UNION ALL SELECT hour, n, 'second' FROM g WHERE hour NOT IN (SELECT hour FROM f)""",
     "trailing_window": fx.sql("SELECT model, count(*) AS trips FROM trip_events WHERE ts > (SELECT max(ts) - INTERVAL 28 DAYS FROM trip_events) GROUP BY 1"),
     "latest_metrics": fx.sql("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, max(range_m) AS best FROM points GROUP BY 1 ORDER BY 1 DESC LIMIT 1"),
-    "events_recent": "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "events_recent": "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
     "text_search_ilike": "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RE%'",
     "region_trend": fx.sql("SELECT day, count(*) AS n, round(avg(range_m), 6) AS avg_range FROM points WHERE type_id = '2' GROUP BY 1"),
     "snapshot_asof": fx.sql("SELECT asked, max(day) AS day FROM (SELECT DISTINCT CAST(ts AS DATE) + 3 AS asked FROM events) JOIN (SELECT DISTINCT day FROM points) ON day <= asked AND day >= date_trunc('month', asked) - INTERVAL 1 MONTH GROUP BY 1"),

@@ -67,15 +67,11 @@ def ride_features(rides: DataFrame, points: DataFrame) -> DataFrame:
 E = fx.route_edges
 
 
-def _short_tracks(s, d):  # noqa: ANN001, ANN202
-    return fx.ride_points(s, d).where("ride_id % 10 <> 0")
-
-
 QUERIES = {
     "longest_off_network_run": lambda s, d: longest_detour(E(s, d), fx.ways(s, d)),
     "route_options_dedupe": lambda s, d: distinct_options(E(s, d)),
     "route_rerank": lambda s, d: chosen_routes(route_scores(E(s, d), fx.ways(s, d))),
-    "ride_export": lambda s, d: ride_features(fx.donations(s, d), _short_tracks(s, d)),
+    "ride_export": lambda s, d: ride_features(fx.donations(s, d), fx.ride_points(s, d)),
 }
 
 _OFF = "SELECT route_id, island, sum(metres) AS metres, min(seq) AS first, max(seq) AS last FROM (SELECT e.*, coalesce(bikeway, false) AS on_net, CAST(sum(CASE WHEN bikeway THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM route_edges e LEFT JOIN ways USING (way_id)) WHERE NOT on_net GROUP BY 1, 2"
@@ -85,6 +81,6 @@ SQL = {
     "route_options_dedupe": fx.sql("""WITH r AS (SELECT route_id, string_agg(CAST(way_id AS VARCHAR), ',' ORDER BY seq) AS shape, sum(metres) AS m FROM route_edges GROUP BY 1), g AS (SELECT route_id // 10 AS request, shape, max(m) AS slowest, arg_max(route_id, {'a': m, 'b': -route_id}) AS route_id, list(route_id ORDER BY route_id) AS ids FROM r GROUP BY 1, 2)
       SELECT request, route_id, slowest, coalesce(array_to_string([i FOR i IN ids IF i <> route_id], ','), '') AS labels FROM g"""),
     "route_rerank": fx.sql(f"WITH sc AS (SELECT *, route_id // 10 AS request, round(metres * (1 - 0.3::DOUBLE * network), 6) AS discounted, round(metres * (1.2::DOUBLE - 0.2::DOUBLE * street), 6) AS burn FROM ({_RS}) q) " + " UNION ALL ".join(f"SELECT '{n}' AS profile, request, route_id FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY request ORDER BY {o}) = 1)" for n, o in PROFILES.items())),
-    "ride_export": fx.sql(f"""WITH pa AS (SELECT ride_id, count(*) AS c, string_agg({_PLACE.format(a='lat', b='lon')}, ',' ORDER BY seq) AS line FROM ride_points WHERE ride_id % 10 <> 0 GROUP BY 1)
+    "ride_export": fx.sql(f"""WITH pa AS (SELECT ride_id, count(*) AS c, string_agg({_PLACE.format(a='lat', b='lon')}, ',' ORDER BY seq) AS line FROM ride_points GROUP BY 1)
       SELECT ride_id, account_id, issued_us, ended_us, '{{"type":"LineString","coordinates":[' || CASE WHEN c >= 2 THEN line WHEN start_lat IS NOT NULL AND end_lat IS NOT NULL THEN {_PLACE.format(a='start_lat', b='start_lon')} || ',' || {_PLACE.format(a='end_lat', b='end_lon')} END || ']}}' AS geometry FROM donations LEFT JOIN pa USING (ride_id)"""),
 }

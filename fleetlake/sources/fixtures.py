@@ -175,8 +175,8 @@ def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Waypoints of donated tracks: three near each ride point, 150 seconds apart; every tenth ride has none."""
-    p = ride_points(spark, sf_dir).where("ride_id % 10 <> 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    """Waypoints of donated tracks: three near each ride point, 150 seconds apart."""
+    p = ride_points(spark, sf_dir).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
     n = F.col("seq") * 3 + F.col("j") - 3
     late = F.when((F.col("acc") > 78) & (F.col("j") == 1), 300).otherwise(0)
     issued = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ride_id"), (micros("o_orderdate") + (F.col("o_orderkey") % 86400) * 1_000_000).alias("issued_us"))
@@ -275,7 +275,7 @@ VIEWS = {
     "ride_points": "SELECT l_orderkey AS ride_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, 39.58::DOUBLE + (l_partkey * 37 % 340) / 10000.0::DOUBLE AS lat, -105.25::DOUBLE + (l_suppkey * 53 % 350) / 10000.0::DOUBLE AS lon, CAST(l_partkey % 80 AS DOUBLE) AS acc FROM lineitem",
     "rides": "SELECT o_orderkey AS ride_id, o_custkey AS account_id, o_orderdate AS ts, CAST(floor(o_totalprice) AS BIGINT) AS claimed_m, 60 + o_orderkey % 7200 AS seconds, o_orderkey % 9000 AS route_m, o_orderstatus AS state FROM orders",
     "track_points": """SELECT ride_id, n, issued_us + (n * 150 - CASE WHEN acc > 78 AND j = 1 THEN 300 ELSE 0 END) * 1000000 AS us, lat + j * 0.0002::DOUBLE AS lat, lon + j * 0.0002::DOUBLE AS lon, acc
-  FROM (SELECT *, seq * 3 + j - 3 AS n FROM ride_points, (VALUES (0), (1), (2)) t(j) WHERE ride_id % 10 <> 0) JOIN (SELECT o_orderkey AS ride_id, epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS issued_us FROM orders) USING (ride_id)""",
+  FROM (SELECT *, seq * 3 + j - 3 AS n FROM ride_points, (VALUES (0), (1), (2)) t(j)) JOIN (SELECT o_orderkey AS ride_id, epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS issued_us FROM orders) USING (ride_id)""",
     "donations": """SELECT * EXCLUDE (alat, alon, zlat, zlon, last_us), alat + (ride_id % 16) * 0.0001::DOUBLE AS start_lat, alon AS start_lon, zlat + (ride_id % 150) * 0.0003::DOUBLE AS end_lat, zlon AS end_lon,
     CASE WHEN ride_id % 3 <> 0 THEN alat + (ride_id % 14) * 0.0001::DOUBLE END AS feed_lat, CASE WHEN ride_id % 3 <> 0 THEN alon END AS feed_lon, CASE WHEN ride_id % 7 <> 0 THEN issued_us + ((ride_id % 25) - 12) * 60000000 END AS left_us,
     CASE WHEN ride_id % 4 <> 0 THEN last_us + ((ride_id % 23) - 11) * 60000000 END AS back_us, CASE WHEN ride_id % 4 <> 0 THEN zlat + (ride_id % 17) * 0.0001::DOUBLE END AS back_lat, CASE WHEN ride_id % 4 <> 0 THEN zlon + 0.0004::DOUBLE END AS back_lon,
