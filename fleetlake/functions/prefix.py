@@ -47,11 +47,12 @@ def running_total(rows: DataFrame, value: str, key: str, order: list[str], piece
 
     ``piece`` is a coarser form of the first column of the order, such as the day of a time:
     sums per piece are carried over the pieces of a key, rows are ordered inside their piece.
+    A null adds nothing.
     """
     x = rows.withColumn("_piece", piece)
     sums = x.groupBy(key, "_piece").agg(F.sum(value).alias("_sum"))
     past = Window.partitionBy(key).orderBy(F.col("_piece").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(key, "_piece", F.coalesce(F.sum("_sum").over(past), F.lit(0)).alias("_carried"))
     inner = Window.partitionBy(key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = matched(x.withColumn("_own", F.sum(value).over(inner)), carried, [key, "_piece"])
+    x = matched(x.withColumn("_own", F.coalesce(F.sum(value).over(inner), F.lit(0))), carried, [key, "_piece"])
     return x.withColumn(name, F.col("_own") + F.col("_carried")).drop("_piece", "_own", "_carried")

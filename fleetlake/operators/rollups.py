@@ -57,6 +57,26 @@ def sla_daily(s, d) -> DataFrame:  # noqa: ANN001
     return g.withColumn("passed", F.col("n") >= 30)
 
 
+#: Size of a sketch, and the share of requests by which a percentile from it may be off at most.
+SKETCH_K, SKETCH_ERROR = 800, 0.01
+
+
+def request_sketches(requests: DataFrame, *by: str) -> DataFrame:
+    """Per ``by`` (a day and a route): requests, errors and a KLL quantile sketch of the times, a column of a few kilobytes however many requests there are."""
+    sketch = F.kll_sketch_agg_bigint(F.col("ms").cast("long"), F.lit(SKETCH_K))
+    return requests.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"), sketch.alias("sketch"))
+
+
+def merged_sketches(rows: DataFrame, *by: str) -> DataFrame:
+    """Stored rows of :func:`request_sketches` as rows of longer spans: counts add up, sketches merge; no request is read again."""
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def quantiles(sketch: Column, *shares: float) -> Column:
+    """Values at the given shares of a sketch."""
+    return F.kll_sketch_get_quantile_bigint(sketch, F.array(*map(F.lit, shares)))
+
+
 def trips_per_vehicle(s, d) -> DataFrame:  # noqa: ANN001
     """Trips per vehicle and local day with the latest attributes and a rank with ties."""
     t = fx.trip_events(s, d).withColumn("day", local_day("ts"))

@@ -4,8 +4,11 @@ Polygons are the small side: one row each, edges in an array. They are listed by
 tile; a point looks up its tile's list (one equi-join), and the bounding boxes and the even-odd
 test then filter the list inside the row. So one lookup gives all regions of a point, and the
 metrics above it need no further join: while the tiles' lists have at most ``BROADCAST_EDGES``
-edges (counted), points are not shuffled before the final aggregate. Beyond, Spark chooses the
-join.
+edges (counted), points are not shuffled before the final aggregate.
+
+Beyond, points meet the lists by an equi-join over tiles that adapt (:func:`split_tiles`): a
+tile where edges crowd is cut into up to 16 x 16 parts, each with the edges that matter in it
+alone, and one where points crowd is dealt out by a hash, its list going to every part.
 """
 
 from __future__ import annotations
@@ -16,8 +19,13 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..registry import BUFFER_METRES, CORE_BOX, GLITCH_BOX, core_columns
 from ..sources import fixtures as fx
+from ..sources import io
 
 BROADCAST_EDGES = 200_000
+#: Edges that a tile's list has before the tile is cut, cuts at most (each halves both sides), and points of a tile that one task takes.
+TILE_EDGES, DEEPEST, TILE_POINTS = 512, 4, 250_000
+#: Degrees by which rounding may shift a point against its tile.
+SLACK = 1e-9
 
 
 def polygon_tiles(polygons: DataFrame, margin: float = 0.0) -> DataFrame:
@@ -34,18 +42,76 @@ def _hinted(tiles: DataFrame) -> DataFrame:
     return F.broadcast(tiles) if n <= BROADCAST_EDGES else tiles
 
 
+def clipped(edges: Column, west: Column, south: Column, side: Column) -> tuple[Column, Column]:
+    """The edges that decide in a tile whether its points are inside, and whether the others add an odd number of crossings for all of them.
+
+    The even-odd rule counts edges east of a point at its latitude. In a tile, edges above,
+    below or west of it count for no point, and an edge east of it that spans its latitudes
+    counts for every one; the rest is kept, so the rule gives the same as over all edges.
+    """
+    low, high = lambda e: F.least(e["y1"], e["y2"]), lambda e: F.greatest(e["y1"], e["y2"])
+    counts = lambda e: (high(e) > south - SLACK) & (low(e) < south + side + SLACK) & (F.greatest(e["x1"], e["x2"]) >= west - SLACK)
+    always = lambda e: (low(e) <= south - SLACK) & (high(e) >= south + side + SLACK) & (F.least(e["x1"], e["x2"]) > west + side + SLACK)
+    return F.filter(edges, lambda e: counts(e) & ~always(e)), F.size(F.filter(edges, always)) % 2 == 1
+
+
+def split_tiles(points: DataFrame, polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points and polygon lists with the columns ``spot``, which a point shares with the list of its part of a tile.
+
+    Both sides follow from counts per tile: the edges of its list give the depth of its cuts,
+    its points the number of hash parts. Tiles that need neither are not in the table of them.
+    """
+    own = [c for c in polygons.columns if c != "edges"]
+    # Polygons often come in one file; their cuts are work for all tasks.
+    tiles = polygon_tiles(polygons.repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    corner = lambda t: t * F.lit(geo.TILE)
+    edges, odd = clipped(F.col("edges"), corner(F.col("tx")), corner(F.col("ty")), F.lit(geo.TILE))
+    tiles = tiles.withColumns({"edges": edges, "odd": odd}).where("odd OR size(edges) > 0")
+    p = points.withColumns({"tx": geo.tile(F.col("lon")), "ty": geo.tile(F.col("lat"))})
+    heavy = tiles.groupBy("tx", "ty").agg(F.sum(F.size("edges")).alias("e")).where(F.col("e") > TILE_EDGES)
+    busy = p.groupBy("tx", "ty").agg(F.count("*").alias("n")).where(F.col("n") > TILE_POINTS)
+    plan = heavy.join(busy, ["tx", "ty"], "full")
+    depth = F.least(F.lit(DEEPEST), F.ceil(F.log2(F.col("e") / TILE_EDGES))).cast("int")
+    plan = io.stored(plan.select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.coalesce(depth, F.lit(0)).alias("depth"), F.coalesce(F.ceil(F.col("n") / TILE_POINTS).cast("int"), F.lit(1)).alias("parts")))
+    small = plan.count() <= 1_000_000
+    on = (F.col("tx") == F.col("_tx")) & (F.col("ty") == F.col("_ty"))
+
+    def planned(x: DataFrame) -> DataFrame:
+        x = x.join(F.broadcast(plan) if small else plan, on, "left").drop("_tx", "_ty")  # about a row per TILE_EDGES edges and TILE_POINTS points
+        return x.withColumns({"depth": F.coalesce("depth", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})
+
+    n = F.call_function("shiftleft", F.lit(1), F.col("depth"))
+    part_at = lambda c, tile: F.greatest(F.lit(0), F.least(n - 1, F.floor((c / F.lit(geo.TILE) - F.col(tile)) * n).cast("int")))
+    dealt = planned(p).withColumn("spot", F.struct("tx", "ty", part_at(F.col("lon"), "tx").alias("i"), part_at(F.col("lat"), "ty").alias("j"), F.pmod(F.xxhash64("lat", "lon", *[c for c, t in points.dtypes if t in ("bigint", "string")]), F.col("parts")).cast("int").alias("part")))
+    touched = lambda low, high, tile: F.explode(F.sequence(part_at(F.col(low) - SLACK, tile), part_at(F.col(high) + SLACK, tile)))
+    lists = planned(tiles).withColumn("i", touched("west", "east", "tx")).withColumn("j", touched("south", "north", "ty"))
+    side = F.lit(geo.TILE) / n
+    edges, odd = clipped(F.col("edges"), corner(F.col("tx")) + F.col("i") * side, corner(F.col("ty")) + F.col("j") * side, side)
+    lists = lists.select(*own, "west", "east", "south", "north", "tx", "ty", "i", "j", "parts", edges.alias("edges"), (odd != F.col("odd")).alias("odd")).where("odd OR size(edges) > 0")
+    lists = lists.groupBy("tx", "ty", "i", "j", "parts").agg(F.collect_list(F.struct(*own, "west", "east", "south", "north", "edges", "odd")).alias("polygons"))
+    lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(*points.columns, "spot"), lists.select(F.struct("tx", "ty", "i", "j", "part").alias("spot"), "polygons")
+
+
 def with_regions(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """``regions``: the polygons that hold each point, as structs of their columns but the edges."""
     own = [c for c in polygons.columns if c != "edges"]
     tiles = polygon_tiles(polygons)
     n = tiles.agg(F.sum(F.size("edges"))).first()[0] or 0
-    lists = tiles.groupBy("tx", "ty").agg(F.collect_list(F.struct(*own, "west", "east", "south", "north", "edges")).alias("polygons"))  # a tile's polygons
+    if n > BROADCAST_EDGES:
+        dealt, lists = split_tiles(points, polygons)
+        return _held(dealt.join(lists, "spot", "left"), points, polygons, own)
+    lists = tiles.withColumn("odd", F.lit(False)).groupBy("tx", "ty").agg(F.collect_list(F.struct(*own, "west", "east", "south", "north", "edges", "odd")).alias("polygons"))  # a tile's polygons
     p = points.withColumns({"tx": geo.tile(F.col("lon")), "ty": geo.tile(F.col("lat"))})
-    x = p.join(F.broadcast(lists) if n <= BROADCAST_EDGES else lists, ["tx", "ty"], "left")
+    return _held(p.join(F.broadcast(lists), ["tx", "ty"], "left"), points, polygons, own)
+
+
+def _held(x: DataFrame, points: DataFrame, polygons: DataFrame, own: list[str]) -> DataFrame:
+    """``regions`` of points that have met their list of ``polygons``."""
     lat, lon = F.col("lat"), F.col("lon")
 
     def holds(g: Column) -> Column:
-        return lon.between(g["west"], g["east"]) & lat.between(g["south"], g["north"]) & geo.inside(g["edges"], lat, lon)
+        return lon.between(g["west"], g["east"]) & lat.between(g["south"], g["north"]) & (geo.inside(g["edges"], lat, lon) != g["odd"])
 
     held = F.transform(F.filter("polygons", holds), lambda g: F.struct(*[g[c].alias(c) for c in own]))
     none = F.expr("filter(array(named_struct({})), g -> false)".format(", ".join(f"'{c}', cast(null as {t})" for c, t in polygons.select(*own).dtypes)) if own else "array()")
@@ -153,7 +219,14 @@ def _core_sql(by: str = "") -> str:
       (SELECT t.*, coalesce(g.groups, []) AS groups FROM typed t LEFT JOIN (SELECT event_id, list(DISTINCT region_type) AS groups FROM hits GROUP BY event_id) g USING (event_id) WHERE status = 'core') q {f'GROUP BY {by}' if by else ''}) w""")
 
 
+def zone_counts(s, d) -> DataFrame:  # noqa: ANN001
+    """Zones around each point: how many hold it, and the least of them; zones are as many as orders, with 16 edges each."""
+    x = with_regions(fx.points(s, d).select("event_id", "lat", "lon"), fx.zones(s, d))
+    return x.where(F.size("regions") > 0).select("event_id", F.size("regions").cast("long").alias("zones"), F.array_min(F.transform("regions", lambda g: g["zone_id"])).alias("first"))
+
+
 QUERIES = {
+    "zone_counts": zone_counts,
     "point_in_polygon": lambda s, d: points_in_polygons(fx.points(s, d).select("event_id", "lat", "lon"), fx.boundaries(s, d)).select("event_id", "region_type", "region_name"),
     "envelope_tag": lambda s, d: envelope_tag(fx.points(s, d)).select("event_id", "status"),
     "refine_status_semi_anti": lambda s, d: refine_status(envelope_tag(fx.points(s, d)), fx.boundaries(s, d).where("region_type = 'neighborhood'")).select("event_id", "tag", "status"),
@@ -174,6 +247,11 @@ _K = "111320.0::DOUBLE"
 _SEGMENT = f"""SELECT p.event_id, (x1 - lon) * {_K} * cos(radians(lat)) AS ax, (y1 - lat) * {_K} AS ay, (x2 - lon) * {_K} * cos(radians(lat)) - (x1 - lon) * {_K} * cos(radians(lat)) AS dx, (y2 - lat) * {_K} - (y1 - lat) * {_K} AS dy
   FROM points p JOIN edges e ON region_type = 'v1' AND lon BETWEEN least(x1, x2) - 0.003 AND greatest(x1, x2) + 0.003 AND lat BETWEEN least(y1, y2) - 0.003 AND greatest(y1, y2) + 0.003"""
 SQL = {
+    "zone_counts": fx.sql("""WITH z AS (SELECT zone_id, min(least(x1, x2)) AS west, max(greatest(x1, x2)) AS east, min(least(y1, y2)) AS south, max(greatest(y1, y2)) AS north FROM zones GROUP BY 1),
+      t AS (SELECT z.*, tx, ty FROM (SELECT *, unnest(range(CAST(floor(west / 0.02) AS BIGINT), CAST(floor(east / 0.02) AS BIGINT) + 1)) AS tx FROM z) z, LATERAL (SELECT unnest(range(CAST(floor(south / 0.02) AS BIGINT), CAST(floor(north / 0.02) AS BIGINT) + 1)) AS ty)),
+      c AS (SELECT event_id, zone_id, lat, lon FROM (SELECT *, CAST(floor(lon / 0.02) AS BIGINT) AS tx, CAST(floor(lat / 0.02) AS BIGINT) AS ty FROM points) p JOIN t USING (tx, ty) WHERE lon BETWEEN west AND east AND lat BETWEEN south AND north),
+      h AS (SELECT event_id, zone_id FROM c JOIN zones e USING (zone_id) WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+      SELECT event_id, count(*) AS zones, min(zone_id) AS first FROM h GROUP BY 1"""),
     "point_in_polygon": fx.sql("SELECT event_id, region_type, region_name FROM hits"),
     "envelope_tag": fx.sql("SELECT event_id, status FROM tagged"),
     "refine_status_semi_anti": fx.sql("SELECT event_id, tag, status FROM refined"),

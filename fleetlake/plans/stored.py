@@ -11,6 +11,7 @@ from ..operators import community, people, rides, rollups, spatial
 from ..registry import GROUPS
 from ..sources import fixtures as fx
 from ..sources import io
+from ..sources.archive import Archive
 from ..streaming import streams
 
 
@@ -20,6 +21,17 @@ def _archive(s, d) -> str:  # noqa: ANN001
     return path
 
 
+def archive_manifest(s, d) -> DataFrame:  # noqa: ANN001
+    """The points in appends of a week each, the first one twice, then merged; rows and first point per day."""
+    box, points = Archive(s, io.scratch(s)), fx.points(s, d)
+    weeks = [r[0] for r in points.select(F.date_trunc("week", "ts").alias("w")).distinct().orderBy("w").collect()]
+    for week in [*weeks[:1], *weeks]:
+        box.append(points.where(F.date_trunc("week", "ts") == F.lit(week)))
+    box.merge(below=1 << 40)
+    box.sweep()
+    return box.read().groupBy("day").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
 def _staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read as a stream."""
     path = io.scratch(df.sparkSession)
@@ -64,6 +76,16 @@ def append_metrics(s, d) -> DataFrame:  # noqa: ANN001
     return s.read.parquet(f"{root}/metrics")
 
 
+def request_quantiles(s, d) -> DataFrame:  # noqa: ANN001
+    """Median and 95th percentile per route from stored daily sketches, held against the exact shares of requests at most as slow."""
+    daily, requests = io.stored(rollups.request_sketches(fx.requests(s, d), "ts", "route")), fx.requests(s, d)
+    x = rollups.merged_sketches(daily, "route").select("route", "n", "errors", rollups.quantiles(F.col("sketch"), 0.5, 0.95).alias("q"))
+    share = lambda k, strict: F.count_if(F.col("ms") < F.col("q")[k] if strict else F.col("ms") <= F.col("q")[k]) / F.count("*")
+    fits = lambda k, p: (share(k, True) <= p + rollups.SKETCH_ERROR) & (share(k, False) >= p - rollups.SKETCH_ERROR)
+    held = requests.join(F.broadcast(x.select("route", "q")), "route").groupBy("route").agg(fits(0, 0.5).alias("p50_fits"), fits(1, 0.95).alias("p95_fits"))  # a row per route
+    return x.select("route", "n", "errors").join(held, "route")
+
+
 def replace_partition(s, d) -> DataFrame:  # noqa: ANN001
     """The daily rollup stored twice: the second run replaces."""
     path, daily = io.scratch(s), rollups.QUERIES["telemetry_daily"](s, d)
@@ -204,7 +226,9 @@ QUERIES = {
     "scan_archive_by_name": scan_archive,
     "archive_files_after_cutover": lambda s, d: io.archive_after(s, _archive(s, d), "2024-01-15").groupBy("day").agg(F.count("*").alias("n")),
     "write_archive": lambda s, d: s.read.parquet(_archive(s, d)).groupBy("day").agg(F.count("*").alias("n"), F.min("event_id").alias("first")),
+    "archive_manifest": archive_manifest,
     "append_metrics": append_metrics,
+    "request_quantiles": request_quantiles,
     "replace_partition": replace_partition,
     "swap_if_complete": swap_if_complete,
     "hourly_temps_from_arrays": temperatures,
@@ -225,6 +249,8 @@ SQL = {
     "scan_archive_by_name": fx.sql("SELECT event_id, lat, lon, CASE WHEN day >= DATE '2024-01-15' THEN range_m END AS range_m FROM points"),
     "archive_files_after_cutover": fx.sql("SELECT day, count(*) AS n FROM points WHERE day > DATE '2024-01-15' GROUP BY 1"),
     "write_archive": fx.sql("SELECT day, count(*) AS n, min(event_id) AS first FROM points GROUP BY 1"),
+    "archive_manifest": fx.sql("SELECT day, count(*) AS n, min(event_id) AS first FROM points GROUP BY 1"),
+    "request_quantiles": fx.sql("SELECT route, count(*) AS n, count(*) FILTER (WHERE status >= 500) AS errors, TRUE AS p50_fits, TRUE AS p95_fits FROM requests GROUP BY 1"),
     "append_metrics": fx.sql("SELECT day, status, count(*) AS n FROM tagged GROUP BY 1, 2"),
     "replace_partition": rollups.SQL["telemetry_daily"],
     "swap_if_complete": fx.sql("SELECT * FROM ways"),

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import re
+from math import cos, pi, sin
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,6 +98,26 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.explode(kinds).alias("region_type"), F.concat(F.lit("r"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("region_name"), edges.alias("edges"))
 
 
+def _star(points: int = 16, far: float = 0.003, near: float = 0.0012) -> list[tuple[float, float, float, float]]:
+    """Edges (x1, y1, x2, y2) of a star around the origin, in degrees."""
+    at = [((far if k % 2 else near) * cos(2 * pi * k / points), (far if k % 2 else near) * sin(2 * pi * k / points)) for k in range(points)]
+    return [(*at[k], *at[(k + 1) % points]) for k in range(points)]
+
+
+STAR = _star()
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(zone_id, edges)``: a star of 16 edges around a place for each order, a third of them in the city's centre."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("zone_id"))
+    k = F.col("zone_id")
+    lat = F.when(k % 3 == 0, F.lit(39.74) + (k * 7919 % 400) / F.lit(10000.0)).otherwise(F.lit(39.58) + (k * 7919 % 3400) / F.lit(10000.0)) + F.lit(0.00003)
+    lon = F.when(k % 3 == 0, F.lit(-104.98) + (k * 104729 % 400) / F.lit(10000.0)).otherwise(F.lit(-105.25) + (k * 104729 % 7000) / F.lit(10000.0)) + F.lit(0.00003)
+    at = F.struct(lat.alias("lat"), lon.alias("lon"))
+    star = F.array(*[F.struct(*[(F.col("at")[c] + F.lit(v)).alias(n) for n, c, v in zip(("x1", "y1", "x2", "y2"), ("lon", "lat", "lon", "lat"), e)]) for e in STAR])
+    return o.withColumn("at", at).select("zone_id", star.alias("edges"))
+
+
 def device_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negative reports: error events."""
     e = points(spark, sf_dir).join(load(spark, sf_dir, "events").where("event_type = 'error'").select("event_id"), "event_id")
@@ -257,6 +278,10 @@ VIEWS = {
   -105.25::DOUBLE + (k % 5 + ux2) * 0.14::DOUBLE + 0.00005::DOUBLE AS x2, 39.58::DOUBLE + (k // 5 + uy2) * 0.068::DOUBLE + 0.00005::DOUBLE AS y2
   FROM (SELECT n_nationkey AS k, unnest(['neighborhood', CASE WHEN n_nationkey % 3 = 0 THEN 'v1' END, CASE WHEN n_nationkey % 4 = 0 THEN 'v2' END, 'er' || (n_nationkey % 6 + 1)]) AS region_type FROM nation)
   JOIN (VALUES {_SHAPE_ROWS}) s(shape, ux1, uy1, ux2, uy2) ON k % 4 = shape AND region_type IS NOT NULL""",
+    "zones": f"""SELECT zone_id, lon + dx1 AS x1, lat + dy1 AS y1, lon + dx2 AS x2, lat + dy2 AS y2 FROM (SELECT o_orderkey AS zone_id,
+      CASE WHEN o_orderkey % 3 = 0 THEN 39.74::DOUBLE + (o_orderkey * 7919 % 400) / 10000.0::DOUBLE ELSE 39.58::DOUBLE + (o_orderkey * 7919 % 3400) / 10000.0::DOUBLE END + 0.00003::DOUBLE AS lat,
+      CASE WHEN o_orderkey % 3 = 0 THEN -104.98::DOUBLE + (o_orderkey * 104729 % 400) / 10000.0::DOUBLE ELSE -105.25::DOUBLE + (o_orderkey * 104729 % 7000) / 10000.0::DOUBLE END + 0.00003::DOUBLE AS lon FROM orders),
+      (VALUES {", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in e) + ")" for e in STAR)}) v(dx1, dy1, dx2, dy2)""",
     "tagged": """SELECT *, CASE WHEN lat BETWEEN 39.58::DOUBLE AND 39.92::DOUBLE AND lon BETWEEN -105.25::DOUBLE AND -104.55::DOUBLE THEN 'core'
   WHEN lat BETWEEN 18 AND 54 AND lon BETWEEN 73 AND 135 THEN 'glitch' ELSE 'outlier' END AS status FROM points""",
     "hits": """SELECT event_id, region_type, region_name FROM points JOIN edges e ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
