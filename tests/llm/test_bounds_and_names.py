@@ -232,3 +232,52 @@ def test_shapes_read_whole_tokens(n):
     assert quality.shape("b" * n) == "a" and quality.shape("b" * n + "!!!") == "a!!" and quality.shape("b" * n + "9" * n + "C") == "a0A"
     made = quality.Features()
     assert made.of("x " + "b" * n + "!!!") != made.of("x " + "b" * n) and made.token("b" * n) == made.token("b" * n)
+
+
+def test_placement_equals_brute_force_and_moves_alone_are_written(spark, tmp_path):
+    n_old, n_new, seed = 4, 6, 9
+    rnd = np.random.default_rng(seed)
+    texts = ["w" * int(n) for n in rnd.integers(0, 400, 3000)] + ["copy " * 9] * 400 + ["twin"] * 300
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    layout = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(n_old)).cast("int")
+    plan = sharding.Plan(docs, layout, n_old, n_new)
+    # By hand: groups into blocks, blocks in line, the flow's intervals, each old shard's own first.
+    rows = docs.select(layout.alias("old"), sharding.group_of(F.col("text")).alias("h"), "doc_id", sharding.size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(5)).alias("k")).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["old"], r["h"]].append(r)
+    sizes = [sum(r["size"] for r in rows if r["old"] == i) for i in range(n_old)]
+    flow = sharding.transfers(sizes, n_new)
+    assert plan.flow == flow
+    limit, blocks = max(1, sum(sizes) // (n_new * sharding.SPLIT)), defaultdict(lambda: [0, 0])
+    for (old, h), own in groups.items():
+        large = sum(r["size"] for r in own) > limit and len(own) > 1
+        for r in own:
+            block = blocks[old, (r["k"] if large else h) % plan.n_blocks]
+            block[0] += r["size"]
+            block[1] += 1
+    want, moved, start = {}, 0, Counter()
+    for old in range(n_old):
+        at = 0
+        for (o, b), (size, n) in sorted(blocks.items()):
+            if o != old:
+                continue
+            middle, end = at + size / 2, 0
+            at += size
+            for j in [old, *(j for j in range(n_new) if j != old)]:
+                end += flow[old][j]
+                if flow[old][j] and (middle <= end or end == sizes[old]):
+                    want[old, b] = (j, n)
+                    break
+            moved += size if want[old, b][0] != old else 0
+    assert {(r["old"], r["block"]): (r["shard"], r["n"]) for r in plan.blocks.collect()} == want
+    out, _ = sharding.relocate(docs, layout, n_old, n_new, str(tmp_path / "moved"))
+    held = spark.read.parquet(str(tmp_path / "moved"))
+    assert held.agg(F.sum(sharding.size_of(F.col("text")))).first()[0] == moved < 0.6 * sum(sizes)
+    assert held.where("shard = old_shard").count() == 0
+    got = out.collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(enumerate(texts))
+    for r in got:
+        start[r["shard"]] += 1
+    for shard, n in start.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(n))
