@@ -6,11 +6,14 @@ share one partitioning by vehicle, so they share a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources import fixtures as fx
+from ..sources import io
 
 SWAP_STEP = 3_000
 FAST, SLOW = 240, 3_600
@@ -125,14 +128,31 @@ def train_burn_model(obs: DataFrame, features: list[str], label: str = "burn", c
 FEATURES = ("km", "climb", "temp", "stale")
 
 
+def climbs(rows: DataFrame, e: DataFrame, heights: DataFrame, cell: Callable[[Column, Column], Column]) -> DataFrame:
+    """``(vehicle, episode, climb)``: metres gained along each rental's track, null if the height of a place on it is unknown.
+
+    The track is where the vehicle stood, the ``rows`` of the ride and where it came to stand;
+    its places meet ``heights(cell, height)`` by an equi-join, and the gains of its pieces add up.
+    """
+    ends = F.array(F.struct(F.col("pre_us").alias("us"), F.lit(0).alias("k"), F.col("pre_lat").alias("lat"), F.col("pre_lon").alias("lon")), F.struct(F.col("arrived_us").alias("us"), F.lit(2).alias("k"), F.col("post_lat").alias("lat"), F.col("post_lon").alias("lon")))
+    stands = e.select("vehicle", "episode", F.explode(ends).alias("p")).select("vehicle", "episode", "p.us", "p.k", F.lit(0).cast("long").alias("event_id"), "p.lat", "p.lon")
+    ride = rows.where("reserved").join(e.select("vehicle", "episode"), ["vehicle", "episode"], "left_semi").select("vehicle", "episode", "us", F.lit(1).alias("k"), "event_id", "lat", "lon")
+    x = stands.unionByName(ride).withColumn("cell", cell(F.col("lat"), F.col("lon"))).join(heights, "cell", "left")
+    w = Window.partitionBy("vehicle", "episode").orderBy("us", "k", "event_id")
+    x = x.withColumn("up", F.greatest(F.lit(0), F.col("height") - F.lag("height").over(w)))
+    return x.groupBy("vehicle", "episode").agg(F.when(F.count("height") == F.count("*"), F.coalesce(F.sum("up"), F.lit(0))).alias("climb"))
+
+
 def observations(s, d) -> DataFrame:  # noqa: ANN001
-    """Usable rentals with what the burn model sees: kilometres, climb, temperature of the hour (12.5 if none is near) and minutes since the reading before."""
-    x = _judged(s, d).where("reason = 'ok'")
+    """Usable rentals with what the burn model sees, stored: kilometres, metres climbed (0 if unknown), temperature of the hour (12.5 if none is near) and minutes since the reading before."""
+    x = io.stored(_judged(s, d).where("reason = 'ok'"))
+    up = climbs(marked(M(s, d)), x, fx.terrain(s, d), fx.terrain_cell)
     t = nearest_temperature(x.select("vehicle", "episode", "departed_us"), fx.hourly_temperature(s, d), "departed_us")
-    return x.join(t, ["vehicle", "episode"], "left").select(
-        "vehicle", "episode", "type_id", "departed_us", "burn", (F.col("metres") / 1000).alias("km"), (F.greatest(F.lit(0.0), F.col("post_lat") - F.col("pre_lat")) * 100).alias("climb"),
+    x = x.join(t, ["vehicle", "episode"], "left").join(up, ["vehicle", "episode"], "left").select(
+        "vehicle", "episode", "type_id", "departed_us", "burn", (F.col("metres") / 1000).alias("km"), F.coalesce("climb", F.lit(0)).cast("double").alias("climb"),
         F.coalesce("temp", F.lit(12.5)).alias("temp"), ((F.col("departed_us") - F.col("pre_us")) / 6e7).alias("stale"),
     )
+    return io.stored(x)
 
 
 def fit_burn(obs: DataFrame, features: tuple[str, ...] = FEATURES, label: str = "burn", by: str = "type_id") -> dict | None:
@@ -250,7 +270,7 @@ def _judged(s, d):  # noqa: ANN001, ANN202
 
 def mine_rentals(s, d) -> DataFrame:  # noqa: ANN001
     """The whole extraction: episodes, rebalancing left out, reasons, temperature, speed limit."""
-    x = _judged(s, d)
+    x = io.stored(_judged(s, d))  # read for the groups, for the rentals and for their temperatures
     out = rebalance_groups(x)
     keyed = x.withColumns({"a": F.bround("pre_lat", 2), "b": F.bround("pre_lon", 2), "c": F.bround("post_lat", 2), "d": F.bround("post_lon", 2), "t": F.expr("departed_us div 1200000000")})
     x = keyed.join(out, ["a", "b", "c", "d", "t"], "left_anti").where("reason = 'ok' AND metres <= secs * 20")
@@ -331,8 +351,12 @@ _PAIRS = f"""pd0 AS (SELECT *, lag(us) OVER w AS p_us, lag(lat) OVER w AS p_lat,
 _TEMP = """SELECT vehicle, episode, arg_min(temp, {'a': abs(hour * 3600000000 - departed_us), 'b': hour}) AS temp FROM epi JOIN hourly_temperature ON abs(hour * 3600000000 - departed_us) <= 7200000000 GROUP BY 1, 2"""
 _LINE = "SELECT count(*) AS n, round(regr_slope(burn, metres), 6) AS slope, round(regr_intercept(burn, metres), 4) AS intercept, round(regr_r2(burn, metres), 6) AS r2 FROM jd WHERE reason = 'ok'"
 _P = "(intercept + slope * metres{})"
-_OBS = f"""{_JUDGED}, tm AS ({_TEMP}), ob AS (SELECT jd.vehicle, jd.episode, CAST(CAST(substr(jd.vehicle, 2) AS INT) % 5 + 1 AS VARCHAR) AS type_id, departed_us, burn, metres / 1000 AS km, greatest(0.0::DOUBLE, post_lat - pre_lat) * 100 AS climb, coalesce(temp, 12.5::DOUBLE) AS temp, (departed_us - pre_us) / 6e7 AS stale
-  FROM jd LEFT JOIN tm USING (vehicle, episode) WHERE reason = 'ok')"""
+_CLIMB = """tk AS (SELECT vehicle, episode, pre_us AS us, 0 AS k, 0 AS event_id, pre_lat AS lat, pre_lon AS lon FROM jd UNION ALL SELECT vehicle, episode, arrived_us, 2, 0, post_lat, post_lon FROM jd
+    UNION ALL SELECT m4.vehicle, m4.episode, us, 1, event_id, lat, lon FROM m4 JOIN jd ON m4.vehicle = jd.vehicle AND m4.episode = jd.episode WHERE reserved),
+  th AS (SELECT tk.*, height, height - lag(height) OVER (PARTITION BY vehicle, episode ORDER BY us, k, event_id) AS up FROM tk LEFT JOIN terrain ON cell = CAST(floor((lat - 39.58::DOUBLE) * 100) * 70 + floor((lon - -105.25::DOUBLE) * 100) AS BIGINT)),
+  cl AS (SELECT vehicle, episode, CASE WHEN count(height) = count(*) THEN coalesce(sum(greatest(0, up)), 0) END AS climb FROM th GROUP BY 1, 2)"""
+_OBS = f"""{_JUDGED}, tm AS ({_TEMP}), {_CLIMB}, ob AS (SELECT jd.vehicle, jd.episode, CAST(CAST(substr(jd.vehicle, 2) AS INT) % 5 + 1 AS VARCHAR) AS type_id, departed_us, burn, metres / 1000 AS km, CAST(coalesce(climb, 0) AS DOUBLE) AS climb, coalesce(temp, 12.5::DOUBLE) AS temp, (departed_us - pre_us) / 6e7 AS stale
+  FROM jd LEFT JOIN tm USING (vehicle, episode) LEFT JOIN cl USING (vehicle, episode) WHERE reason = 'ok')"""
 
 
 def _ols(rows: str) -> str:

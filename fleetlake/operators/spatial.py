@@ -205,7 +205,7 @@ def fleet_status(points: DataFrame) -> DataFrame:
 
 def _typed(spark, d):  # noqa: ANN001, ANN202
     """Points with regions, refined status and vehicle type: one lookup of polygons, one of types."""
-    return with_types(refined(with_regions(envelope_tag(fx.points(spark, d)), fx.boundaries(spark, d))), fx.vehicle_types(spark))
+    return with_types(refined(with_regions(envelope_tag(fx.points(spark, d)), fx.boundaries(spark, d))), F.broadcast(fx.vehicle_types(spark)))  # five rows
 
 
 def _core_sql(by: str = "") -> str:

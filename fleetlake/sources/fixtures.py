@@ -70,6 +70,17 @@ def moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumns({"lat": lat, "lon": lon}).drop("ts", "k")
 
 
+def terrain_cell(lat: Column, lon: Column) -> Column:
+    """Number of the hundredth of a degree that a place lies in."""
+    return (F.floor((lat - F.lit(39.58)) * 100) * 70 + F.floor((lon - F.lit(-105.25)) * 100)).cast("long")
+
+
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(cell, height)``: metres above the sea by :func:`terrain_cell`; cells that no part stands for have none."""
+    p = load(spark, sf_dir, "part")
+    return p.groupBy((F.col("p_partkey") % 2450).alias("cell")).agg((F.max("p_size").cast("long") * 8 + 1600).alias("height"))
+
+
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples in real time (us) around sixty places, where vehicles stay for about a day; every 17th has no plate."""
     x = _common(load(spark, sf_dir, "events"), "value")
@@ -278,6 +289,7 @@ VIEWS = {
   -105.25::DOUBLE + (k % 5 + ux2) * 0.14::DOUBLE + 0.00005::DOUBLE AS x2, 39.58::DOUBLE + (k // 5 + uy2) * 0.068::DOUBLE + 0.00005::DOUBLE AS y2
   FROM (SELECT n_nationkey AS k, unnest(['neighborhood', CASE WHEN n_nationkey % 3 = 0 THEN 'v1' END, CASE WHEN n_nationkey % 4 = 0 THEN 'v2' END, 'er' || (n_nationkey % 6 + 1)]) AS region_type FROM nation)
   JOIN (VALUES {_SHAPE_ROWS}) s(shape, ux1, uy1, ux2, uy2) ON k % 4 = shape AND region_type IS NOT NULL""",
+    "terrain": "SELECT p_partkey % 2450 AS cell, CAST(max(p_size) AS BIGINT) * 8 + 1600 AS height FROM part GROUP BY 1",
     "zones": f"""SELECT zone_id, lon + dx1 AS x1, lat + dy1 AS y1, lon + dx2 AS x2, lat + dy2 AS y2 FROM (SELECT o_orderkey AS zone_id,
       CASE WHEN o_orderkey % 3 = 0 THEN 39.74::DOUBLE + (o_orderkey * 7919 % 400) / 10000.0::DOUBLE ELSE 39.58::DOUBLE + (o_orderkey * 7919 % 3400) / 10000.0::DOUBLE END + 0.00003::DOUBLE AS lat,
       CASE WHEN o_orderkey % 3 = 0 THEN -104.98::DOUBLE + (o_orderkey * 104729 % 400) / 10000.0::DOUBLE ELSE -105.25::DOUBLE + (o_orderkey * 104729 % 7000) / 10000.0::DOUBLE END + 0.00003::DOUBLE AS lon FROM orders),

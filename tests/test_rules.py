@@ -284,3 +284,11 @@ def test_cards_fold_once_and_scan_thrice(spark, sf_dir):
         assert "MapInArrow" not in plan  # the fold is stored
         assert plan.count("Relation [event_id") == 1  # only the reports read the events again
     assert made.devices.columns[-3:] == ["first_us", "failed", "hours"]
+
+
+def test_climbs_follow_the_track(spark):
+    rows = spark.createDataFrame([("v", 1, 20, 7, 0.0, 1.0, True), ("v", 1, 30, 8, 0.0, 2.0, True), ("v", 1, 5, 1, 0.0, 9.0, False), ("v", 2, 50, 9, 0.0, 3.0, True), ("w", 1, 20, 4, 0.0, 4.0, True)], "vehicle string, episode long, us long, event_id long, lat double, lon double, reserved boolean")
+    e = spark.createDataFrame([("v", 1, 10, 0.0, 0.0, 40, 0.0, 3.0), ("v", 2, 45, 0.0, 0.0, 60, 0.0, 0.0), ("w", 1, 10, 0.0, 0.0, 40, 0.0, 1.0)], "vehicle string, episode long, pre_us long, pre_lat double, pre_lon double, arrived_us long, post_lat double, post_lon double")
+    heights = spark.createDataFrame([(0, 100), (1, 130), (2, 90), (3, 95)], "cell long, height long")
+    got = {(r["vehicle"], r["episode"]): r["climb"] for r in rentals.climbs(rows, e, heights, lambda lat, lon: lon.cast("long")).collect()}
+    assert got == {("v", 1): 35, ("v", 2): 5, ("w", 1): None}  # up 30, down 40, up 5; down 5, up 5; cell 4 has no height
