@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,7 @@ from ..sources import fixtures as fx
 from . import community
 
 U, A = fx.user_points, fx.accounts
-#: Words that an issue may use (those for the apps under names of our own), and which model each bonus question belongs to (by numbers of our own).
-ISSUES = (
-    "app_vendor", "acceleration", "basket", "battery", "bell", "brakes", "connectivity", "customer_service",
-    "dirty", "kickstand", "pedals", "phone_holder", "price", "speedometer", "site_issue", "vandalized",
-)
-BONUS_MODELS = {"front_basket": "model_1", "top_speed_mph": "model_2", "landscape_holder": "model_3"}
+#: Bounds of answers.
 TOP_SPEED, LEAST_TEXT, MILE = 40, 20, 1609.344
 REVIEW_VOTES = 3
 
@@ -28,14 +25,14 @@ def contact_match(referrals: DataFrame, accounts: DataFrame) -> DataFrame:
     return mail.union(phone).distinct()
 
 
-def survey_errors(surveys: DataFrame) -> DataFrame:
-    """``error``: bad_issue for words outside the vocabulary, bad_model_bonus for unknown keys, keys of another model and values out of bounds."""
-    bonus = F.map_from_arrays(F.array(*map(F.lit, BONUS_MODELS)), F.array(*map(F.lit, BONUS_MODELS.values())))
+def survey_errors(surveys: DataFrame, issues: Sequence[str], models: dict[str, str]) -> DataFrame:
+    """``error``: bad_issue for words outside ``issues``, bad_model_bonus for keys that ``models`` does not know, keys of another model than it says and values out of bounds."""
+    bonus = F.map_from_arrays(F.array(*map(F.lit, models)), F.array(*map(F.lit, models.values())))
     speed = F.expr("try_cast(value AS double)")
     value = F.when(F.col("key") == "top_speed_mph", speed.isNotNull() & speed.between(0, TOP_SPEED)).otherwise(F.col("value").isin("true", "false"))
     x = surveys.select("*", F.explode_outer("bonus").alias("key", "value"))
     wrong = F.col("key").isNotNull() & ~F.coalesce((bonus[F.col("key")] == F.col("model")) & value, F.lit(False))
-    x = x.groupBy("survey_id").agg(F.bool_or(F.size(F.array_except("issues", F.array(*map(F.lit, ISSUES)))) > 0).alias("word"), F.bool_or(wrong).alias("wrong"))
+    x = x.groupBy("survey_id").agg(F.bool_or(F.size(F.array_except("issues", F.array(*map(F.lit, issues)))) > 0).alias("word"), F.bool_or(wrong).alias("wrong"))
     return x.select("survey_id", F.when(F.col("word"), "bad_issue").when(F.col("wrong"), "bad_model_bonus").alias("error"))
 
 
@@ -218,11 +215,11 @@ def _contacts(s, d):  # noqa: ANN001, ANN202
 
 def _surveys(s, d):  # noqa: ANN001, ANN202
     k = F.col("event_id")
-    word = F.element_at(F.array(*map(F.lit, (*ISSUES, "wheels"))), (k % 17 + 1).cast("int"))
-    key = F.element_at(F.array(*map(F.lit, (*BONUS_MODELS, "other"))), (k % 4 + 1).cast("int"))
+    word = F.element_at(F.array(*map(F.lit, (*fx.ISSUES, "wheels"))), (k % 17 + 1).cast("int"))
+    key = F.element_at(F.array(*map(F.lit, (*fx.BONUS_MODELS, "other"))), (k % 4 + 1).cast("int"))
     value = F.when(k % 4 == 1, F.floor("value").cast("string")).when(k % 7 == 0, F.lit("maybe")).otherwise(F.lit("true"))
     return fx.load(s, d, "events").select(
-        k.alias("survey_id"), F.array(F.lit("bell"), word).alias("issues"), F.when(k % 5 != 0, F.create_map(key, value)).alias("bonus"), F.element_at(F.array(*map(F.lit, BONUS_MODELS.values())), (k % 4 % 3 + 1).cast("int")).alias("model"),
+        k.alias("survey_id"), F.array(F.lit("bell"), word).alias("issues"), F.when(k % 5 != 0, F.create_map(key, value)).alias("bonus"), F.element_at(F.array(*map(F.lit, fx.BONUS_MODELS.values())), (k % 4 % 3 + 1).cast("int")).alias("model"),
         (k % 3 == 0).alias("answered"), (k % 2 == 0).alias("asked"), (k % 11 == 0).alias("own_device"), (k % 4 != 0).alias("nav"), F.when(k % 3 != 1, k % 6).alias("rating"), (k % 5 < 3).alias("has_route"), F.concat(F.lit("  "), F.repeat("props", 1 + (k % 3).cast("int"))).alias("text"),
     )
 
@@ -295,7 +292,7 @@ def _names(s, d) -> DataFrame:  # noqa: ANN001
 QUERIES = {
     "contact_match": lambda s, d: contact_match(_referrals(s, d), _contacts(s, d)),
     "referral_settlement": lambda s, d: referral_settlement(_referrals(s, d), _contacts(s, d), fx.rides(s, d)),
-    "survey_validate": lambda s, d: survey_errors(_surveys(s, d)),
+    "survey_validate": lambda s, d: survey_errors(_surveys(s, d), fx.ISSUES, fx.BONUS_MODELS),
     "survey_awards": lambda s, d: survey_awards(_surveys(s, d)),
     "feedback_clean": lambda s, d: feedback_clean(_feedback(s, d)),
     "consensus_vote": lambda s, d: consensus_vote(_feature_reports(s, d)),
@@ -316,8 +313,8 @@ QUERIES = {
 _REF = """rf AS (SELECT o_orderkey AS referral_id, o_custkey + 1 AS referrer, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'USER' || (o_custkey // 2) || '@X.org' END AS email, CASE WHEN o_orderkey % 2 = 0 THEN '+1555' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') END AS phone, o_orderdate + INTERVAL 700 DAYS AS deadline FROM orders),
   ac AS (SELECT *, '+1555' || lpad(CAST(account_id AS VARCHAR), 7, '0') AS phone FROM accounts),
   cm AS (SELECT referral_id, account_id FROM rf JOIN ac ON lower(rf.email) = lower(ac.email) WHERE trim(rf.email) <> '' UNION SELECT referral_id, account_id FROM rf JOIN ac ON rf.phone = ac.phone WHERE trim(rf.phone) <> '')"""
-_SV = f"""sv AS (SELECT event_id AS k, value, props, ['bell', {list((*ISSUES, 'wheels'))}[event_id % 17 + 1]] AS issues, CASE WHEN event_id % 5 <> 0 THEN {list((*BONUS_MODELS, 'other'))}[event_id % 4 + 1] END AS key,
-  CASE WHEN event_id % 4 = 1 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) WHEN event_id % 7 = 0 THEN 'maybe' ELSE 'true' END AS val, {list(BONUS_MODELS.values())}[event_id % 4 % 3 + 1] AS model FROM events)"""
+_SV = f"""sv AS (SELECT event_id AS k, value, props, ['bell', {list((*fx.ISSUES, 'wheels'))}[event_id % 17 + 1]] AS issues, CASE WHEN event_id % 5 <> 0 THEN {list((*fx.BONUS_MODELS, 'other'))}[event_id % 4 + 1] END AS key,
+  CASE WHEN event_id % 4 = 1 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) WHEN event_id % 7 = 0 THEN 'maybe' ELSE 'true' END AS val, {list(fx.BONUS_MODELS.values())}[event_id % 4 % 3 + 1] AS model FROM events)"""
 _FR = "fr AS (SELECT *, event_id % 3 = 0 AS basket_poor, event_id % 4 < 2 AS holder_poor FROM feature_reports)"
 _MJ = "count({f}) > 0 AND count(*) FILTER (WHERE {f}) >= floor(count({f}) / 2) + 1"
 _VOTES = ", ".join(f"CASE WHEN {_MJ.format(f=f)} THEN true WHEN count({f}) > 0 AND count({f}) - count(*) FILTER (WHERE {f}) >= floor(count({f}) / 2) + 1 THEN false END AS {f}" for f in ("basket", "holder"))
@@ -339,7 +336,7 @@ SQL = {
     "contact_match": fx.sql(f"WITH {_REF} SELECT * FROM cm"),
     "referral_settlement": fx.sql(f"""WITH {_REF}, ff AS (SELECT account_id, arg_min(ride_id, {{'a': ts, 'b': ride_id}}) AS ride_id, min(ts) AS ride_ts FROM rides WHERE state = 'F' GROUP BY 1)
       SELECT referral_id, referrer, account_id, ride_id, 50 AS paid, CASE WHEN ride_ts <= deadline THEN 50 ELSE 0 END AS newcomer FROM cm JOIN rf USING (referral_id) JOIN ff USING (account_id) WHERE referrer <> account_id QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY referral_id) = 1"""),
-    "survey_validate": f"""WITH {_SV} SELECT k AS survey_id, CASE WHEN NOT list_has_all({list(ISSUES)}, issues) THEN 'bad_issue'
+    "survey_validate": f"""WITH {_SV} SELECT k AS survey_id, CASE WHEN NOT list_has_all({list(fx.ISSUES)}, issues) THEN 'bad_issue'
       WHEN key IS NOT NULL AND NOT coalesce(CASE key WHEN 'front_basket' THEN model = 'model_1' AND val IN ('true', 'false') WHEN 'landscape_holder' THEN model = 'model_3' AND val IN ('true', 'false') WHEN 'top_speed_mph' THEN model = 'model_2' AND TRY_CAST(val AS DOUBLE) BETWEEN 0 AND 40 END, false) THEN 'bad_model_bonus' END AS error FROM sv""",
     "survey_awards": """SELECT survey_id, award FROM (SELECT event_id AS survey_id, unnest([CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 AND event_id % 11 <> 0 THEN 'ride_survey' END, CASE WHEN event_id % 4 <> 0 AND event_id % 3 <> 1 AND event_id % 5 < 3 THEN 'nav_route_feedback' END,
       CASE WHEN event_id % 4 <> 0 AND length(trim(repeat(props, 1 + event_id % 3))) >= 20 THEN 'nav_qualitative_feedback' END]) AS award FROM events) WHERE award IS NOT NULL""",

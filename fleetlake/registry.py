@@ -10,13 +10,15 @@ BUFFER_METRES = 200.0
 MOVED_METRES = 16.0
 HEX_EDGE = {8: 531.414, 9: 200.786, 10: 75.864}
 LOCAL_ZONE = "America/Denver"
-#: Built-in vehicle types: id, form factor, use type, highest range in metres.
+#: Built-in vehicle types: id, form factor, use type, highest range in metres.
 VEHICLE_TYPES = (("1", "scooter", "standing", 32_473), ("2", "bicycle", "sitting", 45_000), ("3", "scooter", "standing", 40_000), ("4", "bicycle", "sitting", None), ("5", "scooter", "sitting", 32_473))
 #: Groups of boundary layers that the core summary counts, in column order.
 GROUPS = ("v1", "v2", "er1", "er2", "er3", "er4", "er5", "er6")
 #: Dimensions that split each count: column and values.
 SPLITS = (("form_factor", ("bicycle", "scooter")), ("use_type", ("sitting", "standing")))
+#: Kinds of reports.
 REPORT_TYPES = ("damaged", "not_rideable", "failed_start", "parking", "dead_battery")
+#: Points by kind of award.
 AWARDS = {"report": 10, "scan": 100, "photo": 50, "survey": 20, "discount": 30}
 
 

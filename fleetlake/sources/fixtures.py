@@ -22,6 +22,14 @@ SHAPES = {
 }
 
 
+#: Vocabulary of the survey views: words of issues, and the model that each bonus question belongs to.
+ISSUES = (
+    "app_vendor", "acceleration", "basket", "battery", "bell", "brakes", "connectivity", "customer_service",
+    "dirty", "kickstand", "pedals", "phone_holder", "price", "speedometer", "site_issue", "vandalized",
+)
+BONUS_MODELS = {"front_basket": "model_1", "top_speed_mph": "model_2", "landscape_holder": "model_3"}
+
+
 def shape_edges() -> list[tuple[int, float, float, float, float]]:
     """(shape, x1, y1, x2, y2) of all rings."""
     return [(s, *a, *b) for s, rings in SHAPES.items() for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]])]
