@@ -172,3 +172,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: links, component and representative of every vector."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT row, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0
+), l AS (SELECT a.row AS a, b.row AS b FROM u a JOIN u b ON a.row <> b.row WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r(a, b) AS (SELECT row, row FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS row, min(vec_id) AS component_id FROM r JOIN v ON v.row = r.b GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.row) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (row)
+"""

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_whitening": whitening.query,
 }
 
-SQL = {"op3_line_dedup": line_dedup.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL, "op12_decontamination": decontaminate.SQL}
+SQL = {"op3_line_dedup": line_dedup.SQL, "op7_embedding_dedup": embedding_dedup.SQL, "op10_mixing": mixing.SQL, "op11_merkle": merkle.SQL, "op12_decontamination": decontaminate.SQL}
