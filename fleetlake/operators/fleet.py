@@ -115,6 +115,13 @@ def _hmac_plate(plate: Column, key: bytes) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(outer), first), 256), 1, 16)
 
 
+def _hmac_sql(plate: str, key: bytes) -> str:
+    """The keyed hash in DuckDB."""
+    block = key.ljust(64, b"\0")
+    inner, outer = ("'" + "".join(f"\\x{b ^ pad:02X}" for b in block) + "'::BLOB" for pad in (0x36, 0x5C))
+    return f"substr(sha256({outer} || unhex(sha256({inner} || encode({plate})))), 1, 16)"
+
+
 _LUT = "(SELECT i AS soc_rank, CAST(100 + 327 * i AS INT) AS metres FROM range(100) t(i))"
 _SOC = f"CAST(coalesce(round(soc_rank * 100.0::DOUBLE / 99), CASE WHEN range_m IS NOT NULL THEN least(100.0, greatest(0.0, round(range_m * 100.0::DOUBLE / {FULL_METRES}))) END) AS BIGINT)"
 _SOC_FROM = f"typed t LEFT JOIN {_LUT} l ON t.range_m = l.metres"
@@ -271,6 +278,7 @@ SQL = {
     "device_filters": fx.sql("SELECT event_id, device_id FROM typed WHERE NOT is_disabled AND coalesce(is_reserved, false) = false AND form_factor = 'scooter' AND lat BETWEEN 39.6::DOUBLE AND 39.8::DOUBLE AND lon BETWEEN -105.1::DOUBLE AND -104.8::DOUBLE AND status = 'core'"),
     "battery_percent": fx.sql(f"SELECT event_id, {_SOC} AS soc FROM {_SOC_FROM}"),
     "ride_grade": fx.sql("SELECT vehicle, rentals, bad, CASE WHEN rentals >= 5 THEN CAST(round_even(least(100.0::DOUBLE, greatest(65.0::DOUBLE, 100.0::DOUBLE - 210.0::DOUBLE * ((least(bad, rentals) + 0.085::DOUBLE * 20.0::DOUBLE) / (rentals + 20.0::DOUBLE)))), 0) AS BIGINT) END AS grade FROM (SELECT vehicle, count(*) FILTER (WHERE is_reserved) AS rentals, count(*) FILTER (WHERE is_disabled) AS bad FROM points GROUP BY vehicle)"),
+    "vehicle_pseudonym": "SELECT user_id, " + _hmac_sql("'PL-' || lpad(CAST(user_id AS VARCHAR), 5, '0')", b"salt") + " AS pseudonym FROM (SELECT DISTINCT user_id FROM events)",
     "rank_tie_top": fx.sql(f"SELECT event_id, rank_x, rank_y FROM {_RANKS}"),
     "rank_unique": fx.sql(f"SELECT event_id, unique_x, unique_y FROM {_UNIQ}"),
     "range_quartile": fx.sql(f"SELECT event_id, CAST(CASE WHEN unique_y = 1 THEN 75 ELSE least(3, floor((unique_x - 1) / unique_y * 4)) * 25 END AS BIGINT) AS quartile FROM {_UNIQ}"),
