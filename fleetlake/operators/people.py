@@ -319,6 +319,26 @@ _FR = "fr AS (SELECT *, event_id % 3 = 0 AS basket_poor, event_id % 4 < 2 AS hol
 _MJ = "count({f}) > 0 AND count(*) FILTER (WHERE {f}) >= floor(count({f}) / 2) + 1"
 _VOTES = ", ".join(f"CASE WHEN {_MJ.format(f=f)} THEN true WHEN count({f}) > 0 AND count({f}) - count(*) FILTER (WHERE {f}) >= floor(count({f}) / 2) + 1 THEN false END AS {f}" for f in ("basket", "holder"))
 _POOR = "concat_ws(',', " + ", ".join(f"CASE WHEN {_MJ.format(f=f)} AND count(*) FILTER (WHERE {f} AND {f}_poor) >= floor(count(*) FILTER (WHERE {f}) / 2) + 1 THEN '{f}' END" for f in ("basket", "holder")) + ")"
+_SAID = "len(list_filter(votes, lambda v: v.{f} = {v}))"
+_ANSWERED = "len(list_filter(votes, lambda v: v.{f} IS NOT NULL))"
+
+
+def _won(f: str) -> str:
+    """The majority of three votes on a field, or the old answer."""
+    yes, no, n = _SAID.format(f=f, v="true"), _SAID.format(f=f, v="false"), _ANSWERED.format(f=f)
+    return f"CASE WHEN {n} > 0 AND {yes} >= {n} // 2 + 1 THEN true WHEN {n} > 0 AND {no} >= {n} // 2 + 1 THEN false ELSE {f} END"
+
+
+_MACHINE = f"""WITH RECURSIVE rr AS (SELECT vehicle, basket AS xb, holder AS xh, row_number() OVER (PARTITION BY vehicle ORDER BY ts, event_id) AS k FROM feature_reports WHERE plate_valid),
+  ms(vehicle, k, basket, holder, status, n, votes, resolved) AS (
+    SELECT vehicle, k, xb, xh, CASE WHEN xb IS NULL OR xh IS NULL THEN 'partial' ELSE 'up_to_date' END, 1, CAST([] AS STRUCT(basket BOOLEAN, holder BOOLEAN)[]), 0 FROM rr WHERE k = 1
+    UNION ALL
+    SELECT vehicle, k, nb, nh, CASE WHEN NOT review AND NOT agree OR review AND NOT settled THEN 'review' WHEN nb IS NOT NULL AND nh IS NOT NULL THEN 'up_to_date' WHEN settled THEN 'needs_confirmed' ELSE status END,
+      CASE WHEN settled THEN len(votes) WHEN NOT review AND agree THEN n + 1 ELSE n END, CASE WHEN settled OR NOT review AND agree THEN CAST([] AS STRUCT(basket BOOLEAN, holder BOOLEAN)[]) ELSE votes END, resolved + CASE WHEN settled THEN 1 ELSE 0 END
+    FROM (SELECT *, CASE WHEN settled THEN {_won('basket')} WHEN NOT review AND agree THEN coalesce(basket, xb) ELSE basket END AS nb, CASE WHEN settled THEN {_won('holder')} WHEN NOT review AND agree THEN coalesce(holder, xh) ELSE holder END AS nh
+      FROM (SELECT *, review AND len(votes) >= {REVIEW_VOTES} AS settled FROM (SELECT m.vehicle, rr.k, basket, holder, status, n, resolved, xb, xh, status = 'review' AS review, coalesce(basket = xb, true) AND coalesce(holder = xh, true) AS agree,
+        list_append(votes, CAST({{'basket': xb, 'holder': xh}} AS STRUCT(basket BOOLEAN, holder BOOLEAN))) AS votes FROM ms m JOIN rr ON rr.vehicle = m.vehicle AND rr.k = m.k + 1))))
+  SELECT vehicle, basket, holder, status, CAST(n AS BIGINT) AS reports, CAST(resolved AS BIGINT) AS resolved FROM ms QUALIFY row_number() OVER (PARTITION BY vehicle ORDER BY k DESC) = 1"""
 _MILES = """SELECT account_id, miles, ride_id, ts FROM (SELECT *, CAST(sum(m) OVER (PARTITION BY account_id ORDER BY ts, ride_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM (SELECT account_id, ride_id, ts, claimed_m % 9000 AS m FROM rides WHERE state = 'F')), (VALUES (10::BIGINT), (100)) t(miles)
   WHERE total >= floor(miles * 1609.344::DOUBLE) AND total - m < floor(miles * 1609.344::DOUBLE)"""
 _WEEK = "SELECT account_id, min(day) AS earned FROM (SELECT *, row_number() OVER (PARTITION BY account_id, island ORDER BY day) AS n FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY account_id ORDER BY day) AS INT) AS island FROM (SELECT DISTINCT user_id AS account_id, CAST(ts AS DATE) AS day FROM events))) WHERE n = 7 GROUP BY 1"
@@ -342,6 +362,7 @@ SQL = {
       CASE WHEN event_id % 4 <> 0 AND length(trim(repeat(props, 1 + event_id % 3))) >= 20 THEN 'nav_qualitative_feedback' END]) AS award FROM events) WHERE award IS NOT NULL""",
     "feedback_clean": """SELECT * FROM (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN event_type END AS profile, CASE WHEN event_id % 3 = 0 THEN event_id % 6 END AS rating, CASE WHEN event_id % 4 < 2 THEN event_id % 4 = 0 END AS deviated, CASE WHEN event_id % 4 = 0 THEN event_id % 2 = 0 END AS needs_improvement,
       CASE WHEN event_id % 5 = 0 THEN 'words' END AS text FROM events) WHERE profile IS NOT NULL AND (rating IS NOT NULL OR deviated IS NOT NULL OR text IS NOT NULL)""",
+    "feature_consensus_machine": fx.sql(_MACHINE),
     "consensus_vote": fx.sql(f"WITH {_FR} SELECT vehicle, {_VOTES}, {_POOR} AS poor FROM fr GROUP BY 1"),
     "cumulative_threshold": fx.sql(_MILES),
     "streak_islands": _WEEK,
