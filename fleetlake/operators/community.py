@@ -56,7 +56,8 @@ def fold_accepted(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
 
 def capped_awards(ledger: DataFrame, cap: int = 100) -> DataFrame:
     """Awards of one source trimmed in order to a total of ``cap``; trimming keeps them even. A source's days are summed apart."""
-    x = prefix.running_total(ledger, "points", "source_id", ["ts", "entry_id"], F.to_date("ts"))
+    day = F.to_date("ts") if ledger.schema["ts"].dataType.typeName().startswith(("timestamp", "date")) else F.floor(F.col("ts") / 86_400)  # numbers are seconds
+    x = prefix.running_total(ledger, "points", "source_id", ["ts", "entry_id"], day)
     return x.withColumn("paid", F.least("total", F.lit(cap)) - F.least(F.col("total") - F.col("points"), F.lit(cap))).drop("total")
 
 
