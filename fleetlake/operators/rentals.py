@@ -344,7 +344,15 @@ _EPI = f"""{_MARKED}, pre AS (SELECT vehicle, episode + 1 AS episode, us AS pre_
   ride AS (SELECT vehicle, episode, min(us) AS departed_us, count(*) AS ride_rows FROM m4 WHERE reserved GROUP BY 1, 2), epi AS (SELECT * FROM ride JOIN pre USING (vehicle, episode) JOIN post USING (vehicle, episode))"""
 _JUDGED = f"""{_EPI}, jd0 AS (SELECT *, (arrived_us - departed_us) // 1000000 AS secs, round({fx.distance_sql('pre_lat', 'pre_lon', 'post_lat', 'post_lon')}, 6) AS metres, (pre_range - post_range) / 364.0::DOUBLE AS burn FROM epi),
   jd AS (SELECT *, CASE WHEN pre_range IS NULL OR post_range IS NULL THEN 'no_reading' WHEN secs < 240 OR secs > 3600 THEN 'duration' WHEN burn <= -20 THEN 'swap' WHEN burn < 0 OR burn > 60 THEN 'burn' ELSE 'ok' END AS reason FROM jd0)"""
-_RB = "SELECT round_even(pre_lat, 2) AS a, round_even(pre_lon, 2) AS b, round_even(post_lat, 2) AS c, round_even(post_lon, 2) AS d, departed_us // 1200000000 AS t, count(DISTINCT vehicle) AS vehicles FROM jd GROUP BY ALL"
+
+
+def _cell(c: str) -> str:
+    """Hundredths of a degree, half to even on the decimal value as ``bround`` rounds; DuckDB's ``round_even`` multiplies doubles, so it misses ties."""
+    k = f"CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 20)) * 100"
+    return f"CASE WHEN abs({k} - trunc({k})) = 0.5 THEN 2 * round({k} * 0.5) ELSE round({k}) END"
+
+
+_RB = f"SELECT {_cell('pre_lat')} AS a, {_cell('pre_lon')} AS b, {_cell('post_lat')} AS c, {_cell('post_lon')} AS d, departed_us // 1200000000 AS t, count(DISTINCT vehicle) AS vehicles FROM jd GROUP BY ALL"
 _DX = "(lon - p_lon) * 111320.0::DOUBLE * cos(radians(lat))"
 _PAIRS = f"""pd0 AS (SELECT *, lag(us) OVER w AS p_us, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon, lag(range_m) OVER w AS p_range FROM moving WHERE range_m IS NOT NULL WINDOW w AS (PARTITION BY vehicle ORDER BY us, event_id)),
   pd AS (SELECT event_id, vehicle, type_id, us, round(sqrt({_DX} * {_DX} + ((lat - p_lat) * 111320.0::DOUBLE) * ((lat - p_lat) * 111320.0::DOUBLE)), 6) AS metres, p_range - range_m AS used FROM pd0 WHERE us - p_us BETWEEN 300000000 AND 1200000000)"""
@@ -397,7 +405,7 @@ SQL = {
       SELECT * FROM h WHERE arrive <= 1704067200000000 + 7200000000 AND (depart IS NULL OR depart >= 1704067200000000 + 3600000000)"""),
     "feed_start_asof": fx.sql(f"WITH {_EPI} SELECT e.vehicle, episode, arg_max(event_id, {{'a': us, 'b': event_id}}) AS event_id FROM epi e JOIN moving m ON m.vehicle = e.vehicle AND us < departed_us AND us >= departed_us - 1800000000 GROUP BY 1, 2"),
     "mine_rentals": fx.sql(f"""WITH {_JUDGED}, rb AS (SELECT * FROM ({_RB}) WHERE vehicles >= 3), tm AS ({_TEMP}) SELECT vehicle, episode, secs, metres, round(burn, 6) AS burn, temp FROM jd LEFT JOIN tm USING (vehicle, episode)
-      WHERE reason = 'ok' AND metres <= secs * 20 AND NOT EXISTS (SELECT 1 FROM rb WHERE a = round_even(pre_lat, 2) AND b = round_even(pre_lon, 2) AND c = round_even(post_lat, 2) AND d = round_even(post_lon, 2) AND t = departed_us // 1200000000)"""),
+      WHERE reason = 'ok' AND metres <= secs * 20 AND NOT EXISTS (SELECT 1 FROM rb WHERE a = {_cell('pre_lat')} AND b = {_cell('pre_lon')} AND c = {_cell('post_lat')} AND d = {_cell('post_lon')} AND t = departed_us // 1200000000)"""),
     "burn_offsets": fx.sql(f"""WITH {_PAIRS}, mn AS (SELECT type_id, avg(metres) AS mx, avg(used) AS my FROM pd WHERE metres IS NOT NULL AND used IS NOT NULL GROUP BY 1), sl AS (SELECT sum((metres - mx) * (used - my)) / sum((metres - mx) * (metres - mx)) AS b FROM pd JOIN mn USING (type_id))
       SELECT type_id, round(my - b * mx, 3) AS offset, round(b, 6) AS slope FROM mn, sl"""),
     "fit_burn_line": fx.sql(f"WITH {_JUDGED} {_LINE}"),
