@@ -158,26 +158,33 @@ def observations(s, d) -> DataFrame:  # noqa: ANN001
 def fit_burn(obs: DataFrame, features: tuple[str, ...] = FEATURES, label: str = "burn", by: str = "type_id") -> dict | None:
     """Least squares on the features with one offset per vehicle model; None for fewer than 100 rows.
 
-    Sums and products per model come from one grouped aggregate (a row per model reaches the
-    driver); what is left is a system of as many equations as there are features. The default
-    offset is the models' mean, weighted by their rows.
+    Means per model come from one grouped aggregate and products of what differs from them from
+    another (a row per model reaches the driver); what is left is a system of as many equations
+    as there are features. The default offset is the models' mean, weighted by their rows. A
+    feature that is the same in all rows of each model has the slope 0.
     """
     import numpy as np
 
     n = len(features)
     cols = [*features, label]
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)] + [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    rows = obs.groupBy(by).agg(F.count("*").alias("n"), *sums).orderBy(by).collect()
+    means = obs.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[(F.min(c) == F.max(c)).alias(f"e{i}") for i, c in enumerate(cols)])
+    rows = means.orderBy(by).collect()
     total = sum(r["n"] for r in rows)
     if total < 100:
         return None
-    s = {r[by]: np.array([r[f"s{i}"] for i in range(n + 1)]) for r in rows}
-    p = {r[by]: np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(n + 1)] for i in range(n + 1)]) for r in rows}
-    within = sum(p[r[by]] - np.outer(s[r[by]], s[r[by]]) / r["n"] for r in rows)
-    slope = np.linalg.lstsq(within[:n, :n], within[:n, n], rcond=None)[0]
-    offsets = {r[by]: float((s[r[by]][n] - slope @ s[r[by]][:n]) / r["n"]) for r in rows}
+    m = {r[by]: np.array([r[f"m{i}"] for i in range(n + 1)]) for r in rows}
+    own = F.broadcast(obs.sparkSession.createDataFrame([(r[by], *[float(v) for v in m[r[by]]], *[bool(r[f"e{i}"]) for i in range(n + 1)]) for r in rows], f"_by {obs.schema[by].dataType.simpleString()}, " + ", ".join([f"_m{i} double" for i in range(n + 1)] + [f"_e{i} boolean" for i in range(n + 1)])))  # a row per model
+    x = obs.join(own, F.col(by).eqNullSafe(F.col("_by"))).select(*[F.when(~F.col(f"_e{i}"), F.col(c) - F.col(f"_m{i}")).otherwise(0.0).alias(f"x{i}") for i, c in enumerate(cols)])
+    products = x.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(n + 1) for j in range(i, n + 1)]).first()
+    within = np.array([[products[f"p{min(i, j)}_{max(i, j)}"] for j in range(n + 1)] for i in range(n + 1)])
+    varies = [i for i in range(n) if within[i, i] > 0]
+    size = np.sqrt(within.diagonal()[varies])  # features of one scale
+    slope = np.zeros(n)
+    slope[varies] = np.linalg.lstsq(within[np.ix_(varies, varies)] / np.outer(size, size), within[varies, n] / size, rcond=None)[0] / size
+    offsets = {r[by]: float(m[r[by]][n] - slope @ m[r[by]][:n]) for r in rows}
     residual = float(within[n, n] - slope @ within[:n, n])
-    whole = float(sum(q[n, n] for q in p.values()) - sum(v[n] for v in s.values()) ** 2 / total)
+    mean = sum(m[r[by]][n] * r["n"] for r in rows) / total
+    whole = float(within[n, n] + sum(r["n"] * (m[r[by]][n] - mean) ** 2 for r in rows))
     return {
         "slopes": dict(zip(features, map(float, slope))), "offsets": offsets, "default": sum(offsets[r[by]] * r["n"] for r in rows) / total,
         "r2": 1 - residual / whole, "sigma": (residual / (total - n - len(rows))) ** 0.5, "n": total,
@@ -368,15 +375,18 @@ _OBS = f"""{_JUDGED}, tm AS ({_TEMP}), {_CLIMB}, ob AS (SELECT jd.vehicle, jd.ep
 
 
 def _ols(rows: str) -> str:
-    """CTEs that end in ``md`` (slopes b1 to b4, default offset, fit) and ``mo`` (offsets): features made orthogonal one after the other, then solved backwards."""
+    """CTEs that end in ``md`` (slopes b1 to b4, default offset, fit) and ``mo`` (offsets): features made orthogonal one after the other, then solved backwards.
+
+    A feature that is the same in all rows of each model is 0 when centred and gets the slope 0, as in :func:`fit_burn`.
+    """
     x = ("km", "climb", "temp", "stale")
-    mean = ", ".join(f"{c} - avg({c}) OVER t AS x{k + 1}" for k, c in enumerate(x))
+    mean = ", ".join(f"CASE WHEN min({c}) OVER t = max({c}) OVER t THEN 0 ELSE {c} - avg({c}) OVER t END AS x{k + 1}" for k, c in enumerate(x))
     out = [f"o0 AS (SELECT type_id, burn - avg(burn) OVER t AS y, {mean} FROM {rows} WINDOW t AS (PARTITION BY type_id))", "o1 AS (SELECT *, x1 AS z1 FROM o0)"]
     for k in (2, 3, 4):
-        over = ", ".join(f"sum(x{k} * z{j}) OVER () / sum(z{j} * z{j}) OVER () AS b{k}{j}" for j in range(1, k))
+        over = ", ".join(f"coalesce(sum(x{k} * z{j}) OVER () / nullif(sum(z{j} * z{j}) OVER (), 0), 0) AS b{k}{j}" for j in range(1, k))
         out.append(f"o{k} AS (SELECT *, x{k} - " + " - ".join(f"b{k}{j} * z{j}" for j in range(1, k)) + f" AS z{k} FROM (SELECT *, {over} FROM o{k - 1}))")
     held = ", ".join(f"any_value(b{k}{j}) AS b{k}{j}" for k in (2, 3, 4) for j in range(1, k))
-    out.append("og AS (SELECT " + ", ".join(f"sum(y * z{k}) / sum(z{k} * z{k}) AS g{k}" for k in (1, 2, 3, 4)) + f", {held}, sum(y * y) AS yy, sum(y * z1) * sum(y * z1) / sum(z1 * z1) + sum(y * z2) * sum(y * z2) / sum(z2 * z2) + sum(y * z3) * sum(y * z3) / sum(z3 * z3) + sum(y * z4) * sum(y * z4) / sum(z4 * z4) AS fitted, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT type_id) AS kinds FROM o4)")
+    out.append("og AS (SELECT " + ", ".join(f"coalesce(sum(y * z{k}) / nullif(sum(z{k} * z{k}), 0), 0) AS g{k}" for k in (1, 2, 3, 4)) + f", {held}, sum(y * y) AS yy, " + " + ".join(f"coalesce(sum(y * z{k}) * sum(y * z{k}) / nullif(sum(z{k} * z{k}), 0), 0)" for k in (1, 2, 3, 4)) + " AS fitted, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT type_id) AS kinds FROM o4)")
     out.append("ob4 AS (SELECT *, g4 AS b4, g3 - b43 * g4 AS b3 FROM og), ob2 AS (SELECT *, g2 - b32 * b3 - b42 * b4 AS b2 FROM ob4), ob1 AS (SELECT *, g1 - b21 * b2 - b31 * b3 - b41 * b4 AS b1 FROM ob2)")
     out.append(f"mo AS (SELECT type_id, avg(burn) - any_value(b1) * avg(km) - any_value(b2) * avg(climb) - any_value(b3) * avg(temp) - any_value(b4) * avg(stale) AS offset_t, count(*) AS c FROM {rows}, ob1 GROUP BY 1)")
     out.append(f"md AS (SELECT *, (SELECT sum(offset_t * c) / sum(c) FROM mo) AS offset_d, 1 - (yy - fitted) / (SELECT sum(burn * burn) - sum(burn) * sum(burn) / count(*) FROM {rows}) AS r2, sqrt((yy - fitted) / (n - 4 - kinds)) AS sigma FROM ob1)")

@@ -33,3 +33,19 @@ def test_cells_round_half_to_even_as_decimals(spark):
     con = duckdb.connect()
     for v, cell in map(tuple, frame.collect()):
         assert round(cell * 100) == int(con.execute(f"SELECT {rentals._cell('v')} FROM (SELECT {v!r}::DOUBLE AS v)").fetchall()[0][0]), v
+
+
+def test_a_feature_that_does_not_vary_has_the_slope_0(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.01"
+    flat = changed(tmp_path, sf_dir, part=spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("p_size", F.lit(50)))  # one height everywhere
+    for name in ("fit_burn_model", "burn_estimate"):
+        frame = catalog.QUERIES[name](spark, flat)
+        got, want = sorted(map(tuple, frame.collect())), sorted(by_sql(f"SELECT {', '.join(frame.columns)} FROM ({catalog.SQL[name]})", flat))
+        assert got == want and got
+    assert dict(map(tuple, catalog.QUERIES["fit_burn_model"](spark, flat).collect()))["climb"] == 0
+
+
+def test_burn_fit_keeps_digits_far_from_zero(spark):
+    rows = [(str(k % 2), 1e7 + k % 7, 3.0, float(k % 5), 1e6 + k * 0.001, 2.0 * (k % 7) + k % 5 + k % 2) for k in range(200)]
+    model = rentals.fit_burn(spark.createDataFrame(rows, "type_id string, km double, climb double, temp double, stale double, burn double"))
+    assert model["slopes"]["climb"] == 0 and abs(model["slopes"]["km"] - 2) < 1e-9 and abs(model["slopes"]["temp"] - 1) < 1e-9
