@@ -142,6 +142,17 @@ def universe(s, d) -> DataFrame:  # noqa: ANN001
     return p.unionByName(t).groupBy("cell").agg(F.bool_or("devices").alias("devices"), F.bool_or("points").alias("points"))
 
 
+#: Days before the newest entry that the totals of a window take.
+WINDOW_DAYS = 365
+
+
+def cell_totals(cells: DataFrame, ledger: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
+    """All cells ever seen with their points: those of the last ``days`` before the newest entry, and those of all time."""
+    start = F.broadcast(ledger.agg((F.max("ts") - F.make_dt_interval(days=F.lit(days))).alias("_start")))  # one row
+    t = ledger.crossJoin(start).groupBy("cell").agg(F.sum(F.when(F.col("ts") > F.col("_start"), F.col("points"))).alias("w"), F.sum("points").alias("a"))
+    return cells.join(t, "cell", "full").select("cell", F.coalesce("w", F.lit(0)).alias("points"), F.coalesce("a", F.lit(0)).alias("all_time"))
+
+
 QUERIES = {
     "points_balance": lambda s, d: U(s, d).where("status = 'confirmed'").groupBy("account_id").agg(F.sum("points").alias("points")),
     "keyset_page": lambda s, d: keyset_page(U(s, d), 20, keyset_page(U(s, d), 20)).select("entry_id", "ts"),
@@ -149,7 +160,7 @@ QUERIES = {
     "cell_leaders": lambda s, d: leaders(eligible(earned(U(s, d), "cell"), A(s, d)), 3, "cell").select("cell", "account_id", "points", "place"),
     "podium_per_cell": lambda s, d: leaders(eligible(earned(U(s, d), "cell"), A(s, d)), 3, "cell").groupBy("cell").agg(F.max(F.when(F.col("place") == 1, F.col("account_id"))).alias("gold"), F.count("*").alias("n")),
     "regional_leaders": lambda s, d: leaders(eligible(earned(U(s, d)), A(s, d)), 25).select("account_id", "points", "place"),
-    "universe_outer": lambda s, d: universe(s, d).join(U(s, d).groupBy("cell").agg(F.sum("points").alias("w")), "cell", "full").select("cell", F.coalesce("w", F.lit(0)).alias("points")),
+    "universe_outer": lambda s, d: cell_totals(universe(s, d), U(s, d)),
     "cell_universe": universe,
     "union_cells_distinct": lambda s, d: U(s, d).select("cell").union(fx.load(s, d, "events").select((F.col("event_id") % 120).alias("cell"))).distinct(),
     "ride_points_cap": lambda s, d: capped_awards(U(s, d)).select("entry_id", "paid"),
@@ -221,7 +232,7 @@ SQL = {
     "cell_leaders": fx.sql(_CELL),
     "podium_per_cell": fx.sql(f"SELECT cell, max(CASE WHEN place = 1 THEN account_id END) AS gold, count(*) AS n FROM ({_CELL}) GROUP BY 1"),
     "regional_leaders": fx.sql(f"SELECT account_id, points, row_number() OVER (ORDER BY points DESC, first_at, account_id) AS place {_ELIG.format(by='')} QUALIFY place <= 25"),
-    "universe_outer": fx.sql(f"SELECT cell, coalesce(w, 0) AS points FROM ({_UNI}) FULL JOIN (SELECT cell, CAST(sum(points) AS BIGINT) AS w FROM user_points GROUP BY 1) USING (cell)"),
+    "universe_outer": fx.sql(f"SELECT cell, coalesce(w, 0) AS points, coalesce(a, 0) AS all_time FROM ({_UNI}) FULL JOIN (SELECT cell, CAST(sum(points) FILTER (WHERE ts > (SELECT max(ts) FROM user_points) - INTERVAL {WINDOW_DAYS} DAYS) AS BIGINT) AS w, CAST(sum(points) AS BIGINT) AS a FROM user_points GROUP BY 1) USING (cell)"),
     "cell_universe": fx.sql(_UNI),
     "union_cells_distinct": fx.sql("SELECT cell FROM user_points UNION SELECT event_id % 120 FROM events"),
     "ride_points_cap": fx.sql(f"SELECT entry_id, {_CAP} AS paid FROM (SELECT *, CAST(sum(points) OVER (PARTITION BY source_id ORDER BY ts, entry_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM user_points)"),
