@@ -127,11 +127,11 @@ def way_tables(s, d) -> DataFrame:  # noqa: ANN001
 
 
 def _cycles(s, d) -> streams.CycleStore:  # noqa: ANN001
-    """The points as weekly feeds, a file each in pages of at most 2,000 bikes, through the cycle stream; then two of the files once more, which are stale."""
+    """The points as daily feeds, a file each in pages of at most 2,000 bikes, through the cycle stream; then two of the files once more, which are stale."""
     feed, store, check = io.scratch(s), streams.CycleStore(s, io.scratch(s)), io.scratch(s)
     bike = F.struct(F.col("device_id").alias("bike_id"), "lat", "lon", F.col("type_id").alias("vehicle_type_id"))
-    week = F.unix_timestamp(F.date_trunc("week", F.col("day").cast("timestamp"))).alias("last_updated")
-    pages = fx.points(s, d).groupBy(week, F.expr("event_id div 2000").alias("page")).agg(F.collect_list(bike).alias("bikes"))
+    day = F.unix_timestamp(F.col("day").cast("timestamp")).alias("last_updated")
+    pages = fx.points(s, d).groupBy(day, F.expr("event_id div 2000").alias("page")).agg(F.collect_list(bike).alias("bikes"))
     lines = io.stored(pages.select("last_updated", F.to_json(F.struct("last_updated", F.struct("bikes").alias("data"))).alias("value")))
     for time in [r[0] for r in lines.select("last_updated").distinct().orderBy("last_updated").collect()]:  # a feed grows by one file at a time
         lines.where(F.col("last_updated") == time).select("value").coalesce(1).write.mode("append").text(feed)
@@ -257,8 +257,8 @@ SQL = {
     "hourly_temps_from_arrays": fx.sql('SELECT hour AS "time", temp AS temperature FROM hourly_temperature WHERE hour % 5 <> 0'),
     "edge_attribute_tables": fx.sql("SELECT * FROM ways"),
     "address_points_load": people.POINTS_SQL,
-    "cycle_stream": fx.sql("SELECT CAST(epoch(date_trunc('week', day)) AS BIGINT) AS last_updated, status, count(*) AS n FROM refined GROUP BY 1, 2"),
-    "cycle_stream_regions": fx.sql("""WITH w AS (SELECT CAST(epoch(date_trunc('week', day)) AS BIGINT) AS last_updated, event_id, status FROM refined)
+    "cycle_stream": fx.sql("SELECT CAST(epoch(day) AS BIGINT) AS last_updated, status, count(*) AS n FROM refined GROUP BY 1, 2"),
+    "cycle_stream_regions": fx.sql("""WITH w AS (SELECT CAST(epoch(day) AS BIGINT) AS last_updated, event_id, status FROM refined)
       SELECT c.last_updated, r.region_type, r.region_name, CAST(count(t.event_id) AS BIGINT) AS count_total FROM (SELECT DISTINCT region_type, region_name FROM edges) r CROSS JOIN (SELECT DISTINCT last_updated FROM w) c
       LEFT JOIN (SELECT h.*, last_updated FROM hits h JOIN w USING (event_id) WHERE status = 'core') t ON t.region_type = r.region_type AND t.region_name = r.region_name AND t.last_updated = c.last_updated GROUP BY ALL"""),
     "sla_window_stream": fx.sql(f"SELECT local_day, n, avg_range FROM ({rollups._SLA})"),
