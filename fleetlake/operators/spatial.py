@@ -221,8 +221,21 @@ def _core_sql(by: str = "") -> str:
 
 def zone_counts(s, d) -> DataFrame:  # noqa: ANN001
     """Zones around each point: how many hold it, and the least of them; zones are as many as orders, with 16 edges each."""
-    x = with_regions(fx.points(s, d).select("event_id", "lat", "lon"), fx.zones(s, d))
-    return x.where(F.size("regions") > 0).select("event_id", F.size("regions").cast("long").alias("zones"), F.array_min(F.transform("regions", lambda g: g["zone_id"])).alias("first"))
+    return zones_around(fx.points(s, d).select("event_id", "lat", "lon"), fx.zones(s, d))
+
+
+def zones_around(points: DataFrame, zones: DataFrame) -> DataFrame:
+    """``(event_id, zones, first)`` of the points that zones hold: their number and the least ``zone_id``.
+
+    Zones of one outline are a class with its size and least id, points of one place are one
+    place, so a place meets a class once, however many zones and points share them.
+    """
+    kinds = io.stored(zones.groupBy("edges").agg(F.count("*").alias("n"), F.min("zone_id").alias("first")))
+    places = points.groupBy("lat", "lon").agg(F.count("*").alias("_n")).select("lat", "lon")
+    sums = lambda g: F.aggregate("regions", F.lit(0).cast("long"), lambda a, r: a + r[g])
+    x = with_regions(places, kinds).where(F.size("regions") > 0)
+    x = x.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), sums("n").alias("zones"), F.array_min(F.transform("regions", lambda g: g["first"])).alias("first"))
+    return points.join(x, (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon"))).select("event_id", "zones", "first")
 
 
 QUERIES = {

@@ -49,3 +49,44 @@ def test_burn_fit_keeps_digits_far_from_zero(spark):
     rows = [(str(k % 2), 1e7 + k % 7, 3.0, float(k % 5), 1e6 + k * 0.001, 2.0 * (k % 7) + k % 5 + k % 2) for k in range(200)]
     model = rentals.fit_burn(spark.createDataFrame(rows, "type_id string, km double, climb double, temp double, stale double, burn double"))
     assert model["slopes"]["climb"] == 0 and abs(model["slopes"]["km"] - 2) < 1e-9 and abs(model["slopes"]["temp"] - 1) < 1e-9
+
+
+def test_equal_zones_and_places_meet_once(spark, monkeypatch):
+    from fleetlake.operators import spatial
+
+    square = lambda x, y: [dict(zip(("x1", "y1", "x2", "y2"), e)) for e in ((x, y, x + 1, y), (x + 1, y, x + 1, y + 1), (x + 1, y + 1, x, y + 1), (x, y + 1, x, y))]
+    scaled = lambda edges: [{k: v * 0.01 + (39.7 if k[0] == "y" else -105.0) for k, v in e.items()} for e in edges]
+    zones = spark.createDataFrame([(100 + k, scaled(square(0, 0))) for k in range(40)] + [(7, scaled(square(0.5, 0.5))), (8, scaled(square(3, 3)))], "zone_id long, edges array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    points = spark.createDataFrame([(k, 39.70251, -104.99751) for k in range(30)] + [(50, 39.70751, -104.99249), (51, 39.0, -105.0), (52, None, None)], "event_id long, lat double, lon double")
+    met = []
+    plain = spatial.with_regions
+    monkeypatch.setattr(spatial, "with_regions", lambda p, z: met.append((p.count(), z.count())) or plain(p, z))
+    got = sorted(map(tuple, spatial.zones_around(points, zones).collect()))
+    assert got == [*((k, 40, 100) for k in range(30)), (50, 41, 7)]
+    assert met == [(4, 3)]
+
+
+def test_window_totals_stand_beside_those_of_all_time(spark):
+    from fleetlake.operators import community
+
+    ledger = spark.createDataFrame([(1, 5, "2024-01-01"), (1, 2, "2022-12-31"), (2, 4, "2022-12-31"), (3, 1, "2023-06-01")], "cell long, points long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    cells = spark.createDataFrame([(1,), (2,), (9,)], "cell long")
+    assert sorted(map(tuple, community.cell_totals(cells, ledger).collect())) == [(1, 5, 7), (2, 0, 4), (3, 1, 1), (9, 0, 0)]
+
+
+def test_a_cycle_takes_a_day(spark, sf_dir, monkeypatch):
+    from fleetlake.plans import stored
+    from fleetlake.sources import fixtures as fx
+
+    feeds = []
+
+    class Done:
+        def awaitTermination(self):  # noqa: N802
+            pass
+
+    monkeypatch.setattr(stored.streams, "cycle_stream", lambda s, feed, *a, **k: feeds.append(feed) or Done())
+    stored._cycles(spark, sf_dir)
+    times = {r[0] for r in spark.read.json(feeds[0]).select("last_updated").distinct().collect()}
+    days = fx.points(spark, sf_dir).select(F.unix_timestamp(F.col("day").cast("timestamp"))).distinct().collect()
+    assert times == {r[0] for r in days} and len(times) > 5
+    assert {r[0] for r in by_sql(catalog.SQL["cycle_stream"], sf_dir)} == times
