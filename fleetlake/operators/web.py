@@ -15,27 +15,32 @@ FUNNEL = ("view", "click", "signup", "purchase")
 REGISTERED = ("spring",)
 
 
-def telemetry_clean(events: DataFrame) -> DataFrame:
+def telemetry_clean(events: DataFrame, props: Column | None = None) -> DataFrame:
     """Allowed events of each batch's first fifty: short session id, trusted time, plain properties.
 
     ``events(event_id, batch, name, sid, received_us, claimed_us, props)``. The claimed time
     holds within an hour of receipt. Properties keep their first twelve plain values, cut to
-    120 characters. Batches are cut by rank, so none is gathered.
+    120 characters. Batches are cut by rank, so none is gathered. ``props``, if given, makes the
+    properties from the columns of an event after the cut, so that long ones are not sorted.
     """
-    first = F.row_number().over(Window.partitionBy("batch").orderBy("received_us", "event_id")) <= BATCH
-    x = events.withColumn("_first", first).where("_first").where(F.col("name").isin(*NAMES))
-    plain = F.filter(F.map_entries(F.from_json("props", "map<string,string>")), lambda e: e["value"].isNotNull() & (e["key"] != "") & ~e["value"].rlike(r"^[\[{]"))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("received_us", "event_id"))
+    x = events.withColumn("_place", place).where(F.col("_place") <= BATCH).where(F.col("name").isin(*NAMES))
+    plain = F.filter(F.map_entries(F.from_json(F.col("props") if props is None else props, "map<string,string>")), lambda e: e["value"].isNotNull() & (e["key"] != "") & ~e["value"].rlike(r"^[\[{]"))
     text = F.transform(F.slice(plain, 1, KEYS), lambda e: F.concat(F.substring(e["key"], 1, CHARS), F.lit("="), F.substring(e["value"], 1, CHARS)))
     near = F.abs(F.col("claimed_us") - F.col("received_us")) <= SKEW_US
     return x.select("event_id", "name", F.coalesce(F.nullif(F.substring("sid", 1, SID_CHARS), F.lit("")), F.lit("?")).alias("sid"), F.when(near, F.col("claimed_us")).otherwise(F.col("received_us")).alias("us"), F.array_join(text, ";").alias("props"))
 
 
 def _batches(s, d) -> DataFrame:  # noqa: ANN001
-    """Events in batches by user, with a claimed time and fifteen properties, one of them nested."""
+    """Events in batches by user, with a claimed time; :func:`_long_props` makes their properties."""
     t = fx.telemetry(s, d)
+    return t.select("event_id", F.col("visitor").alias("batch"), "name", F.concat(F.lit("s"), "session_id", F.lit("/long")).alias("sid"), fx.micros("ts").alias("received_us"), (fx.micros("ts") + (F.col("event_id") % 5 - 2) * 2_400_000_000).alias("claimed_us"), "props")
+
+
+def _long_props() -> Column:
+    """Fifteen properties, one of them nested."""
     more = F.transform(F.sequence(F.lit(1), F.lit(13)), lambda k: F.concat(F.lit(', "a'), F.lpad(k.cast("string"), 2, "0"), F.lit('": "'), F.repeat(F.col("name"), k * 4), F.lit('"')))
-    props = F.concat(F.substring("props", F.lit(1), F.length("props") - 1), F.lit(', "b": {"c": 1}'), F.array_join(more, ""), F.lit("}"))
-    return t.select("event_id", F.col("visitor").alias("batch"), "name", F.concat(F.lit("s"), "session_id", F.lit("/long")).alias("sid"), fx.micros("ts").alias("received_us"), (fx.micros("ts") + (F.col("event_id") % 5 - 2) * 2_400_000_000).alias("claimed_us"), props.alias("props"))
+    return F.concat(F.substring("props", F.lit(1), F.length("props") - 1), F.lit(', "b": {"c": 1}'), F.array_join(more, ""), F.lit("}"))
 
 
 def campaign_alltime(s, d) -> DataFrame:  # noqa: ANN001
@@ -154,7 +159,7 @@ def pipeline_health(s, d) -> DataFrame:  # noqa: ANN001
 
 
 QUERIES = {
-    "telemetry_clean": lambda s, d: telemetry_clean(_batches(s, d)),
+    "telemetry_clean": lambda s, d: telemetry_clean(_batches(s, d), _long_props()),
     "campaign_alltime": campaign_alltime,
     "ride_funnel": ride_funnel,
     "client_mix": client_mix,
