@@ -41,9 +41,17 @@ def downsample(path: Column, most: int) -> Column:
     return F.when(n <= most, path).otherwise(F.transform(picks, lambda k: F.element_at(path, k)))
 
 
+#: Edges that a task reads, about.
+EDGE_ROWS = 2_000_000
+
+
 def route_scores(edges: DataFrame, ways: DataFrame) -> DataFrame:
-    """Length-weighted canopy (measured ways alone), street share and network share of each route."""
-    x = edges.join(ways, "way_id", "left")
+    """Length-weighted canopy (measured ways alone), street share and network share of each route.
+
+    Partitions are as many as the edges ask for, so a task reads about ``EDGE_ROWS`` of them on any table.
+    """
+    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGE_ROWS))
+    x = edges.select("route_id", "way_id", "metres", "street").repartition(n, "way_id").join(ways.repartition(n, "way_id"), "way_id", "left").drop("way_id").repartition(n, "route_id")
     measured = F.sum(F.when(F.col("canopy").isNotNull(), F.col("metres")))
     return x.groupBy("route_id").agg(
         F.round(F.sum(F.col("metres") * F.col("canopy")) / F.nullif(measured, F.lit(0.0)), 9).alias("canopy"), F.round(F.sum(F.when(F.col("street"), F.col("metres")).otherwise(0.0)) / F.sum("metres"), 9).alias("street"),

@@ -46,11 +46,9 @@ def distinct_options(edges: DataFrame) -> DataFrame:
 def chosen_routes(scores: DataFrame, profiles: dict[str, str] = PROFILES) -> DataFrame:
     """The best option of each request by each profile."""
     x = scores.withColumns({"request": request_of(), "discounted": F.round(F.col("metres") * (1 - NETWORK_DISCOUNT * F.col("network")), 6), "burn": F.round(F.col("metres") * (1.2 - 0.2 * F.col("street")), 6)})
-    out = None
-    for name, order in profiles.items():
-        one = x.withColumn("n", F.expr(f"row_number() OVER (PARTITION BY request ORDER BY {order})")).where("n = 1").select(F.lit(name).alias("profile"), "request", "route_id")
-        out = one if out is None else out.unionByName(one)
-    return out
+    x = x.withColumns({f"_n{k}": F.expr(f"row_number() OVER (PARTITION BY request ORDER BY {order})") for k, order in enumerate(profiles.values())})  # one shuffle
+    best = F.array_compact(F.array(*[F.when(F.col(f"_n{k}") == 1, F.lit(name)) for k, name in enumerate(profiles)]))
+    return x.select(F.explode(best).alias("profile"), "request", "route_id")
 
 
 def ride_features(rides: DataFrame, points: DataFrame) -> DataFrame:
