@@ -96,12 +96,15 @@ def verdicts(rides: DataFrame, tracks: DataFrame) -> DataFrame:
     return x.withColumns({"metres": F.round(metres, 3), "reasons": F.array_join(reasons, ","), "verdict": verdict, "points_status": review})
 
 
+def _burn() -> Column:
+    """Charge used, if it is known at both ends and within bounds."""
+    burn = (F.coalesce("soc_feed", "soc_start") - F.coalesce("soc_end", "soc_back")).cast("double")
+    return F.when((burn > -SWAP_RISE) & (burn > 0) & (burn <= MOST_BURN), burn)
+
+
 def training_rows(x: DataFrame) -> DataFrame:
     """Observations of burn from rides whose charge is known at both ends: the feed's reading at the start before the rider's, the rider's at the end before the feed's; burns out of bounds are left out."""
-    start, end = F.coalesce("soc_feed", "soc_start"), F.coalesce("soc_end", "soc_back")
-    burn = (start - end).cast("double")
-    fine = burn.isNotNull() & (burn > -SWAP_RISE) & (burn > 0) & (burn <= MOST_BURN)
-    return x.where(fine).select("ride_id", "vehicle", F.col("issued_us").alias("departed_us"), F.col("ended_us").alias("arrived_us"), "metres", burn.alias("burn"), F.when(F.col("soc_end").isNotNull(), 0).otherwise(1).alias("offset_cycles"))
+    return x.where(_burn().isNotNull()).select("ride_id", "vehicle", F.col("issued_us").alias("departed_us"), F.col("ended_us").alias("arrived_us"), "metres", _burn().alias("burn"), F.when(F.col("soc_end").isNotNull(), 0).otherwise(1).alias("offset_cycles"))
 
 
 def settle(rides: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -110,11 +113,12 @@ def settle(rides: DataFrame, tracks: DataFrame) -> DataFrame:
     A donation waited if the vehicle had not come back when it was made and nothing else was
     against it. Awards need points that do not wait for review: one for battery data (option
     on, not the rider's own vehicle, both charges known) and one for distance (option on).
+    Rides meet their tracks once: what the feed said later is carried beside what it had said then.
     """
     waiting = F.col("back_us").isNull() | (F.col("back_us") > F.col("donated_us"))
     then = {"back_us": F.when(~waiting, F.col("back_us")), "back_lat": F.when(~waiting, F.col("back_lat")), "back_lon": F.when(~waiting, F.col("back_lon"))}
-    late = verdicts(rides.withColumns(then), tracks).where("verdict = 'pending_feed'").select("ride_id", "metres", "points_status")
-    x = rides.join(tracks, "ride_id").join(late, "ride_id")
+    own = rides.withColumns({f"_{c}": F.col(c) for c in then}).withColumns(then)
+    x = verdicts(own, tracks).where("verdict = 'pending_feed'").withColumns({c: F.col(f"_{c}") for c in then})
     known = F.coalesce("soc_feed", "soc_start").isNotNull() & F.col("soc_end").isNotNull()
     x = x.withColumn("ok", end_matches())
     paid = F.col("ok") & (F.col("points_status") == "ok")
@@ -122,8 +126,7 @@ def settle(rides: DataFrame, tracks: DataFrame) -> DataFrame:
         "battery_points": F.when(paid & F.col("battery") & ~F.col("own_device") & known, 8 + 2 * F.ceil(F.col("metres") / 2000)).otherwise(0).cast("long"),
         "nav_points": F.when(paid & F.col("nav"), 2 * F.ceil(F.col("metres") / 3000)).otherwise(0).cast("long"),
     })
-    rows = training_rows(x.where("ok")).select("ride_id", F.lit(True).alias("trained"))
-    return x.join(rows, "ride_id", "left").select("ride_id", F.when(F.col("ok"), "eligible").otherwise("ineligible").alias("status"), F.when(~F.col("ok"), "end_mismatch").alias("reason"), "battery_points", "nav_points", F.coalesce("trained", F.lit(False)).alias("trained"))
+    return x.select("ride_id", F.when(F.col("ok"), "eligible").otherwise("ineligible").alias("status"), F.when(~F.col("ok"), "end_mismatch").alias("reason"), "battery_points", "nav_points", (F.col("ok") & _burn().isNotNull()).alias("trained"))
 
 
 def donated_observations(rides: DataFrame, tracks: DataFrame, mined: DataFrame) -> DataFrame:

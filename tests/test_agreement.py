@@ -90,3 +90,22 @@ def test_a_cycle_takes_a_day(spark, sf_dir, monkeypatch):
     days = fx.points(spark, sf_dir).select(F.unix_timestamp(F.col("day").cast("timestamp"))).distinct().collect()
     assert times == {r[0] for r in days} and len(times) > 5
     assert {r[0] for r in by_sql(catalog.SQL["cycle_stream"], sf_dir)} == times
+
+
+def plan_of(name, spark, sf_dir):
+    return catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_properties_are_made_after_the_cut(spark, sf_dir):
+    plan = plan_of("telemetry_clean", spark, sf_dir).split("\n")
+    window = next(k for k, line in enumerate(plan) if "Window [" in line)
+    assert any("repeat(" in line for line in plan[:window]) and not any("repeat(" in line for line in plan[window:])
+
+
+def test_routes_are_scored_once(spark, sf_dir):
+    plan = plan_of("route_rerank", spark, sf_dir)
+    assert plan.count("l_orderkey") and plan.count("Relation [l_orderkey") == 1 and plan.count("Relation [p_partkey") == 1
+
+
+def test_settlement_reads_tracks_once(spark, sf_dir):
+    assert plan_of("finalize_validation", spark, sf_dir).count("Relation [l_orderkey") == 2  # the waypoints, and the ends of donations
