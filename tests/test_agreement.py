@@ -109,3 +109,17 @@ def test_routes_are_scored_once(spark, sf_dir):
 
 def test_settlement_reads_tracks_once(spark, sf_dir):
     assert plan_of("finalize_validation", spark, sf_dir).count("Relation [l_orderkey") == 2  # the waypoints, and the ends of donations
+
+
+def test_classes_of_addresses_hold_every_pair(spark):
+    from fleetlake.operators import people
+
+    queries = spark.createDataFrame([(k, q, k % 2, d, None) for k, (q, d) in enumerate([("maine", "N"), ("main", None), ("main", None), ("oak", "S"), (None, None)] * 4)], "query_id long, q string, number long, direction string, kind string")
+    words = spark.createDataFrame([("main", 1), ("oak", 2), ("mains", 3)], "word string, word_id long")
+    addresses = spark.createDataFrame([(1 + k % 3, k % 2, [None, "N", "S"][k % 3], "st" if k % 4 else None, 100 + k) for k in range(48)], "word_id long, number long, direction string, kind string, address_id long")
+    rows = people.address_classes(queries, words, addresses).collect()
+    of = lambda kind: {r["id"]: r["class_id"] for r in rows if r["kind"] == kind}
+    asked, known, met = of("query"), of("address"), [(r["class_id"], r["id"], r["tier"], r["edits"]) for r in rows if r["kind"] == "match"]
+    got = sorted((q, a, tier, edits) for cq, ca, tier, edits in met for q in asked if asked[q] == cq for a in known if known[a] == ca)
+    assert got == sorted(map(tuple, people.address_match(queries, words, addresses).collect())) and len(met) < len(got) / 4
+    assert set(asked) == set(range(20)) and set(known) == set(range(100, 148))
