@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -91,15 +94,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class Machine:
     """A state machine over the rows of one key in time order.
 
-    ``fields`` names the columns of a row, time in microseconds (``us``) first, ``waiting``
-    their types. ``step(state, row)`` takes a row and gives the next state and rows to put
+    ``fields`` names the columns of a row, time in microseconds (``us``) first. ``step(state, row)`` takes a row and gives the next state and rows to put
     out; ``state`` is None where nothing is known. ``due(state)`` is the time from which
     ``tick(state, now)`` has something to do, such as to end what waits or, with None as the
     next state, to forget the key. ``order`` settles rows of one time.
     """
 
     fields: tuple[str, ...]
-    waiting: str
     state: str
     out: tuple[str, ...]
     step: Callable[[tuple | None, tuple], tuple[tuple | None, list[tuple]]]
@@ -121,14 +122,58 @@ class Machine:
         return state, made
 
 
+#: Rows that a task groups by key at a time, and rows of a key that one element of its waiting list holds at most.
+GROUPED, PACKED = 1 << 18, 4_096
+
+
+def packed(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """``(key, first, last, rows)``: the rows of one key that a task meets as one, with their first and last time.
+
+    ``rows`` is a pickled list of tuples of ``fields``, time first. A stateful operator then
+    handles a key's rows at the cost of one.
+    """
+
+    def groups(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        keys = t.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = keys.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        t, codes = t.take(pa.array(order)), codes[order]
+        at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        at = np.concatenate([np.arange(lo, hi, PACKED) for lo, hi in zip(at, [*at[1:], len(codes)])])
+        if t.column("us").null_count:
+            raise ValueError("a row has no time")
+        us = t.column("us").to_numpy()
+        own = list(zip(*(t.column(c).to_pylist() for c in fields)))
+        dumped = [pickle.dumps(own[lo:hi], pickle.HIGHEST_PROTOCOL) for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(own)])]
+        yield pa.record_batch([keys.dictionary.take(pa.array(codes[at])), pa.array(np.minimum.reduceat(us, at)), pa.array(np.maximum.reduceat(us, at)), pa.array(dumped, pa.binary())], names=[key, "first", "last", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in held) >= GROUPED:
+                yield from groups(held)
+                held = []
+        if held:
+            yield from groups(held)
+
+    own = rows.select(*dict.fromkeys((key, *fields))).repartition(key)
+    return own.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, first long, last long, rows binary")
+
+
 class InOrder(StatefulProcessor):
     """Runs a :class:`Machine` per key on a stream whose rows come out of order.
 
-    Rows wait in a list state until the watermark has passed them, so a row that comes up to
-    the watermark's delay late still takes its place; what comes later than that is dropped by
-    Spark (and counted in its progress). One event-time timer per key is set for the first
-    waiting row or for what is due, so a silent key is taken up again, and forgotten, without
-    new rows.
+    Rows come :func:`packed` and wait so in a list state until the watermark has passed them,
+    so a row that comes up to the watermark's delay late still takes its place. What comes
+    later than that is left out: by Spark (and counted in its progress) where all rows of a
+    pack are late, else here. A key has an event-time timer for the first row that a batch
+    brought and one for what is due (``timer`` holds its time), so a silent key is taken up
+    again, and forgotten, without new rows.
+
+    Every call to a state is a message to the JVM and back, so a key's states are read once
+    and written only where they change; what it puts out are arrays of rows.
     """
 
     def __init__(self, machine: Machine):
@@ -136,50 +181,63 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.machine.waiting)
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.own = handle.getValueState("own", self.machine.state)
         self.timer = handle.getValueState("timer", "ms long")
+        self.made = Row(*self.machine.out)
+
+    def _wake(self, us: int) -> int:
+        """A timer at the first full millisecond from ``us`` on; one that is there stays as it is."""
+        self.handle.registerTimer(ms := -(-us // 1000))
+        return ms
 
-    def _wake(self, us: int | None) -> None:
-        """One timer, at the first full millisecond from ``us`` on; none for None."""
-        ms = None if us is None else -(-us // 1000)
-        old = self.timer.get()[0] if self.timer.exists() else None
-        if old == ms:
+    def _due(self, before: tuple | None, state: tuple | None, now: int) -> None:
+        """The timer of what is due: moved where the state's time has changed."""
+        was, due = (None if x is None else self.machine.due(x) for x in (before, state))
+        if was == due:
             return
-        if old is not None:
-            self.handle.deleteTimer(old)
-        if ms is None:
+        if was is not None and (old := self.timer.get()) is not None and old[0] * 1000 > now:
+            self.handle.deleteTimer(old[0])
+        if due is not None:
+            self.timer.update((self._wake(due),))
+        elif was is not None:
             self.timer.clear()
-        else:
-            self.handle.registerTimer(ms)
-            self.timer.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
-        fresh = [tuple(r[c] for c in self.machine.fields) for r in rows]
-        self.waiting.appendList(fresh)
-        first = min(r[0] for r in fresh)
-        if not self.timer.exists() or -(-first // 1000) < self.timer.get()[0]:
-            self._wake(first)
+        now, fresh, firsts = timerValues.getCurrentWatermarkInMs() * 1000, [], []
+        for r in rows:
+            first, own = r["first"], bytes(r["rows"])
+            if first <= now:
+                left = [x for x in pickle.loads(own) if x[0] > now]
+                if not left:
+                    continue
+                first, own = min(x[0] for x in left), pickle.dumps(left, pickle.HIGHEST_PROTOCOL)
+            fresh.append((own,))
+            firsts.append(first)
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(min(firsts))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        self.timer.clear()
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = [r for (some,) in self.waiting.get() for r in pickle.loads(some)]
         rest = [r for r in rows if r[0] > now]
-        state = tuple(self.own.get()) if self.own.exists() else None
-        state, made = self.machine.run(state, [r for r in rows if r[0] <= now], now)
-        if rest:
-            self.waiting.put(rest)
-        else:
+        before = self.own.get()
+        state, made = self.machine.run(before, [r for r in rows if r[0] <= now] if rest else rows, now)
+        if rest and len(rest) < len(rows):
+            self.waiting.put([(pickle.dumps(rest[k : k + PACKED], pickle.HIGHEST_PROTOCOL),) for k in range(0, len(rest), PACKED)])
+        elif rows and not rest:
             self.waiting.clear()
-        if state is None:
+        if rest:
+            self._wake(min(r[0] for r in rest))
+        if state is None and before is not None:
             self.own.clear()
-        else:
+        elif state != before:
             self.own.update(state)
-        self._wake(min([r[0] for r in rest] + [d for d in ([] if state is None else [self.machine.due(state)]) if d is not None], default=None))
-        for row in made:
-            yield Row(**dict(zip(self.machine.out, row)))
+        self._due(before, state, now)
+        for k in range(0, len(made), PACKED):
+            yield self.made(*map(list, zip(*made[k : k + PACKED])))
 
     def close(self) -> None:
         pass
@@ -188,8 +246,10 @@ class InOrder(StatefulProcessor):
 def in_order(rows: DataFrame, key: str, machine: Machine, out: str, delay: str) -> DataFrame:
     """What the machine puts out over ``rows``, a stream with ``us``, per ``key``; rows may come up to ``delay`` late."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the store that has timers
-    timed = rows.withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", delay)
-    return timed.groupBy(key).transformWithState(InOrder(machine), out, "Append", "EventTime")
+    timed = packed(rows, key, machine.fields).withColumn("_ts", F.timestamp_micros("last")).withWatermark("_ts", delay)
+    arrays = ", ".join("{} array<{}>".format(*c.split()) for c in out.split(", "))
+    made = timed.groupBy(key).transformWithState(InOrder(machine), arrays, "Append", "EventTime")
+    return made.select(F.inline(F.arrays_zip(*machine.out)))
 
 
 def closed(rows: DataFrame, key: str, delay_ms: int) -> DataFrame:
@@ -210,7 +270,7 @@ def reports_machine(gap_us: int) -> Machine:
         accepted = state is None or us - state[0] >= gap_us
         return (us,) if accepted else state, [(event_id, accepted)]
 
-    return Machine(("us", "event_id"), "us long, event_id long", "last long", ("event_id", "accepted"), step, lambda state: state[0] + gap_us, lambda state, now: (None, []))
+    return Machine(("us", "event_id"), "last long", ("event_id", "accepted"), step, lambda state: state[0] + gap_us, lambda state, now: (None, []))
 
 
 def accepted_reports_stream(reports: DataFrame, gap_us: int, delay: str = "1 hour") -> DataFrame:
@@ -261,7 +321,7 @@ def watch_machine() -> Machine:
         return packed(us, open_), done
 
     order = lambda row: (row[0], row[1] is not None, row[1] or 0, bool(row[2]))
-    return Machine(("us", "ride_id", "reserved"), "us long, ride_id long, reserved boolean", "last long, ids array<long>, starts array<long>, lefts array<long>", ("ride_id", "state", "left_us", "back_us"), step, due, tick, order)
+    return Machine(("us", "ride_id", "reserved"), "last long, ids array<long>, starts array<long>, lefts array<long>", ("ride_id", "state", "left_us", "back_us"), step, due, tick, order)
 
 
 def ride_watch_stream(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -282,7 +342,7 @@ def vehicle_machine(keep_us: int = KEEP_US) -> Machine:
         return (us, *own), [(event_id, vehicle, us, kind)]
 
     fields = ("us", "event_id", "vehicle", "lat", "lon", "reserved")
-    return Machine(fields, "us long, event_id long, vehicle string, lat double, lon double, reserved boolean", "last long, lat double, lon double, riding boolean", ("event_id", "vehicle", "us", "kind"), step, lambda state: state[0] + keep_us + 1, lambda state, now: (None, []), lambda row: row[:2])
+    return Machine(fields, "last long, lat double, lon double, riding boolean", ("event_id", "vehicle", "us", "kind"), step, lambda state: state[0] + keep_us + 1, lambda state, now: (None, []), lambda row: row[:2])
 
 
 def vehicle_state_stream(points: DataFrame, delay: str = "1 hour", keep_us: int = KEEP_US) -> DataFrame:

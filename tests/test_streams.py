@@ -139,3 +139,16 @@ def test_cycles_are_stored_once_and_stale_feeds_skipped(spark, sf_dir, tmp_path)
     regions = store.read("regions").groupBy("last_updated").agg(F.count("*").alias("n"), F.sum("count_total").alias("devices")).collect()
     assert {r["last_updated"]: r["n"] for r in regions} == dict.fromkeys((100, 200, 300), polygons.count())
     assert catalog.SQL["cycle_stream_regions"]
+
+
+def test_rows_of_a_key_wait_as_one_and_late_ones_are_left_out(spark, tmp_path):
+    schema = "us long, event_id long, key string"
+    rows = [(HOUR * 10 + k * 1_000_000, k, f"k{k % 2}") for k in range(600)]
+    late = [(HOUR * 20, 700, "k0"), (HOUR, 701, "k0"), (HOUR, 702, "k1"), (HOUR * 20, 703, None)]  # 701 comes with a row in time, 702 alone
+    files([spark.createDataFrame(rows, schema), spark.createDataFrame(late, schema)], str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got, query = drained(streams.accepted_reports_stream(source, 1_000_000, delay="1 hour"), tmp_path, "out")
+    assert sorted(r["event_id"] for r in got) == list(range(600)) and all(r["accepted"] for r in got)
+    waiting = spark.read.format("statestore").option("path", str(tmp_path / "out-check")).option("stateVarName", "waiting")
+    assert {r["key"]["key"] for r in waiting.load().collect()} == {"k0", None}  # 700 and the closing row
+    assert waiting.option("batchId", 0).load().count() == 2  # 300 rows of each key in one element
