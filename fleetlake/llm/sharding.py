@@ -3,11 +3,14 @@
 From the sizes of the old shards and the capacities of the new ones, a minimum-cost flow
 says how many bytes go from each old shard to each new shard so that the fewest bytes move.
 Each old shard is a line of blocks of documents; the flow cuts the line into intervals, one
-per new shard, its own first, and a block goes where its middle lies. What a shard gains is
-written as files of its own; blocks that stay are not written again: their files stay as they
-are, and the plan's list of blocks says which of their rows still count. So the bytes written
-are the bytes that the flow moves (:func:`relocate`). :func:`rewrite` and :func:`reshard` write
-whole shards instead, those affected or all.
+per new shard, its own first, and a block goes where its middle lies. The old shards are files
+(:func:`lay_out` makes them, in the order of blocks). A file is affected if a row of it moves:
+such files are rewritten, rows that stay to a file of their shard and the others to those of
+their new shards; all other files stay as they are (:func:`rewrite_files`). As files follow the
+line of blocks, an old shard has one file that is cut, so the bytes written are those that the
+flow moves and a file for each old shard. Where the old shards are no files of their own,
+:func:`relocate` writes what a shard gains, :func:`rewrite` and :func:`reshard` whole shards,
+those affected or all.
 
 Equal texts are groups: those of an old shard lie in one block, so they stay together. Only a
 group of more than ``1 / SPLIT`` of a new shard's capacity is dealt over blocks row by row, as
@@ -16,7 +19,7 @@ their blocks go to one new shard, since joining them would move more bytes than
 
 The flow is solved over shards (hundreds of nodes at most, by parameter) and placement over
 blocks (at most ``MOST_BLOCKS`` per old shard), never over documents. The texts are shuffled
-once, to the files that they are written to.
+once, to the files of the old shards; files are rewritten without a shuffle.
 
 Defined results: a null text has 0 bytes and counts as equal to an empty one; texts of any
 length stay whole, so shards differ by a block's length; repeated rows are rows of their own;
@@ -40,6 +43,8 @@ BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1_024, 1_024, 16_384
 SPLIT = 32
 #: Bytes of text in a written file, about, and files of a shard at least.
 FILE_BYTES, LEAST_FILES = 128 << 20, 2
+#: Files of an old shard at least.
+OLD_FILES = 8
 
 
 def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence[Sequence[float]]) -> list[list[int]]:
@@ -234,18 +239,72 @@ def relocate(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, target:
     return written.unionByName(plan.rows(moved=False)), plan.flow
 
 
+def lay_out(docs: DataFrame, old_shard: Column, n_old: int, target: str, n_new: int | None = None) -> DataFrame:
+    """Write the old shards under ``target``, a folder per shard, in files in the order of blocks, and return them as a table with ``old_shard``.
+
+    Groups of equal texts that are dealt row by row in ``n_new`` shards (else in ``n_old``) lie dealt over the files.
+    """
+    plan = Plan(docs, old_shard, n_old, n_new or n_old)
+    names = [c for c in docs.columns if c.lower() not in ("old_shard", "shard", "slot")]
+    made = F.struct(plan.old.alias("old"), group_of(F.col("text")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
+    at = free(docs, "_at")
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), made.alias(at)).select("row", f"{at}.*")
+    x = x.join(F.broadcast(plan.large), (F.col("old") == F.col("_lo")) & (F.col("h") == F.col("_lh")), "left")
+    files = max(OLD_FILES, -(-plan.total // (n_old * FILE_BYTES)))
+    file = F.floor(plan._block(F.coalesce("_large", F.lit(False)), F.col("doc_id")).cast("long") * files / plan.n_blocks)
+    x = x.withColumn("file", (F.col("old") * F.lit(files) + file).cast("int")).repartitionById(n_old * files, F.col("file"))
+    out = x.select("row.*", F.col("old").alias("old_shard"))
+    out.write.partitionBy("old_shard").parquet(target)
+    return docs.sparkSession.read.schema(out.schema).parquet(target)
+
+
+def rewrite_files(old: DataFrame, n_old: int, n_new: int, target: str) -> tuple[DataFrame, list[list[int]]]:
+    """Rewrite the affected files of ``old``, a table of files with ``old_shard``, under ``target`` and return (all rows with ``shard`` and ``slot``, flow).
+
+    A file is affected if a row of it moves. The other files are read where they are, and
+    ``old`` itself stays as it is. A row's slot is its place in its file after the rows of the
+    shard's files before.
+    """
+    spark, names = old.sparkSession, [c for c in old.columns if c != "old_shard"]
+    plan = Plan(old, F.col("old_shard"), n_old, n_new)
+
+    def placed(docs: DataFrame) -> DataFrame:
+        made = F.struct(plan.old.alias("old"), group_of(F.col("text")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"))
+        x = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), made.alias("at"), F.col("_metadata.file_path").alias("path")).select("row", "path", "at.*")
+        x = x.join(F.broadcast(plan.large), (F.col("old") == F.col("_lo")) & (F.col("h") == F.col("_lh")), "left")
+        x = x.withColumn("block", plan._block(F.coalesce("_large", F.lit(False)), F.col("doc_id")))
+        return x.join(F.broadcast(plan.blocks.select("old", "block", "shard")), ["old", "block"])  # at most n_old * MOST_BLOCKS rows
+
+    by_file = placed(old).groupBy("path", "old").agg(F.max(F.col("shard") != F.col("old")).alias("affected")).collect()  # one row per file
+    stay, cut_up = ([r for r in by_file if r["affected"] is what] for what in (False, True))
+    base = by_file[0]["path"].rsplit("/old_shard=", 1)[0] if by_file else ""
+    read = lambda rows: spark.read.schema(old.schema).option("basePath", base).parquet(*[r["path"] for r in rows]) if rows else old.where("false")
+    moving = placed(read(cut_up))
+    out = moving.select("row.*", F.col("old").alias("old_shard"), F.col("shard").cast("int").alias("shard"))
+    out.write.partitionBy("shard").parquet(target)
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")]
+    written = spark.read.schema(out.schema).parquet(target).select(*[F.col(f"`{c}`") for c in names], "old_shard", "shard", *place)
+    kept = read(stay).select(*[F.col(f"`{c}`") for c in names], "old_shard", *place)
+    rows = written.unionByName(kept.withColumn("shard", F.col("old_shard")))
+    before = Window.partitionBy("shard").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("shard", "_path").agg(F.count("*").alias("n")).select("_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    rows = rows.join(F.broadcast(cut(starts)), "_path").withColumn("slot", (F.col("_start") + F.col("_row")).cast("long"))  # one row per file
+    return rows.select(*[F.col(f"`{c}`") for c in names], "old_shard", "shard", "slot"), plan.flow
+
+
 def old_layout(n_old: int) -> Column:
     """The layout that the query reshards: by text, so equal texts lie in one old shard, which a large group makes larger."""
     return F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(9)), F.lit(n_old))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: reshard all documents from 16 shards by text to 24 of equal bytes; rows that moved come from the files written."""
+    """op6: reshard all documents from 16 shards by text, which are written as files first, to 24 of equal bytes; affected files are rewritten."""
     import uuid
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    written, _ = relocate(docs, old_layout(16), 16, 24, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    return written.select(
+    root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    old = lay_out(table(spark, sf_dir, "documents").select("doc_id", "text"), old_layout(16), 16, f"{root}/old", 24)
+    placed, _ = rewrite_files(old, 16, 24, f"{root}/new")
+    return placed.select(
         F.col("doc_id").cast("long"), size_of(F.col("text")).alias("size"), text_crc(F.col("text")).alias("text_crc32"),
         F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )

@@ -281,3 +281,35 @@ def test_placement_equals_brute_force_and_moves_alone_are_written(spark, tmp_pat
         start[r["shard"]] += 1
     for shard, n in start.items():
         assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(n))
+
+
+def test_affected_files_are_rewritten_and_the_others_stay(spark, tmp_path):
+    n_old, n_new = 4, 6
+    rnd = np.random.default_rng(9)
+    texts = ["w" * int(n) for n in rnd.integers(0, 400, 3000)] + ["copy " * 9] * 400 + ["twin"] * 300 + [None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    old = sharding.lay_out(docs, F.pmod(F.xxhash64("text", F.lit(9)), F.lit(n_old)), n_old, str(tmp_path / "old"), n_new)
+    files = {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_path}/old/*/*.parquet")}
+    was = {r["doc_id"]: (r["old_shard"], r["f"]) for r in old.select("doc_id", "old_shard", F.col("_metadata.file_path").alias("f")).collect()}
+    assert len(was) == len(texts) and len(files) == n_old * sharding.OLD_FILES
+    out, flow = sharding.rewrite_files(old, n_old, n_new, str(tmp_path / "new"))
+    got = out.collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted((k, t or "") for k, t in enumerate(texts))
+    size = lambda r: len(r["text"] or "") + 8
+    # Written is each file that loses a row, whole, and no other one.
+    affected = {was[r["doc_id"]][1] for r in got if r["shard"] != r["old_shard"]}
+    written = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "new")).collect()}
+    assert written == {k for k, (_, f) in was.items() if f in affected} and 0 < len(affected) < len(files)
+    assert {r["doc_id"]: r["old_shard"] for r in got} == {k: o for k, (o, _) in was.items()}
+    moved, total = sum(size(r) for r in got if r["shard"] != r["old_shard"]), sum(map(size, got))
+    assert abs(moved - sum(flow[i][j] for i in range(n_old) for j in range(n_new) if i != j)) < 0.02 * total
+    assert sum(size(r) for r in got if r["doc_id"] in written) < moved + 1.5 * total / sharding.OLD_FILES
+    assert files == {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_path}/old/*/*.parquet")}
+    sizes = Counter()
+    for shard in range(n_new):
+        own = [r for r in got if r["shard"] == shard]
+        sizes[shard] = sum(map(size, own))
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
+    empty = sharding.lay_out(docs.where("false"), F.lit(0), n_old, str(tmp_path / "none"))
+    assert sharding.rewrite_files(empty, n_old, n_new, str(tmp_path / "still none"))[0].count() == 0
