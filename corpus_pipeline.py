@@ -28,8 +28,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the least doc_id.
 
-    Links are pairs whose sets of five-word shingles have a similarity of 0.8 or more; anchors
-    and fingerprints of 256 bits find the candidates.
+    Links are pairs whose sets of five-word shingles have a similarity of 0.8 or more; a
+    pigeonring of SimHash fingerprints, one for each part of the shingles, finds the candidates.
     """
     return simhash.keep_one(docs)
 

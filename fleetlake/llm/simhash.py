@@ -13,8 +13,10 @@ hold more than ``chunk`` classes are dealt as pairs of chunks, so no task gets a
 key and no pair is lost. A task returns a spanning forest of the links it finds, never all
 pairs of a dense group.
 
-:func:`wide_groups` reaches near copies of lower similarity with longer fingerprints, and
-:func:`similar_groups` keeps only those of its links that hold on the shingle sets.
+:func:`similar_groups` links near copies of lower similarity by the same principle: its ring
+has as many words as the differences ask for, each the SimHash fingerprint of one part of a
+text's shingles (:func:`ring_rows`), and what it brings together is linked on the shingle
+sets. :func:`wide_groups` is an estimate of those links from anchors and longer fingerprints.
 
 Defined results: a null or empty text (or one of white space only) has fingerprint zero and
 is linked like any other; a text of fewer words than ``shingle`` has one shingle, its whole
@@ -43,6 +45,9 @@ SEED = 42
 WIDE, ANCHORS, JOINED = 4, 10, 3
 #: Bits in which near copies may differ: texts of similarity 0.8 (cosine 0.89) differ in 39 of 256, give or take 6.
 WIDE_DISTANCE = 47
+#: Words that a row of the ring of shingle parts carries after its key's, and rows that a task makes at a time, about.
+TAIL, FLUSH = 16, 1 << 20
+_UNKNOWN = np.uint64((1 << 4 * TAIL) - 1)
 #: Least similarity of two linked texts, and the bits in which candidates for it may differ.
 LEAST, CANDIDATE_DISTANCE = 0.8, 72
 #: Shingle hashes of the texts that one task compares at a time, about (32 MB).
@@ -118,18 +123,70 @@ def set_sketch(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     anchor joins the least values of ``JOINED`` orders of the shingles: two texts agree in one
     with the probability similarity ** JOINED. A text without words has zeros.
     """
-    n = len(own)
-    if not n:
-        return np.zeros(WIDE, np.uint64), np.zeros(ANCHORS, np.uint64)
-    ones = np.zeros((WIDE, 64), np.int64)
-    for at in range(0, n, 1 << 16):
-        for k in range(WIDE):
-            ones[k] += _ones(_mix(own[at : at + (1 << 16)] * _ODD[k]))
+    if not len(own):
+        return set_fingerprint(own), np.zeros(ANCHORS, np.uint64)
     least = np.array([(own * odd).min() for odd in _ODD[WIDE:]], np.uint64)
     anchors = np.zeros(ANCHORS, np.uint64)
     for part in least.reshape(ANCHORS, JOINED).T:
         anchors = _mix(anchors + part)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel(), anchors
+    return set_fingerprint(own), anchors
+
+
+def set_fingerprint(own: np.ndarray) -> np.ndarray:
+    """The wide fingerprint of one shingle set: zeros for an empty one."""
+    ones = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, len(own), 1 << 16):
+        for k in range(WIDE):
+            ones[k] += _ones(_mix(own[at : at + (1 << 16)] * _ODD[k]))
+    return np.packbits(2 * ones > len(own), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def ring_rows(own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and tails of one shingle set on the rings of parts; sets of similarity ``least`` or more share a key.
+
+    Sets of similarity t differ in at most (1 - t) / (1 + t) of their sizes together. A ring
+    stands for the sizes below a power of two, and its m parts, into which a hash deals the
+    shingles, are more than those differences. Two sets meet on the ring of the larger one. A
+    set takes its parts that hold a shingle, in order, until they are one more than the
+    differences it may have with any partner there. Of the set whose last such part comes
+    first, one part at least is without a difference, and by the pigeonring principle one is
+    followed by at most l - 1 differences in the next l - 1 parts, for every l. So each of
+    these parts is a key, by its SimHash fingerprint, and the tail says of the ``TAIL`` next
+    ones how many shingles they hold and one bit of their fingerprint, from which
+    :func:`_tails_near` bounds the differences; 15 marks parts after the last one taken.
+
+    A set with too few parts that hold a shingle takes them all. Two of those may share none,
+    so they have each shingle as a key besides.
+    """
+    n, share = len(own), (1 - least) / (1 + least)
+    keys, tails = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    largest = int(n / least + 1e-9)
+    for level in range(n.bit_length(), largest.bit_length() + 1) if n else ():
+        top = (1 << level) - 1
+        most = int(share * (n + min(top, largest)) + 1e-9)
+        m = int(np.ceil(2.3 * share * top)) + 2
+        part = (((own * _ODD[0]) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        counts = np.bincount(part, minlength=m)
+        filled = np.flatnonzero(counts)
+        used, size = filled[: most + 1], counts[filled[: most + 1]]
+        dealt, ends = own[np.argsort(part, kind="stable")], np.cumsum(size)
+        words = []
+        for at in range(0, len(used), 4096):
+            starts = ends[at : at + 4096] - size[at : at + 4096]
+            bits = np.unpackbits(dealt[starts[0] : ends[at : at + 4096][-1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, starts - starts[0], axis=0, dtype=np.int64)
+            words.append(np.packbits(2 * ones > size[at : at + 4096, None], axis=1, bitorder="little").view(np.uint64).ravel())
+        word, sparse = np.concatenate(words), len(filled) <= most
+        marks = np.full(m + TAIL + 1, 15, np.uint64)
+        marks[: m if sparse else used[-1] + 1] = 0
+        marks[used] = np.minimum(size, 6).astype(np.uint64) * np.uint64(2) + (_mix(word * _ODD[1]) & np.uint64(1))
+        place = lambda k: _mix((np.asarray(k, np.uint64) + np.uint64(level << 40)) * _ODD[2])  # noqa: B023, E731
+        keys.append(_mix(word ^ place(used)))
+        tails.append(np.bitwise_or.reduce([marks[used + 1 + k] << np.uint64(4 * k) for k in range(TAIL)]))
+        if sparse:
+            keys.append(_mix(own ^ place([m])))
+            tails.append(np.full(n, _UNKNOWN))
+    return np.concatenate(keys), np.concatenate(tails)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -211,6 +268,29 @@ def _ring_near(start: np.ndarray, fp: np.ndarray, ring: Ring) -> Callable[[np.nd
     return near
 
 
+def _tails_near(tail: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The chain budgets of the ring of parts: at most l - 1 differences in the l - 1 parts after the key's.
+
+    A part differs by its counts at least, and by two if these agree and the bits do not;
+    counts stop at 6.
+    """
+
+    def near(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        left, apart = np.arange(len(p)), np.zeros(len(p), np.int64)
+        for k in range(TAIL):
+            a, b = ((tail[x[left]] >> np.uint64(4 * k) & np.uint64(15)).astype(np.int64) for x in (p, q))
+            counts = np.abs((a >> 1) - (b >> 1))
+            bits = np.where(a == b, 0, np.where(a >> 1 == 6, 1, 2))
+            apart += np.where((a == 15) | (b == 15), 0, np.where(counts > 0, counts, bits))
+            fine = apart <= k + 1
+            left, apart = left[fine], apart[fine]
+        out = np.zeros(len(p), bool)
+        out[left] = True
+        return out
+
+    return near
+
+
 def _wide_near(fps: list[np.ndarray], distance: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """The Hamming distance over all words."""
     return lambda p, q: sum(np.bitwise_count(x[p] ^ x[q]).astype(np.int32) for x in fps) <= distance
@@ -293,8 +373,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3) -> Dat
 _FPS = [f"f{k}" for k in range(WIDE)]
 
 
-def _sketched(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, mark, digest, <fps>, anchors)`` per document, and one row per shingle set.
+def _sketched(docs: DataFrame, shingle: int, anchored: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, mark, digest, <fps>, anchors)`` per document, and one row per shingle set; anchors are null unless ``anchored``.
 
     ``mark`` is a hash of the text, which tells apart texts of one doc_id. A class, a shingle
     set that occurs under some doc_id, has a number ``id`` of its own (fixed as the table is
@@ -306,10 +386,9 @@ def _sketched(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
             made = []
             for t in batch.column(1):
                 own = shingle_set(t.as_py(), shingle)
-                made.append((*set_sketch(own), set_digest(own)))
+                made.append((*(set_sketch(own) if anchored else (set_fingerprint(own), None)), set_digest(own)))
             words = np.array([m[0] for m in made], np.uint64).reshape(-1, WIDE).view(np.int64)
-            anchors = np.array([m[1] for m in made], np.uint64).reshape(-1, ANCHORS).view(np.int64)
-            held = pa.FixedSizeListArray.from_arrays(pa.array(anchors.ravel()), ANCHORS).cast(pa.list_(pa.int64()))
+            held = pa.array([None if m[1] is None else m[1].view(np.int64) for m in made], pa.list_(pa.int64()))
             digests = pa.array([m[2] for m in made], pa.binary())
             yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), digests, *(pa.array(words[:, k]) for k in range(WIDE)), held], names=["doc_id", "mark", "digest", *_FPS, "anchors"])
 
@@ -327,14 +406,66 @@ def _wide_links(classes: DataFrame, distance: int, chunk: int) -> DataFrame:
     return _grouped_links(keyed.join(shared, ["start", "key"]), _FPS, lambda _, words: _wide_near(words, distance), chunk)
 
 
-def _candidate_links(classes: DataFrame, distance: int, chunk: int) -> DataFrame:
-    """Edges that connect at least what :func:`_wide_links` does: under anchors of more than ``chunk`` rows all are tied to one of them, in one pass."""
-    keyed = classes.select(*_FPS, "id", F.posexplode("anchors").alias("start", "key"))
-    counts = cut(keyed.groupBy("start", "key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"))
-    few = keyed.join(counts.where(F.col("n") <= chunk).select("start", "key"), ["start", "key"])
-    links = _grouped_links(few, _FPS, lambda _, words: _wide_near(words, distance), chunk)
-    many = keyed.join(counts.where(F.col("n") > chunk), ["start", "key"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    return links.unionByName(many)
+def _node(digest: bytes) -> int:
+    """The number under which a shingle set meets others on the ring; two sets that share one only become candidates."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def _ring_links(docs: DataFrame, least: float, shingle: int, chunk: int) -> DataFrame:
+    """Edges between nodes (:func:`_node`) that connect at least what has a similarity of ``least`` or more.
+
+    Rows that share a key of :func:`ring_rows` must pass the budgets of the longer chains. Under
+    a key of more than ``chunk`` rows all are tied to one of them; a task that makes more than
+    ``chunk`` / 16 of a key ties them first and sends one on, so no key fills a task.
+    """
+    crowd = max(1, chunk // 16)
+
+    def packed(held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        node = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
+        key, tail = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        many = np.flatnonzero(counts[inverse] > crowd)
+        if len(many):
+            heads = first[counts > crowd]
+            head_key, head_node = key[heads], node[heads]
+            own_first = node[first[inverse[many]]].view(np.uint64)
+            key[many], tail[many] = _mix(key[many] ^ _mix(own_first * _ODD[3])), _UNKNOWN
+            key, node, tail = np.concatenate([key, head_key]), np.concatenate([node, head_node]), np.concatenate([tail, np.full(len(heads), _UNKNOWN)])
+        for at in range(0, len(key), 1 << 16):
+            cols = (x[at : at + (1 << 16)] for x in (key.view(np.int64), node, tail.view(np.int64)))
+            yield pa.record_batch([pa.array(x) for x in cols], names=["key", "node", "tail"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+        for batch in batches:
+            for t in batch.column(0):
+                own = shingle_set(t.as_py(), shingle)
+                digest = set_digest(own)
+                if not len(own) or digest in seen:
+                    continue
+                seen.add(digest)
+                held.append((_node(digest), *ring_rows(own, least)))
+                size += len(held[-1][1])
+                if size >= FLUSH:
+                    yield from packed(held)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield from packed(held)
+
+    def found(t: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        several = np.flatnonzero(np.bincount(group)[group] > 1)
+        node, tail = (t.column(c).to_numpy()[several] for c in ("node", "tail"))
+        group = group[several]
+        order = np.lexsort((tail, node, group))
+        node, tail, group = node[order], tail[order], group[order]
+        new = np.ones(len(group), bool)  # copies of a text made in several batches
+        new[1:] = (group[1:] != group[:-1]) | (node[1:] != node[:-1]) | (tail[1:] != tail[:-1])
+        node, tail, group = node[new], tail[new].view(np.uint64), group[new]
+        crowded = np.bincount(group)[group] > chunk if len(group) else np.zeros(0, bool)
+        return _forest(node, group, _tails_near(tail), np.where(crowded, np.searchsorted(group, group), np.arange(len(group))))
+
+    keyed = docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(rows, "key long, node long, tail long")
+    return _links_by_group(keyed, ["key"], found)
 
 
 def _components(marked: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -391,15 +522,16 @@ def _refined(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least: float, distance: int, shingle: int, held: int) -> DataFrame:
-    """Edges inside the candidate ``groups(node, component)`` whose shingle sets have a similarity of ``least`` or more.
+    """Edges inside the candidate ``groups(node, component)``, by :func:`_node`, whose shingle sets have a similarity of ``least`` or more.
 
-    A group's texts meet once, whatever anchors brought them together. Groups of more than
+    A group's texts meet once, whatever keys brought them together. Groups of more than
     ``held`` hashes first fall into the parts of :func:`_refined`. In a part that is still as
     large each text is held against one of them; what is linked to that one is connected, and
     only the others then meet the whole part, dealt as pairs of chunks. So a large group of
     near copies costs one pass, and one that shares a frequent passage costs no pairs.
     """
-    wanted = classes.join(groups, classes.id == groups.node).select("id", "component", "first.*", F.col("digest").alias("want"), *_FPS)
+    node = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
+    wanted = classes.withColumn("node", node).join(groups, "node").select("id", "component", "first.*", F.col("digest").alias("want"), *_FPS)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,13 +603,13 @@ def _exact_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, least:
 def _similar(docs: DataFrame, least: float, shingle: int, chunk: int, held: int) -> DataFrame:
     """``(doc_id, mark, kept)`` as in :func:`_components`; links have a similarity of ``least`` or more.
 
-    The estimate of :func:`wide_groups`, with the wider ``CANDIDATE_DISTANCE``, only finds
-    groups of candidates; inside each, pairs are linked on their shingle sets (64-bit hashes).
-    A pair of similarity 0.8 is missed with a probability of 0.001 at most: 0.0008 by the
-    anchors and 0.0001 by the bits (4 against 5 shingles, the worst case).
+    The pigeonring (:func:`_ring_links`) finds groups of candidates and misses none; inside
+    each, pairs whose wide fingerprints differ in at most ``CANDIDATE_DISTANCE`` bits are linked
+    on their shingle sets (64-bit hashes). A pair of similarity 0.8 is missed by the bits with a
+    probability of 0.0001 at most (4 against 5 shingles, the worst case).
     """
-    marked, classes = _sketched(docs, shingle)
-    groups = connected_components(_candidate_links(classes, CANDIDATE_DISTANCE, chunk))
+    marked, classes = _sketched(docs, shingle, anchored=False)
+    groups = connected_components(_ring_links(docs, least, shingle, chunk))
     return _components(marked, classes, _exact_links(docs, classes, groups, least, CANDIDATE_DISTANCE, shingle, held))
 
 
