@@ -92,24 +92,29 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     ``own_weight`` (a positive whole number of few different values; by default the whole part
     of the square root of ``size``) is what inclusion probabilities are proportional to;
     ``p`` is that of the copy beyond the certain ones. Another ``seed`` draws another sample.
+
+    Each step reads the ones before several times, so the small tables that steps hand on are
+    cut, as are the ranked rows: else the plan would repeat all earlier steps in each later
+    one, and planning it would fill the driver's heap.
     """
-    t = targets(rows, weights, share, most)
+    t = cut(targets(rows, weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     x = rows.join(t.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     x = x.withColumn("sure", F.floor(rate).cast("long"))
     x = x.withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size"))  # words still to be taken, of the whole source
     x = x.withColumn("q", (own_weight if own_weight is not None else F.floor(F.sqrt(F.col("size").cast("double")))).cast("long"))
-    p = calibrated(x).select(F.col("source").alias("_s"), F.col("q").alias("_q"), "p")
+    p = cut(calibrated(x).select(F.col("source").alias("_s"), F.col("q").alias("_q"), "p"))
     x = x.join(p, F.col("source").eqNullSafe(F.col("_s")) & (F.col("q") == F.col("_q"))).drop("_s", "_q")
     u = uniform(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rank = F.when(F.col("p") >= 1, 0.0).when(F.col("p") <= 0, float("inf")).otherwise(u / (F.lit(1.0) - u) / (F.col("p") / (F.lit(1.0) - F.col("p"))))
     x = x.withColumn("rank", rank)
     # Bins of rank / (1 + rank): about half of each way is taken, whatever p, so the last taken bin holds a small share.
     x = x.withColumn("bin", F.when(F.col("p") <= 0, BINS - 1).otherwise(F.least(F.lit(BINS - 1), F.floor(F.col("rank") / (F.lit(1.0) + F.col("rank")) * F.lit(BINS)))).cast("int"))
+    x = cut(x)
     bins = x.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("bin_rest"))
     upto = F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     bins = bins.withColumn("upto", upto)
-    bins = bins.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), (F.col("upto") - F.col("bin_size")).alias("below"), (F.col("upto") <= F.col("bin_rest")).alias("full"))
+    bins = cut(bins.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), (F.col("upto") - F.col("bin_size")).alias("below"), (F.col("upto") <= F.col("bin_rest")).alias("full")))
     x = x.join(bins, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b"))).drop("_s", "_b")
     # Certain documents are taken; their bin is never ordered.
     open_ = ~F.col("full") & (F.col("below") < F.col("rest")) & (F.col("p") < 1) & (F.col("size") > 0)
