@@ -105,11 +105,11 @@ def _words(s, d):  # noqa: ANN001, ANN202
     return w.withColumn("word_id", F.crc32(F.col("word").cast("binary")))
 
 
-def _asked(s, d):  # noqa: ANN001, ANN202
+def _asked(s, d, *more):  # noqa: ANN001, ANN002, ANN202
     p = fx.load(s, d, "part").select("p_partkey", F.lower(F.regexp_extract("p_name", r"([A-Za-z]+)$", 1)).alias("w")).where("w <> ''")
     k = F.col("p_partkey") % 3
     q = F.when(k == 0, F.col("w")).when(k == 1, F.expr("substring(w, 2)")).otherwise(F.concat(F.substring("w", 1, 1), F.col("w")))
-    return p.select(F.col("p_partkey").alias("query_id"), q.alias("q"))
+    return p.select(F.col("p_partkey").alias("query_id"), q.alias("q"), *more)
 
 
 def _reports_us(s, d):  # noqa: ANN001, ANN202

@@ -156,3 +156,9 @@ def test_pairs_of_addresses_in_packs_equal_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, frame.collect())) == sorted(want) and len({r[0] for r in want}) == 48
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.index("explode(address_ids") < plan.index("Coalesce") < plan.index("explode(query_ids")  # the rows of two packs are never held
+
+
+def test_repeated_parts_ask_as_often_as_they_are_there(spark, tmp_path):
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    twice = changed(tmp_path, "/root/testdata/sf0.001", part=parts.unionByName(parts.where("p_partkey % 10 = 3")))
+    assert sorted(map(tuple, catalog.QUERIES["address_match"](spark, twice).collect())) == sorted(by_sql(catalog.SQL["address_match"], twice))
